@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import url_filters
+from . import quality_rules, secret_scan, url_filters
 from .common import table
 
 #: Fixed values of the contract: verdict and rule.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE_RULES))
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE_RULES)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op10_url_filters,)}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_secret_scan, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
