@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, language_id, packing, prob_minhash, quality_rules, resample, secret_scan, token_counts, url_filters
+from . import decontaminate, language_id, packing, prob_minhash, quality_rules, resample, secret_scan, substring_dedup, token_counts, url_filters
 from .common import table
 
 #: Fixed values of the contract: verdict and rule.
@@ -53,11 +53,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_quality_rules, op6_minhash_dedup, op7_language_id, op8_secret_scan, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_quality_rules, op6_minhash_dedup, op7_language_id, op8_secret_scan, op9_suffix_dedup, op10_url_filters)}
 #: Word shingles as arrays of five; documents are matched on the joined string.
 _OP3 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
