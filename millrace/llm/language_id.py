@@ -37,6 +37,7 @@ BUCKETS = 1 << 16
 TEMPER = 0.25
 RIGHT = 0.9
 SALTS = 16
+BROADCAST_ROWS = 500_000
 #: Country suffixes and the language that they speak for, fixed values.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
@@ -152,3 +153,10 @@ def identify(rows: DataFrame, model: TextModel, key: str = "doc_id", text: str =
     out = chosen.select(key, F.get(names, F.col("top") - 1).alias("name"), (1 / mass).alias("posterior"), F.when(F.col("grams") > 0, F.get("score", F.col("top") - 1) / F.col("grams")).alias("evidence"))
     good = F.coalesce(F.col("evidence") >= least_evidence, F.lit(False)) & (F.col("posterior") >= least_posterior)
     return out.select(key, F.when(F.coalesce(F.col("evidence") >= least_evidence, F.lit(False)), F.col("name")).otherwise("und").alias("lang"), "posterior", "evidence", good.alias("kept"))
+
+
+def keep_known(rows: DataFrame, model: TextModel, key: str = "doc_id", **settings: object) -> DataFrame:
+    """The rows of a table but those that are rejected; all columns. A key goes if all its rows are rejected; rows without a key stay."""
+    judged = identify(rows, model, key, **settings).where(F.col(key).isNotNull())
+    gone = materialize(judged.groupBy(key).agg(F.bool_or("kept").alias("kept")).where("not kept").select(key), "rejected")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")

@@ -22,6 +22,7 @@ from .common import materialize
 
 #: What marks the ends of a match. A text's own marks become the other one, which no rule matches.
 MARK, OTHER = "\x01", "\x02"
+BROADCAST_ROWS = 200_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -142,3 +143,19 @@ def redact(text: Column, spans: Column, by: str = "[secret]") -> Column:
         return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(fresh, out).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(source, s["at"] + 1, F.length(source))))
+
+
+def redacted(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """texts with the same columns, secrets in text replaced, and size, where there is such a column, the new number of characters.
+
+    Only rows with findings are changed; they are found by key and content, so texts do not move
+    while the findings are few.
+    """
+    found = scan(texts, rules, ledger, key, text).where(F.size("spans") > 0)
+    found = materialize(found.groupBy("blob").agg(F.first("spans").alias("spans")), "findings")
+    small = found.count() <= BROADCAST_ROWS
+    renamed = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    joined = texts.withColumn("__address", address(F.col(text))).join(F.broadcast(renamed) if small else renamed, F.col("__address") == F.col("__blob"), "left")
+    new = F.when(F.col("__spans").isNotNull(), redact(F.col(text), F.col("__spans"))).otherwise(F.col(text))
+    changed = {text: new} | ({size: F.when(F.col("__spans").isNotNull(), F.length(redact(F.col(text), F.col("__spans")))).otherwise(F.col(size)).cast(texts.schema[size].dataType)} if size in texts.columns else {})
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in texts.columns])
