@@ -26,45 +26,63 @@ def build(strings: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     """
     n = len(strings)
     length = np.array([len(s) for s in strings], dtype=np.int64)
-    bwt = np.zeros(n, dtype=np.uint8)
-    common = np.zeros(n, dtype=np.int32)
-    owner = np.arange(n, dtype=np.int32)
-    size = np.zeros(n, dtype=np.int32)
-    place = np.arange(n, dtype=np.int64)
     most = int(length.max(initial=0))
-    column = np.zeros((most, n), dtype=np.uint8)
-    for k, s in enumerate(strings):
-        column[: len(s), k] = np.asarray(s)[::-1] + 1
+    flat = np.concatenate([np.asarray(s, dtype=np.uint8) for s in strings]) if n else np.zeros(0, dtype=np.uint8)
+    ends = np.cumsum(length)
+    kind = np.uint8 if most < 255 else np.int32
+    bwt, common = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=kind)
+    place = np.arange(n, dtype=np.int64)
     for j in range(most):
         now = np.flatnonzero(length > j)
         at = place[now]
-        bwt[at] = column[j, now]
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
+        bwt[at] = flat[ends[now] - 1 - j] + np.uint8(1)
+        order, rank = _ranked(bwt)
         r = rank[at]
         by = np.argsort(r)
         now, at, r = now[by], at[by], r[by]
         symbol = bwt[at]
-        before = order[np.maximum(r - 1, 0)]
-        after = order[np.minimum(r + 1, len(order) - 1)]
+        before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(order) - 1)]
         has_before = (r > 0) & (bwt[before] == symbol)
         has_after = (r + 1 < len(order)) & (bwt[after] == symbol)
-        low = np.append(common, 0)
-        up = 1 + _least(low, np.where(has_before, before + 1, at), at + 1)
-        down = 1 + _least(low, np.where(has_after, at + 1, at), np.where(has_after, after, at) + 1)
-        # of all suffixes with a symbol before them, those with END are not moved; empty ones stand in front
-        new = n + r - np.count_nonzero(bwt == END)
-        where = new - np.arange(len(new))
-        bwt = np.insert(bwt, where, END)
-        common = np.insert(common, where, np.where(has_before, up, 0))
-        owner = np.insert(owner, where, now)
-        size = np.insert(size, where, j + 1)
-        follows = new[has_after] + 1
-        common[follows] = down[has_after]
-        place += np.searchsorted(where, place, side="right")
+        low = np.append(common, kind(0))
+        up, down = at[has_before], at[has_after]
+        least = _least(low, np.concatenate((before[has_before], down)) + 1, np.concatenate((up, after[has_after])) + 1) + kind(1)
+        # suffixes after END stay where they are; the empty ones are in front of all that have a symbol
+        new = n + r - (len(bwt) - np.count_nonzero(bwt))
+        old = np.ones(len(bwt) + len(new), dtype=bool)
+        old[new] = False
+        grown = np.zeros(len(old), dtype=np.uint8)
+        grown[old] = bwt
+        wider = np.zeros(len(old), dtype=kind)
+        wider[old] = common
+        wider[new[has_before]] = least[: len(up)]
+        wider[new[has_after] + 1] = least[len(up) :]
+        bwt, common = grown, wider
+        place += np.searchsorted(new - np.arange(len(new)), place, side="right")
         place[now] = new
-    return bwt, common, owner, size
+    return bwt, common, *_owners(bwt, length)
+
+
+def _ranked(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the symbols in order, stably, and each place's rank in that."""
+    order = np.argsort(bwt, kind="stable").astype(np.int32)
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return order, rank
+
+
+def _owners(bwt: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The string and the length of each suffix: from the empty ones, which are in front, along the ranks of the symbols before them."""
+    n = len(length)
+    owner, size = np.zeros(len(bwt), dtype=np.int32), np.zeros(len(bwt), dtype=np.int32)
+    rank = _ranked(bwt)[1] + (n - (len(bwt) - np.count_nonzero(bwt)))
+    place = np.arange(n, dtype=np.int64)
+    owner[:n] = place
+    for j in range(int(length.max(initial=0))):
+        now = np.flatnonzero(length > j)
+        place[now] = rank[place[now]]
+        owner[place[now]], size[place[now]] = now, j + 1
+    return owner, size
 
 
 def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

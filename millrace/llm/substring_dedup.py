@@ -26,6 +26,7 @@ rows. Keys are integers. A text may have up to 2**33 bytes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ SEGMENT = 1 << 22
 #: Distinct runs of an anchor up to which they are brought together.
 WIDE = 4000
 #: Strings whose transform is built at once.
-BLOCK = 1500
+BLOCK = 3000
 BROADCAST_ROWS = 500_000
 _RUN = "anchor bigint, content bigint, k bigint, at bigint, kind int"
 REPEATED, ALONE, OPEN, WIDE_RUN = 0, 1, 2, 3
@@ -196,10 +197,26 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list]:
             yield [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], [], []]
 
 
-def _resolved(batches: Iterator[pa.RecordBatch], least: int, block: int) -> Iterator[list]:
+def _sharing(rows: list[tuple], least: int, gram: int) -> list[tuple]:
+    """Rows (anchor, k, at, bytes) without those that can share no window.
+
+    Two windows of one anchor share all bytes beside it, so at least half of those on one side of
+    it: rows stay whose half before the anchor, or after it, another row of that anchor has too.
+    """
+    half = (least - gram + 1) // 2
+    sides = []
+    for anchor, _, at, data in rows:
+        p = (at >> 7) & 127
+        sides.append(((anchor, data[p - half : p]) if p >= half else None, (anchor, data[p + gram : p + gram + half], 0) if len(data) >= p + gram + half else None))
+    seen = Counter(side for pair in sides for side in pair)
+    return [row for row, (a, b) in zip(rows, sides, strict=True) if (a and seen[a] > 1) or (b and seen[b] > 1)]
+
+
+def _resolved(batches: Iterator[pa.RecordBatch], least: int, gram: int, block: int) -> Iterator[list]:
     """Strings (anchor, k, at, bytes), sorted by anchor, to spans (k, tag, start, end) of windows with an earlier equal."""
 
     def solved(rows: list[tuple]) -> list:
+        rows = _sharing(rows, least, gram)
         k, at = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2))
         group, owner, start = column_bwt.repeats([np.frombuffer(r[3], dtype=np.uint8) for r in rows], least)
         k, start, tag = k[owner], (at[owner] >> 30) + start, (at[owner] >> 14) & 0xFFFF
@@ -281,7 +298,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, wide:
     opened = body.select("k", "tag", "text").join(marks.hint("shuffle_hash"), ["k", "tag"]).select("k", "marks", "text")
     strings = materialize(map_batches(opened, _cut, "anchor bigint, k bigint, at bigint, kind int, bytes binary", least), "strings")
     near = strings.where(F.col("kind") == OPEN).select("anchor", "k", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor", "k", "at")
-    near = map_batches(near, _resolved, "k bigint, tag int, start bigint, end bigint", least, block)
+    near = map_batches(near, _resolved, "k bigint, tag int, start bigint, end bigint", least, gram, block)
     windows = map_batches(strings.where(F.col("kind") == WIDE_RUN).select("anchor", "k", "at", "bytes"), _hashed, "h1 bigint, h2 bigint, k bigint, tag int, start bigint", least)
     windows = materialize(windows, "windows")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("k", "start")).alias("first"))
