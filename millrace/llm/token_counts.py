@@ -34,71 +34,78 @@ LONGEST = 64
 MOST_NODES, MOST_WORDS = 1_000_000, 1_000_000
 
 
+#: A path's worth in one number: its score in the upper bits, less its tokens.
+TOKEN = 1 << 24
+_KEY = 1 << 21
+
+
 class Unigram:
-    """Scores of pieces; a byte of an unknown character scores as the last rank."""
+    """Worths of pieces; a byte of an unknown character scores below the last rank."""
 
     def __init__(self, pieces: Iterable[str]) -> None:
         ranked = list(dict.fromkeys(pieces))
         total = math.log(sum(1 / (r + 1) for r in range(len(ranked))) or 1)
-        self.score = {p: -round(1e4 * (math.log(r + 1) + total)) for r, p in enumerate(ranked)}
-        self.byte = -round(1e4 * (math.log(len(ranked) + 2) + total))
+        worth = lambda r: -round(1e4 * (math.log(r + 1) + total)) * TOKEN - 1
+        self.worth = {p: worth(r) for r, p in enumerate(ranked)}
+        self.byte = worth(len(ranked) + 1)
         self.longest = max(map(len, ranked), default=1)
-        self.ends: dict[str, list[int]] = {}
+        self.single = {p: w for p, w in self.worth.items() if len(p) == 1}
+        #: By their last two characters, the lengths of the longer pieces, rising.
+        ends: dict[str, set[int]] = {}
         for p in ranked:
-            self.ends.setdefault(p[-1], []).append(len(p))
-        for last, sizes in self.ends.items():
-            self.ends[last] = sorted(set(sizes))
-
-    def step(self, spelled: str, best: list[tuple[int, int]]) -> tuple[int, int]:
-        """The best (score, -tokens) of spelled, given those of all its shorter prefixes."""
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {last: tuple(sorted(sizes)) for last, sizes in ends.items()}
+
+    def step(self, spelled: str, best: list[int]) -> int:
+        """The best worth of spelled, given those of its shorter prefixes, the last ones of which are enough."""
+        c = spelled[-1]
+        own = self.single.get(c)
+        out = best[-1] + (len(c.encode("utf-8", "surrogatepass")) * self.byte if own is None else own)
         n = len(spelled)
-        score, tokens = best[n - 1]
-        size = len(spelled[-1].encode("utf-8", "surrogatepass"))
-        out = (score + size * self.byte, tokens - size)
-        for k in self.ends.get(spelled[-1], ()):
+        for k in self.ends.get(spelled[-2:], ()):
             if k > n:
                 break
-            found = self.score.get(spelled[n - k :])
-            if found is not None:
-                score, tokens = best[n - k]
-                out = max(out, (score + found, tokens - 1))
+            found = self.worth.get(spelled[n - k :])
+            if found is not None and best[-k] + found > out:
+                out = best[-k] + found
         return out
 
     def alone(self, word: str) -> int:
         """The count of one pre-token, its prefixes seen only this far back as a piece can reach."""
-        best = [(0, 0)]
+        best = [0]
         for n in range(1, len(word) + 1):
-            lo = max(0, n - self.longest)
-            best.append(self.step(word[lo:n], best[-(n - lo) :]))
-            if len(best) > self.longest:
-                best = best[-self.longest :]
-        return -best[-1][1]
+            best.append(self.step(word[max(0, n - self.longest) : n], best))
+            if len(best) > 4 * self.longest:
+                del best[: -self.longest]
+        return -best[-1] % TOKEN
 
 
 class Trie:
-    """Nodes by number: children by character, and the forward score of what each spells."""
+    """Nodes by number: children by node and character, and the best worth of what each spells."""
 
     def __init__(self, model: Unigram) -> None:
         self.model, self.steps = model, 0
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.forward: list[tuple[int, int]] = [(0, 0)]
+        self.children: dict[int, int] = {}
+        self.forward: list[int] = [0]
 
     def insert(self, word: str) -> int:
-        """Add a pre-token; its count of tokens, from the scores of its prefixes."""
-        node, best = 0, [(0, 0)]
+        """Add a pre-token; its count of tokens, from the worths of its prefixes."""
+        children, forward, step = self.children, self.forward, self.model.step
+        node, best = 0, [0]
         for n, c in enumerate(word, 1):
-            child = self.children[node].get(c)
+            key = node * _KEY + ord(c)
+            child = children.get(key)
             if child is None:
-                child = self.children[node][c] = len(self.children)
-                self.children.append({})
-                self.forward.append(self.model.step(word[:n], best))
+                children[key] = child = len(forward)
+                forward.append(step(word[:n], best))
                 self.steps += 1
             node = child
-            best.append(self.forward[node])
-        return -best[-1][1]
+            best.append(forward[node])
+        return -best[-1] % TOKEN
 
 
 def vocabulary(path: str) -> list[str]:
@@ -118,7 +125,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[list]:
             tokens, pre = [], []
             for text in part.column(1).to_pylist():
                 words = _WORDS.findall(text or "")
-                for w in sorted(set(words) - counts.keys()):
+                for w in sorted(w for w in set(words) if w not in counts):
                     marked = MARK + w
                     counts[w] = trie.insert(marked) if len(w) < LONGEST else model.alone(marked)
                 tokens.append(sum(map(counts.__getitem__, words)))
