@@ -31,7 +31,7 @@ MARK = "▁"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Pre-tokens longer than this are not kept in the trie.
 LONGEST = 64
-MOST_NODES, MOST_WORDS = 1_000_000, 1_000_000
+MOST_NODES, MOST_WORDS = 600_000, 300_000
 
 
 #: A path's worth in one number: its score in the upper bits, less its tokens.
