@@ -156,6 +156,8 @@ def redacted(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFram
     small = found.count() <= BROADCAST_ROWS
     renamed = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     joined = texts.withColumn("__address", address(F.col(text))).join(F.broadcast(renamed) if small else renamed, F.col("__address") == F.col("__blob"), "left")
-    new = F.when(F.col("__spans").isNotNull(), redact(F.col(text), F.col("__spans"))).otherwise(F.col(text))
-    changed = {text: new} | ({size: F.when(F.col("__spans").isNotNull(), F.length(redact(F.col(text), F.col("__spans")))).otherwise(F.col(size)).cast(texts.schema[size].dataType)} if size in texts.columns else {})
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in texts.columns])
+    marked = joined.withColumn("__new", F.when(F.col("__spans").isNotNull(), redact(F.col(text), F.col("__spans"))))
+    changed = {text: F.coalesce("__new", text)}
+    if size in texts.columns:
+        changed[size] = F.coalesce(F.length("__new"), size).cast(texts.schema[size].dataType)
+    return marked.select(*[changed.get(c, F.col(c)).alias(c) for c in texts.columns])
