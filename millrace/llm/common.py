@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+WAVES = 4
+
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df in at most WAVES tasks a core, for small tables: each task that writes makes a file, and local stores start a process for each."""
+    return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
 
+def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning."""
+    wide: as many files as df has partitions, for tables that grow with the texts.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if wide else narrow(df)).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, narrow
 
 #: A table with fewer rows than this is broadcast (16 bytes a row); a larger one is shuffled.
 BROADCAST_ROWS = 500_000
@@ -73,6 +73,7 @@ def contained(texts: DataFrame, items: DataFrame, threshold: float = 0.8, size:
     hits = own.join(_small(test), "shingle").join(_small(pairs), [key, item_key], "left_semi")
     shared = hits.groupBy(key, item_key, "n_shingles").agg(F.count_distinct("shingle").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_shingles")
+    shared = narrow(shared)
     return shared.where(share >= threshold - 1e-9).select(key, item_key, "n_shared", F.col("n_shingles").cast("long").alias("n_shingles"), share.alias("containment"))
 
 

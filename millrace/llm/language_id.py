@@ -126,7 +126,7 @@ def identify(rows: DataFrame, model: TextModel, key: str = "doc_id", text: str =
     scored = map_batches(given, _scored, schema, model.ratio, NGRAM)
     names = F.array(*[F.lit(x) for x in model.languages])
     best = F.array_position("score", F.array_max("score")).cast("int")
-    scored = materialize(scored.select("*", suffix_of(F.col("host")).alias("suffix"), F.when(F.col("grams") > 0, best).alias("best")), "scored")
+    scored = materialize(scored.select("*", suffix_of(F.col("host")).alias("suffix"), F.when(F.col("grams") > 0, best).alias("best")), "scored", wide=True)
 
     counts = [F.count_if(F.col("best") == k + 1).cast("double") for k in range(n)]
     by_host = materialize(scored.where("host is not null").groupBy("host", "suffix").agg(F.array(*counts).alias("c")), "hosts")

@@ -91,7 +91,7 @@ def tokenise(texts: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY
 
     schema = StructType([texts.schema[key], StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType())])
     made = map_batches(texts.select(key, texts[text].alias("text")), _tokenised, schema, path, end, capacity)
-    return materialize(made.select(F.monotonically_increasing_id().alias("uid"), "*"), "pieces")
+    return materialize(made.select(F.monotonically_increasing_id().alias("uid"), "*"), "pieces", wide=True)
 
 
 class _Rooms:

@@ -148,7 +148,7 @@ def learn(rows: DataFrame, max_rules: int = 6, max_conditions: int = 3, cuts: in
 
 def apply_rules(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", **settings: object) -> tuple[DataFrame, list[list[Condition]]]:
     """(rows, rules): the statistics with base_failed and kept, and the list that was learned from labels (0: bad)."""
-    stats = materialize(statistics(texts, key, text), "statistics")
+    stats = materialize(statistics(texts, key, text), "statistics", wide=True)
     marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key), (F.col(label) == 0).alias("bad"))
     rules = learn(stats.where(~base_failed()).join(marks, key).withColumn("fold", F.col(key)), **settings)
     return stats.select("*", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept")), rules

@@ -104,7 +104,7 @@ def resample(texts: DataFrame, labels: DataFrame, share: float | None = None, se
     u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit("gumbel")), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     weighed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     held = F.greatest(F.least(F.col("gumbel_key"), F.lit(2.0**31)), F.lit(-(2.0**31)))
-    weighed = materialize(weighed.withColumn("q", F.floor(held * SCALE).cast("bigint") + OFFSET), "weighed")
+    weighed = materialize(weighed.withColumn("q", F.floor(held * SCALE).cast("bigint") + OFFSET), "weighed", wide=True)
     k = math.ceil(share * weighed.count())
     least = kth_largest(weighed, "q", k) if k else 1 << 60
     return weighed.select(key, "log_weight", "n_grams", "gumbel_key", (F.col("q") >= F.lit(least if least is not None else 0)).alias("kept"))

@@ -108,7 +108,7 @@ def scan_new(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFram
     that scan them; a blob with very many paths is one row after its keys are combined in the map tasks.
     """
     version = rule_version(rules)
-    paths = materialize(texts.select(F.col(key), address(F.col(text)).alias("blob")), "paths")
+    paths = materialize(texts.select(F.col(key), address(F.col(text)).alias("blob")), "paths", wide=True)
     chosen = paths.groupBy("blob").agg(F.min(key).alias("k"))
     if ledger is not None:
         chosen = chosen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")

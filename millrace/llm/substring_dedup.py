@@ -287,20 +287,20 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, wide:
     """(k, tag, start, end): spans of repeated bytes of docs (k, tag, text); they may overlap."""
     found = map_batches(docs.select("k", "tag", "text"), _found, _RUN, least, gram)
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "content", "k", "at")
-    judged = materialize(map_batches(dealt, _compared, _RUN, least, wide), "runs")
+    judged = materialize(map_batches(dealt, _compared, _RUN, least, wide), "runs", wide=True)
     tag_of = F.shiftright("at", 14).bitwiseAND(0xFFFF).cast("int").alias("tag")
     done = judged.where(F.col("kind") == REPEATED).select("k", tag_of, F.shiftright("at", 30).alias("start"), F.col("content").alias("end"))
     marks = judged.where(F.col("kind") >= OPEN).groupBy("k", tag_of).agg(F.collect_list(F.struct("anchor", "at", "kind")).alias("marks"))
-    marks = materialize(marks, "marks")
+    marks = materialize(marks, "marks", wide=True)
     small = marks.count()
     ids = marks.select("k").distinct()
     body = docs.join(F.broadcast(ids), "k", "left_semi") if small <= BROADCAST_ROWS else docs
     opened = body.select("k", "tag", "text").join(marks.hint("shuffle_hash"), ["k", "tag"]).select("k", "marks", "text")
-    strings = materialize(map_batches(opened, _cut, "anchor bigint, k bigint, at bigint, kind int, bytes binary", least), "strings")
+    strings = materialize(map_batches(opened, _cut, "anchor bigint, k bigint, at bigint, kind int, bytes binary", least), "strings", wide=True)
     near = strings.where(F.col("kind") == OPEN).select("anchor", "k", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor", "k", "at")
     near = map_batches(near, _resolved, "k bigint, tag int, start bigint, end bigint", least, gram, block)
     windows = map_batches(strings.where(F.col("kind") == WIDE_RUN).select("anchor", "k", "at", "bytes"), _hashed, "h1 bigint, h2 bigint, k bigint, tag int, start bigint", least)
-    windows = materialize(windows, "windows")
+    windows = materialize(windows, "windows", wide=True)
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("k", "start")).alias("first"))
     far = windows.join(first, ["h1", "h2"]).where(F.struct("k", "start") != F.col("first")).select("k", "tag", "start", (F.col("start") + least).alias("end"))
     return done.unionByName(near).unionByName(far)
