@@ -75,4 +75,21 @@ SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingle
 FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3}
+
+
+def _op8() -> str:
+    """Each rule's matches are set off by marks and cut out; places are the lengths of what is before them."""
+    quoted = lambda x: x.replace("'", "''")
+    mark = lambda r: f"regexp_replace(t, '(?:{quoted(r.pattern)})', chr(1) || '\\0' || chr(1), 'g')"
+    kinds = " UNION ALL ".join(f"SELECT doc_id, {k} AS o, '{r.kind}' AS kind, string_split({mark(r)}, chr(1)) AS p FROM d WHERE regexp_matches(t, '{quoted(r.pattern)}')" for k, r in enumerate(secret_scan.RULES))
+    assign = secret_scan.RULES[0]
+    return f"""
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents), k AS ({kinds}),
+s AS (SELECT doc_id, o, kind, p[i] AS m, list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS a FROM k, unnest(range(2, len(p) + 1, 2)) AS u(i)),
+g AS (SELECT doc_id, o, a, kind || ':' || a || ':' || (a + length(m)) AS w FROM s WHERE o <> 0 OR length(regexp_extract(m, '{quoted(assign.pattern)}', {assign.group})) >= {assign.at_least}),
+n AS (SELECT doc_id, count_if(o = 0)::BIGINT AS n0, count_if(o = 1)::BIGINT AS n1, count_if(o = 2)::BIGINT AS n2, string_agg(w, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(w, ',' ORDER BY a, o) AS whole FROM g GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(whole, '') AS spans FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op8_secret_scan": _op8()}
