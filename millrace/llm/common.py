@@ -12,7 +12,8 @@ from ..session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-WAVES = 4
+WAVES = 1
+_WRITE = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
 def narrow(df: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     wide: as many files as df has partitions, for tables that grow with the texts.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df if wide else narrow(df)).write.option("compression", "zstd").parquet(path)
+    (df if wide else narrow(df)).write.options(**_WRITE).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
