@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 
 def common_length(a: str, b: str) -> int:
@@ -43,6 +43,44 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(ratio(p, q) for p, q in pairs)
 
 
+def token_sort_ratio(a: str | None, b: str | None) -> float:
+    return ratio(" ".join(sorted((a or "").split())), " ".join(sorted((b or "").split())))
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter with a stretch of the longer of its length, or shorter at the ends."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0
+    n = len(short)
+    return max(ratio(short, long[max(0, k) : k + n]) for k in range(1 - n, len(long)))
+
+
+def weighted_ratio(a: str | None, b: str | None) -> float:
+    """The largest of plain, sorted, set and partial ratios, the latter scaled down as lengths differ."""
+    x, y = a or "", b or ""
+    if not x or not y:
+        return 0.0
+    lengths = max(len(x), len(y)) / min(len(x), len(y))
+    found = [ratio(x, y)]
+    if lengths < 1.5:
+        return max(*found, 0.95 * token_sort_ratio(x, y), 0.95 * token_set_ratio(x, y))
+    scale = 0.9 if lengths < 8 else 0.6
+    return max(*found, scale * partial_ratio(x, y), 0.95 * scale * token_set_ratio(x, y))
+
+
+def _two_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for a, b, t, u in parts:
+        yield pd.Series([weighted_ratio(w, x) >= 80 and (not y or not z or token_sort_ratio(y, z) >= 70) for w, x, y, z in zip(a, b, t, u, strict=True)], dtype="bool")
+
+
+def match_two_fields(messages: DataFrame, applications: DataFrame) -> DataFrame:
+    """(message_id, application_id): the same platform, alike companies and, where both have one, alike titles."""
+    pairs = messages.select("message_id", "platform", F.lower("company").alias("a"), F.lower("title").alias("t")).join(applications.select("application_id", "platform", F.lower("company").alias("b"), F.lower("title").alias("u")), "platform")
+    good = F.pandas_udf(_two_fields, BooleanType())("a", "b", "t", "u")
+    return pairs.where(good).select("message_id", "application_id")
+
+
 def _similarities(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

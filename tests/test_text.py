@@ -66,3 +66,10 @@ def test_common_length_equals_a_table():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert E.common_length(a, b) == t[-1][-1]
+
+
+def test_two_field_match(spark):
+    m = spark.createDataFrame([(1, "p", "Acme Software", "Senior Data Engineer"), (2, "p", "Zeta", None), (3, "q", "Acme Software", None), (4, "p", None, "x")], "message_id int, platform string, company string, title string")
+    a = spark.createDataFrame([(10, "p", "ACME Software Inc", "Data Engineer Senior"), (11, "p", "Acme Software", "Janitor"), (12, "p", "zeta", "any"), (13, "r", "Acme Software", None)], "application_id int, platform string, company string, title string")
+    assert {tuple(r) for r in E.match_two_fields(m, a).collect()} == {(1, 10), (2, 12)}
+    assert E.partial_ratio("abcd", "xxabcdxx") == 100 and E.weighted_ratio("", "a") == 0
