@@ -11,8 +11,9 @@ document of smaller key, or in the same one further left) covers it.
    2 * least - k bytes. Their collection's Burrows-Wheeler transform and common prefixes are built
    column by column (column_bwt), block by block: suffixes whose common prefixes reach `least` are
    equal windows, of which all but the earliest go.
-3. An anchor with very many distinct runs is not brought together: its windows are grouped by
-   128-bit hashes and compared with the least place of each, combined before the shuffle.
+3. An anchor with very many distinct runs is not brought together, if it shows in one of 64
+   documents from the start: its windows are grouped by 128-bit hashes and compared with the least
+   place of each, combined before the shuffle.
 
 The construction takes one round for each byte of the longest string, so over whole documents it
 would need as many rounds as the longest document has bytes; step 1 bounds the strings, and so the
@@ -45,6 +46,7 @@ SEGMENT = 1 << 22
 WIDE = 4000
 #: Strings whose transform is built at once.
 BLOCK = 3000
+MOST_HEAVY = 10_000
 BROADCAST_ROWS = 500_000
 _RUN = "anchor bigint, content bigint, k bigint, at bigint, kind int"
 REPEATED, ALONE, OPEN, WIDE_RUN = 0, 1, 2, 3
@@ -110,8 +112,8 @@ def _later(group: np.ndarray, k: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (k != k[first]) | (at >> 30 != at[first] >> 30)
 
 
-def _found(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[list]:
-    """Runs of texts (k, tag, text). Those with an earlier like one in the same slice are REPEATED from the start."""
+def _found(batches: Iterator[pa.RecordBatch], least: int, gram: int, heavy: np.ndarray) -> Iterator[list]:
+    """Runs of texts (k, tag, text). Those with an earlier like one in the same slice are REPEATED from the start, others of heavy anchors WIDE_RUN."""
     for batch in batches:
         for part in slices(batch):
             key, tag = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -123,9 +125,10 @@ def _found(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator
             anchor, content, k, at, start, count = anchor[by], content[by], k[by], at[by], start[by], count[by]
             later = _later(_lead(anchor, content), k, at) if len(by) else np.zeros(0, dtype=bool)
             end = start + count - 1 + least
-            # repeated ones go to any task; their content holds their end
+            kind = np.where(later, REPEATED, np.where(np.isin(anchor, heavy), WIDE_RUN, ALONE)).astype(np.int32)
+            # those that are judged go to any task; the content of repeated ones holds their end
             spread = textvec.mix(k.view(np.uint64) ^ at.view(np.uint64)).view(np.int64)
-            yield [np.where(later, spread, anchor), np.where(later, end, content), k, at, np.where(later, REPEATED, ALONE).astype(np.int32)]
+            yield [np.where(kind == ALONE, anchor, spread), np.where(later, end, content), k, at, kind]
 
 
 def _compared(batches: Iterator[pa.RecordBatch], least: int, wide: int) -> Iterator[list]:
@@ -138,7 +141,7 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, wide: int) -> Itera
     def judged(rows: list[np.ndarray], whole: bool) -> list:
         nonlocal last, broad
         anchor, content, k, at, kind = rows
-        given = kind == REPEATED
+        given = kind != ALONE
         first = _lead(anchor, content)
         if last is not None and len(anchor) and (anchor[0], content[0]) == last[:2]:
             first[0] = False
@@ -150,7 +153,7 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, wide: int) -> Itera
         group = np.cumsum(_lead(anchor)) - 1
         distinct = np.bincount(group[first & ~given], minlength=group[-1] + 1 if len(group) else 0)
         many = distinct[group] > 1
-        out_kind = np.where(given | later, REPEATED, np.where(many & fresh, OPEN, ALONE))
+        out_kind = np.where(given, kind, np.where(later, REPEATED, np.where(many & fresh, OPEN, ALONE)))
         if broad is not None or not whole:
             edge = np.zeros(len(anchor), dtype=bool)
             if broad is not None:
@@ -283,9 +286,21 @@ def _tag(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFF).cast("int")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
+def heavy_anchors(docs: DataFrame, least: int, gram: int, one_of: int, rows: int) -> np.ndarray:
+    """Anchors with at least so many runs, once alike ones in a slice are one, in one of so many documents; at most MOST_HEAVY.
+
+    Which ones they are decides only by which way their windows are compared.
+    """
+    part = docs.where(F.pmod(F.xxhash64("k", F.lit("heavy")), F.lit(one_of)) == 0).select("k", "tag", "text")
+    seen = map_batches(part, _found, _RUN, least, gram, np.zeros(0, dtype=np.int64)).where(F.col("kind") == ALONE)
+    counts = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= rows)
+    return np.sort(np.array([r.anchor for r in counts.orderBy(F.desc("n"), "anchor").limit(MOST_HEAVY).collect()], dtype=np.int64))
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, wide: int = WIDE, block: int = BLOCK, one_of: int = 64, heavy_rows: int = 500) -> DataFrame:
     """(k, tag, start, end): spans of repeated bytes of docs (k, tag, text); they may overlap."""
-    found = map_batches(docs.select("k", "tag", "text"), _found, _RUN, least, gram)
+    heavy = heavy_anchors(docs, least, gram, one_of, heavy_rows)
+    found = map_batches(docs.select("k", "tag", "text"), _found, _RUN, least, gram, heavy)
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "content", "k", "at")
     judged = materialize(map_batches(dealt, _compared, _RUN, least, wide), "runs", wide=True)
     tag_of = F.shiftright("at", 14).bitwiseAND(0xFFFF).cast("int").alias("tag")

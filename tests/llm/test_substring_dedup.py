@@ -42,7 +42,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "settings"), [(1, {}), (2, {"wide": 10, "block": 7}), (3, {"wide": 60, "block": 100})])
+@pytest.mark.parametrize(("seed", "settings"), [(1, {}), (2, {"wide": 10, "block": 7}), (3, {"wide": 60, "block": 100}), (1, {"one_of": 2, "heavy_rows": 4})])
 def test_dedup_equals_brute_force(spark, seed, settings):
     rows = corpus(seed)
     got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **settings).collect()
