@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 #: Bytes of text that are worked on at once, but for a single text that is longer.
 SLICE_BYTES = 1 << 21
 
@@ -37,5 +39,6 @@ def map_batches(df: DataFrame, made: Callable, schema: StructType | str, *args:
     """df through made(batches, *args), which yields lists of columns of the schema."""
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     parsed = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     return df.mapInArrow(partial(_each, made, to_arrow_schema(parsed), args), parsed)
