@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
+from ..session import ship
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
@@ -76,6 +78,7 @@ def _two_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
 
 def match_two_fields(messages: DataFrame, applications: DataFrame) -> DataFrame:
     """(message_id, application_id): the same platform, alike companies and, where both have one, alike titles."""
+    ship(messages.sparkSession)
     pairs = messages.select("message_id", "platform", F.lower("company").alias("a"), F.lower("title").alias("t")).join(applications.select("application_id", "platform", F.lower("company").alias("b"), F.lower("title").alias("u")), "platform")
     good = F.pandas_udf(_two_fields, BooleanType())("a", "b", "t", "u")
     return pairs.where(good).select("message_id", "application_id")
@@ -93,6 +96,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def candidates(left: DataFrame, right: DataFrame, least: float = 40.0, k: int = 3) -> DataFrame:
     """(left_id, right_id, score, rank): of the right rows in a left row's block, the k most alike by name."""
+    ship(left.sparkSession)
     pairs = left.select("left_id", F.col("name").alias("a"), "block").join(right.select("right_id", F.col("name").alias("b"), "block"), "block")
     scored = pairs.select("left_id", "right_id", F.round(similarity(F.col("a"), F.col("b")), 4).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import adaptive as A
+from ..session import ship
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int = 1) -> DataFrame:
@@ -57,6 +58,8 @@ def _step(recent: list[float], interval: int, jobs: float, low: float, moderate:
 def adaptive_state(polls: DataFrame, low: float = 0.3, moderate: float = 0.8, active: float = 1.5) -> DataFrame:
     """(user_id, n_polls, score, interval_s) after each batch that touches a key; state is five counts, an interval and a number."""
 
+    ship(polls.sparkSession)
+
     def update(key: tuple[Any, ...], parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent, interval, n = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], A.DEFAULT, 0)
         rows = pd.concat(list(parts)).sort_values("at")
