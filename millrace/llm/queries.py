@@ -60,7 +60,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_quality_rules, op6_minhash_dedup, op7_language_id, op8_secret_scan, op9_suffix_dedup, op10_url_filters)}
@@ -92,4 +92,55 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op8_secret_scan": _op8()}
+#: Weighted shingles, the probability Jaccard of every pair that shares one, and what links lead to.
+_OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+c AS (SELECT doc_id, s, count(*)::DOUBLE AS x FROM g GROUP BY ALL), t AS (SELECT doc_id, sum(x) AS t FROM c GROUP BY 1),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, a.x AS x, b.x AS y FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id),
+p AS (SELECT a, b, sum(x) AS sx, sum(y) AS sy FROM m GROUP BY 1, 2), r AS (SELECT a, b, x / y AS r, sum(x) AS xd FROM m GROUP BY 1, 2, 3),
+i AS (SELECT r.a, r.b, r.r, any_value(xd) AS xd, sum(greatest(m.x, r.r * m.y)) AS i FROM r JOIN m ON r.a = m.a AND r.b = m.b GROUP BY 1, 2, 3),
+j AS (SELECT i.a, i.b, sum(xd / (i + ta.t - sx + r * (tb.t - sy))) AS j FROM i JOIN p ON i.a = p.a AND i.b = p.b JOIN t ta ON i.a = ta.doc_id JOIN t tb ON i.b = tb.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM j WHERE j >= 0.8 - 1e-9 UNION SELECT b, a FROM j WHERE j >= 0.8 - 1e-9),
+z(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT z.a, l.b FROM z JOIN l ON z.b = l.a),
+k AS (SELECT a AS doc_id, min(b) AS class_id FROM z GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_class FROM k
+"""
+
+#: Every window of 100 bytes by its content and its least place.
+_OP9 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 99] AS s FROM d, unnest(range(1, octet_length(b) - 98)) AS t(i)),
+m AS (SELECT s, min(doc_id * 4294967296 + i) AS first FROM w GROUP BY 1),
+f AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE doc_id * 4294967296 + i > first),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM f)),
+p AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM g GROUP BY doc_id, island),
+k AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS a, s - 1 AS z FROM p UNION ALL SELECT d.doc_id, coalesce(max(e), 1), any_value(octet_length(b)) FROM d LEFT JOIN p USING (doc_id) GROUP BY 1),
+h AS (SELECT doc_id, string_agg(hex(b[a:z]), '' ORDER BY a) AS x FROM k JOIN d USING (doc_id) GROUP BY 1),
+r AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM p GROUP BY 1)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM d JOIN h USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+
+def _op10(rounds: int = 20) -> str:
+    """The same seeds and links, with each round of the propagation written out."""
+    fits = lambda r: f"((host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}'))"
+    order = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in order) + " END"
+    said = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in order) + " END"
+    link = url_filters._LINK.replace("'", "''")
+    lower = f"translate({{}}, '{url_filters.UPPER}', '{url_filters.LOWER}')"
+    steps = ", ".join(f"s{k} AS (SELECT host, kind, sum(score) AS score FROM (SELECT host, kind, score * (1 - 0.85::DOUBLE) AS score FROM s0 UNION ALL SELECT w.dst, kind, score * w * 0.85::DOUBLE FROM s{k - 1} JOIN ways w USING (host, kind)) GROUP BY 1, 2)" for k in range(1, rounds + 1))
+    return f"""
+WITH p AS (SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT *, {rule} AS rule FROM p), v AS (SELECT *, {said} AS said FROM r),
+h AS (SELECT host, count_if(said = 'allow')::DOUBLE AS trust, count_if(said = 'block')::DOUBLE AS distrust FROM v WHERE host <> '' GROUP BY 1),
+e AS (SELECT host AS src, {lower.format("dst")} AS dst, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM p WHERE host <> '') GROUP BY 1, 2 HAVING src <> dst AND dst <> ''),
+ways AS (SELECT src AS host, dst, 't' AS kind, n / sum(n) OVER (PARTITION BY src) AS w FROM e UNION ALL SELECT dst, src, 'd', n / sum(n) OVER (PARTITION BY dst) FROM e),
+s0 AS (SELECT host, 't' AS kind, trust / (SELECT sum(trust) FROM h) AS score FROM h WHERE trust > 0 UNION ALL SELECT host, 'd', distrust / (SELECT sum(distrust) FROM h) FROM h WHERE distrust > 0), {steps},
+b AS (SELECT host FROM s{rounds} GROUP BY 1 HAVING coalesce(sum(score) FILTER (kind = 'd'), 0) > coalesce(sum(score) FILTER (kind = 't'), 0) AND coalesce(sum(score) FILTER (kind = 'd'), 0) * (SELECT count(*) FROM h) >= 0.5)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM v
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op6_minhash_dedup": _OP6, "op8_secret_scan": _op8(), "op9_suffix_dedup": _OP9, "op10_url_filters": _op10()}
