@@ -67,7 +67,8 @@ def _postings(s, d):
     return role(s, d, "postings")
 
 
-_HASH = D.content_hash(F.col("company"), F.col("title"), F.col("location"), F.col("job_id").cast("string"))
+def _hash():
+    return D.content_hash(F.col("company"), F.col("title"), F.col("location"), F.col("job_id").cast("string"))
 
 QUERIES = {
     "q_pending_join": lambda s, d: N.pending(*_abr(s, d)),
@@ -95,7 +96,7 @@ QUERIES = {
     "q_entity_unmatched": lambda s, d: L.unmatched(role(s, d, "petitions"), role(s, d, "employers")),
     "q_entity_yearly": lambda s, d: L.yearly(role(s, d, "petitions"), role(s, d, "employers")),
     "q_top_entities": lambda s, d: L.top_entities(L.employers(role(s, d, "filings")).select("fein", "certified"), L.yearly(role(s, d, "petitions"), role(s, d, "employers")), 20),
-    "q_content_hash": lambda s, d: _postings(s, d).select("job_id", _HASH.alias("content_hash"), D.content_hash(F.col("company"), F.col("title"), F.col("location")).alias("legacy_hash")),
+    "q_content_hash": lambda s, d: _postings(s, d).select("job_id", _hash().alias("content_hash"), D.content_hash(F.col("company"), F.col("title"), F.col("location")).alias("legacy_hash")),
     "q_dedup_first": lambda s, d: D.first_of(_postings(s, d).select("job_id", D.content_hash(F.col("company"), F.col("title"), F.col("location")).alias("h")), "h", ["job_id"]),
     "q_snapshot_diff": _diff,
     "q_generation_diff": lambda s, d: D.generation_diff(role(s, d, "requests").where("date = '2024-01-03'"), role(s, d, "requests").where("date = '2024-01-04'"), "platform", "user_id"),
