@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -14,7 +16,9 @@ from pyspark.sql.types import StructType
 from ..session import ship
 
 #: Bytes of text that are worked on at once, but for a single text that is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Rows that Spark sends at once, so that a batch of long texts stays small on both sides.
+BATCH_ROWS = 1000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,9 +34,29 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of numbers joined to at least so many rows each, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _release() -> None:
+    """Give memory that a task has freed back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _each(made: Callable, schema: pa.Schema, args: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for columns in made(batches, *args):
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    _release()
 
 
 def map_batches(df: DataFrame, made: Callable, schema: StructType | str, *args: object) -> DataFrame:
@@ -40,5 +64,6 @@ def map_batches(df: DataFrame, made: Callable, schema: StructType | str, *args:
     from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     parsed = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     return df.mapInArrow(partial(_each, made, to_arrow_schema(parsed), args), parsed)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import column_bwt, textvec
-from .arrow import map_batches, slices
+from .arrow import gathered, map_batches, slices
 from .common import materialize
 
 LEAST, GRAM = 100, 32
@@ -171,7 +171,7 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, wide: int) -> Itera
         keep = out_kind != ALONE
         return [anchor[keep], content[keep], k[keep], at[keep], out_kind[keep].astype(np.int32)]
 
-    for batch in batches:
+    for batch in gathered(batches, 20_000):
         rows = [np.concatenate((r, batch.column(c).to_numpy().astype(np.int64))) for c, r in enumerate(rest)]
         if not len(rows[0]):
             continue
