@@ -21,6 +21,9 @@ def narrow(df: DataFrame) -> DataFrame:
     return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
 
@@ -28,6 +31,7 @@ def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df if wide else narrow(df)).write.options(**_WRITE).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +43,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this process has written, once no result that reads them is needed any more."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once a row, also where body refers to it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
