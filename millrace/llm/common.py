@@ -13,6 +13,7 @@ from ..session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 WAVES = 1
+FILE_BYTES = 8 << 20
 _WRITE = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
@@ -24,13 +25,20 @@ def narrow(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
+def sized(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """df in no more tasks than its source has pieces of FILE_BYTES, two a core at least: small tables cut into many parts would make as many small files."""
+    plan = (df if source is None else source)._jdf.queryExecution().optimizedPlan()
+    parts = -(-int(str(plan.stats().sizeInBytes())) // FILE_BYTES)
+    return df.coalesce(min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, parts)))
+
+
 def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
 
-    wide: as many files as df has partitions, for tables that grow with the texts.
+    wide: for tables that grow with the texts, as many files as their size asks for.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df if wide else narrow(df)).write.options(**_WRITE).parquet(path)
+    (sized(df) if wide else narrow(df)).write.options(**_WRITE).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import decontaminate, language_id, packing, prob_minhash, quality_rules, resample, secret_scan, substring_dedup, token_counts, url_filters
-from .common import table
+from .common import sized, table
 
 #: Fixed values of the contract: verdict and rule.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -63,7 +63,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_quality_rules, op6_minhash_dedup, op7_language_id, op8_secret_scan, op9_suffix_dedup, op10_url_filters)}
+_ALL = (op1_best_fit_packing, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_quality_rules, op6_minhash_dedup, op7_language_id, op8_secret_scan, op9_suffix_dedup, op10_url_filters)
+
+
+def _sized(query):
+    """The query, its result in as many parts as the size of its table asks for."""
+    name = "pages" if query is op10_url_filters else "documents"
+    return lambda spark, sf_dir: sized(query(spark, sf_dir), table(spark, sf_dir, name))
+
+
+QUERIES = {f.__name__: _sized(f) for f in _ALL}
 #: Word shingles as arrays of five; documents are matched on the joined string.
 _OP3 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
