@@ -10,32 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, packing, prob_minhash, secret_scan
-from millrace.llm.common import materialize, table
+from millrace.llm.common import materialize, sized, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models know, surely enough; those that are rejected go."""
-    return language_id.keep_known(docs, language_id.fit(docs))
+    return sized(language_id.keep_known(docs, language_id.fit(docs)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return prob_minhash.keep_one(docs)
+    return sized(prob_minhash.keep_one(docs), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of benchmark."""
-    return decontaminate.drop(docs, table(spark, sf_dir, "benchmark"))
+    return sized(decontaminate.drop(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced and n_chars counted anew where any was."""
-    return secret_scan.redacted(docs)
+    return sized(secret_scan.redacted(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their ids, sequence and place."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return sized(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")), docs)
 
 
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secrets), ("packing", packed)]
