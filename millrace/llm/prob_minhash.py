@@ -13,7 +13,9 @@ candidate pairs linear in it: each member with its least member and then, while
 different classes, those not of the commonest class with the BEST others of their part of the bucket
 by how many bands they share; at a similarity of 0.8 that is eight of 25 on average. Parts change
 from round to round, until a round finds hardly a link more (ENOUGH); in buckets of up to FEW members
-all pairs are compared. Candidates are verified on whole texts. Classes are connected components.
+all pairs are compared. Candidates are verified on whole texts. Rounds only save work: in larger
+buckets that are still of several classes all pairs of different classes are compared in the end,
+whole texts again, each pair in the first band that it shares. Classes are connected components.
 
 Defined results: a null text, or one without words, is a class of its own; a text of fewer than
 five words has one shingle, all its words; a null key has no class and stays; repeated rows of a
@@ -47,6 +49,8 @@ BEST, LEAST_AGREED = 4, 3
 ENOUGH = 1000
 #: Members of a bucket beyond which it is dealt to several tasks in a round, those that agree in a further band to the same.
 BUCKET = 1000
+#: Members, and characters, that larger buckets are dealt to blocks by in the end; a task compares two blocks at a time.
+BLOCK, BLOCK_CHARS = 256, 4 << 20
 BROADCAST_ROWS = 500_000
 
 
@@ -124,7 +128,7 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int)
             flat = value.view(np.int64)
             some = [len(u) > 0 for u, _ in sets]
             content = [hashlib.blake2b(t.lower().encode("utf-8", "surrogatepass"), digest_size=16).digest() if ok else None for t, ok in zip(texts, some, strict=True)]
-            yield [part.column(0), pa.array(content, type=pa.binary()), pa.array([flat[k] if some[k] else None for k in range(len(sets))], type=kind)]
+            yield [part.column(0), pa.array(content, type=pa.binary()), pa.array([flat[k] if some[k] else None for k in range(len(sets))], type=kind), [len(t or "") for t in texts]]
 
 
 def _compared(batches: Iterator[pa.RecordBatch], threshold: float, size: int) -> Iterator[list]:
@@ -219,17 +223,100 @@ def _neighbours(batches: Iterator[pa.RecordBatch], best: int, block: int) -> Ite
     yield [[a for a, _ in out], [b for _, b in out]]
 
 
+def _unequal(sets: list[tuple[np.ndarray, np.ndarray]], kind: np.ndarray, earlier: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between sets of different classes, of one block or across two, that agree in no earlier band; classes that a link joins are one from then on.
+
+    Where a multiplicity is not one, pairs are excluded by the sum of the lesser shares of each
+    shingle: none of the similarity's terms exceeds the shingle's share in either set.
+    """
+    n = np.array([len(u) for u, _ in sets])
+    start = np.concatenate(([0], np.cumsum(n)[:-1]))
+    _, ids = np.unique(np.concatenate([u for u, _ in sets]), return_inverse=True)
+    share = np.concatenate([c / c.sum() for _, c in sets])
+    plain = np.array([c.max() == 1 for _, c in sets])
+    mark = np.zeros(len(ids))
+    lo, hi = block.min(), block.max()
+    right = np.flatnonzero(block == hi)
+    kind, out = kind.copy(), []
+    for a in np.flatnonzero(block == lo):
+        others = right[right > a] if lo == hi else right
+        others = others[kind[others] != kind[a]]
+        others = others[~(earlier[others] == earlier[a]).any(axis=1)]
+        if not len(others):
+            continue
+        at = slice(start[a], start[a] + n[a])
+        mark[ids[at]] = share[at]
+        first = np.cumsum(n[others]) - n[others]
+        flat = np.repeat(start[others] - first, n[others]) + np.arange(n[others].sum())
+        both = mark[ids[flat]]
+        mark[ids[at]] = 0
+        common = np.add.reduceat((both > 0).astype(np.int64), first)
+        good = common / (n[a] + n[others] - common) >= threshold - 1e-12
+        loose = np.flatnonzero(~(plain[a] & plain[others]))
+        if len(loose):
+            most = np.add.reduceat(np.minimum(both, share[flat]), first)
+            for k in loose:
+                good[k] = most[k] >= threshold - 1e-9 and similarity(sets[a], sets[others[k]]) >= threshold - 1e-12
+        linked = others[good]
+        _, one = np.unique(kind[linked], return_index=True)
+        out += [(int(a), int(b)) for b in linked[one]]
+        kind[np.isin(kind, kind[linked])] = kind[a]
+    return out
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], threshold: float, size: int) -> Iterator[list]:
+    """Rows (band, p, q, i, block, key, class, bands, text) in order to the links of each pair of blocks (p, q) of a band."""
+    now, rows, sets = None, [], []
+
+    def links() -> tuple[list, list]:
+        if len({r[2] for r in rows}) < 2 or (now[1] != now[2] and len({r[0] for r in rows}) < 2):
+            return [], []
+        block, key, kind = (np.array([r[k] for r in rows]) for k in range(3))
+        found = _unequal(sets, kind, np.array([r[3] for r in rows])[:, : now[3]], block, threshold)
+        return [max(key[a], key[b]) for a, b in found], [min(key[a], key[b]) for a, b in found]
+
+    for batch in batches:
+        for part in slices(batch):
+            cell = list(zip(*(part.column(k).to_pylist() for k in range(4)), strict=True))
+            held = list(zip(*(part.column(k).to_pylist() for k in range(4, 8)), strict=True))
+            for k, own in enumerate(weighted(part.column(8).to_pylist(), size)):
+                if now != cell[k]:
+                    if rows:
+                        yield list(links())
+                    now, rows, sets = cell[k], [], []
+                rows.append(held[k])
+                sets.append(own)
+    if rows:
+        yield list(links())
+
+
+def crossed(texts: DataFrame, members: DataFrame, threshold: float, size: int = SIZE) -> DataFrame:
+    """Links (a, b) that join whatever classes any pairs of members of one band join. members: (band, i, key, class, bands, n, chars).
+
+    A band's members are dealt to blocks, and every two blocks, also one with itself, meet in a task.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = materialize(met.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "i", "block", "key", "class", "bands"), "wanted")
+    keys = materialize(wanted.select("key").distinct(), "keys")
+    small = keys.count() <= BROADCAST_ROWS
+    rows = texts.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), "key", "left_semi").join(wanted, "key")
+    rows = rows.select("band", "p", "q", "i", "block", "key", "class", "bands", "text").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "block", "key")
+    return map_batches(rows, _crossed, "a bigint, b bigint", threshold, size)
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """(key, class_id, n_class): for each row of docs its class, named by the class's least key, and how many documents that has."""
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    signed = materialize(map_batches(texts, _signed, "key bigint, content binary, bands array<bigint>", bands, rows, size), "signed", wide=True)
+    signed = materialize(map_batches(texts, _signed, "key bigint, content binary, bands array<bigint>, chars bigint", bands, rows, size), "signed", wide=True)
     # written before they are joined, so that a content or a band with very many rows can be split
     least = materialize(signed.where("content is not null").groupBy("content").agg(F.min("key").alias("rep")), "least")
-    members = materialize(signed.join(least, "content", "left").select("key", F.coalesce("rep", "key").alias("rep"), F.when(F.col("key") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    own = members.where("bands is not null").dropDuplicates(["key"]).select("key", "bands")
-    banded = own.select("key", F.posexplode("bands").alias("i", "band"))
-    heads = materialize(banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "heads")
-    open_ = materialize(banded.join(heads, "band"), "open")
+    members = materialize(signed.join(least, "content", "left").select("key", F.coalesce("rep", "key").alias("rep"), F.when(F.col("key") == F.col("rep"), F.col("bands")).alias("bands"), "chars"), "members")
+    own = members.where("bands is not null").dropDuplicates(["key"]).select("key", "bands", "chars")
+    banded = own.select("key", "chars", F.posexplode("bands").alias("i", "band"))
+    heads = materialize(banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("n > 1"), "heads")
+    open_ = materialize(banded.drop("chars").join(heads, "band"), "open")
     links = materialize(verified(texts, open_.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), threshold, size), "links")
     found, turn = components(links), 0
     while True:
@@ -240,10 +327,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
         # members that also agree in a further band stand together; which band, changes from round to round
         other = F.get("bands", F.pmod(F.col("i") + F.lit(turn), F.lit(bands)))
         part = F.pmod(F.xxhash64(other), F.ceil(F.col("n") / BUCKET)).cast("int")
-        ordered = open_.join(found, "key", "left").join(own, "key").select("band", part.alias("part"), "key", F.coalesce("class", "key").alias("class"), (F.col("n") <= FEW).alias("few"), "bands", other.alias("o"))
+        ordered = open_.join(found, "key", "left").join(own.drop("chars"), "key").select("band", part.alias("part"), "key", F.coalesce("class", "key").alias("class"), (F.col("n") <= FEW).alias("few"), "bands", other.alias("o"))
         near = ordered.repartition("band", "part").sortWithinPartitions("band", "part", "few", "o", "key").drop("o")
         near = materialize(map_batches(near, _neighbours, "a bigint, b bigint", BEST, 2 * BUCKET).distinct(), "pairs")
         new = materialize(verified(texts, near, threshold, size), "links")
+        # smaller buckets have had all their pairs compared
+        open_ = open_.where(F.col("n") > FEW)
         fresh = new.count()
         if not fresh:
             break
@@ -251,8 +340,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
         found = components(links)
         if fresh * ENOUGH < links.count():
             break
-        # smaller buckets have had all their pairs compared
-        open_ = open_.where(F.col("n") > FEW)
+    placed = open_.join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    mixed = materialize(placed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band"), "mixed")
+    rest = placed.join(mixed, "band", "left_semi").join(own.drop("chars"), "key").select("band", "i", "key", "class", "bands", "n", "chars")
+    new = materialize(crossed(texts, rest, threshold, size), "links")
+    if new.count():
+        found = components(links.unionByName(new))
     named = members.join(found.withColumnRenamed("key", "rep"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class_id")).distinct()
     named = materialize(named, "named")
     sizes = named.groupBy("class_id").agg(F.count("*").alias("n_class"))

@@ -107,3 +107,64 @@ def test_signatures_estimate_the_similarity(seed):
     assert abs((sig[0] == sig[1]).mean() - prob_minhash.similarity(a, b)) < 0.04
     x, y = (Counter(dict(zip(s[0].tolist(), s[1].tolist(), strict=True))) for s in (a, b))
     assert abs(likeness(x, y) - prob_minhash.similarity(a, b)) < 1e-9
+
+
+def borderline(q=17, planted=12):
+    """Texts of which any two are likely candidates, at 0.75 or a little more, and some pairs that reach 0.8."""
+    base = [f"b{i}" for i in range(5 * q * 6)]
+    slots = {(a, b): [(r, (a * r + b) % q) for r in range(6)] for a in range(q) for b in range(q)}
+    place = lambda r, c: 5 * (r * q + c)
+    stretch = base[: place(4, q - 1) + 5]
+    texts = []
+    for k, line in enumerate(sorted(slots)[:200]):
+        w = list(stretch)
+        for r, c in slots[line][:5] + [(0, (7 * k + 3) % q)]:
+            w[place(r, c) + 2] = f"t{k}r{r}c{c}"
+        texts.append(w)
+    for k in range(planted):
+        w = list(texts[10 * k])
+        changed = [i for i, v in enumerate(w) if v != stretch[i]]
+        for i in changed[2:]:
+            w[i] = stretch[i]
+        for r in range(4):
+            w[place(r, (5 * k + 3 * r + 1) % q) + 2] = f"p{k}r{r}"
+        texts.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def joined(rows, linked):
+    """Classes, where linked(a, b) tells whether rows of these numbers have a link."""
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if linked(a, b):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {rows[k][0]: rows[root(k)][0] for k in range(len(rows))}
+
+
+def test_links_beyond_the_most_agreeing_members(spark):
+    rows = borderline()
+    sets = [set(bag(t)) for _, t in rows]
+    want = joined(rows, lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    assert len(set(want.values())) < len(rows)
+    got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_all_pairs_of_a_band_are_compared(spark, monkeypatch, block):
+    """With two bands of one register, no pair agrees in as many bands as rounds ask for; the classes are those of all pairs that share one."""
+    monkeypatch.setattr(prob_minhash, "BLOCK", block)
+    rows = borderline() + [(1000 + k, "a b c d e f g " * (20 + k)) for k in range(12)]
+    sets = prob_minhash.weighted([t for _, t in rows])
+    sig = prob_minhash.signatures(sets, 2)
+    assert max(Counter(sig[:, 0].tolist()).values()) > 8
+    want = joined(rows, lambda a, b: (sig[a] == sig[b]).any() and prob_minhash.similarity(sets[a], sets[b]) >= 0.8)
+    got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=2, rows=1).collect()}
+    assert got == want
