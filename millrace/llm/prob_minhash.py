@@ -8,14 +8,12 @@ A signature register keeps the shingle that arrives first in a Poisson process w
 shingle's weight; each further arrival goes to a random register, and a document's processes end
 once no arrival can still come first. Equal bands of registers make candidates.
 
-Exact copies are one representative from the start. A bucket of any size gives a number of
-candidate pairs linear in it: each member with its least member and then, while members are of
-different classes, those not of the commonest class with the BEST others of their part of the bucket
-by how many bands they share; at a similarity of 0.8 that is eight of 25 on average. Parts change
-from round to round, until a round finds hardly a link more (ENOUGH); in buckets of up to FEW members
-all pairs are compared. Candidates are verified on whole texts. Rounds only save work: in larger
-buckets that are still of several classes all pairs of different classes are compared in the end,
-whole texts again, each pair in the first band that it shares. Classes are connected components.
+Exact copies are one representative from the start. Each member of a bucket is compared with its
+least one. Then, once, members not of their bucket's commonest class meet the BEST others of their
+part of the bucket by how many bands they share; in buckets of up to FEW members all pairs of
+different classes are compared. This only saves work: in larger buckets that are still of several
+classes all pairs of different classes are compared in the end, each in the first band that it
+shares. Candidates are verified on whole texts. Classes are connected components.
 
 Defined results: a null text, or one without words, is a class of its own; a text of fewer than
 five words has one shingle, all its words; a null key has no class and stays; repeated rows of a
@@ -43,11 +41,9 @@ BANDS, ROWS = 25, 5
 PARTS = 64
 #: Buckets up to so many members have all their pairs of different classes compared.
 FEW = 8
-#: In larger ones a member is compared with so many others of its part in a round, those that agree in most bands.
+#: In larger ones a member is first compared with so many others of its part, those that agree in most bands.
 BEST, LEAST_AGREED = 4, 3
-#: Rounds end once one finds fewer than one in so many of the links found so far, or none.
-ENOUGH = 1000
-#: Members of a bucket beyond which it is dealt to several tasks in a round, those that agree in a further band to the same.
+#: Members of a bucket beyond which it is dealt to several tasks for that, those that agree in a further band to the same.
 BUCKET = 1000
 #: Members, and characters, that larger buckets are dealt to blocks by in the end; a task compares two blocks at a time.
 BLOCK, BLOCK_CHARS = 256, 4 << 20
@@ -306,6 +302,13 @@ def crossed(texts: DataFrame, members: DataFrame, threshold: float, size: int =
     return map_batches(rows, _crossed, "a bigint, b bigint", threshold, size)
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their class, of bands that have several classes."""
+    placed = members.join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    mixed = materialize(placed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band"), "mixed")
+    return materialize(placed.join(mixed, "band", "left_semi"), "open")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """(key, class_id, n_class): for each row of docs its class, named by the class's least key, and how many documents that has."""
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
@@ -318,32 +321,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
     heads = materialize(banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("n > 1"), "heads")
     open_ = materialize(banded.drop("chars").join(heads, "band"), "open")
     links = materialize(verified(texts, open_.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), threshold, size), "links")
-    found, turn = components(links), 0
-    while True:
-        turn += 1
-        placed = open_.join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
-        mixed = materialize(placed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band"), "mixed")
-        open_ = materialize(placed.join(mixed, "band", "left_semi").drop("class"), "open")
-        # members that also agree in a further band stand together; which band, changes from round to round
-        other = F.get("bands", F.pmod(F.col("i") + F.lit(turn), F.lit(bands)))
-        part = F.pmod(F.xxhash64(other), F.ceil(F.col("n") / BUCKET)).cast("int")
-        ordered = open_.join(found, "key", "left").join(own.drop("chars"), "key").select("band", part.alias("part"), "key", F.coalesce("class", "key").alias("class"), (F.col("n") <= FEW).alias("few"), "bands", other.alias("o"))
-        near = ordered.repartition("band", "part").sortWithinPartitions("band", "part", "few", "o", "key").drop("o")
-        near = materialize(map_batches(near, _neighbours, "a bigint, b bigint", BEST, 2 * BUCKET).distinct(), "pairs")
-        new = materialize(verified(texts, near, threshold, size), "links")
-        # smaller buckets have had all their pairs compared
-        open_ = open_.where(F.col("n") > FEW)
-        fresh = new.count()
-        if not fresh:
-            break
+    found = components(links)
+    placed = _mixed(open_, found)
+    # members that also agree in a further band stand together
+    other = F.get("bands", F.pmod(F.col("i") + F.lit(1), F.lit(bands)))
+    part = F.pmod(F.xxhash64(other), F.ceil(F.col("n") / BUCKET)).cast("int")
+    ordered = placed.join(own.drop("chars"), "key").select("band", part.alias("part"), "key", "class", (F.col("n") <= FEW).alias("few"), "bands", other.alias("o"))
+    near = ordered.repartition("band", "part").sortWithinPartitions("band", "part", "few", "o", "key").drop("o")
+    near = materialize(map_batches(near, _neighbours, "a bigint, b bigint", BEST, 2 * BUCKET).distinct(), "pairs")
+    new = materialize(verified(texts, near, threshold, size), "links")
+    if new.count():
         links = links.unionByName(new)
         found = components(links)
-        if fresh * ENOUGH < links.count():
-            break
-    placed = open_.join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    mixed = materialize(placed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band"), "mixed")
-    rest = placed.join(mixed, "band", "left_semi").join(own.drop("chars"), "key").select("band", "i", "key", "class", "bands", "n", "chars")
-    new = materialize(crossed(texts, rest, threshold, size), "links")
+    # smaller buckets have had all their pairs compared
+    rest = _mixed(placed.where(F.col("n") > FEW).drop("class"), found).join(own.drop("chars"), "key")
+    new = materialize(crossed(texts, rest.select("band", "i", "key", "class", "bands", "n", "chars"), threshold, size), "links")
     if new.count():
         found = components(links.unionByName(new))
     named = members.join(found.withColumnRenamed("key", "rep"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class_id")).distinct()

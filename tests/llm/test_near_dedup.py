@@ -168,3 +168,19 @@ def test_all_pairs_of_a_band_are_compared(spark, monkeypatch, block):
     want = joined(rows, lambda a, b: (sig[a] == sig[b]).any() and prob_minhash.similarity(sets[a], sets[b]) >= 0.8)
     got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=2, rows=1).collect()}
     assert got == want
+
+
+def test_classes_do_not_rest_on_the_round(spark, monkeypatch):
+    """With a round that finds no link at all, the classes are still those of all pairs."""
+
+    def none(batches, best, block):
+        for _ in batches:
+            yield [[], []]
+
+    monkeypatch.setattr(prob_minhash, "_neighbours", none)
+    monkeypatch.setattr(prob_minhash, "FEW", 1)
+    rows = borderline()
+    sets = [set(bag(t)) for _, t in rows]
+    want = joined(rows, lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
