@@ -24,11 +24,11 @@ def _posts(s, d):
 
 
 def _left(s, d):
-    return s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("left_id"), F.lower(F.substring("text", 1, 60)).alias("name"), F.lower(F.substring_index("text", " ", 1)).alias("block"))
+    return s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("left_id"), F.lower("text").alias("name"), F.lower(F.substring_index("text", " ", 1)).alias("block"))
 
 
 def _right(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("right_id"), F.lower(F.substring("text", 1, 60)).alias("name"), F.lower(F.substring_index("text", " ", 1)).alias("block"))
+    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("right_id"), F.lower("text").alias("name"), F.lower(F.substring_index("text", " ", 1)).alias("block"))
 
 
 def _scan(s, d):
