@@ -31,6 +31,11 @@ def _right(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("right_id"), F.lower("text").alias("name"), F.lower(F.substring_index("text", " ", 1)).alias("block"))
 
 
+def _parts(s, d, key, name):
+    """All parts, for q_keyword_subset_whole; q_keyword_subset is the share of it that its SQL has."""
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias(key), F.lower(name).alias("name"))
+
+
 def _scan(s, d):
     e = role(s, d, "requests")
     return e.select(F.col("user_id").alias("scan"), F.floor(F.col("event_id") / 500).alias("page"), (F.col("class") == "ok").alias("known"))
@@ -44,6 +49,7 @@ QUERIES = {
     "q_fuzzy_candidates": lambda s, d: E.candidates(_left(s, d), _right(s, d)),
     "q_fuzzy_decision": lambda s, d: E.decide(E.candidates(_left(s, d), _right(s, d))),
     "q_keyword_subset": lambda s, d: E.keyword_subset(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("left_id"), F.lower(F.substring_index("p_name", " ", 2)).alias("name")).where("left_id % 10 = 0"), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("right_id"), F.lower("p_name").alias("name")).where("right_id % 7 = 0")),
+    "q_keyword_subset_whole": lambda s, d: E.keyword_subset(_parts(s, d, "left_id", F.substring_index("p_name", " ", 2)), _parts(s, d, "right_id", F.col("p_name"))),
     "q_early_exit_page": lambda s, d: P.early_exit(_scan(s, d)),
     "q_dead_letter": lambda s, d: P.dead_letters(role(s, d, "requests").select(F.floor(F.col("event_id") / 4).alias("message"), (F.col("class") == "429").alias("ok")), 4),
 }

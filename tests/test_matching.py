@@ -2,6 +2,8 @@
 
 from millrace.plans import matching
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_fuzzy_names_are_whole_texts(spark, tmp_path):
     """One opening of over 60 characters with another rest is no sure match; a match in the rest counts."""
@@ -14,3 +16,18 @@ def test_fuzzy_names_are_whole_texts(spark, tmp_path):
     assert found.get(1, 0.0) < 80 and found[2] > found.get(1, 0.0)
     got = matching.QUERIES["q_fuzzy_decision"](spark, str(tmp_path)).collect()
     assert [(r.right_id, r.decision == "auto") for r in got] == [(2, False)]
+
+
+def test_keyword_subset_of_all_parts(spark):
+    """Pairs of the whole table on both sides, against brute force."""
+    parts = [(r.p_partkey, [w for w in r.p_name.lower().split(" ") if w]) for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_name").collect()]
+    want = set()
+    for a, v in parts:
+        # the left name is the first two words, cut at spaces
+        w = v[:2]
+        for b, u in parts:
+            if w and set(w) <= set(u) and (len(w) > 1 or len(u) == 1):
+                want.add((a, b))
+    got = [(r.left_id, r.right_id) for r in matching.QUERIES["q_keyword_subset_whole"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(a % 10 and b % 7 and a != b for a, b in got)
