@@ -13,11 +13,15 @@ least one. Then, once, members not of their bucket's commonest class meet the BE
 part of the bucket by how many bands they share; in buckets of up to FEW members all pairs of
 different classes are compared. This only saves work: in larger buckets that are still of several
 classes all pairs of different classes are compared in the end, each in the first band that it
-shares. Candidates are verified on whole texts. Classes are connected components.
+shares: what is not of the bucket's commonest class is dealt to blocks, and each block meets the
+whole bucket, a part at a time. Candidates are verified on whole texts. Classes are connected
+components.
 
 Defined results: a null text, or one without words, is a class of its own; a text of fewer than
-five words has one shingle, all its words; a null key has no class and stays; repeated rows of a
-key are one document; an empty table gives no rows; other columns are kept by keep_one().
+five words has one shingle, all its words; a text of any length is compared whole; a null key has
+no class and stays; repeated rows of a key are one document; texts at the threshold are linked; a
+class is named by its least key; an empty table gives no rows. Keys are integers (others fail).
+classes() ignores other columns, whatever their names, and keep_one() keeps them.
 """
 
 from __future__ import annotations
@@ -45,8 +49,8 @@ FEW = 8
 BEST, LEAST_AGREED = 4, 3
 #: Members of a bucket beyond which it is dealt to several tasks for that, those that agree in a further band to the same.
 BUCKET = 1000
-#: Members, and characters, that larger buckets are dealt to blocks by in the end; a task compares two blocks at a time.
-BLOCK, BLOCK_CHARS = 256, 4 << 20
+#: Members outside a larger bucket's commonest class, and their characters, that make a block in the end; members that a task reads past a block.
+BLOCK, BLOCK_CHARS, PART = 512, 8 << 20, 4096
 BROADCAST_ROWS = 500_000
 
 
@@ -219,86 +223,132 @@ def _neighbours(batches: Iterator[pa.RecordBatch], best: int, block: int) -> Ite
     yield [[a for a, _ in out], [b for _, b in out]]
 
 
-def _unequal(sets: list[tuple[np.ndarray, np.ndarray]], kind: np.ndarray, earlier: np.ndarray, block: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links between sets of different classes, of one block or across two, that agree in no earlier band; classes that a link joins are one from then on.
+class _Block:
+    """Sets that later ones are compared with, by the places of their shingles in one sorted vocabulary."""
 
-    Where a multiplicity is not one, pairs are excluded by the sum of the lesser shares of each
-    shingle: none of the similarity's terms exceeds the shingle's share in either set.
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]], key: list[int], kind: list[int], earlier: np.ndarray) -> None:
+        self.sets, self.key, self.kind, self.earlier = sets, key, kind, earlier
+        self.vocabulary = np.unique(np.concatenate([u for u, _ in sets]))
+        self.places = [np.searchsorted(self.vocabulary, u) for u, _ in sets]
+        self.mark = np.zeros(len(self.vocabulary) + 1)
+
+
+def _links(block: _Block, sets: list[tuple[np.ndarray, np.ndarray]], key: list[int], kind: list[int], earlier: np.ndarray, own: bool, threshold: float, merged: dict[int, int]) -> list[tuple[int, int]]:
+    """Links of a block's sets to others of different classes that agree in no earlier band; merged: what the links found so far lead classes to.
+
+    own: the others are the block itself. Where a multiplicity is not one, pairs are excluded by
+    the sum of the lesser shares of each shingle: none of the similarity's terms exceeds the
+    shingle's share in either set.
     """
+
+    def root(k: int) -> int:
+        while k in merged:
+            k = merged[k]
+        return k
+
     n = np.array([len(u) for u, _ in sets])
-    start = np.concatenate(([0], np.cumsum(n)[:-1]))
-    _, ids = np.unique(np.concatenate([u for u, _ in sets]), return_inverse=True)
+    flat = np.concatenate([u for u, _ in sets])
     share = np.concatenate([c / c.sum() for _, c in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    place = np.searchsorted(block.vocabulary, flat)
+    known = block.vocabulary[np.minimum(place, len(block.vocabulary) - 1)] == flat
+    place, owner, share = place[known], owner[known], share[known]
     plain = np.array([c.max() == 1 for _, c in sets])
-    mark = np.zeros(len(ids))
-    lo, hi = block.min(), block.max()
-    right = np.flatnonzero(block == hi)
-    kind, out = kind.copy(), []
-    for a in np.flatnonzero(block == lo):
-        others = right[right > a] if lo == hi else right
-        others = others[kind[others] != kind[a]]
-        others = others[~(earlier[others] == earlier[a]).any(axis=1)]
-        if not len(others):
+    now = np.array([root(k) for k in kind])
+    out: list[tuple[int, int]] = []
+    for a, (u, c) in enumerate(block.sets):
+        mine = root(block.kind[a])
+        open_ = (now != mine) & ~(earlier == block.earlier[a]).any(axis=1)
+        if own:
+            open_[: a + 1] = False
+        if not open_.any():
             continue
-        at = slice(start[a], start[a] + n[a])
-        mark[ids[at]] = share[at]
-        first = np.cumsum(n[others]) - n[others]
-        flat = np.repeat(start[others] - first, n[others]) + np.arange(n[others].sum())
-        both = mark[ids[flat]]
-        mark[ids[at]] = 0
-        common = np.add.reduceat((both > 0).astype(np.int64), first)
-        good = common / (n[a] + n[others] - common) >= threshold - 1e-12
-        loose = np.flatnonzero(~(plain[a] & plain[others]))
-        if len(loose):
-            most = np.add.reduceat(np.minimum(both, share[flat]), first)
-            for k in loose:
-                good[k] = most[k] >= threshold - 1e-9 and similarity(sets[a], sets[others[k]]) >= threshold - 1e-12
-        linked = others[good]
-        _, one = np.unique(kind[linked], return_index=True)
-        out += [(int(a), int(b)) for b in linked[one]]
-        kind[np.isin(kind, kind[linked])] = kind[a]
+        block.mark[block.places[a]] = c / c.sum()
+        both = block.mark[place]
+        block.mark[block.places[a]] = 0
+        common = np.bincount(owner, weights=both > 0, minlength=len(sets))
+        good = open_ & (common / (len(u) + n - common) >= threshold - 1e-12)
+        loose = open_ if c.max() > 1 else open_ & ~plain
+        if loose.any():
+            most = np.bincount(owner, weights=np.minimum(both, share), minlength=len(sets))
+            for k in np.flatnonzero(loose):
+                good[k] = most[k] >= threshold - 1e-9 and similarity((u, c), sets[k]) >= threshold - 1e-12
+        linked = np.flatnonzero(good)
+        for other, k in zip(*np.unique(now[linked], return_index=True), strict=True):
+            out.append((block.key[a], key[linked[k]]))
+            merged[int(other)] = mine
+        now[np.isin(now, now[linked])] = mine
     return out
 
 
 def _crossed(batches: Iterator[pa.RecordBatch], threshold: float, size: int) -> Iterator[list]:
-    """Rows (band, p, q, i, block, key, class, bands, text) in order to the links of each pair of blocks (p, q) of a band."""
-    now, rows, sets = None, [], []
-
-    def links() -> tuple[list, list]:
-        if len({r[2] for r in rows}) < 2 or (now[1] != now[2] and len({r[0] for r in rows}) < 2):
-            return [], []
-        block, key, kind = (np.array([r[k] for r in rows]) for k in range(3))
-        found = _unequal(sets, kind, np.array([r[3] for r in rows])[:, : now[3]], block, threshold)
-        return [max(key[a], key[b]) for a, b in found], [min(key[a], key[b]) for a, b in found]
+    """Rows (band, block, part, i, lead, key, class, bands, text) in order, a block's own sets first, to the links of each block with its part of the bucket."""
+    now: tuple | None = None
+    held: list[tuple] = []
+    block: _Block | None = None
+    merged: dict[int, int] = {}
+
+    def packed(rows: list[tuple]) -> tuple:
+        sets, key, kind, bands = (list(c) for c in zip(*rows, strict=True))
+        return sets, key, kind, np.array(bands)[:, : now[3]]
+
+    def closed() -> list[tuple[int, int]]:
+        """The block from the leads held; in one of its parts its own sets are compared with each other."""
+        nonlocal block
+        if block is not None or not held:
+            return []
+        block = _Block(*packed(held))
+        return _links(block, *packed(held), True, threshold, merged) if now[2] == 0 else []
 
     for batch in batches:
         for part in slices(batch):
+            found: list[tuple[int, int]] = []
             cell = list(zip(*(part.column(k).to_pylist() for k in range(4)), strict=True))
-            held = list(zip(*(part.column(k).to_pylist() for k in range(4, 8)), strict=True))
+            lead, key, kind, bands = (part.column(k).to_pylist() for k in range(4, 8))
+            others: list[tuple] = []
             for k, own in enumerate(weighted(part.column(8).to_pylist(), size)):
                 if now != cell[k]:
-                    if rows:
-                        yield list(links())
-                    now, rows, sets = cell[k], [], []
-                rows.append(held[k])
-                sets.append(own)
-    if rows:
-        yield list(links())
-
-
-def crossed(texts: DataFrame, members: DataFrame, threshold: float, size: int = SIZE) -> DataFrame:
-    """Links (a, b) that join whatever classes any pairs of members of one band join. members: (band, i, key, class, bands, n, chars).
-
-    A band's members are dealt to blocks, and every two blocks, also one with itself, meet in a task.
+                    if now is not None:
+                        found += closed()
+                    if others:
+                        found += _links(block, *packed(others), False, threshold, merged)
+                    now, held, block, others, merged = cell[k], [], None, [], {}
+                if lead[k]:
+                    held.append((own, key[k], kind[k], bands[k]))
+                elif held:
+                    found += closed()
+                    others.append((own, key[k], kind[k], bands[k]))
+            if others:
+                found += _links(block, *packed(others), False, threshold, merged)
+            yield [[max(p) for p in found], [min(p) for p in found]]
+    if now is not None:
+        found = closed()
+        yield [[max(p) for p in found], [min(p) for p in found]]
+
+
+def crossed(texts: DataFrame, members: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links (a, b) between all members (band, i, key, class, bands, n, chars) of different classes of a band, each pair in the first band that it shares.
+
+    Of any two of different classes one is not of the band's commonest class. Those are dealt to
+    blocks, and each block meets the band's other members, dealt to parts: tasks hold one block and
+    read one part, so rows grow with the members times the blocks of the less common ones.
     """
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wanted = materialize(met.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "i", "block", "key", "class", "bands"), "wanted")
+    of_class = materialize(members.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "counts")
+    common = of_class.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.sum("n").alias("all"))
+    rest = of_class.join(common, "band").where("class <> top").groupBy("band", "top", "all").agg(F.sum("n").alias("others"), F.sum("chars").alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("others") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    dealt = members.drop("n", "chars").join(rest.select("band", "top", blocks.alias("blocks"), F.ceil(F.col("all") / PART).cast("int").alias("parts")), "band")
+    own = F.when(F.col("class") != F.col("top"), F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("own", own).withColumn("stand", F.pmod(F.xxhash64("key", F.lit("part")), "parts").cast("int"))
+    to = lambda p, part, lead: F.struct(p.alias("block"), part.alias("part"), F.lit(lead).alias("lead"))
+    upto = F.coalesce("own", "blocks") - 1
+    visits = F.when(upto < 0, F.array().cast("array<struct<block:int,part:int,lead:boolean>>")).otherwise(F.transform(F.sequence(F.lit(0), upto), lambda p: to(p, F.col("stand"), False)))
+    leads = F.when(F.col("own").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: to(F.col("own"), q, True))).otherwise(F.array().cast("array<struct<block:int,part:int,lead:boolean>>"))
+    wanted = materialize(dealt.select("band", F.explode(F.concat(visits, leads)).alias("at"), "i", "key", "class", "bands").select("band", "at.*", "i", "key", "class", "bands"), "wanted")
     keys = materialize(wanted.select("key").distinct(), "keys")
     small = keys.count() <= BROADCAST_ROWS
     rows = texts.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), "key", "left_semi").join(wanted, "key")
-    rows = rows.select("band", "p", "q", "i", "block", "key", "class", "bands", "text").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "block", "key")
+    rows = rows.select("band", "block", "part", "i", "lead", "key", "class", "bands", "text").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", F.desc("lead"), "key")
     return map_batches(rows, _crossed, "a bigint, b bigint", threshold, size)
 
 

@@ -184,3 +184,32 @@ def test_classes_do_not_rest_on_the_round(spark, monkeypatch):
     want = joined(rows, lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
     got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def edited(n, changes, seed, words=220):
+    """n copies of one text, each with some words changed."""
+    rng = random.Random(seed)
+    base = [f"m{i}" for i in range(words)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for i in rng.sample(range(words), rng.choice(changes)):
+            w[i] = f"e{k}x{i}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "changes"), [(900, [3, 4, 5]), (400, [2, 3, 4, 5, 6]), (400, [3, 4, 4, 5, 5, 5])])
+def test_edited_copies_at_the_threshold(spark, n, changes):
+    """Most pairs of these are just below the threshold or just above; no link is lost, and no class is wrong."""
+    rows = edited(n, changes, seed=len(changes))
+    sets = prob_minhash.weighted([t for _, t in rows])
+    _, ids = np.unique(np.concatenate([u for u, _ in sets]), return_inverse=True)
+    has = np.zeros((n, ids.max() + 1), dtype=np.float32)
+    has[np.repeat(np.arange(n), [len(u) for u, _ in sets]), ids] = 1
+    size, both = has.sum(axis=1), has @ has.T
+    near = both / (size[:, None] + size[None, :] - both) >= 0.8 - 1e-6
+    want = joined(rows, lambda a, b: near[a, b])
+    assert 20 < len(set(want.values())) < n
+    got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
