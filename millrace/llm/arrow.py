@@ -19,6 +19,8 @@ from ..session import ship
 SLICE_BYTES = 1 << 19
 #: Rows that Spark sends at once, so that a batch of long texts stays small on both sides.
 BATCH_ROWS = 1000
+#: Spark's setting for that and its value where nobody has set it.
+_BATCH, _UNSET = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -64,6 +66,8 @@ def map_batches(df: DataFrame, made: Callable, schema: StructType | str, *args:
     from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    # a plan takes its batch size when it runs, so a session that was given none keeps this one
+    if df.sparkSession.conf.get(_BATCH) == _UNSET:
+        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
     parsed = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     return df.mapInArrow(partial(_each, made, to_arrow_schema(parsed), args), parsed)

@@ -43,6 +43,22 @@ def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables this process has written and not yet let go: a mark for release()."""
+    return len(_written)
+
+
+def release(since: int, keep: DataFrame) -> None:
+    """Delete the tables written since a mark but the one that keep reads, once it has been written from them."""
+    spark = keep.sparkSession
+    own = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    gone = [path for path in _written[since:] if path.rsplit("/", 1)[-1] not in own]
+    for name in gone:
+        _written.remove(name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that materialize() wrote and that nothing reads any more."""
     spark = df.sparkSession
@@ -63,6 +79,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(items: Column, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """emit(state, item) for each item of an array, with the state that step carried there; kind: emit's type.
+
+    Arrays only grow within a block and by one for each block, so that long ones don't cost the square of their length.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    one = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(emit(s["at"], x))).alias("out"))
+    inner = lambda s, part: F.aggregate(part, F.struct(s["at"].alias("at"), none.alias("out")), one)
+    outer = lambda s, part: let(inner(s, part), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+    parts = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: F.slice(a, b * block + 1, F.lit(block)))
+    whole = lambda a: F.flatten(F.aggregate(parts(a), F.struct(state.alias("at"), nones.alias("out")), outer, lambda s: s["out"]))
+    return let(items, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(none))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,6 +18,22 @@ def test_written_tables_and_cleanup(spark):
     assert not any(n.startswith("none-") for n in os.listdir(folder))
 
 
+def test_release_keeps_what_is_read(spark):
+    since = common.written()
+    one = common.materialize(spark.range(5), "one")
+    two = common.materialize(one.selectExpr("id + 1 AS id"), "two")
+    folder = common.shared_dir(spark).removeprefix("file:")
+    common.release(since, two)
+    assert two.count() == 5 and not any(n.startswith("one-") for n in os.listdir(folder)) and common.written() == since + 1
+
+
+def test_running_carries_a_state(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 3, 600)] + [(None,)], "a array<int>")
+    sums = common.running(F.col("a"), F.lit(0), lambda s, x: s + x, lambda s, x: F.struct(s.alias("s"), x.alias("x")), "struct<s:int,x:int>", block=7)
+    for r in df.select("a", sums.alias("o")).collect():
+        assert [(o.s, o.x) for o in r.o or []] == [(sum(range(x)), x) for x in r.a or []]
+
+
 def test_let_works_a_value_out_once(spark):
     row = spark.range(1).select(common.let(F.lit(3), lambda x: F.transform(F.sequence(F.lit(1), x), lambda i: i * x)).alias("y")).first()
     assert row.y == [3, 6, 9]
