@@ -326,8 +326,8 @@ def _crossed(batches: Iterator[pa.RecordBatch], threshold: float, size: int) ->
         yield [[max(p) for p in found], [min(p) for p in found]]
 
 
-def crossed(texts: DataFrame, members: DataFrame, threshold: float, size: int) -> DataFrame:
-    """Links (a, b) between all members (band, i, key, class, bands, n, chars) of different classes of a band, each pair in the first band that it shares.
+def crossed(texts: DataFrame, members: DataFrame, bands: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links (a, b) between all members (band, i, key, class, chars) of different classes of a band, each pair in the first band that it shares.
 
     Of any two of different classes one is not of the band's commonest class. Those are dealt to
     blocks, and each block meets the band's other members, dealt to parts: tasks hold one block and
@@ -337,17 +337,19 @@ def crossed(texts: DataFrame, members: DataFrame, threshold: float, size: int) -
     common = of_class.groupBy("band").agg(F.max_by("class", F.struct("n", "class")).alias("top"), F.sum("n").alias("all"))
     rest = of_class.join(common, "band").where("class <> top").groupBy("band", "top", "all").agg(F.sum("n").alias("others"), F.sum("chars").alias("chars"))
     blocks = F.greatest(F.ceil(F.col("others") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    dealt = members.drop("n", "chars").join(rest.select("band", "top", blocks.alias("blocks"), F.ceil(F.col("all") / PART).cast("int").alias("parts")), "band")
+    dealt = members.drop("chars").join(rest.select("band", "top", blocks.alias("blocks"), F.ceil(F.col("all") / PART).cast("int").alias("parts")), "band")
     own = F.when(F.col("class") != F.col("top"), F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     dealt = dealt.withColumn("own", own).withColumn("stand", F.pmod(F.xxhash64("key", F.lit("part")), "parts").cast("int"))
     to = lambda p, part, lead: F.struct(p.alias("block"), part.alias("part"), F.lit(lead).alias("lead"))
     upto = F.coalesce("own", "blocks") - 1
     visits = F.when(upto < 0, F.array().cast("array<struct<block:int,part:int,lead:boolean>>")).otherwise(F.transform(F.sequence(F.lit(0), upto), lambda p: to(p, F.col("stand"), False)))
     leads = F.when(F.col("own").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: to(F.col("own"), q, True))).otherwise(F.array().cast("array<struct<block:int,part:int,lead:boolean>>"))
-    wanted = materialize(dealt.select("band", F.explode(F.concat(visits, leads)).alias("at"), "i", "key", "class", "bands").select("band", "at.*", "i", "key", "class", "bands"), "wanted")
+    wanted = materialize(dealt.select("band", F.explode(F.concat(visits, leads)).alias("at"), "i", "key", "class").select("band", "at.*", "i", "key", "class"), "wanted")
     keys = materialize(wanted.select("key").distinct(), "keys")
-    small = keys.count() <= BROADCAST_ROWS
-    rows = texts.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), "key", "left_semi").join(wanted, "key")
+    n = keys.count()
+    # a key is 8 bytes, its bands 8 each
+    near = lambda df, most: F.broadcast(df) if n <= most else df.hint("shuffle_hash")
+    rows = texts.join(near(keys, BROADCAST_ROWS), "key", "left_semi").join(near(bands.join(keys, "key", "left_semi"), BROADCAST_ROWS // 25), "key").join(wanted, "key")
     rows = rows.select("band", "block", "part", "i", "lead", "key", "class", "bands", "text").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", F.desc("lead"), "key")
     return map_batches(rows, _crossed, "a bigint, b bigint", threshold, size)
 
@@ -368,8 +370,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
     members = materialize(signed.join(least, "content", "left").select("key", F.coalesce("rep", "key").alias("rep"), F.when(F.col("key") == F.col("rep"), F.col("bands")).alias("bands"), "chars"), "members")
     own = members.where("bands is not null").dropDuplicates(["key"]).select("key", "bands", "chars")
     banded = own.select("key", "chars", F.posexplode("bands").alias("i", "band"))
-    heads = materialize(banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("n > 1"), "heads")
-    open_ = materialize(banded.drop("chars").join(heads, "band"), "open")
+    heads = materialize(banded.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "heads")
+    open_ = materialize(banded.join(heads, "band"), "open")
     links = materialize(verified(texts, open_.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), threshold, size), "links")
     found = components(links)
     placed = _mixed(open_, found)
@@ -384,8 +386,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
         links = links.unionByName(new)
         found = components(links)
     # smaller buckets have had all their pairs compared
-    rest = _mixed(placed.where(F.col("n") > FEW).drop("class"), found).join(own.drop("chars"), "key")
-    new = materialize(crossed(texts, rest.select("band", "i", "key", "class", "bands", "n", "chars"), threshold, size), "links")
+    rest = _mixed(placed.where(F.col("n") > FEW).drop("class"), found)
+    new = materialize(crossed(texts, rest.select("band", "i", "key", "class", "chars"), own.select("key", "bands"), threshold, size), "links")
     if new.count():
         found = components(links.unionByName(new))
     named = members.join(found.withColumnRenamed("key", "rep"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class_id")).distinct()
