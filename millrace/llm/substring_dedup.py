@@ -19,10 +19,11 @@ The construction takes one round for each byte of the longest string, so over wh
 would need as many rounds as the longest document has bytes; step 1 bounds the strings, and so the
 rounds, by 2 * least - k.
 
-Defined results: a null text is an empty one; texts shorter than `least` are kept whole; rows with
-one key and one text do not make each other repeated; of rows with one key and different texts
-neither is earlier, at equal starts; a null key comes before all others; an empty table gives no
-rows. Keys are integers. A text may have up to 2**33 bytes.
+Defined results: a null text is an empty one; texts shorter than `least` are kept whole, texts of
+any length are read whole; rows with one key and one text do not make each other repeated; of rows
+with one key and different texts neither is earlier, at equal starts; a null key comes before all
+others; an empty table gives no rows. Rows of one key are told apart by the SHA-256 of their texts.
+Keys are integers (others fail). Columns beyond key and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import column_bwt, textvec
@@ -48,7 +49,8 @@ WIDE = 4000
 BLOCK = 3000
 MOST_HEAVY = 10_000
 BROADCAST_ROWS = 500_000
-_RUN = "anchor bigint, content bigint, k bigint, at bigint, kind int"
+_RUN = "anchor bigint, content bigint, k bigint, at bigint, kind int, tag bigint"
+_SPAN = "k bigint, tag bigint, start bigint, end bigint"
 REPEATED, ALONE, OPEN, WIDE_RUN = 0, 1, 2, 3
 
 
@@ -94,8 +96,20 @@ def runs(data: np.ndarray, starts: np.ndarray, least: int, gram: int) -> tuple[n
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _pack(start: np.ndarray, tag: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (start.astype(np.int64) << 30) | (tag.astype(np.int64) << 14) | (offset.astype(np.int64) << 7) | count.astype(np.int64)
+#: A run's place in one number: its start above its anchor's offset and its number of windows, of so many bits each.
+FIELD = 7
+
+
+def _pack(start: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << 2 * FIELD) | (offset.astype(np.int64) << FIELD) | count.astype(np.int64)
+
+
+def _start(at):
+    return at >> 2 * FIELD
+
+
+def _count(at):
+    return at & ((1 << FIELD) - 1)
 
 
 def _lead(*columns: np.ndarray) -> np.ndarray:
@@ -109,7 +123,7 @@ def _lead(*columns: np.ndarray) -> np.ndarray:
 def _later(group: np.ndarray, k: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of rows sorted by group, k and at, with the starts of groups given, those after their group's first place."""
     first = np.maximum.accumulate(np.where(group, np.arange(len(group)), 0))
-    return (k != k[first]) | (at >> 30 != at[first] >> 30)
+    return (k != k[first]) | (_start(at) != _start(at[first]))
 
 
 def _found(batches: Iterator[pa.RecordBatch], least: int, gram: int, heavy: np.ndarray) -> Iterator[list]:
@@ -119,36 +133,36 @@ def _found(batches: Iterator[pa.RecordBatch], least: int, gram: int, heavy: np.n
             key, tag = part.column(0).to_numpy(), part.column(1).to_numpy()
             data, starts = textvec.join([(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()])
             text, start, count, offset, anchor, content = runs(data, starts, least, gram)
-            k, at = key[text], _pack(start, tag[text], offset, count)
+            k, at, tag = key[text], _pack(start, offset, count), tag[text]
             anchor, content = anchor.view(np.int64), content.view(np.int64)
             by = np.lexsort((at, k, content, anchor))
-            anchor, content, k, at, start, count = anchor[by], content[by], k[by], at[by], start[by], count[by]
+            anchor, content, k, at, start, count, tag = anchor[by], content[by], k[by], at[by], start[by], count[by], tag[by]
             later = _later(_lead(anchor, content), k, at) if len(by) else np.zeros(0, dtype=bool)
             end = start + count - 1 + least
             kind = np.where(later, REPEATED, np.where(np.isin(anchor, heavy), WIDE_RUN, ALONE)).astype(np.int32)
             # those that are judged go to any task; the content of repeated ones holds their end
             spread = textvec.mix(k.view(np.uint64) ^ at.view(np.uint64)).view(np.int64)
-            yield [np.where(kind == ALONE, anchor, spread), np.where(later, end, content), k, at, kind]
+            yield [np.where(kind == ALONE, anchor, spread), np.where(later, end, content), k, at, kind, tag]
 
 
 def _compared(batches: Iterator[pa.RecordBatch], least: int, wide: int) -> Iterator[list]:
     """Rows of _RUN, sorted by anchor, content, k and at: what is repeated, and what is open, with its anchor."""
-    names = 5
+    names = 6
     rest = [np.zeros(0, dtype=np.int64) for _ in range(names)]
     last: tuple | None = None  # (anchor, content, k, at) of the last first place, of an anchor that went on
     broad: int | None = None
 
     def judged(rows: list[np.ndarray], whole: bool) -> list:
         nonlocal last, broad
-        anchor, content, k, at, kind = rows
+        anchor, content, k, at, kind, tag = rows
         given = kind != ALONE
         first = _lead(anchor, content)
         if last is not None and len(anchor) and (anchor[0], content[0]) == last[:2]:
             first[0] = False
         place = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
         fk = np.where(place >= 0, k[place], last[2] if last else 0)
-        fs = np.where(place >= 0, at[place] >> 30, last[3] >> 30 if last else 0)
-        later = ~given & ((k != fk) | (at >> 30 != fs))
+        fs = np.where(place >= 0, _start(at[place]), _start(last[3]) if last else 0)
+        later = ~given & ((k != fk) | (_start(at) != fs))
         fresh = ~given & ~later
         group = np.cumsum(_lead(anchor)) - 1
         distinct = np.bincount(group[first & ~given], minlength=group[-1] + 1 if len(group) else 0)
@@ -167,9 +181,9 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, wide: int) -> Itera
                 last = (anchor[p], content[p], k[p], at[p])
             if not whole:
                 broad = anchor[-1]
-        content = np.where(given, content, np.where(later, (at >> 30) + (at & 127) - 1 + least, content))
+        content = np.where(given, content, np.where(later, _start(at) + _count(at) - 1 + least, content))
         keep = out_kind != ALONE
-        return [anchor[keep], content[keep], k[keep], at[keep], out_kind[keep].astype(np.int32)]
+        return [anchor[keep], content[keep], k[keep], at[keep], out_kind[keep].astype(np.int32), tag[keep]]
 
     for batch in gathered(batches, 20_000):
         rows = [np.concatenate((r, batch.column(c).to_numpy().astype(np.int64))) for c, r in enumerate(rest)]
@@ -188,41 +202,41 @@ def _compared(batches: Iterator[pa.RecordBatch], least: int, wide: int) -> Itera
 
 
 def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list]:
-    """Rows (k, list of (anchor, at, kind), text) to the strings of the open runs."""
+    """Rows (k, tag, list of (anchor, at, kind), text) to the strings of the open runs."""
     for batch in batches:
         for part in slices(batch):
             out: list[tuple] = []
-            for k, marks, text in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+            for k, tag, marks, text in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for m in marks:
-                    start, count = m["at"] >> 30, m["at"] & 127
-                    out.append((m["anchor"], k, m["at"], m["kind"], data[start : start + count - 1 + least]))
-            yield [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], [], []]
+                    start, count = _start(m["at"]), _count(m["at"])
+                    out.append((m["anchor"], k, m["at"], m["kind"], tag, data[start : start + count - 1 + least]))
+            yield [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in range(6)]
 
 
 def _sharing(rows: list[tuple], least: int, gram: int) -> list[tuple]:
-    """Rows (anchor, k, at, bytes) without those that can share no window.
+    """Rows (anchor, k, at, tag, bytes) without those that can share no window.
 
     Two windows of one anchor share all bytes beside it, so at least half of those on one side of
     it: rows stay whose half before the anchor, or after it, another row of that anchor has too.
     """
     half = (least - gram + 1) // 2
     sides = []
-    for anchor, _, at, data in rows:
-        p = (at >> 7) & 127
+    for anchor, _, at, _, data in rows:
+        p = _count(at >> FIELD)
         sides.append(((anchor, data[p - half : p]) if p >= half else None, (anchor, data[p + gram : p + gram + half], 0) if len(data) >= p + gram + half else None))
     seen = Counter(side for pair in sides for side in pair)
     return [row for row, (a, b) in zip(rows, sides, strict=True) if (a and seen[a] > 1) or (b and seen[b] > 1)]
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], least: int, gram: int, block: int) -> Iterator[list]:
-    """Strings (anchor, k, at, bytes), sorted by anchor, to spans (k, tag, start, end) of windows with an earlier equal."""
+    """Strings (anchor, k, at, tag, bytes), sorted by anchor, to spans (k, tag, start, end) of windows with an earlier equal."""
 
     def solved(rows: list[tuple]) -> list:
         rows = _sharing(rows, least, gram)
-        k, at = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2))
-        group, owner, start = column_bwt.repeats([np.frombuffer(r[3], dtype=np.uint8) for r in rows], least)
-        k, start, tag = k[owner], (at[owner] >> 30) + start, (at[owner] >> 14) & 0xFFFF
+        k, at, tag = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2, 3))
+        group, owner, start = column_bwt.repeats([np.frombuffer(r[4], dtype=np.uint8) for r in rows], least)
+        k, start, tag = k[owner], _start(at[owner]) + start, tag[owner]
         by = np.lexsort((start, k, group))
         group, k, start, tag = group[by], k[by], start[by], tag[by]
         first = np.maximum.accumulate(np.where(_lead(group), np.arange(len(group)), 0)) if len(group) else group
@@ -233,11 +247,11 @@ def _resolved(batches: Iterator[pa.RecordBatch], least: int, gram: int, block: i
         k, start, tag = k[by], start[by], tag[by]
         cut = np.flatnonzero(_lead(k, tag, start - np.arange(len(start))))
         count = np.diff(np.append(cut, len(k)))
-        return [k[cut], tag[cut].astype(np.int32), start[cut], start[cut] + count - 1 + least]
+        return [k[cut], tag[cut], start[cut], start[cut] + count - 1 + least]
 
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
             if len(rows) >= block and row[0] != rows[-1][0]:
                 yield solved(rows)
                 rows = []
@@ -247,18 +261,18 @@ def _resolved(batches: Iterator[pa.RecordBatch], least: int, gram: int, block: i
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list]:
-    """Strings (anchor, k, at, bytes) to their windows (h1, h2, k, tag, start)."""
+    """Strings (anchor, k, at, tag, bytes) to their windows (h1, h2, k, tag, start)."""
     for batch in batches:
         for part in slices(batch, "bytes"):
-            k, at = (part.column(c).to_numpy() for c in (1, 2))
-            data, starts = textvec.join(part.column(3).to_pylist())
-            count = at & 127
+            k, at, tag = (part.column(c).to_numpy() for c in (1, 2, 3))
+            data, starts = textvec.join(part.column(4).to_pylist())
+            count = _count(at)
             row = np.repeat(np.arange(len(k)), count)
             step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             begin = starts[row] + step
             one = textvec.spans_hash(textvec.running(data), begin, begin + least)
             two = textvec.spans_hash(textvec.running(textvec.mix(data.astype(np.uint64) + np.uint64(977)) >> np.uint64(40)), begin, begin + least)
-            yield [one.view(np.int64), two.view(np.int64), k[row], ((at[row] >> 14) & 0xFFFF).astype(np.int32), (at[row] >> 30) + step]
+            yield [one.view(np.int64), two.view(np.int64), k[row], tag[row], _start(at[row]) + step]
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -281,9 +295,17 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             yield [part.column(0), pa.array(kept, type=pa.binary()), pa.array(merged, type=kind)]
 
 
-def _tag(text: Column) -> Column:
-    """16 bits of a text, to tell texts of one key apart."""
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFF).cast("int")
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs (k, text, key) with a tag: 0 where k has one row, else the number of the text among the distinct ones of its k."""
+    shared = materialize(docs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "shared")
+    n = shared.count()
+    if not n:
+        return docs.withColumn("tag", F.lit(0).cast("bigint"))
+    content = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("content")
+    small = lambda df, count: F.broadcast(df) if count <= BROADCAST_ROWS else df
+    texts = docs.join(small(shared, n), "k", "left_semi").select("k", content).distinct()
+    texts = materialize(texts.select("k", "content", (F.monotonically_increasing_id() + 1).alias("tag")), "texts")
+    return docs.select("*", content).join(small(texts, texts.count()), ["k", "content"], "left").select("k", "text", "key", F.coalesce("tag", F.lit(0).cast("bigint")).alias("tag"))
 
 
 def heavy_anchors(docs: DataFrame, least: int, gram: int, one_of: int, rows: int) -> np.ndarray:
@@ -303,18 +325,17 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, wide:
     found = map_batches(docs.select("k", "tag", "text"), _found, _RUN, least, gram, heavy)
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "content", "k", "at")
     judged = materialize(map_batches(dealt, _compared, _RUN, least, wide), "runs", wide=True)
-    tag_of = F.shiftright("at", 14).bitwiseAND(0xFFFF).cast("int").alias("tag")
-    done = judged.where(F.col("kind") == REPEATED).select("k", tag_of, F.shiftright("at", 30).alias("start"), F.col("content").alias("end"))
-    marks = judged.where(F.col("kind") >= OPEN).groupBy("k", tag_of).agg(F.collect_list(F.struct("anchor", "at", "kind")).alias("marks"))
+    done = judged.where(F.col("kind") == REPEATED).select("k", "tag", F.shiftright("at", 2 * FIELD).alias("start"), F.col("content").alias("end"))
+    marks = judged.where(F.col("kind") >= OPEN).groupBy("k", "tag").agg(F.collect_list(F.struct("anchor", "at", "kind")).alias("marks"))
     marks = materialize(marks, "marks", wide=True)
     small = marks.count()
     ids = marks.select("k").distinct()
     body = docs.join(F.broadcast(ids), "k", "left_semi") if small <= BROADCAST_ROWS else docs
-    opened = body.select("k", "tag", "text").join(marks.hint("shuffle_hash"), ["k", "tag"]).select("k", "marks", "text")
-    strings = materialize(map_batches(opened, _cut, "anchor bigint, k bigint, at bigint, kind int, bytes binary", least), "strings", wide=True)
-    near = strings.where(F.col("kind") == OPEN).select("anchor", "k", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor", "k", "at")
-    near = map_batches(near, _resolved, "k bigint, tag int, start bigint, end bigint", least, gram, block)
-    windows = map_batches(strings.where(F.col("kind") == WIDE_RUN).select("anchor", "k", "at", "bytes"), _hashed, "h1 bigint, h2 bigint, k bigint, tag int, start bigint", least)
+    opened = body.select("k", "tag", "text").join(marks.hint("shuffle_hash"), ["k", "tag"]).select("k", "tag", "marks", "text")
+    strings = materialize(map_batches(opened, _cut, "anchor bigint, k bigint, at bigint, kind int, tag bigint, bytes binary", least), "strings", wide=True)
+    near = strings.where(F.col("kind") == OPEN).select("anchor", "k", "at", "tag", "bytes").repartition("anchor").sortWithinPartitions("anchor", "k", "at")
+    near = map_batches(near, _resolved, _SPAN, least, gram, block)
+    windows = map_batches(strings.where(F.col("kind") == WIDE_RUN).select("anchor", "k", "at", "tag", "bytes"), _hashed, "h1 bigint, h2 bigint, k bigint, tag bigint, start bigint", least)
     windows = materialize(windows, "windows", wide=True)
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("k", "start")).alias("first"))
     far = windows.join(first, ["h1", "h2"]).where(F.struct("k", "start") != F.col("first")).select("k", "tag", "start", (F.col("start") + least).alias("end"))
@@ -326,7 +347,7 @@ def dedup(texts: DataFrame, least: int = LEAST, key: str = "doc_id", text: str =
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
     least_key = F.lit(-(1 << 63)).cast("bigint")
-    docs = texts.select(F.coalesce(F.col(key).cast("bigint"), least_key).alias("k"), _tag(F.col(text)).alias("tag"), F.col(text).alias("text"), F.col(key).alias("key"))
+    docs = _told_apart(texts.select(F.coalesce(F.col(key).cast("bigint"), least_key).alias("k"), F.col(text).alias("text"), F.col(key).alias("key")))
     spans = repeated_spans(docs, least, **settings)
     spans = spans.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = docs.join(spans.hint("shuffle_hash"), ["k", "tag"], "left").select("key", "spans", "text")

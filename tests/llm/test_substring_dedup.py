@@ -62,6 +62,26 @@ def test_segments(spark, monkeypatch):
     assert (offset >= count - 1).all() and (offset <= 68).all() and len(anchor) == len(text) == len(start)
 
 
+def test_texts_of_one_key_are_told_apart(spark, monkeypatch):
+    """Two texts of one key whose 16-bit hashes agree: the repeated one goes, the other stays."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    made = [(k, "".join(rng.choice("abcdefgh ") for _ in range(140))) for k in range(2000)]
+    hashed = spark.createDataFrame(made, "k long, text string").select("k", "text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("h")).collect()
+    seen, pair = {}, None
+    for r in hashed:
+        if r.h in seen:
+            pair = (seen[r.h], r.text)
+            break
+        seen[r.h] = r.text
+    rows = [(1, pair[0]), (5, pair[0]), (5, pair[1]), (None, pair[1]), (None, "c" * 120), (None, pair[1]), (9, None)]
+    for most in (500_000, 0):
+        monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", most)
+        got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.lit(1)).withColumn("k", F.lit("x"))).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.kept), sum(s.end - s.start for s in r.spans)) for r in got) == brute(rows, 100)
+
+
 def test_empty_table(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], "doc_id long, text string, kept int")).count() == 0
 
