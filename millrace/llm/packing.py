@@ -1,17 +1,23 @@
-"""Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm.
+"""Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm on islands.
 
 A document's ids and an end id are one piece, or, beyond the capacity, pieces of the capacity, the
-first of them shorter. Full pieces are sequences as they are. The others are dealt to islands of a
-bounded number of pieces. An island starts from best-fit-decreasing packings, one of them exact and
-the others of perturbed order, in demes; a generation crosses two packings of a deme: the
-well-filled bins of one are injected whole into the other, bins that hold any of the same pieces are
-removed, and the pieces displaced by that are put back best-fit. Demes pass their best packing on to
-the next. Between rounds well-filled bins stay, and the pieces of the others migrate: they are dealt
-anew to fewer islands, as often as that saves sequences. An island stops once it meets the bound of
-total length over capacity.
-
-Defined results: a null or empty text is the end id alone; a null key and repeated rows are packed
-like others; an empty table gives no rows. The vocabulary's file is a parameter.
+first of them shorter. Full pieces are sequences as they are. The others are dealt to regions of a
+bounded number of pieces, and each region to several islands: tasks that hold the same pieces and
+other packings of them. An island starts from packings in random order, each piece put best-fit. A
+generation crosses two packings: well-filled bins of one are injected whole into the other, bins
+that hold any of the same pieces are removed, and the pieces displaced by that are put back
+best-fit. After some generations each island's best packing, its elite, migrates as rows to the next
+island of the region, for the next epoch; from the second on a best-fit-decreasing packing is in each
+population too, so that no region ends worse than that. A region ends once an elite meets a lower
+bound of its sequences, and all do once an epoch saves none.
+
+Then well-filled bins stay, and the others are dealt, whole, to fewer regions, where they are an
+elite from the start; so on until they are dealt to no fewer.
+
+Defined results: a null or empty text is the end id alone; a text of any length is cut whole into
+pieces; a null key and repeated rows are packed like others; among packings of as many bins the one
+whose bins are fuller is better, and one found earlier wins ties; an empty table gives no rows;
+columns beyond key and text are ignored, whatever their names. The vocabulary's file is a parameter.
 """
 
 from __future__ import annotations
@@ -29,10 +35,12 @@ from .arrow import map_batches, slices
 from .common import materialize
 
 CAPACITY = 2048
-ISLAND_PIECES = 40_000
-#: Bins at least so full stay where they are between rounds.
+REGION_PIECES = 40_000
+#: Bins at least so full stay where they are when the others are dealt to fewer regions.
 WELL_FILLED = 0.998
-DEMES, DEME_SIZE, GENERATIONS = 2, 2, 6
+#: Islands of a region, packings of an island, and generations of an epoch.
+ISLANDS, POPULATION, GENERATIONS = 2, 4, 12
+BROADCAST_ROWS = 500_000
 Bin = tuple[int, list[int]]
 
 
@@ -133,22 +141,23 @@ def best_fit(order: Sequence[int], length: Sequence[int], capacity: int, keep: S
 
 
 def cross(one: list[Bin], other: list[Bin], length: Sequence[int], capacity: int, rng: random.Random) -> list[Bin]:
-    """Inject well-filled bins of other into one: a random half of its fullest half."""
-    good = sorted(other, key=lambda b: b[0])[: max(1, len(other) // 2)]
+    """Inject bins of other whole into one: a random half of its well-filled ones, or of its fullest tenth.
+
+    Bins of one that hold any of the same pieces are removed, and so are those that are not well
+    filled, so that the pieces displaced find partners when they are put back best-fit, largest first.
+    """
+    most = (1 - WELL_FILLED) * capacity
+    good = [b for b in other if b[0] <= most] or sorted(other, key=lambda b: b[0])[: max(1, len(other) // 10)]
     injected = [b for b in good if rng.random() < 0.5] or good[:1]
     taken = {i for _, members in injected for i in members}
     kept, displaced = [], []
     for room, members in one:
-        if taken.isdisjoint(members):
+        if room <= most and taken.isdisjoint(members):
             kept.append((room, members))
         else:
             displaced += [i for i in members if i not in taken]
-    # the emptiest bins are opened too, so that displaced pieces find partners
-    kept.sort(key=lambda b: b[0])
-    opened = max(1, len(kept) // 50)
-    displaced += [i for _, members in kept[-opened:] for i in members]
     displaced.sort(key=lambda i: -length[i])
-    return best_fit(displaced, length, capacity, [*injected, *kept[:-opened]])
+    return best_fit(displaced, length, capacity, [*injected, *kept])
 
 
 def fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
@@ -156,85 +165,125 @@ def fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
     return -len(bins), sum(((capacity - room) / capacity) ** 2 for room, _ in bins) / max(1, len(bins))
 
 
-def evolve(length: Sequence[int], capacity: int = CAPACITY, seed: int = 0, demes: int = DEMES, size: int = DEME_SIZE, generations: int = GENERATIONS) -> list[Bin]:
-    """The best packing of an island's pieces, given by their lengths."""
+def least_bins(length: Sequence[int], capacity: int) -> int:
+    """A lower bound of the bins: for each size t, pieces over capacity - t stand alone, those over half have a bin each, and what is from t to half fills at best their rooms and then whole bins."""
+    sizes = np.bincount(np.asarray(length, dtype=np.int64), minlength=capacity + 1)
+    count, total = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(sizes * np.arange(len(sizes)))))
+    half = capacity // 2
+    t = np.arange(half + 1)
+    large = len(length) - count[half + 1]
+    middle = count[capacity - t + 1] - count[half + 1]
+    room = middle * capacity - (total[capacity - t + 1] - total[half + 1])
+    small = total[half + 1] - total[t]
+    return int(large + np.maximum(0, -(-(small - room) // capacity)).max(initial=0))
+
+
+def evolve(length: Sequence[int], capacity: int = CAPACITY, seed: int = 0, elites: Sequence[list[Bin]] = (), falling: bool = False, size: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[Bin], int, int]:
+    """(packing, crossings, bound): an island's best packing of pieces given by their lengths, how often it crossed two, and the least bins there can be.
+
+    It starts from the elites, if falling from the best-fit-decreasing packing, and from random ones.
+    """
     rng = random.Random(seed)
-    falling = sorted(range(len(length)), key=lambda i: -length[i])
-    bound = -(-sum(length) // capacity)
-    best = best_fit(falling, length, capacity)
-    if len(best) <= bound:
-        return best
-
-    def perturbed() -> list[Bin]:
-        return best_fit(sorted(falling, key=lambda i: -length[i] * rng.uniform(0.9, 1.0)), length, capacity)
-
-    islands = [[best if d == k == 0 else perturbed() for k in range(size)] for d in range(demes)]
-    for _ in range(generations):
-        for deme in islands:
-            a, b = rng.sample(range(size), 2)
-            child = cross(deme[a], deme[b], length, capacity, rng)
-            worst = min(range(size), key=lambda k: fitness(deme[k], capacity))
-            if fitness(child, capacity) >= fitness(deme[worst], capacity):
-                deme[worst] = child
-            best = max(best, child, key=lambda p: fitness(p, capacity))
-            if len(best) <= bound:
-                return best
-        leaders = [max(deme, key=lambda p: fitness(p, capacity)) for deme in islands]
-        for d, deme in enumerate(islands):
-            worst = min(range(size), key=lambda k: fitness(deme[k], capacity))
-            deme[worst] = max(deme[worst], leaders[d - 1], key=lambda p: fitness(p, capacity))
-    return best
-
-
-def _packed(batches: Iterator[pa.RecordBatch], capacity: int, turn: int) -> Iterator[list]:
-    """Rows (island, uid, length), an island's together: each with its bin and place."""
-
-    def solved(island: int, uid: list[int], length: list[int]) -> list:
-        out_uid, sequence, offset, room_ = [], [], [], []
-        for number, (room, members) in enumerate(evolve(length, capacity, seed=island)):
+    order = list(range(len(length)))
+    bound, crossings = least_bins(length, capacity), 0
+    population = list(elites)
+    if falling:
+        population.append(best_fit(sorted(order, key=lambda i: -length[i]), length, capacity))
+    while len(population) < size:
+        rng.shuffle(order)
+        population.append(best_fit(order, length, capacity))
+    worth = [fitness(p, capacity) for p in population]
+    while crossings < generations and -max(worth)[0] > bound:
+        a, b = rng.sample(range(len(population)), 2)
+        child = cross(population[a], population[b], length, capacity, rng)
+        crossings += 1
+        worst = min(range(len(population)), key=worth.__getitem__)
+        if (found := fitness(child, capacity)) > worth[worst]:
+            population[worst], worth[worst] = child, found
+    return population[max(range(len(population)), key=worth.__getitem__)], crossings, bound
+
+
+def _island(batches: Iterator[pa.RecordBatch], capacity: int, epoch: int, generations: int) -> Iterator[list]:
+    """Rows (region, island, source, uid, length, bin), an island's together, all its pieces once for each source of an elite (bin -1: none): its best packing."""
+
+    def solved(where: tuple, sources: dict[int, list[tuple]]) -> list:
+        rows = next(iter(sources.values()))
+        length = [n for _, n, _ in rows]
+        elites = []
+        for own in sources.values():
+            if own[0][2] >= 0:
+                bins: dict[int, list[int]] = {}
+                for i, (_, _, number) in enumerate(own):
+                    bins.setdefault(number, []).append(i)
+                elites.append([(capacity - sum(length[i] for i in m), m) for m in bins.values()])
+        best, crossings, bound = evolve(length, capacity, seed=hash((*where, epoch)), elites=elites, falling=epoch > 0, generations=generations)
+        out: list[tuple] = []
+        for number, (room, members) in enumerate(best):
             at = 0
             for i in members:
-                out_uid.append(uid[i])
-                sequence.append((turn << 60) | (island << 32) | number)
-                offset.append(at)
-                room_.append(room)
+                out.append((rows[i][0], length[i], number, room, at))
                 at += length[i]
-        return [out_uid, sequence, offset, room_]
+        n = len(out)
+        return [[where[0]] * n, [where[1]] * n, *(list(c) for c in zip(*out, strict=True)), [len(best)] * n, [len(best) <= bound] * n, [crossings] * n]
 
-    now, uid, length = None, [], []
+    now: tuple | None = None
+    held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for island, u, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if island != now and uid:
-                yield solved(now, uid, length)
-                uid, length = [], []
-            now = island
-            uid.append(u)
-            length.append(n)
-    if uid:
-        yield solved(now, uid, length)
-
-
-def assign(items: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND_PIECES) -> DataFrame:
-    """(uid, sequence_id, offset) for items (uid, length) with lengths from 1 to capacity."""
-    schema = "uid bigint, sequence_id bigint, offset bigint, room bigint"
-    full = items.where(F.col("length") == capacity).select("uid", (F.lit(4) * F.lit(1 << 60) + F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    left, done, turn = items.where(F.col("length") < capacity), None, 0
-    count = left.count()
+        for region, island, source, uid, length, number in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if (region, island) != now:
+                if held:
+                    yield solved(now, held)
+                now, held = (region, island), {}
+            held.setdefault(source, []).append((uid, length, number))
+    if held:
+        yield solved(now, held)
+
+
+_ELITE = "region bigint, island int, uid bigint, length bigint, bin bigint, room bigint, offset bigint, bins bigint, solved boolean, crossings bigint"
+
+
+def _epochs(dealt: DataFrame, capacity: int, generations: int) -> DataFrame:
+    """Pieces (region, uid, length, bin) to each region's best packing, after as many epochs as save sequences."""
+    seeded = dealt.select("region", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(0).alias("source"), "uid", "length", "bin")
+    kept: DataFrame | None = None
+    before, epoch = None, 0
     while True:
-        islands = max(1, -(-count // island_pieces))
-        dealt = left.select(F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(islands)).alias("island"), "uid", "length").repartition(islands, "island").sortWithinPartitions("island", "uid")
-        packed = materialize(map_batches(dealt, _packed, schema, capacity, turn), "packed")
-        done_here = packed
-        if islands > 1 and turn < 3:
-            loose = packed.where(F.col("room") > (1 - WELL_FILLED) * capacity)
-            again = loose.count()
-            if again < 0.9 * count:
-                left, count, turn = items.join(loose.select("uid"), "uid", "left_semi"), again, turn + 1
-                done_here = packed.where(F.col("room") <= (1 - WELL_FILLED) * capacity)
-                done = done_here if done is None else done.unionByName(done_here)
-                continue
-        done = done_here if done is None else done.unionByName(done_here)
-        return done.drop("room").unionByName(full)
+        rows = seeded.repartition("region", "island").sortWithinPartitions("region", "island", "source", "uid")
+        elites = materialize(map_batches(rows, _island, _ELITE, capacity, epoch, generations), "elites")
+        best = elites.where("offset = 0").groupBy("region").agg(F.min_by("island", F.struct("bins", "island")).alias("island"), F.min("bins").alias("bins"), F.bool_or("solved").alias("solved"))
+        best = materialize(best, "best")
+        n, opened, bins = best.agg(F.count("*"), F.count_if(~F.col("solved")), F.coalesce(F.sum(F.when(~F.col("solved"), F.col("bins"))), F.lit(0))).first()
+        small = lambda df: F.broadcast(df) if n <= BROADCAST_ROWS else df
+        # what was open before and is solved now has saved something
+        ended = not opened or (before is not None and before == (opened, bins))
+        done = elites.join(small(best.where("true" if ended else "solved").select("region", "island")), ["region", "island"], "left_semi")
+        kept = done if kept is None else kept.unionByName(done)
+        if ended:
+            return kept
+        before, epoch = (opened, bins), epoch + 1
+        left = elites.join(small(best.where("not solved").select("region")), "region", "left_semi")
+        to = F.explode(F.array_distinct(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS))))).alias("to")
+        seeded = left.select("region", to, F.col("island").alias("source"), "uid", "length", "bin").withColumnRenamed("to", "island")
+
+
+def assign(items: DataFrame, capacity: int = CAPACITY, region_pieces: int = REGION_PIECES, generations: int = GENERATIONS) -> DataFrame:
+    """(uid, sequence_id, offset) for items (uid, length) with lengths from 1 to capacity."""
+    full = items.where(F.col("length") == capacity).select("uid", (F.lit(1 << 62) + F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    left = items.where(F.col("length") < capacity).select("uid", "length", F.lit(-1).cast("bigint").alias("bin"), F.col("uid").alias("by"))
+    regions, turn, out = -(-left.count() // region_pieces), 0, full
+    while regions:
+        dealt = left.select(F.pmod(F.xxhash64("by", F.lit(turn)), F.lit(regions)).alias("region"), "uid", "length", "bin")
+        sequence = F.lit((turn + 1) << 56) + F.shiftleft("region", 24) + F.col("bin")
+        packed = _epochs(dealt, capacity, generations).select("uid", "length", sequence.alias("sequence_id"), "offset", "room")
+        loose = F.col("room") > (1 - WELL_FILLED) * capacity
+        left = packed.where(loose).select("uid", "length", F.col("sequence_id").alias("bin"), F.col("sequence_id").alias("by"))
+        fewer = -(-left.count() // region_pieces)
+        if fewer >= regions:
+            fewer = 0
+        done = packed.where(~loose) if fewer else packed
+        out = out.unionByName(done.select("uid", "sequence_id", "offset"))
+        regions, turn = fewer, turn + 1
+    return out
 
 
 def pack(texts: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,21 +50,86 @@ def test_pack_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, uid int"), PATH).count() == 0
 
 
-def test_islands_and_rounds(spark):
+def test_clashing_columns(spark):
+    rows = [(1, "a b c"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS uid", "2 AS piece", "3 AS start", "4 AS length", "5 AS ids", "6 AS bin")
+    got = packing.pack(df, PATH)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"] and got.count() == 2
+
+
+def test_regions_and_rounds(spark):
     rng = random.Random(2)
     lengths = [min(2048, int(rng.lognormvariate(6.3, 0.9)) + 1) for _ in range(6000)]
     items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
-    got = packing.assign(items, island_pieces=700).join(items, "uid").collect()
+    got = packing.assign(items, region_pieces=700).join(items, "uid").collect()
     assert sorted(r.uid for r in got) == list(range(6000))
-    assert packed_well(got) <= -(-sum(lengths) // 2048) * 1.01 + 2
+    assert packed_well(got) <= -(-sum(lengths) // 2048) + 2
+
+
+def hard(seed, n=300):
+    rng = random.Random(seed)
+    return [rng.choice([350, 683, 700, 900, 1100, 1366, 400]) for _ in range(n)]
 
 
-def test_genetic_search_is_no_worse_than_best_fit_and_whole():
+def test_crossings_turn_random_packings_into_good_ones():
+    """From random packings alone, on lengths of documents and on hard ones."""
     rng = random.Random(3)
-    for _ in range(10):
-        lengths = [rng.choice([350, 683, 700, 900, 1100, 1366, 400]) for _ in range(200)]
-        first = packing.best_fit(sorted(range(200), key=lambda i: -lengths[i]), lengths, 2048)
-        best = packing.evolve(lengths, seed=rng.randint(0, 99))
-        assert len(best) <= len(first)
-        assert sorted(i for _, m in best for i in m) == list(range(200))
+    for lengths in ([min(2047, int(rng.lognormvariate(6.3, 0.9)) + 1) for _ in range(3000)], *map(hard, range(5))):
+        order = list(range(len(lengths)))
+        rng.shuffle(order)
+        start = packing.best_fit(order, lengths, 2048)
+        best, crossings, bound = packing.evolve(lengths, seed=rng.randint(0, 99))
+        assert crossings > 0 and bound <= len(best) and packing.fitness(best, 2048) > packing.fitness(start, 2048)
+        assert len(lengths) < 3000 or len(best) <= bound + 1 < len(start)
+        assert sorted(i for _, m in best for i in m) == sorted(order)
         assert all(sum(lengths[i] for i in m) + room == 2048 and room >= 0 for room, m in best)
+
+
+def test_bound_is_one():
+    """Against the best of all packings of few pieces."""
+
+    def least(lengths, rooms=()):
+        if not lengths:
+            return len(rooms)
+        n, rest = lengths[0], lengths[1:]
+        out = least(rest, (*rooms, 100 - n))
+        for k, room in enumerate(rooms):
+            if room >= n:
+                out = min(out, least(rest, (*rooms[:k], room - n, *rooms[k + 1 :])))
+        return out
+
+    rng = random.Random(4)
+    tight = 0
+    for _ in range(150):
+        lengths = [rng.randint(1, 100) for _ in range(rng.randint(1, 7))]
+        found, bound = least(lengths), packing.least_bins(lengths, 100)
+        assert bound <= found
+        tight += bound == found
+    assert tight > 120
+    assert packing.least_bins([1100] * 10, 2048) == 10
+
+
+def test_elites_cross_islands_and_none_is_worse_than_best_fit(spark, monkeypatch):
+    seen = []
+    real = packing.map_batches
+
+    def spied(df, made, *args):
+        if made is packing._island:
+            seen.append([(r.island, r.source) for r in df.select("island", "source", "bin").where("bin >= 0").distinct().collect()])
+        return real(df, made, *args)
+
+    monkeypatch.setattr(packing, "map_batches", spied)
+    lengths = hard(7, 400)
+    items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    got = packing.assign(items, generations=3).join(items, "uid").collect()
+    falling = packing.best_fit(sorted(range(400), key=lambda i: -lengths[i]), lengths, 2048)
+    assert packed_well(got) <= len(falling) and len(got) == 400
+    assert seen[0] == [] and {(0, 0), (0, 1), (1, 0), (1, 1)} <= set(seen[1])
+
+
+def test_documents_need_crossings_and_meet_the_bound(spark):
+    items = packing.tokenise(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), PATH).select("uid", "length")
+    lengths = [r.length for r in items.where("length < 2048").collect()]
+    best, crossings, bound = packing.evolve(lengths)
+    assert crossings > 0
+    assert packed_well(packing.assign(items).join(items, "uid").collect()) == items.where("length = 2048").count() + bound
