@@ -8,12 +8,14 @@ character outside the vocabulary costs one token for each of its bytes.
 
 Distinct pre-tokens go into a trie. A node holds the best (score, tokens) of the prefix that it
 spells, worked out once from its ancestors' however many pre-tokens share the prefix; a terminal
-holds its pre-token's count. The trie and the table of counts live as long as a task and are
-emptied beyond a bound, which changes no count.
+holds its pre-token's count. Nodes are kept for the first DEPTH characters; what follows in a longer
+pre-token is worked out from its node there in the same way, without nodes. The trie and the table
+of counts live as long as a task and are emptied beyond a bound, which changes no count.
 
 Defined results: a null or empty text has no pre-tokens and no tokens; rows are mapped one to
-one, so repeated rows and null keys are kept; a pre-token of any length is worked out whole, one
-beyond LONGEST outside the trie; an empty table gives no rows.
+one, so repeated rows and null keys are kept; a pre-token of any length is worked out whole; of
+segmentations of one score the one with fewer tokens counts; an empty table gives no rows; columns
+beyond key and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ from .arrow import map_batches, slices
 
 MARK = "▁"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-#: Pre-tokens longer than this are not kept in the trie.
-LONGEST = 64
+#: Characters of a pre-token that have nodes in the trie.
+DEPTH = 64
 MOST_NODES, MOST_WORDS = 600_000, 300_000
 
 
-#: A path's worth in one number: its score in the upper bits, less its tokens.
-TOKEN = 1 << 24
+#: A path's worth in one number: its score in units of TOKEN, less its tokens. Spark's strings have
+#: less than 2**31 bytes and a byte is a token at most, so tokens never reach into the score.
+TOKEN = 1 << 32
 _KEY = 1 << 21
 
 
@@ -71,15 +74,6 @@ class Unigram:
                 out = best[-k] + found
         return out
 
-    def alone(self, word: str) -> int:
-        """The count of one pre-token, its prefixes seen only this far back as a piece can reach."""
-        best = [0]
-        for n in range(1, len(word) + 1):
-            best.append(self.step(word[max(0, n - self.longest) : n], best))
-            if len(best) > 4 * self.longest:
-                del best[: -self.longest]
-        return -best[-1] % TOKEN
-
 
 class Trie:
     """Nodes by number: children by node and character, and the best worth of what each spells."""
@@ -93,10 +87,10 @@ class Trie:
         self.forward: list[int] = [0]
 
     def insert(self, word: str) -> int:
-        """Add a pre-token; its count of tokens, from the worths of its prefixes."""
-        children, forward, step = self.children, self.forward, self.model.step
+        """Add a pre-token; its count of tokens, from the worths of its prefixes, seen only as far back as a piece can reach."""
+        children, forward, step, longest = self.children, self.forward, self.model.step, self.model.longest
         node, best = 0, [0]
-        for n, c in enumerate(word, 1):
+        for n, c in enumerate(word[:DEPTH], 1):
             key = node * _KEY + ord(c)
             child = children.get(key)
             if child is None:
@@ -105,6 +99,10 @@ class Trie:
                 self.steps += 1
             node = child
             best.append(forward[node])
+        for n in range(DEPTH + 1, len(word) + 1):
+            best.append(step(word[max(0, n - longest) : n], best))
+            if len(best) > 4 * longest + DEPTH:
+                del best[: -longest - 1]
         return -best[-1] % TOKEN
 
 
@@ -126,8 +124,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[list]:
             for text in part.column(1).to_pylist():
                 words = _WORDS.findall(text or "")
                 for w in sorted(w for w in set(words) if w not in counts):
-                    marked = MARK + w
-                    counts[w] = trie.insert(marked) if len(w) < LONGEST else model.alone(marked)
+                    counts[w] = trie.insert(MARK + w)
                 tokens.append(sum(map(counts.__getitem__, words)))
                 pre.append(len(words))
                 if len(counts) > MOST_WORDS or len(trie.forward) > MOST_NODES:
