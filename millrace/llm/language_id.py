@@ -2,7 +2,7 @@
 
 log p(language | all) is, but for a constant, the sum of
 - the text's log likelihood under byte n-gram models with hashed buckets, trained here, tempered,
-  as successive n-grams repeat one another's evidence;
+  as successive n-grams repeat one another's evidence; words with digits in them are left out;
 - the declared markup language's log likelihood: a declaration is right with a given probability;
 - the address suffix's (.de, .fr ...), in the same way;
 - the host's log prior, smoothed hierarchically: host towards suffix towards the whole corpus, from
@@ -10,16 +10,23 @@ log p(language | all) is, but for a constant, the sum of
 A background model (any byte) stands for "und": a text that no language explains better than
 chance is rejected, whatever was declared.
 
-Models are fitted on a bounded sample of declared rows (sample_rows, those with the least hashes of
-their keys); counts and scores cover all rows and whole texts.
-
-Defined results: a null or blank text is "und" and rejected; a declaration, suffix or host that is
-null or unknown is no evidence; ties go to the language first in order; null keys and repeated rows
-are kept; a table without declared rows gives "und" for all; an empty table gives no rows.
+Models are fitted on a bounded sample of declared rows of each language (about sample_rows, those
+with the least hashes of their keys); counts and scores cover all rows and whole texts. As a
+declaration is evidence of its own, no text is scored by a model that its own declaration has
+trained: keys are dealt to FOLDS folds, and each fold is scored by models of the others' rows
+(a language with rows in one fold only has one model).
+
+Defined results: a null or blank text, or one of such words only, is "und" and rejected; a declaration, suffix or host that is
+null or unknown is no evidence; a declaration counts by its primary subtag, two or three letters,
+others are none; ties go to the language first in order; a text of any length is scored whole; null
+keys and repeated rows are kept; a table without declared rows gives "und" for all; an empty table
+gives no rows. identify() ignores columns beyond those named, whatever their names, and keep_known()
+keeps them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +39,9 @@ from .arrow import map_batches, slices
 from .common import materialize
 
 NGRAM = 4
+FOLDS = 5
+#: Words with digits speak for no language.
+_NUMBERS = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
 BUCKETS = 1 << 16
 #: Share of a text's n-grams that count as independent.
 TEMPER = 0.25
@@ -43,8 +53,9 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 
 
 def _grams(texts: list[str | None], n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of the n-grams of bytes of lower-cased texts, white space runs as one space."""
-    clean = [f" {' '.join((t or '').lower().split())} ".encode("utf-8", "surrogatepass") if t and t.strip() else b"" for t in texts]
+    """(bucket, text) of the n-grams of bytes of lower-cased texts without words that have digits, white space runs as one space."""
+    worded = [" ".join(_NUMBERS.sub("", (t or "").lower()).split()) for t in texts]
+    clean = [f" {t} ".encode("utf-8", "surrogatepass") if t else b"" for t in worded]
     data, starts = textvec.join(clean)
     value = np.zeros(max(0, len(data) - n + 1), dtype=np.uint64)
     for k in range(n):
@@ -70,37 +81,53 @@ def _tallied(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterato
 
 
 class TextModel:
-    """log p(bucket | language) less the background's, in floats; languages in order."""
+    """log p(bucket | language) less the background's, in floats, by the fold that they score; languages in order."""
 
     def __init__(self, languages: list[str], ratio: np.ndarray) -> None:
         self.languages, self.ratio = languages, ratio
 
 
-def fit(rows: DataFrame, sample_rows: int = 20_000, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = NGRAM, buckets: int = BUCKETS) -> TextModel:
-    """Fit text models on at most sample_rows rows that declare a language. What comes to the driver is a number for each language and bucket."""
-    named = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = F.xxhash64(F.col(key), F.lit("sample"))
-    most = named.select(order.alias("o")).orderBy("o").limit(sample_rows).agg(F.max("o")).first()[0]
-    sample = named.where(order <= F.lit(most)).select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
+def primary(declared: Column) -> Column:
+    """The primary subtag of a declared language, lower-cased, if it has two or three letters; else null."""
+    tag = F.lower(F.substring_index(F.translate(F.trim(declared.cast("string")), "_", "-"), "-", 1))
+    return F.when(F.regexp_like(tag, F.lit("^[a-z]{2,3}$")), tag)
+
+
+def fold_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def fit(rows: DataFrame, sample_rows: int = 10_000, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = NGRAM, buckets: int = BUCKETS) -> TextModel:
+    """Fit text models on about sample_rows rows of each declared language. What comes to the driver is FOLDS numbers for each language and bucket."""
+    named = rows.select(F.col(key).alias("key"), primary(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), (F.lit(float(sample_rows)) / F.col("n")).alias("share"))
+    counts = materialize(counts, "declared")  # at most one row for each tag of two or three letters
+    order = F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 11).cast("double") * F.lit(2.0**-53)
+    sample = named.join(F.broadcast(counts), F.col("lang") == F.col("of")).where(order < F.col("share"))
+    sample = sample.select(F.concat_ws(" ", "lang", fold_of(F.col("key"))).alias("lang"), "text")
     found = map_batches(sample, _tallied, "lang string, bucket int, n bigint", n, buckets).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique())
-    counts = np.zeros((buckets, len(languages)))
-    for k, name in enumerate(languages):
-        own = found[found["lang"] == name]
-        counts[own["bucket"].to_numpy(), k] = own["n"].to_numpy()
+    languages = sorted({x.split(" ")[0] for x in found["lang"].unique()})
+    seen = np.zeros((FOLDS, buckets, len(languages)))
+    for (name, fold), own in ((x.split(" "), found[found["lang"] == x]) for x in found["lang"].unique()):
+        seen[int(fold), own["bucket"].to_numpy(), languages.index(name)] = own["n"].to_numpy()
+    # a fold is scored by what the others have seen
+    others = seen.sum(axis=0) - seen
+    seen = np.where(others.sum(axis=1, keepdims=True) > 0, others, seen.sum(axis=0))
     smooth = 0.05
-    logp = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * buckets))
+    logp = np.log((seen + smooth) / (seen.sum(axis=1, keepdims=True) + smooth * buckets))
     return TextModel(languages, (logp + np.log(buckets)).astype(np.float32))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, n: int) -> Iterator[list]:
+    """Rows (key, declared, host, fold, text) to (key, declared, host, scores, n-grams)."""
     for batch in batches:
         for part in slices(batch):
             rows = len(part)
-            bucket, text = _grams(part.column(part.schema.get_field_index("text")).to_pylist(), n, len(ratio))
-            score = np.stack([np.bincount(text, weights=ratio[bucket, k], minlength=rows) for k in range(ratio.shape[1])], axis=1)
+            bucket, text = _grams(part.column(4).to_pylist(), n, ratio.shape[1])
+            fold = part.column(3).to_numpy()[text]
+            score = np.stack([np.bincount(text, weights=ratio[fold, bucket, k], minlength=rows) for k in range(ratio.shape[2])], axis=1)
             count = np.bincount(text, minlength=rows)
-            yield [*[part.column(k) for k in range(part.num_columns - 1)], pa.array(list(score), type=pa.list_(pa.float64())), count]
+            yield [*[part.column(k) for k in range(3)], pa.array(list(score), type=pa.list_(pa.float64())), count]
 
 
 def suffix_of(host: Column) -> Column:
@@ -119,10 +146,10 @@ def identify(rows: DataFrame, model: TextModel, key: str = "doc_id", text: str =
     n = len(model.languages)
     if not n:
         none = F.lit(None)
-        return rows.select(key, F.lit("und").alias("lang"), none.cast("double").alias("posterior"), none.cast("double").alias("evidence"), F.lit(False).alias("kept"))
+        return rows.select(F.col(key), F.lit("und").alias("lang"), none.cast("double").alias("posterior"), none.cast("double").alias("evidence"), F.lit(False).alias("kept"))
     lit = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    given = rows.select(F.col(key), lit(declared).cast("string").alias("declared"), lit(host).cast("string").alias("host"), F.col(text).alias("text"))
-    schema = StructType([rows.schema[key], StructField("declared", StringType()), StructField("host", StringType()), StructField("score", ArrayType(DoubleType())), StructField("grams", LongType())])
+    given = rows.select(F.col(key).alias("key"), primary(lit(declared)).alias("declared"), lit(host).cast("string").alias("host"), fold_of(F.col(key)).alias("fold"), F.col(text).alias("text"))
+    schema = StructType([StructField("key", rows.schema[key].dataType), StructField("declared", StringType()), StructField("host", StringType()), StructField("score", ArrayType(DoubleType())), StructField("grams", LongType())])
     scored = map_batches(given, _scored, schema, model.ratio, NGRAM)
     names = F.array(*[F.lit(x) for x in model.languages])
     best = F.array_position("score", F.array_max("score")).cast("int")
@@ -140,19 +167,18 @@ def identify(rows: DataFrame, model: TextModel, key: str = "doc_id", text: str =
     priors = by_host.join(by_suffix, by_host["suffix"].eqNullSafe(by_suffix["suffix"])).select("host", toward(F.col("c"), F.col("sp")).alias("prior"))
     # a host may hold a third of all rows: its rows are dealt to SALTS tasks, its prior copied to each
     salted = priors.select("host", "prior", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    row = scored.withColumn("salt", F.pmod(F.xxhash64(key, "grams"), F.lit(SALTS)).cast("int"))
+    row = scored.withColumn("salt", F.pmod(F.xxhash64("key", "grams"), F.lit(SALTS)).cast("int"))
     joined = row.join(salted, ["host", "salt"], "left")
 
-    speaks = F.lower(F.substring_index(F.translate("declared", "_", "-"), "-", 1))
     by_address = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
     said = lambda it, name: F.when(F.array_contains(names, it), F.when(it == name, np.log(RIGHT)).otherwise(np.log((1 - RIGHT) / max(1, n - 1)))).otherwise(0.0)
     logs = F.transform("score", lambda s, k: s * TEMPER + said(F.col("speaks"), F.get(names, k)) + said(F.col("spoken"), F.get(names, k)) + F.log(F.get(F.coalesce("prior", corpus), k)))
-    fused = joined.withColumns({"speaks": F.coalesce(speaks, F.lit("")), "spoken": F.coalesce(F.element_at(by_address, F.col("suffix")), F.lit(""))}).select(key, "score", "grams", logs.alias("logs"))
-    chosen = fused.select(key, "score", "grams", "logs", F.array_position("logs", F.array_max("logs")).cast("int").alias("top"))
+    fused = joined.withColumns({"speaks": F.coalesce("declared", F.lit("")), "spoken": F.coalesce(F.element_at(by_address, F.col("suffix")), F.lit(""))}).select("key", "score", "grams", logs.alias("logs"))
+    chosen = fused.select("key", "score", "grams", "logs", F.array_position("logs", F.array_max("logs")).cast("int").alias("top"))
     mass = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("logs")))
-    out = chosen.select(key, F.get(names, F.col("top") - 1).alias("name"), (1 / mass).alias("posterior"), F.when(F.col("grams") > 0, F.get("score", F.col("top") - 1) / F.col("grams")).alias("evidence"))
+    out = chosen.select("key", F.get(names, F.col("top") - 1).alias("name"), (1 / mass).alias("posterior"), F.when(F.col("grams") > 0, F.get("score", F.col("top") - 1) / F.col("grams")).alias("evidence"))
     good = F.coalesce(F.col("evidence") >= least_evidence, F.lit(False)) & (F.col("posterior") >= least_posterior)
-    return out.select(key, F.when(F.coalesce(F.col("evidence") >= least_evidence, F.lit(False)), F.col("name")).otherwise("und").alias("lang"), "posterior", "evidence", good.alias("kept"))
+    return out.select(F.col("key").alias(key), F.when(F.coalesce(F.col("evidence") >= least_evidence, F.lit(False)), F.col("name")).otherwise("und").alias("lang"), "posterior", "evidence", good.alias("kept"))
 
 
 def keep_known(rows: DataFrame, model: TextModel, key: str = "doc_id", **settings: object) -> DataFrame:

@@ -11,8 +11,10 @@ good ones among the labels. The k-th largest is found by counting digits, four p
 so that no task sorts the whole; rows that tie with it are all kept.
 
 Defined results: a null or empty text has no n-grams and weight 0; the noise depends on key and
-seed alone, so repeated rows share it; labels other than 0 and 1 are left out; without good labels
-the weights are 0 and k is all rows; an empty table gives no rows.
+seed alone, so repeated rows share it; a text of any length is counted whole; labels other than 0 and
+1 are left out; without good labels the weights are 0 and k is all rows; rows that tie with the k-th
+are all kept; an empty table gives no rows; columns beyond those named are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -87,24 +89,26 @@ def resample(texts: DataFrame, labels: DataFrame, share: float | None = None, se
     """(key, log_weight, n_grams, gumbel_key, kept), a row for each row of texts."""
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-    marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
-    n, good = marks.agg(F.count("*"), F.count_if(F.col(label) == 1)).first()
+    # only the columns named go on, under names of their own
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    marks = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where(F.col("label").isin(0, 1) & F.col("key").isNotNull())
+    n, good = marks.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
     share = (good / n if good else 1.0) if share is None else share
-    chosen = marks.where(F.col(label) == 1).select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed))).limit(target_rows)
-    chosen = F.broadcast(materialize(chosen.select(F.col(key).alias("chosen")), "target"))
-    marked = texts.join(chosen, texts[key] == F.col("chosen"), "left").select(F.col("chosen").isNotNull().alias("good"), texts[text].alias("text"))
+    chosen = marks.where("label = 1").select("key").distinct().orderBy(F.xxhash64("key", F.lit(seed))).limit(target_rows)
+    chosen = F.broadcast(materialize(chosen.select(F.col("key").alias("chosen")), "target"))
+    marked = rows.join(chosen, F.col("key") == F.col("chosen"), "left").select(F.col("chosen").isNotNull().alias("good"), "text")
     found = map_batches(marked, _tallied, "bucket int, raw bigint, target bigint", buckets).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[found["bucket"].to_numpy(dtype=int)], target[found["bucket"].to_numpy(dtype=int)] = found["raw"], found["target"]
     p = (raw + 0.5) / (raw.sum() + 0.5 * buckets)
     t = (1 - TOWARDS_RAW) * (target + p) / (target.sum() + 1) + TOWARDS_RAW * p
     ratio = np.log(t / p) if target.sum() else np.zeros(buckets)
-    schema = StructType([texts.schema[key], StructField("log_weight", DoubleType()), StructField("n_grams", LongType())])
-    weighed = map_batches(texts.select(key, texts[text].alias("text")), _weighed, schema, ratio)
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit("gumbel")), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    schema = StructType([StructField("key", texts.schema[key].dataType), StructField("log_weight", DoubleType()), StructField("n_grams", LongType())])
+    weighed = map_batches(rows, _weighed, schema, ratio)
+    u = (F.shiftrightunsigned(F.xxhash64("key", F.lit(seed), F.lit("gumbel")), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     weighed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     held = F.greatest(F.least(F.col("gumbel_key"), F.lit(2.0**31)), F.lit(-(2.0**31)))
     weighed = materialize(weighed.withColumn("q", F.floor(held * SCALE).cast("bigint") + OFFSET), "weighed", wide=True)
     k = math.ceil(share * weighed.count())
     least = kth_largest(weighed, "q", k) if k else 1 << 60
-    return weighed.select(key, "log_weight", "n_grams", "gumbel_key", (F.col("q") >= F.lit(least if least is not None else 0)).alias("kept"))
+    return weighed.select(F.col("key").alias(key), "log_weight", "n_grams", "gumbel_key", (F.col("q") >= F.lit(least if least is not None else 0)).alias("kept"))

@@ -5,8 +5,10 @@ blocked seed hosts against them, so that who links to blocked hosts shares their
 Both are thresholded per host.
 
 Defined results: a null url, or one without "://", has empty host and path, fits no rule and is
-allowed; a null html has no links; repeated pages count once a row; links of a host to itself
-carry nothing; an empty table gives no rows. Columns beyond those named are ignored or kept.
+allowed; of rules of one length that fit, a blocking one wins; a null html has no links; an html of
+any length is read whole; repeated pages count once a row; links of a host to itself carry nothing;
+a host whose distrust equals its trust is allowed; an empty table gives no rows. Columns beyond
+those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from .common import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)\shref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: The host of an absolute address: of a link, source, form or meta content, or anywhere with http or https before it.
+_LINK = r"""(?i)(?:\bhttps?:|\s(?:href|src|action|content)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?)//([^/?#"'<>\s\\]+)"""
+#: Of threshold / hosts, what the scores may still lack in sum when the propagation ends.
+REST = 0.01
 
 
 def host_of(url: Column) -> Column:
@@ -55,11 +60,12 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return links.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float = 0.85) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust).
 
     Scores are scaled so that the seeds of a kind hold 1 in all; mass at hosts without links is lost.
-    It ends when the scores change by less than tolerance in sum, or after so many iterations.
+    It ends once what the scores still lack is less than tolerance in sum: a round changes them by
+    damping times the round before at most, so that this takes log(tolerance) / log(damping) rounds.
     A hub is one row of the scores and many of the edges, which adaptive execution splits; sums are
     combined before the shuffle.
     """
@@ -73,7 +79,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     ways = materialize(ways.unionByName(edges.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("w"), F.lit("d").alias("kind"))), "ways")
     restart = start.select("host", "kind", (F.col("score") * (1 - damping)).alias("score"), F.lit(0.0).alias("was"))
     scores = start
-    for _ in range(iterations):
+    while True:
         moved = scores.join(ways, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("w") * damping).alias("score"), F.lit(0.0).alias("was"))
         before = scores.select("host", "kind", F.lit(0.0).alias("score"), F.col("score").alias("was"))
         new = moved.unionByName(restart).unionByName(before).groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("was").alias("was"))
@@ -82,7 +88,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
         if scores is not start:
             discard(scores)
         scores = new.select("host", "kind", "score")
-        if change < tolerance:
+        if change * damping / (1 - damping) <= tolerance:
             break
     one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(one("t").alias("trust"), one("d").alias("distrust"))
@@ -99,8 +105,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], threshold: f
     hosts = ruled.where("host <> ''").groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").cast("double").alias("trust"), F.count_if(F.col("r.verdict") == "block").cast("double").alias("distrust"))
     hosts = materialize(hosts, "hosts")
     edges = materialize(host_edges(parsed), "edges")
-    scores = propagate(edges, hosts)
     n = hosts.count()
+    scores = propagate(edges, hosts, REST * threshold / max(1, n))
     scores = scores.select("host", "trust", "distrust", ((F.col("distrust") > F.col("trust")) & (F.col("distrust") * n >= threshold)).alias("bad"))
     judged = ruled.select(key, "host", "path", "r").join(scores, "host", "left")
     verdict = F.coalesce("r.verdict", F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow"))
