@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, packing, prob_minhash, secret_scan
-from millrace.llm.common import materialize, sized, table
+from millrace.llm.common import materialize, release, sized, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced and n_chars counted anew where any was."""
-    return sized(secret_scan.redacted(docs), docs)
+    return sized(secret_scan.redacted(docs, secret_scan.ledger_of(spark, sf_dir)), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents. Ids are left out of the result as their checksum is in it."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES applied to documents, a stage's own tables let go once its rows are written. Ids are left out of the result as their checksum is in it."""
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name, wide=True)
+        release(since, docs)
     out = STAGES[-1][1](spark, docs, sf_dir)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

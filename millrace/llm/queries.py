@@ -46,7 +46,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.ledger_of(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE_RULES))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [number(k).alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE_RULES)]
@@ -86,16 +86,24 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 
 
 
+#: Each kind's matches are set off by marks and cut out; places are the lengths of what is before them. Kinds in the contract's order, then those that the method adds.
+_OP8_KINDS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "forge": r"gh[pousr]_[A-Za-z0-9]{30,}",
+}
+
+
 def _op8() -> str:
-    """Each rule's matches are set off by marks and cut out; places are the lengths of what is before them."""
-    quoted = lambda x: x.replace("'", "''")
-    mark = lambda r: f"regexp_replace(t, '(?:{quoted(r.pattern)})', chr(1) || '\\0' || chr(1), 'g')"
-    kinds = " UNION ALL ".join(f"SELECT doc_id, {k} AS o, '{r.kind}' AS kind, string_split({mark(r)}, chr(1)) AS p FROM d WHERE regexp_matches(t, '{quoted(r.pattern)}')" for k, r in enumerate(secret_scan.RULES))
-    assign = secret_scan.RULES[0]
+    quoted = {kind: pattern.replace("'", "''") for kind, pattern in _OP8_KINDS.items()}
+    kinds = " UNION ALL ".join(f"SELECT doc_id, {k} AS o, '{kind}' AS kind, string_split(regexp_replace(t, '(?:{p})', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM d WHERE regexp_matches(t, '{p}')" for k, (kind, p) in enumerate(quoted.items()))
     return f"""
 WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents), k AS ({kinds}),
-s AS (SELECT doc_id, o, kind, p[i] AS m, list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS a FROM k, unnest(range(2, len(p) + 1, 2)) AS u(i)),
-g AS (SELECT doc_id, o, a, kind || ':' || a || ':' || (a + length(m)) AS w FROM s WHERE o <> 0 OR length(regexp_extract(m, '{quoted(assign.pattern)}', {assign.group})) >= {assign.at_least}),
+s AS (SELECT doc_id, o, kind, p[i] AS m, list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS a FROM k, unnest(range(2, len(p) + 1, 2)) AS u(i) WHERE (o <> 1 OR length(p[i]) >= 20) AND (o <> 2 OR length(p[i]) >= 24) AND (o <> 0 OR length(regexp_extract(p[i], '{quoted["assign"]}', 1)) >= 6)),
+g AS (SELECT doc_id, o, a, kind || ':' || a || ':' || (a + length(m)) AS w FROM s),
 n AS (SELECT doc_id, count_if(o = 0)::BIGINT AS n0, count_if(o = 1)::BIGINT AS n1, count_if(o = 2)::BIGINT AS n2, string_agg(w, ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(w, ',' ORDER BY a, o) AS whole FROM g GROUP BY 1)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(whole, '') AS spans FROM d LEFT JOIN n USING (doc_id)
 """
@@ -131,25 +139,24 @@ SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 """
 
 
-def _op10(rounds: int = 20) -> str:
-    """The same seeds and links, with each round of the propagation written out."""
-    fits = lambda r: f"((host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}'))"
-    order = sorted(URL_RULES, key=lambda r: -len(r[1]))
-    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in order) + " END"
-    said = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in order) + " END"
-    link = url_filters._LINK.replace("'", "''")
-    lower = f"translate({{}}, '{url_filters.UPPER}', '{url_filters.LOWER}')"
-    steps = ", ".join(f"s{k} AS (SELECT host, kind, sum(score) AS score FROM (SELECT host, kind, score * (1 - 0.85::DOUBLE) AS score FROM s0 UNION ALL SELECT w.dst, kind, score * w * 0.85::DOUBLE FROM s{k - 1} JOIN ways w USING (host, kind)) GROUP BY 1, 2)" for k in range(1, rounds + 1))
-    return f"""
-WITH p AS (SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-r AS (SELECT *, {rule} AS rule FROM p), v AS (SELECT *, {said} AS said FROM r),
+#: The same rules, seeds and links; the shares of all rounds that carry anything, summed.
+_OP10 = r"""
+WITH RECURSIVE p AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+v AS (SELECT *, CASE
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+  CASE rule WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' END AS said FROM p),
 h AS (SELECT host, count_if(said = 'allow')::DOUBLE AS trust, count_if(said = 'block')::DOUBLE AS distrust FROM v WHERE host <> '' GROUP BY 1),
-e AS (SELECT host AS src, {lower.format("dst")} AS dst, count(*) AS n FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM p WHERE host <> '') GROUP BY 1, 2 HAVING src <> dst AND dst <> ''),
+e AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)(?:\bhttps?:|\s(?:href|src|action|content)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?)//([^/?#"''<>\s\\]+)', 1)) AS dst FROM p WHERE host <> '')) WHERE src <> dst GROUP BY 1, 2),
 ways AS (SELECT src AS host, dst, 't' AS kind, n / sum(n) OVER (PARTITION BY src) AS w FROM e UNION ALL SELECT dst, src, 'd', n / sum(n) OVER (PARTITION BY dst) FROM e),
-s0 AS (SELECT host, 't' AS kind, trust / (SELECT sum(trust) FROM h) AS score FROM h WHERE trust > 0 UNION ALL SELECT host, 'd', distrust / (SELECT sum(distrust) FROM h) FROM h WHERE distrust > 0), {steps},
-b AS (SELECT host FROM s{rounds} GROUP BY 1 HAVING coalesce(sum(score) FILTER (kind = 'd'), 0) > coalesce(sum(score) FILTER (kind = 't'), 0) AND coalesce(sum(score) FILTER (kind = 'd'), 0) * (SELECT count(*) FROM h) >= 0.5)
+s0 AS (SELECT host, 't' AS kind, trust / (SELECT sum(trust) FROM h) AS score FROM h WHERE trust > 0 UNION ALL SELECT host, 'd', distrust / (SELECT sum(distrust) FROM h) FROM h WHERE distrust > 0),
+r AS (SELECT 0 AS k, host, kind, 0.15::DOUBLE * score AS score FROM s0 UNION ALL SELECT k + 1, w.dst, r.kind, sum(0.85::DOUBLE * score * w) FROM r JOIN ways w ON r.host = w.host AND r.kind = w.kind WHERE k < 300 GROUP BY ALL),
+s AS (SELECT host, coalesce(sum(score) FILTER (kind = 't'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'd'), 0) AS distrust FROM r GROUP BY 1),
+b AS (SELECT host FROM s WHERE distrust > trust AND distrust * (SELECT count(*) FROM h) >= 0.5)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM v
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op6_minhash_dedup": _OP6, "op8_secret_scan": _op8(), "op9_suffix_dedup": _OP9, "op10_url_filters": _op10()}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op6_minhash_dedup": _OP6, "op8_secret_scan": _op8(), "op9_suffix_dedup": _OP9, "op10_url_filters": _OP10}

@@ -6,23 +6,30 @@ new, are joined back to all paths. Only DataFrame operations.
 
 Matches are leftmost and do not overlap within a kind; positions are code points, end exclusive.
 
-Defined results: a null text is an empty one; an empty text has no findings; repeated rows and
-copies share a blob and each get its findings; null keys are kept; an empty table gives no rows;
-columns beyond those named are ignored.
+Defined results: a null text is an empty one; an empty text has no findings; a text of any length is
+scanned whole, its cost in proportion to its length and matches; spans are ordered by start, those
+of one start by kind; repeated rows and copies share a blob and each get its findings; null keys are
+kept; an empty table gives no rows; scan() ignores columns beyond those named and redacted() keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..session import shared_dir
+from .common import exists, fresh, let, materialize, running, sized
 
 #: What marks the ends of a match. A text's own marks become the other one, which no rule matches.
 MARK, OTHER = "\x01", "\x02"
-BROADCAST_ROWS = 200_000
+#: Findings that are broadcast: so many blobs with so many spans (12 bytes each) at most.
+BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 2_000_000
+#: Characters of a piece of a text that is redacted.
+CUT = 4096
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -58,27 +65,24 @@ RULES = BASE_RULES + MORE_RULES
 
 def rule_version(rules: tuple[Rule, ...]) -> str:
     """Changes with any rule, so that old findings are not taken for those of new rules."""
-    import hashlib
-
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
 def _found(text: Column, rule: Rule, order: int) -> Column:
     """The spans of one rule in a text without MARK: the text is cut at its matches, and the pieces' lengths summed."""
     pieces = F.split(F.regexp_replace(text, F.lit(f"(?:{rule.pattern})"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    none = F.array().cast(SPANS)
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("is"), none.alias("out"))
 
-    def step(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.length(piece)
+    def emit(s: Column, piece: Column) -> Column:
         good = s["is"]
         if rule.at_least:
             good = good & (F.length(F.regexp_extract(piece, rule.pattern, rule.group)) >= rule.at_least)
-        span = F.struct(s["at"].alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), (~s["is"]).alias("is"), F.when(good, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+        return F.struct(s["end"].alias("start"), F.lit(order).alias("kind"), (s["end"] + F.length(piece)).alias("end"), good.alias("good"))
 
-    spans = F.aggregate(pieces, state, step, lambda s: s["out"])
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(none)
+    start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("is"))
+    step = lambda s, piece: F.struct((s["end"] + F.length(piece)).alias("end"), (~s["is"]).alias("is"))
+    cut = running(pieces, start, step, emit, "struct<start:int,kind:int,end:int,good:boolean>")
+    spans = F.transform(F.filter(cut, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(F.array().cast(SPANS))
 
 
 def unmarked(text: Column) -> Column:
@@ -101,63 +105,90 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def scan_new(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(paths, findings): paths (key, blob) of all rows, and findings (blob, version, spans) of blobs new to the ledger.
+def ledger_of(spark: SparkSession, source: str) -> str:
+    """The folder of the ledger that the registered queries keep for a source of texts, in the shared folder."""
+    return f"{shared_dir(spark)}/secret-ledger-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+
+
+def read_ledger(spark: SparkSession, ledger: str, version: str) -> DataFrame:
+    """(blob, spans) of all blobs that were scanned under a rule version."""
+    folder = f"{ledger}/version={version}"
+    if exists(spark, folder):
+        return spark.read.schema(f"blob string, spans {SPANS}").parquet(folder)
+    return spark.createDataFrame([], f"blob string, spans {SPANS}")
+
+
+def unseen(texts: DataFrame, blobs: DataFrame, seen: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(blob, spans) of the blobs (blob, k) that are not among those seen.
 
     Of the rows of a blob one is scanned: the one with the least key. Texts move once, to the tasks
     that scan them; a blob with very many paths is one row after its keys are combined in the map tasks.
     """
-    version = rule_version(rules)
-    paths = materialize(texts.select(F.col(key), address(F.col(text)).alias("blob")), "paths", wide=True)
-    chosen = paths.groupBy("blob").agg(F.min(key).alias("k"))
-    if ledger is not None:
-        chosen = chosen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
+    chosen = blobs.join(seen.select("blob"), "blob", "left_anti")
     body = texts.select(F.col(key).alias("k0"), address(F.col(text)).alias("b0"), F.col(text).alias("text"))
     one = body.join(chosen.hint("shuffle_hash"), (F.col("blob") == F.col("b0")) & F.col("k").eqNullSafe(F.col("k0")))
-    clean = one.select("blob", unmarked(F.col("text")).alias("text"))
-    found = clean.select("blob", F.lit(version).alias("version"), scan_text(F.col("text"), rules).alias("spans"))
-    return paths, found.groupBy("blob", "version").agg(F.first("spans").alias("spans"))
+    found = one.select("blob", unmarked(F.col("text")).alias("text")).select("blob", scan_text(F.col("text"), rules).alias("spans"))
+    return found.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
-def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, blob, spans) for every row; spans is an array of (start, kind, end), kind counted from 0 as rules are listed."""
-    paths, found = scan_new(texts, rules, ledger, key, text)
-    if ledger is not None:
-        found = found.unionByName(ledger.where(F.col("version") == rule_version(rules)).select("blob", "version", "spans"))
-    return paths.join(found, "blob", "left").select(key, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+def findings(texts: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(paths, found): paths (key, blob) of all rows, and (blob, spans) of their blobs, from the ledger once it has what was new.
 
+    A ledger is a folder of (blob, spans) for each rule version; a blob without findings is kept with
+    no spans, as scanned. Runs only append; what two runs at once have both scanned counts once.
+    """
+    spark, version = texts.sparkSession, rule_version(rules)
+    paths = materialize(texts.select(F.col(key), address(F.col(text)).alias("blob")), "paths", wide=True)
+    blobs = materialize(paths.groupBy("blob").agg(F.min(key).alias("k")), "blobs", wide=True)
+    new = unseen(texts, blobs, read_ledger(spark, ledger, version), rules, key, text)
+    sized(new, paths).write.mode("append").parquet(f"{ledger}/version={version}")
+    found = read_ledger(spark, ledger, version).join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("spans").alias("spans"))
+    # written before it is joined, so that a blob with very many paths can be split
+    return paths, materialize(found, "findings", wide=True)
 
-def append_ledger(ledger_path: str, found: DataFrame) -> None:
-    """Keep the findings of a run for the next one; a blob without findings is kept with no spans, as scanned."""
-    found.write.mode("append").parquet(ledger_path)
+
+def scan(texts: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, blob, spans) for every row; spans is an array of (start, kind, end), kind counted from 0 as rules are listed."""
+    paths, found = findings(texts, ledger, rules, key, text)
+    return paths.join(found, "blob", "left").select(key, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redact(text: Column, spans: Column, by: str = "[secret]") -> Column:
-    """The text with each of its spans, overlaps merged, replaced."""
+    """The text with each of its spans, overlaps merged, replaced. The text is taken in pieces of CUT characters, so that no span counts them from the start."""
     source = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    emit = lambda at, span: F.struct(at.alias("from"), span["start"].alias("to"), (span["start"] >= at).alias("fresh"))
+    gaps = F.filter(running(spans, F.lit(0), lambda at, span: F.greatest(at, span["end"]), emit, "struct<from:int,to:int,fresh:boolean>"), lambda g: g["fresh"])
+    last = F.aggregate(spans, F.lit(0), lambda at, span: F.greatest(at, span["end"]))
+
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        i, j = F.floor(start / CUT).cast("int"), F.floor(end / CUT).cast("int")
+        piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        within = F.substring(piece(i), start % CUT + 1, end - start)
+        across = F.concat(F.substring(piece(i), start % CUT + 1, F.lit(CUT)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(piece(j), F.lit(1), end % CUT))
+        return F.when(i == j, within).otherwise(across)
 
-    def step(s: Column, span: Column) -> Column:
-        fresh = span["start"] >= s["at"]
-        out = F.concat(s["out"], F.substring(source, s["at"] + 1, span["start"] - s["at"]), F.lit(by))
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(fresh, out).otherwise(s["out"]).alias("out"))
+    def joined(pieces: Column) -> Column:
+        kept = F.concat(F.transform(gaps, lambda g: between(pieces, g["from"], g["to"])), F.array(between(pieces, last, F.length(source))))
+        return F.array_join(kept, by)
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(source, s["at"] + 1, F.length(source))))
+    return let(F.regexp_extract_all(source, F.lit("(?s).{1,%d}" % CUT), F.lit(0)), joined)
 
 
-def redacted(texts: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+def redacted(texts: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
     """texts with the same columns, secrets in text replaced, and size, where there is such a column, the new number of characters.
 
-    Only rows with findings are changed; they are found by key and content, so texts do not move
-    while the findings are few.
+    Only rows with findings are changed; they are found by content, so texts do not move while the
+    findings are few.
     """
-    found = scan(texts, rules, ledger, key, text).where(F.size("spans") > 0)
-    found = materialize(found.groupBy("blob").agg(F.first("spans").alias("spans")), "findings")
-    small = found.count() <= BROADCAST_ROWS
-    renamed = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = texts.withColumn("__address", address(F.col(text))).join(F.broadcast(renamed) if small else renamed, F.col("__address") == F.col("__blob"), "left")
-    marked = joined.withColumn("__new", F.when(F.col("__spans").isNotNull(), redact(F.col(text), F.col("__spans"))))
-    changed = {text: F.coalesce("__new", text)}
+    _, found = findings(texts, ledger, rules, key, text)
+    found = found.where(F.size("spans") > 0)
+    rows, spans = found.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    small = rows <= BROADCAST_ROWS and (spans or 0) <= BROADCAST_SPANS
+    blob, own, at, new = fresh(texts, "blob", "address", "spans", "new")
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(at))
+    joined = texts.withColumn(own, address(F.col(text))).join(F.broadcast(found) if small else found, F.col(own) == F.col(blob), "left")
+    marked = joined.withColumn(new, F.when(F.col(at).isNotNull(), redact(F.col(text), F.col(at))))
+    changed = {text: F.coalesce(new, text)}
     if size in texts.columns:
-        changed[size] = F.coalesce(F.length("__new"), size).cast(texts.schema[size].dataType)
+        changed[size] = F.coalesce(F.length(new), size).cast(texts.schema[size].dataType)
     return marked.select(*[changed.get(c, F.col(c)).alias(c) for c in texts.columns])

@@ -48,3 +48,21 @@ def test_op_has_its_columns_and_all_documents(spark, name, columns):
     got = OPS[name](spark, SF)
     assert ", ".join(f"{n} {t}" for n, t in got.dtypes) == columns
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_url_query_on_pages_with_links_equals_sql(spark, tmp_path):
+    """A table whose hosts link to each other, at the level of the query."""
+    import random
+
+    rng = random.Random(2)
+    hosts = [f"h{k}.{rng.choice(['example.com', 'example.net', 'org', 'io'])}" for k in range(40)]
+    forms = ['<a href="https://{}/x">', "<link rel=canonical href=//{}>", '<meta property="og:url" content="http://{}/">', "<script>f('https://{}?a')</script>"]
+    rows = [(k, f"https://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'fr', 'x'])}/{k}", "".join(rng.choice(forms).format(rng.choice(hosts)) for _ in range(rng.randint(0, 4)))) for k in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = OPS["op10_url_filters"](spark, str(tmp_path)), con.sql(entry_file.oracle_sql()["op10_url_filters"])
+    mine = plain([tuple(r) for r in got.collect()], got.columns)
+    assert mine == plain(want.fetchall(), want.columns)
+    judged = [r for r in got.collect() if r.rule is None]
+    assert {r.verdict for r in judged} == {"allow", "block"}

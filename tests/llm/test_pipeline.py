@@ -7,9 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import prob_minhash
-
 from .test_decontaminate import brute as leaks
+from .test_models import fused
 from .test_near_dedup import brute as classes
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +37,10 @@ def test_stages_keep_the_columns(spark, steps):
 def test_each_stage_equals_brute_force(spark, steps):
     before, after = rows(steps[0][0]), rows(steps[0][1])
     assert len(after) >= 0.98 * len(before)
+    _, judged = fused(spark, [(k, r.text, r.lang, r.source) for k, r in before.items()])
+    good = {k for k, (logs, evidence) in judged.items() if evidence is not None and evidence >= 0.3 and np.exp(logs - logs.max()).sum() <= 2}
+    open_ = {k for k, (_, evidence) in judged.items() if evidence is not None and abs(evidence - 0.3) < 1e-4}
+    assert set(after) - open_ == good - open_
     before, after = rows(steps[1][0]), rows(steps[1][1])
     want = classes([(k, r.text) for k, r in before.items()])
     assert set(after) == set(want.values())
@@ -73,7 +76,7 @@ def test_packing_is_whole(steps):
         assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and own[0][0] == 0 and sum(own[-1]) <= 2048
 
 
-def test_run_gives_checksums(spark):
-    got = corpus_pipeline.run(spark, SF)
-    assert "ids_crc32" in got.columns and got.count() > 100
-    assert zlib.crc32(b"") == 0 and prob_minhash.BANDS == 25
+def test_run_gives_checksums(spark, steps):
+    got = corpus_pipeline.run(spark, SF).collect()
+    want = {(p.doc_id, p.piece): zlib.crc32(p.ids) for p in steps[4][1].collect()}
+    assert {(p.doc_id, p.piece): p.ids_crc32 for p in got} == want and len(got) == len(want)
