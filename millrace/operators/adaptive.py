@@ -1,14 +1,19 @@
 """Adaptive polling: scores over recent polls, band thresholds, intervals as folds, schedules and shares.
 
-The window forms read whole histories of a key from a shuffle by that key; folds go through
-ordered arrays with higher-order functions, inside the JVM.
+The window forms read whole histories of a key from a shuffle by that key; folds stream through
+sorted rows with one state in memory.
 """
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
+
 #: Fixed values of the polling rules: weights of the last five polls, hours in seconds, shares of ranks.
 WEIGHTS = (0.10, 0.15, 0.20, 0.25, 0.30)
 LEAST_POLLS, MOST_JOBS = 3, 10
@@ -67,25 +72,33 @@ def cap(score: Column, moderate: float) -> Column:
     return F.when(score.isNotNull() & (score > 0) & (score >= moderate), MODERATE).otherwise(DEFAULT)
 
 
-def intervals(polls: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("date", "slot"), found: str = "new_jobs", low: float = 0.3, moderate: float = 0.8, active: float = 1.5) -> DataFrame:
-    """(key, n_polls, score, interval_s) after folding all polls of a key, from the default interval."""
-    history = polls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.least(F.col(found), F.lit(MOST_JOBS)).cast("double").alias("c")))).alias("h"))
-    start = F.struct(F.array().cast("array<double>").alias("recent"), F.lit(DEFAULT).alias("interval"))
+def _polled(state: tuple, found: float | None, low: float, moderate: float, active: float) -> tuple[tuple, list]:
+    """One poll: counts kept, interval, polls so far and score."""
+    recent, interval, n, _ = state
+    recent = (*recent, float(min(found or 0, MOST_JOBS)))[-len(WEIGHTS) :]
+    score = None
+    if len(recent) >= LEAST_POLLS:
+        weights = WEIGHTS[-len(recent) :]
+        score = sum(c * w for c, w in zip(recent, weights, strict=True)) / sum(weights)
+    if not score:
+        to = DEFAULT
+    else:
+        to = LOW if score < low else MODERATE if score < moderate else ACTIVE if score < active else SHORTEST
+    new = to if to < interval else math.floor(SMOOTHING * to + (1 - SMOOTHING) * interval)
+    return (recent, min(new, MODERATE if score and score >= moderate else DEFAULT), n + 1, score), []
 
-    def step(s: Column, x: Column) -> Column:
-        recent = F.concat(F.slice(s["recent"], F.greatest(F.lit(1), F.size(s["recent"]) - len(WEIGHTS) + 2), len(WEIGHTS)), F.array(x["c"]))
-        score = score_of(recent)
-        interval = F.least(next_interval(band(score, low, moderate, active), s["interval"]), cap(score, moderate))
-        return F.struct(recent.alias("recent"), interval.alias("interval"))
 
-    done = history.select(key, F.size("h").alias("n_polls"), F.aggregate("h", start, step).alias("s"))
-    return done.select(key, F.col("n_polls").cast("bigint").alias("n_polls"), F.round(score_of(F.col("s.recent")), 6).alias("score"), F.col("s.interval").cast("bigint").alias("interval_s"))
+def intervals(polls: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("date", "slot"), found: str = "new_jobs", low: float = 0.3, moderate: float = 0.8, active: float = 1.5) -> DataFrame:
+    """(key, n_polls, score, interval_s) after folding all polls of a key in order, from the default interval."""
+    step = partial(_polled, low=low, moderate=moderate, active=active)
+    end = lambda s: [(s[2], None if s[3] is None else round(s[3], 6), s[1])]
+    return fold(polls, key, order, [found], lambda: ((), DEFAULT, 0, None), step, end, "n_polls bigint, score double, interval_s bigint")
 
 
 def ema(rows: DataFrame, key: str, order: tuple[str, ...], value: str, seed: float, alpha: float = 0.3) -> DataFrame:
-    """Exponential mean of a key's values in order."""
-    history = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("x")))).alias("h"))
-    return history.select(key, F.round(F.aggregate("h", F.lit(seed), lambda a, x: alpha * x["x"] + (1 - alpha) * a), 4).alias("ema"))
+    """Exponential mean of a key's values in order; null values are passed over."""
+    step = lambda a, x: (a if x is None else alpha * float(x) + (1 - alpha) * a, [])
+    return fold(rows, key, order, [value], lambda: seed, step, lambda a: [(a,)], "ema double").withColumn("ema", F.round("ema", 4))
 
 
 def max_gap(points: DataFrame, key: str, at: str, lo: float, hi: float, target: float) -> DataFrame:

@@ -6,12 +6,19 @@ shuffle; windows are over one platform's days or one key's few rows.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
+
 KINDS = ("timeout", "5xx", "429", "404")
 SCALING_TYPES = ("worker_add", "worker_remove", "outage_start", "outage_end", "canary_probe", "ceiling_learned")
 
+#: A stretch of time that a task counts sliding windows in, as a multiple of the window.
+STRETCH = 16
+
 
 def pct(part: Column, whole: Column, digits: int = 1, empty: float | None = 0.0) -> Column:
     """100 * part / whole, rounded; empty where whole is not over 0."""
@@ -217,19 +224,28 @@ def liveness_gaps(beats: DataFrame, hours: int) -> DataFrame:
 
 
 def sliding_count(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """For each event how many of its key fell in the seconds up to it, the far end left out; two limits a row, requests and weight."""
-    w = Window.partitionBy(key).orderBy("us").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    """For each event how many of its key fell in the seconds up to it, the far end left out; two limits a row, requests and weight.
+
+    Windows are within stretches of time, so that a key with very many events is dealt to many
+    tasks; the last seconds of a stretch are copied to the next one, which looks back on them.
+    """
+    width, back = STRETCH * seconds * 1_000_000, seconds * 1_000_000
     rows = events.select(key, "event_id", "ms", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.select(key, "event_id", F.count("*").over(w).alias("requests"), F.sum("ms").over(w).alias("weight"))
+    own = F.floor(F.col("us") / width).cast("bigint")
+    late = F.pmod("us", F.lit(width)) > width - back
+    stretches = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = rows.select("*", F.posexplode(stretches).alias("copy", "stretch"))
+    w = Window.partitionBy(key, "stretch").orderBy("us").rangeBetween(-back + 1, 0)
+    counted = dealt.select(key, "event_id", "copy", F.count("*").over(w).alias("requests"), F.sum("ms").over(w).alias("weight"))
+    return counted.where("copy = 0").drop("copy")
 
 
 def interarrival(events: DataFrame, key: str, low: float, high: float) -> DataFrame:
-    """A key's mean gap between events in seconds, twice of which, clamped, is its time to live."""
-    w = Window.partitionBy(key).orderBy("us", "event_id")
-    rows = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    gaps = rows.select(key, ((F.col("us") - F.lag("us").over(w)) / 1e6).alias("gap"))
-    mean = F.avg("gap")
-    return gaps.groupBy(key).agg(F.round(mean, 3).alias("mean_gap_s"), F.round(F.least(F.greatest(mean * 2, F.lit(low)), F.lit(high)), 3).alias("ttl_s"))
+    """A key's mean gap between events in seconds, twice of which, clamped, is its time to live. The gaps' sum is the last time less the first."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.groupBy(key).agg(F.min(us).alias("first"), F.max(us).alias("last"), F.count(us).alias("n"))
+    mean = F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / 1e6 / (F.col("n") - 1))
+    return rows.select(key, F.round(mean, 3).alias("mean_gap_s"), F.when(mean.isNotNull(), F.round(F.least(F.greatest(mean * 2, F.lit(low)), F.lit(high)), 3)).alias("ttl_s"))
 
 
 def peak_buffer(daily: DataFrame) -> DataFrame:
@@ -251,11 +267,19 @@ def rising(daily: DataFrame) -> DataFrame:
 
 
 def alert_dedup(alerts: DataFrame, hours: int = 24) -> DataFrame:
-    """Alerts with none of their type and platform in the hours before; all earlier ones count, raised or not."""
-    w = Window.partitionBy("platform", "kind").orderBy("us", "event_id")
+    """Alerts with none of their type and platform in the hours before; all earlier ones count, raised or not.
+
+    Within stretches of that many hours the alert before is looked up by a window; before a
+    stretch's first one it is the last of the stretch before, if there is any.
+    """
+    width = hours * 3_600_000_000
     rows = alerts.select("platform", "kind", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    rows = rows.withColumn("gap", F.col("us") - F.lag("us").over(w))
-    return rows.where(F.col("gap").isNull() | (F.col("gap") > hours * 3_600_000_000)).select("platform", "kind", "event_id")
+    rows = rows.withColumn("stretch", F.floor(F.col("us") / width).cast("bigint"))
+    last = rows.groupBy("platform", "kind", (F.col("stretch") + 1).alias("stretch")).agg(F.max("us").alias("last"))
+    w = Window.partitionBy("platform", "kind", "stretch").orderBy("us", "event_id")
+    rows = rows.withColumn("before", F.lag("us").over(w)).join(last, ["platform", "kind", "stretch"], "left")
+    gap = F.col("us") - F.coalesce("before", "last")
+    return rows.where(gap.isNull() | (gap > width)).select("platform", "kind", "event_id")
 
 
 def backoff(failures: Column) -> Column:
@@ -273,3 +297,33 @@ def drain_target(pool: DataFrame) -> DataFrame:
     """Workers that drain a queue in the time left at the 75th percentile of a fetch, with what keeps up with arrivals; clamped."""
     need = F.ceil(F.col("depth") * F.col("fetch_p75") / F.col("time_left") + F.col("arrivals") * F.col("fetch_p75"))
     return pool.select("platform", F.greatest(F.lit(1), F.least(need, F.lit(50))).cast("bigint").alias("workers"))
+
+
+def _held(state: tuple, cycle: int, depth: int, delay: float, fire: int, calm: float, stable: int, longest: int) -> tuple[tuple, list]:
+    """One cycle of a pool: depth before, whether it is held, calm cycles in a row, cycles held."""
+    before, active, quiet, held = state
+    inflow = max(0, depth - before) if before is not None else 0
+    draining = before is not None and depth < before
+    if not active:
+        if depth >= fire and not draining:
+            return (depth, True, 0, 0), [(cycle, "fired", depth, inflow)]
+        return (depth, False, 0, 0), []
+    quiet, held = (quiet + 1 if delay < calm else 0), held + 1
+    if quiet >= stable or held >= longest:
+        return (depth, False, 0, 0), [(cycle, "lifted", depth, inflow)]
+    return (depth, True, quiet, held), []
+
+
+def backpressure(cycles: DataFrame, fire: int = 2000, calm: float = 15.0, stable: int = 3, longest: int = 60) -> DataFrame:
+    """(pool, cycle, event, depth, inflow): when a pool's inflow is held and let go, from cycles (pool, cycle, depth, delay).
+
+    It is held from a depth on, but while the queue drains by itself; it is let go after so many calm
+    cycles in a row, or when it has been held for the longest that is allowed.
+    """
+    step = partial(_held, fire=fire, calm=calm, stable=stable, longest=longest)
+    return fold(cycles, "pool", ["cycle"], ["cycle", "depth", "delay"], lambda: (None, False, 0, 0), step, None, "cycle bigint, event string, depth bigint, inflow bigint")
+
+
+def admission(queues: DataFrame, most: int = 5000, some: int = 2000) -> DataFrame:
+    """What may be put into a queue of a depth: nothing, only what is urgent, or all."""
+    return queues.select("pool", F.when(F.col("depth") > most, "defer").when(F.col("depth") > some, "urgent_only").otherwise("admit").alias("policy"))

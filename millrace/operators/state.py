@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
+
+#: Hosts of portals, fixed values.
 PORTALS = {
     "greenhouse": ("greenhouse.io",), "workday": ("myworkdayjobs.com", "workday.com"), "lever": ("lever.co",), "ashby": ("ashbyhq.com",), "smartrecruiters": ("smartrecruiters.com",), "bamboohr": ("bamboohr.com",), "icims": ("icims.com",),
     "taleo": ("taleo.net",), "indeed": ("indeed.com",), "linkedin": ("linkedin.com",), "jobvite": ("jobvite.com",), "breezy": ("breezy.hr",), "recruitee": ("recruitee.com",), "dover": ("dover.com",),
@@ -71,23 +75,40 @@ def due(schedule: DataFrame, as_of: float, limit: int) -> DataFrame:
     return schedule.where(F.col("due_at") <= as_of).orderBy("tier", "due_at", "company").limit(limit)
 
 
+def _judged(state: tuple, bucket: int, error_rate: float, limit: float, most: int) -> tuple[tuple, list]:
+    """One bucket: whether the one before was bad, how often in a row that has not helped, whether an outage is on."""
+    before, ineffective, outage = state
+    bad = error_rate is not None and error_rate > limit
+    if outage:
+        return (False, 0, bad), ([] if bad else [(bucket, "outage_end")])
+    if before and bad and ineffective + 1 >= most:
+        return (False, 0, True), [(bucket, "outage_start")]
+    count = ineffective + 1 if before and bad else 0 if before else ineffective
+    return (bad, count, False), ([(bucket, "deprioritize")] if bad else [])
+
+
 def outages(windows: DataFrame, limit: float = 0.10, most: int = 3) -> DataFrame:
     """(platform, bucket, event): what a platform's error rates lead to, bucket by bucket.
 
     Over the limit it is deprioritised; if that has not helped so many times an outage starts; in
     one, the first bucket within the limit ends it. A fold over each platform's ordered buckets.
     """
-    rows = windows.groupBy("platform").agg(F.array_sort(F.collect_list(F.struct("bucket", "error_rate"))).alias("h"))
-    none = F.array().cast("array<struct<bucket:bigint,event:string>>")
-    start = F.struct(F.lit(False).alias("before"), F.lit(0).alias("ineffective"), F.lit(False).alias("outage"), none.alias("events"))
-
-    def step(s: Column, x: Column) -> Column:
-        bad = x["error_rate"] > limit
-        again = s["before"] & bad
-        out = ~s["outage"] & again & (s["ineffective"] + 1 >= most)
-        count = F.when(s["outage"] | out | (s["before"] & ~bad), 0).when(again, s["ineffective"] + 1).otherwise(s["ineffective"])
-        event = F.when(s["outage"], F.when(~bad, "outage_end")).when(out, "outage_start").when(bad, "deprioritize")
-        said = F.when(event.isNotNull(), F.concat(s["events"], F.array(F.struct(x["bucket"].alias("bucket"), event.alias("event"))))).otherwise(s["events"])
-        return F.struct((~s["outage"] & bad & ~out).alias("before"), count.alias("ineffective"), F.when(s["outage"], bad).otherwise(out).alias("outage"), said.alias("events"))
-
-    return rows.select("platform", F.explode(F.aggregate("h", start, step, lambda s: s["events"])).alias("e")).select("platform", "e.*")
+    return fold(windows, "platform", ["bucket"], ["bucket", "error_rate"], lambda: (False, 0, False), partial(_judged, limit=limit, most=most), None, "bucket bigint, event string")
+
+
+def _probed(state: tuple, bucket: int, error_rate: float, canaries: int, failed: int, limit: float, most: int, least: int) -> tuple[tuple, list]:
+    """One bucket of the machine with canaries: outside outages as _judged, in one only the canaries speak."""
+    if not state[2]:
+        return _judged(state, bucket, error_rate, limit, most)
+    if not canaries:
+        return state, [(bucket, "probe")]
+    if canaries >= least and not failed:
+        return (False, 0, False), [(bucket, "outage_end")]
+    return state, [(bucket, "canary_failed" if failed else "probe")]
+
+
+def probed_outages(windows: DataFrame, limit: float = 0.10, most: int = 3, least: int = 1) -> DataFrame:
+    """(platform, bucket, event) from windows (platform, bucket, error_rate, canaries, failed): as outages(), but in an outage all work is
+    held and canary requests are sent; so many of them in a bucket, none failed, end it."""
+    step = partial(_probed, limit=limit, most=most, least=least)
+    return fold(windows, "platform", ["bucket"], ["bucket", "error_rate", "canaries", "failed"], lambda: (False, 0, False), step, None, "bucket bigint, event string")

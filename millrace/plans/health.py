@@ -51,7 +51,7 @@ QUERIES = {
     "q_stall_vote": lambda s, d: H.stall_votes(_daily(s, d).select("platform", "date", F.col("errors").alias("overdue"), (F.col("made") % 3).alias("head"), (F.col("made") % 2).alias("processed"))),
     "q_hung": lambda s, d: H.hung(_beats(s, d).groupBy("worker").agg(F.max("ts").alias("last_beat")), _beats(s, d).where("class = '429'").select("worker").distinct()),
     "q_liveness_gaps": lambda s, d: H.liveness_gaps(_beats(s, d), 24),
-    "q_sliding_60s": lambda s, d: H.sliding_count(role(s, d, "requests"), "platform", 600),
+    "q_sliding_60s": lambda s, d: H.sliding_count(role(s, d, "requests"), "platform", 60),
     "q_interarrival": lambda s, d: H.interarrival(role(s, d, "requests"), "platform", 60.0, 86400.0),
     "q_peak_buffer": lambda s, d: H.peak_buffer(_daily(s, d)),
     "q_rising": lambda s, d: H.rising(_daily(s, d)),
@@ -117,7 +117,7 @@ ORACLE_SQL = {
  + (CASE WHEN abs(made % 3 - lag(made % 3) OVER w) <= 1 THEN 1 ELSE 0 END) + (CASE WHEN made % 2 = lag(made % 2) OVER w THEN 1 ELSE 0 END) AS votes FROM daily WINDOW w AS (PARTITION BY platform ORDER BY date))"""),
     "q_hung": oracle("requests", body="SELECT user_id AS worker, max(ts) AS last_beat FROM requests GROUP BY 1 HAVING count_if(class = '429') = 0"),
     "q_liveness_gaps": oracle("requests", body="SELECT user_id AS worker, since, until FROM (SELECT user_id, ts AS until, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM requests) WHERE until - since > INTERVAL 24 HOUR"),
-    "q_sliding_60s": oracle("requests", body="SELECT platform, event_id, count(*) OVER w AS requests, (sum(ms) OVER w)::BIGINT AS weight FROM (SELECT *, epoch_us(ts) AS us FROM requests) WINDOW w AS (PARTITION BY platform ORDER BY us RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)"),
+    "q_sliding_60s": oracle("requests", body="SELECT platform, event_id, count(*) OVER w AS requests, (sum(ms) OVER w)::BIGINT AS weight FROM (SELECT *, epoch_us(ts) AS us FROM requests) WINDOW w AS (PARTITION BY platform ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)"),
     "q_interarrival": oracle("requests", body="SELECT platform, round(avg(gap), 3) AS mean_gap_s, round(least(greatest(avg(gap) * 2, 60.0), 86400.0), 3) AS ttl_s FROM (SELECT platform, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY platform ORDER BY ts, event_id)) / 1e6 AS gap FROM requests) GROUP BY 1"),
     "q_peak_buffer": oracle("requests", body=_DAILY + """ SELECT platform, date, max(peak) OVER (w RANGE BETWEEN 27 PRECEDING AND CURRENT ROW) AS peak_28d,
  round(greatest(coalesce((max(peak) OVER (w RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))::DOUBLE / (max(peak) OVER (w RANGE BETWEEN 27 PRECEDING AND 7 PRECEDING)) - 1, 0.0), 0.0), 6) AS growth,
