@@ -76,10 +76,23 @@ def _two_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         yield pd.Series([weighted_ratio(w, x) >= 80 and (not y or not z or token_sort_ratio(y, z) >= 70) for w, x, y, z in zip(a, b, t, u, strict=True)], dtype="bool")
 
 
+#: Right rows of a block that one task pairs with the block's left ones.
+BLOCK_ROWS = 10_000
+
+
+def in_blocks(left: DataFrame, right: DataFrame, block: str, by: str, most: int = BLOCK_ROWS) -> DataFrame:
+    """left and right joined on a block; a block of many right rows is dealt by them to parts, each of which meets all of the block's left rows."""
+    parts = right.groupBy(block).agg(F.count("*").alias("n")).select(block, F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = right.join(parts, block).withColumn("part", F.pmod(F.xxhash64(by), "parts").cast("int")).drop("parts")
+    copied = left.join(parts, block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return copied.join(dealt, [block, "part"])
+
+
 def match_two_fields(messages: DataFrame, applications: DataFrame) -> DataFrame:
     """(message_id, application_id): the same platform, alike companies and, where both have one, alike titles."""
     ship(messages.sparkSession)
-    pairs = messages.select("message_id", "platform", F.lower("company").alias("a"), F.lower("title").alias("t")).join(applications.select("application_id", "platform", F.lower("company").alias("b"), F.lower("title").alias("u")), "platform")
+    pairs = messages.select("message_id", "platform", F.lower("company").alias("a"), F.lower("title").alias("t"))
+    pairs = in_blocks(pairs, applications.select("application_id", "platform", F.lower("company").alias("b"), F.lower("title").alias("u")), "platform", "application_id")
     good = F.pandas_udf(_two_fields, BooleanType())("a", "b", "t", "u")
     return pairs.where(good).select("message_id", "application_id")
 
@@ -95,11 +108,13 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float = 40.0, k: int = 3) -> DataFrame:
-    """(left_id, right_id, score, rank): of the right rows in a left row's block, the k most alike by name."""
+    """(left_id, right_id, score, rank): of the right rows in a left row's block, the k most alike by name; of each part of a large block k at most go on."""
     ship(left.sparkSession)
-    pairs = left.select("left_id", F.col("name").alias("a"), "block").join(right.select("right_id", F.col("name").alias("b"), "block"), "block")
-    scored = pairs.select("left_id", "right_id", F.round(similarity(F.col("a"), F.col("b")), 4).alias("score")).where(F.col("score") >= least)
-    w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    pairs = in_blocks(left.select("left_id", F.col("name").alias("a"), "block"), right.select("right_id", F.col("name").alias("b"), "block"), "block", "right_id")
+    scored = pairs.select("left_id", "right_id", "part", F.round(similarity(F.col("a"), F.col("b")), 4).alias("score")).where(F.col("score") >= least)
+    order = (F.desc("score"), "right_id")
+    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("left_id", "part").orderBy(*order))).where(F.col("rank") <= k).drop("part", "rank")
+    w = Window.partitionBy("left_id").orderBy(*order)
     return scored.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
@@ -111,10 +126,13 @@ def decide(ranked: DataFrame, sure: float = 95.0, good: float = 80.0, gap: float
 
 
 def keyword_subset(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id): every word of a left name is in the right one; one-word names need an equal name. Joined on the left's longest word."""
-    a = left.select("left_id", F.filter(F.split("name", " "), lambda t: t != "").alias("w")).where(F.size("w") > 0)
-    a = a.select("left_id", "w", F.element_at(F.array_sort("w", lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)), 1).alias("key"))
+    """(left_id, right_id): every word of a left name is in the right one; one-word names need an equal name. Joined on the left word that the fewest right names have."""
+    a = left.select("left_id", F.array_distinct(F.filter(F.split("name", " "), lambda t: t != "")).alias("w"), F.size(F.filter(F.split("name", " "), lambda t: t != "")).alias("n")).where("n > 0")
     b = right.select("right_id", F.filter(F.split("name", " "), lambda t: t != "").alias("v"))
-    b = b.select("right_id", "v", F.explode(F.array_distinct("v")).alias("key"))
-    fits = (F.size(F.array_except("w", "v")) == 0) & ((F.size("w") > 1) | (F.size("v") == 1))
-    return a.join(b, "key").where(fits).select("left_id", "right_id")
+    words = b.select("right_id", "v", F.explode(F.array_distinct("v")).alias("key"))
+    counts = words.groupBy("key").agg(F.count("*").alias("names"))
+    # a word that no right name has rules its left name out; of the others the rarest makes the fewest pairs
+    rated = a.select("left_id", "w", "n", F.explode("w").alias("key")).join(counts, "key")
+    rarest = rated.groupBy("left_id", "w", "n").agg(F.count("*").alias("known"), F.min_by("key", F.struct("names", "key")).alias("key")).where(F.col("known") == F.size("w"))
+    fits = (F.size(F.array_except("w", "v")) == 0) & ((F.col("n") > 1) | (F.size("v") == 1))
+    return rarest.join(words, "key").where(fits).select("left_id", "right_id")
