@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ ABBREVIATIONS = {
     "SVCS": "SERVICES", "SRVCS": "SERVICES", "TECHNOL": "TECHNOLOGIES", "INTL": "INTERNATIONAL", "MGMT": "MANAGEMENT", "MGT": "MANAGEMENT",
     "NATL": "NATIONAL", "MFG": "MANUFACTURING", "GRP": "GROUP", "LTD": "LIMITED", "PWC": "PRICEWATERHOUSECOOPERS", "UNIV": "UNIVERSITY",
 }
+#: Legal forms at the end of names, fixed values.
 LEGAL_SUFFIXES = "INCORPORATED|INC|LLC|LLP|LP|CORPORATION|CORP|COMPANY|CO|LIMITED|LTD|PLC|GMBH"
 
 
@@ -58,7 +61,7 @@ def parse_date(value: Column) -> Column:
     of_number = F.when(number > 100_000_000_000, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number))
     # fixed forms, in order
     forms = ["yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy"]
-    iso = F.when(F.regexp_like(v, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.expr("1").cast("string"))
+    iso = F.when(F.regexp_like(v, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.lit("1"))
     parsed = [F.when(iso.isNotNull(), F.try_to_timestamp(F.regexp_replace(v, " ", "T")))] + [F.try_to_timestamp(v, F.lit(f)) for f in forms]
     return F.coalesce(of_number, *parsed)
 
@@ -125,3 +128,103 @@ def json_ld(html: Column, type_: str) -> Column:
     bodies = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
     good = F.filter(bodies, lambda b: F.get_json_object(b, "$.@type") == type_)
     return F.get(good, 0)
+
+
+def absolute_url(value: Column, base: Column) -> Column:
+    """A page's link as an address: as it is with http or https, else resolved against the page's; empty for a blank one, itself without a base."""
+    v, b = F.trim(F.coalesce(value, F.lit(""))), F.coalesce(base, F.lit(""))
+    scheme = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    origin = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path, query = F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(b, r"(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(v, r"^([^?#]*)", 1), F.regexp_extract(v, r"^[^?#]*(.*)$", 1)
+    at = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1)), own))
+    parts = F.split(at, "/")
+    last = F.element_at(parts, -1)
+    # . stays where it is and .. goes up one; both at the end leave a folder
+    walk = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when(p == ".", s).when(p == "..", F.when(F.size(s) > 1, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)).otherwise(F.concat(s, F.array(p))))
+    resolved = F.concat(F.array_join(walk, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return (
+        F.when(v == "", "")
+        .when(F.regexp_like(v, F.lit("(?i)^https?:")), v)
+        .when(origin == "", v)
+        .when(F.regexp_like(v, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), v)
+        .when(v.startswith("//"), F.concat(scheme, F.lit(":"), v))
+        .when(own == "", F.concat(origin, path, F.when(v.startswith("?"), v).otherwise(F.concat(query, v))))
+        .otherwise(F.concat(origin, resolved, rest))
+    )
+
+
+def slug_text(slug: Column) -> Column:
+    """What a slug says: of a JSON object its text values, else itself; lower case."""
+    values = F.map_values(F.from_json(slug, "map<string,string>"))
+    texts = F.filter(values, lambda x: x.isNotNull() & ~F.regexp_like(x, F.lit(r"^(?:-?\d+(?:\.\d+)?|true|false|null|[\[{].*)$")))
+    return F.lower(F.when(F.try_parse_json(slug).isNotNull() & F.ltrim(slug).startswith("{"), F.array_join(texts, " ")).otherwise(F.coalesce(slug, F.lit(""))))
+
+
+def compound_parts(name: Column) -> Column:
+    """The parts of a compound name in order: itself, its pieces between underscores, hyphens and dots, and its humps; lower case, each once."""
+    split = [F.split(name, p) for p in ("_", "-", r"\.")]
+    humps = F.regexp_extract_all(name, F.lit(r"[A-Z]?[a-z0-9]+|[A-Z]+(?=[A-Z]|$)"), F.lit(0))
+    whole = F.concat(F.array(name), *split, humps)
+    return F.array_sort(F.array_distinct(F.filter(F.transform(whole, F.lower), lambda p: p != "")))
+
+
+#: Words that say nothing about which company it is, fixed values.
+COMPANY_WORDS = "inc|corp|llc|ltd|co|company|technologies|tech|systems|solutions|services|group|holding|holdings"
+
+
+def company_words(name: Column) -> Column:
+    """A company's name in lower case without the words that say nothing."""
+    x = F.trim(F.regexp_replace(F.lower(F.trim(name)), rf"\b({COMPANY_WORDS})\.?\b", ""))
+    return F.regexp_replace(x, r"^[.,]+|[.,]+$", "")
+
+
+def company_keywords(name: Column) -> Column:
+    """The words of a company's name that tell it from others, of three letters at least."""
+    return F.filter(F.split(company_words(name), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+
+
+def company_slugs(name: Column) -> Column:
+    """Slugs that a company may have, the likeliest first: joined, hyphened, its first word, its first two."""
+    x = company_words(name)
+    words = F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "")
+    joined = F.regexp_replace(x, "[^a-z0-9]", "")
+    hyphened = F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    two = F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 2), "")).otherwise(joined)
+    return F.array_distinct(F.filter(F.array(joined, hyphened, F.element_at(F.split(x, "[^a-z0-9]"), 1), two), lambda v: v != ""))
+
+
+def cache_key(*parts: Column) -> Column:
+    """The SHA-256 of parts joined by hyphens, nulls as empty."""
+    return F.sha2(F.concat_ws("-", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"), 256)
+
+
+#: How addresses of known portals name their customers: platform and pattern, whose groups are joined by slashes; the first that fits counts.
+PORTAL_PATTERNS = (
+    ("greenhouse", r"(?:boards|job-boards)(?:\.eu)?\.greenhouse\.io/(?:embed/job_board\?for=)?([A-Za-z0-9_-]+)"),
+    ("lever", r"jobs(?:\.eu)?\.lever\.co/([A-Za-z0-9_-]+)"),
+    ("ashby", r"jobs\.ashbyhq\.com/([A-Za-z0-9_.%-]+)"),
+    ("smartrecruiters", r"(?:jobs|careers)\.smartrecruiters\.com/([A-Za-z0-9_-]+)"),
+    ("workday", r"([a-z0-9_-]+)\.(wd\d+)\.myworkdayjobs\.com/(?:[a-z]{2}-[A-Z]{2}/)?([A-Za-z0-9_-]+)"),
+    ("oracle_hcm", r"([a-z0-9-]+)\.fa\.[a-z0-9]+\.oraclecloud\.com/.*?/sites/([A-Za-z0-9_-]+)"),
+    ("icims", r"(?:careers-|jobs-)?([a-z0-9-]+)\.icims\.com"),
+    ("jobvite", r"jobs\.jobvite\.com/(?:careers/)?([A-Za-z0-9_-]+)"),
+    ("bamboohr", r"([a-z0-9-]+)\.bamboohr\.com"),
+    ("taleo", r"([a-z0-9-]+)\.taleo\.net/careersection/([A-Za-z0-9_-]+)"),
+    ("successfactors", r"career\d*\.(?:successfactors|sapsf)\.(?:com|eu)/.*?company=([A-Za-z0-9_-]+)"),
+    ("eightfold", r"([a-z0-9-]+)\.eightfold\.ai"),
+    ("avature", r"([a-z0-9-]+)\.avature\.net"),
+    ("paycom", r"paycomonline\.net/.*?clientkey=([A-Fa-f0-9]+)"),
+)
+
+
+def portal_slug(url: Column, patterns: tuple[tuple[str, str], ...] = PORTAL_PATTERNS) -> Column:
+    """struct(platform, slug) of the first pattern that an address fits; a search engine's redirect counts as what it leads to; else null."""
+    target = F.try_url_decode(F.nullif(F.regexp_extract(url, r"^https?://(?:www\.)?google\.[a-z.]+/url\?(?:.*&)?(?:q|url)=([^&]+)", 1), F.lit("")))
+    at = F.coalesce(target, url)
+    out = F.lit(None).cast("struct<platform:string,slug:string>")
+    for platform, pattern in reversed(patterns):
+        groups = len(re.findall(r"(?<!\\)\((?!\?)", pattern))
+        slug = F.concat_ws("/", *[F.regexp_extract(at, pattern, g + 1) for g in range(groups)])
+        out = F.when(F.regexp_like(at, F.lit(pattern)), F.struct(F.lit(platform).alias("platform"), slug.alias("slug"))).otherwise(out)
+    return out

@@ -17,6 +17,13 @@ def content_hash(company: Column, title: Column, location: Column, job_id: Colum
     return F.when((company != "") & (title != ""), F.sha2(joined.cast("binary"), 256))
 
 
+def hash_known(rows: DataFrame, known: DataFrame, new: str = "content_hash", old: str = "legacy_hash", key: str = "job_id") -> DataFrame:
+    """(key, known): whether either of a row's hashes is among those known; rows without a content hash are not."""
+    either = rows.where(F.col(new).isNotNull()).select(key, F.explode(F.array_distinct(F.array(new, old))).alias("hash"))
+    hit = either.join(known.select(F.col(new).alias("hash")).distinct(), "hash", "left_semi").select(key).distinct().withColumn("hit", F.lit(True))
+    return rows.select(key).join(hit, key, "left").select(key, F.coalesce("hit", F.lit(False)).alias("known"))
+
+
 def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row of each non-null key, the first in order; rows without a key all stay."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -32,6 +32,15 @@ def top_titles(filings: DataFrame, k: int = 15) -> DataFrame:
     return counts.select("fein", "title", "n", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
+def merge_titles(state: DataFrame, batch: DataFrame, key: str = "fein", titles: str = "titles", k: int = 15) -> DataFrame:
+    """(key, titles): the counts of both, titles an array of (title, count), summed by title; the k most frequent, ties by title."""
+    item = F.explode(titles).alias("t")
+    rows = state.select(key, item).unionByName(batch.select(key, item)).where("t.title <> ''").groupBy(key, "t.title").agg(F.sum("t.count").alias("n"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "title"))).where(F.col("rank") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "title", "n")))
+    return ranked.groupBy(key).agg(F.transform(listed, lambda x: F.struct(x["title"].alias("title"), x["n"].alias("count"))).alias(titles))
+
+
 def by_soc(filings: DataFrame) -> DataFrame:
     return filings.where("trim(soc) <> ''").groupBy("fein", "soc").agg(F.count("*").alias("filed"), F.count_if(F.col("status") == "Certified").alias("certified"), F.min_by("title", F.struct(*ORDINAL, "title")).alias("first_title"))
 

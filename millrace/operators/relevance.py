@@ -34,7 +34,10 @@ COUNTRIES = [
 ]
 ALIASES = ("uk", "u k", "england uk", "korea", "holland", "emea", "apac", "latam")
 NATIONS = ("scotland", "wales", "northern ireland")
-ABROAD = ("bangalore", "bengaluru", "bombay", "mumbai", "calcutta", "kolkata", "madras", "chennai", "gurgaon", "gurugram", "noida", "trivandrum", "hyderabad", "pune", "delhi", "london", "paris", "berlin", "toronto", "dublin", "tokyo", "madrid", "warsaw")
+#: Cities abroad under their former and present names, fixed values.
+RENAMED = ("bangalore", "bengaluru", "bombay", "mumbai", "calcutta", "kolkata", "madras", "chennai", "gurgaon", "gurugram", "noida", "trivandrum")
+#: A few large cities abroad and at home, for use without a gazetteer.
+ABROAD = ("hyderabad", "pune", "delhi", "london", "paris", "berlin", "toronto", "dublin", "tokyo", "madrid", "warsaw")
 US_CITIES = ("san francisco", "austin", "seattle", "boston", "chicago", "new york city", "atlanta", "denver", "dallas", "houston", "los angeles", "san jose", "menlo park", "burlington", "mountain view")
 
 
@@ -46,8 +49,8 @@ def normalize_location(location: Column) -> Column:
     return collapse(F.lower(F.regexp_replace(x, r"[,;|/\-–—_.]+", " ")))
 
 
-def is_us(location: Column) -> Column:
-    """Whether a place is in the US, by the first sign that speaks: US words, upper-case country codes, states (a code not if a country follows it), country names, cities; else true."""
+def signal(location: Column, countries: Sequence[tuple[str, str, str]] = tuple(COUNTRIES)) -> Column:
+    """Whether a place is in the US, by the first sign that speaks: nothing written, US words, upper-case country codes, states (a code not if a country follows it), names of countries (alpha-3, alpha-2, name), nations and renamed cities; else null."""
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
     clean = normalize_location(F.coalesce(location, F.lit("")))
     tokens = F.filter(F.split(clean, " "), lambda t: t != "")
@@ -55,8 +58,8 @@ def is_us(location: Column) -> Column:
     has = lambda xs: F.arrays_overlap(phrases, lit(xs))
     codes = lambda n: F.transform(F.regexp_extract_all(F.coalesce(location, F.lit("")), F.lit(rf"(?<![A-Za-z])([A-Z]{{{n}}})(?![A-Za-z])"), 1), F.lower)
     threes = F.array_intersect(tokens, codes(3))
-    foreign3, foreign2 = [c[0] for c in COUNTRIES], [c[1] for c in COUNTRIES if c[1] not in STATES]
-    abroad = [*(c[2] for c in COUNTRIES), *ALIASES]
+    foreign3, foreign2 = [c[0] for c in countries], [c[1] for c in countries if c[1] not in STATES]
+    abroad = [*(c[2] for c in countries), *ALIASES]
     first3 = F.get(F.filter(threes, lambda t: (t == "usa") | F.array_contains(lit(foreign3), t)), 0)
     # a state code counts unless some country is named after its first place
     after = lambda t: ngrams(F.slice(tokens, F.array_position(tokens, t).cast("int") + 1, F.greatest(F.lit(0), F.size(tokens) - F.array_position(tokens, t).cast("int"))))
@@ -71,11 +74,17 @@ def is_us(location: Column) -> Column:
         .when(has(abroad), False)
         .when(F.array_contains(phrases, "england") & ~F.array_contains(phrases, "new england"), False)
         .when(has(NATIONS), False)
-        .when(has(ABROAD), False)
-        .otherwise(True)
+        .when(has(RENAMED), False)
     )
 
 
+def is_us(location: Column) -> Column:
+    """Whether a place is in the US: its own signs, then a few well-known cities, else true. With a gazetteer, see places.located."""
+    phrases = ngrams(F.filter(F.split(normalize_location(F.coalesce(location, F.lit(""))), " "), lambda t: t != ""))
+    has = lambda xs: F.arrays_overlap(phrases, F.array(*[F.lit(x) for x in xs]))
+    return F.coalesce(signal(location), ~has(ABROAD) | has(US_CITIES))
+
+
 def matches_title(title: Column, keywords: Sequence[str] = TITLES) -> Column:
     x = normalize(F.coalesce(title, F.lit("")))
     return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(x, k))

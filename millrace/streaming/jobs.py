@@ -102,3 +102,25 @@ def run_once(rows: DataFrame, sink: str, checkpoint: str, mode: str = "append")
         query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(sink)
+
+
+def recalibrated(polls: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
+    """Polls of a stream with the interval that the thresholds of their day give their score.
+
+    thresholds: (day, low, moderate, active), a static table with a row a day; Spark reads it anew
+    for each batch of the stream, so that each day's calibration holds from the batch after it came.
+    A day without thresholds has those of the rules.
+    """
+    fixed = {"low": 0.3, "moderate": 0.8, "active": 1.5}
+    joined = polls.join(F.broadcast(thresholds.select("day", *fixed)), F.to_date("ts") == F.col("day"), "left")
+    at = {c: F.coalesce(c, F.lit(v)) for c, v in fixed.items()}
+    s = F.col(score)
+    interval = F.when(s.isNull() | (s == 0), A.DEFAULT).when(s < at["low"], A.LOW).when(s < at["moderate"], A.MODERATE).when(s < at["active"], A.ACTIVE).otherwise(A.SHORTEST)
+    return joined.select(*polls.columns, interval.alias("interval_s"))
+
+
+def throttled(spark: SparkSession, folder: str, depth: int, most: int = 5000, some: int = 2000, pattern: str = "events.parquet") -> DataFrame | None:
+    """The stream's source under backpressure: nothing over `most` waiting, one file a batch over `some`, else as many as there are."""
+    if depth > most:
+        return None
+    return read_events(spark, folder, pattern, 1 if depth > some else 1000)
