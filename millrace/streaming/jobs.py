@@ -124,3 +124,44 @@ def throttled(spark: SparkSession, folder: str, depth: int, most: int = 5000, so
     if depth > most:
         return None
     return read_events(spark, folder, pattern, 1 if depth > some else 1000)
+
+
+def _folders(spark: SparkSession, path: str, before: int | None) -> dict[int, tuple[int, str]]:
+    """{part: (batch, folder)}: the last folder of each part, of batches before one if that is given."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/part=*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    last: dict[int, tuple[int, str]] = {}
+    for status in found or ():
+        folder = status.getPath().toString()
+        batch, part = (int(x.partition("=")[2]) for x in folder.rsplit("/", 2)[1:])
+        if (before is None or batch < before) and batch > last.get(part, (-1, ""))[0]:
+            last[part] = (batch, folder)
+    return last
+
+
+def merge_parts(path: str, keys: list[str], order: str, parts: int = 64):
+    """A foreachBatch function that keeps the last row of each key in a table dealt to parts by key; a batch rewrites only the parts that it touches.
+
+    A batch that is run again writes its folder again from the same ones before it, so results are
+    the same however often. current() reads the table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")).persist()
+        touched = {r.part for r in new.select("part").distinct().collect()}  # at most so many as there are parts
+        old = [folder for part, (_, folder) in _folders(spark, path, number).items() if part in touched]
+        merged = new
+        if old:
+            rows = spark.read.schema(batch.schema).parquet(*old).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+            merged = new.unionByName(rows.join(new.select(*keys), keys, "left_anti"))
+        merged.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/batch={number}")
+        new.unpersist()
+
+    return write
+
+
+def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that merge_parts() keeps, as of its last batch."""
+    folders = [folder for _, folder in _folders(spark, path, None).values()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)

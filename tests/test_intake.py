@@ -161,3 +161,16 @@ def test_stream_takes_its_days_thresholds(spark, tmp_path):
     got = J.run_once(J.recalibrated(stream, days), str(tmp_path / "out"), str(tmp_path / "check"))
     assert {r.user_id: r.interval_s for r in got.collect()} == {1: 3 * 3600, 2: 4 * 3600, 3: 12 * 3600}
     assert J.throttled(spark, "/root/testdata/sf0.001", 9000) is None and J.throttled(spark, "/root/testdata/sf0.001", 2500).isStreaming
+
+
+def test_merge_parts_rewrites_what_a_batch_touches(spark, tmp_path):
+    schema = "k int, at int, v string"
+    write = J.merge_parts(str(tmp_path / "t"), ["k"], "at", parts=8)
+    assert J.current(spark, str(tmp_path / "t"), schema).count() == 0
+    batches = [[(k, 1, "a") for k in range(40)], [(3, 2, "b"), (3, 1, "old")], [(100, 1, "c"), (3, 3, "d")]]
+    for number, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), number)
+    write(spark.createDataFrame(batches[2], schema), 2)
+    got = {r.k: (r.at, r.v) for r in J.current(spark, str(tmp_path / "t"), schema).collect()}
+    assert got == {k: (1, "a") for k in range(40)} | {3: (3, "d"), 100: (1, "c")}
+    assert len(list((tmp_path / "t" / "batch=1").glob("part=*"))) == 1
