@@ -139,3 +139,25 @@ def test_learned_rules_reject_the_bad_and_keep_the_good(spark):
     again, none = quality_rules.apply_rules(docs, labels.limit(0))
     assert none == [] and again.where("not kept").count() == 0
     assert quality_rules.apply_rules(docs.limit(0), labels)[0].count() == 0
+
+
+def test_a_conjunction_is_learned(spark):
+    """Bad are only texts that are both full of symbols and in one line: neither threshold alone tells them."""
+    rng = random.Random(11)
+
+    def made(symbols, one_line):
+        words = [f"w{rng.randint(0, 5000)}{'###' if symbols else ''}" for _ in range(90)]
+        return " ".join(words) if one_line else "\n".join(" ".join(words[i : i + 3]) for i in range(0, 90, 3))
+
+    rows = [(k, made(k % 2 == 0, k // 2 % 2 == 0)) for k in range(1200)]
+    bad = lambda k: k % 4 == 0
+    labels = spark.createDataFrame([(k, 0 if bad(k) else 1) for k in range(900)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS quality", "2 AS bad", "3 AS n_words", "4 AS fold", "5 AS w", "6 AS lines")
+    got, rules = quality_rules.apply_rules(docs, labels)
+    assert rules and max(map(len, rules)) >= 2
+    for rule in rules:
+        assert {name for name, _, _ in rule} & {"symbol_share", "mean_word"} and {name for name, _, _ in rule} & {"words_a_line", "dup_line_share"}
+    assert {r.doc_id for r in got.collect() if not r.kept} == {k for k in range(1200) if bad(k)}
+    # a rule's later conditions that the held rows don't bear out are pruned: with noise alone nothing is kept
+    noise = spark.createDataFrame([(k, rng.randint(0, 1)) for k in range(900)], "doc_id long, quality int")
+    assert quality_rules.apply_rules(docs, noise)[1] == []
