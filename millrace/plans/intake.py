@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from ..operators import dedup as U
 from ..operators import filings as L
 from ..operators import places as G
 from ..operators import retention as K
-from ..sources import adapters, feeds, infer
+from ..session import shared_dir
+from ..sources import adapters, feeds, files, infer
 from .roles import AS_OF, as_text, oracle, role
 
 
@@ -195,7 +197,39 @@ def _pagination(s, d):
     return plan.select("company", got("type").alias("type"), F.coalesce(got("param"), got("cursor_field")).alias("param"), got("page_size").cast("bigint").alias("page_size"), got("location").alias("location"), got("total_field").alias("total_field"))
 
 
+def _landed(s, rows, **options):
+    """A folder in the shared store with rows as delimited text."""
+    path = f"{shared_dir(s)}/landed-{uuid.uuid4().hex}"
+    rows.write.options(header=True, **options).csv(path)
+    return path
+
+
+def _loaded(s, d):
+    f = role(s, d, "filings").select(
+        F.when(F.col("l_linenumber") != 7, "H-1B ").otherwise("E-3").alias("Visa Class"), F.when(F.col("l_linenumber") != 6, F.col("fein")).alias("Employer Fein"), F.col("status").alias("Case Status"), F.concat(F.col("positions").cast("string"), F.lit(",000")).alias("Total Worker Positions"),
+        F.col("soc").alias("SOC Code"), F.col("title").alias("Job  Title"), F.date_format("decided", "M/d/yyyy").alias("Decision-Date"), F.col("employer_state").alias("Employer State"),
+    )
+    found = files.load_filings(files.read_delimited(s, _landed(s, f, sep="\t"), ["VISA_CLASS", "EMPLOYER_FEIN"]))
+    return found.groupBy("fein", "status", "year").agg(F.count("*").alias("n"), F.sum("positions").alias("positions"), F.min("title").alias("title"))
+
+
+def _petitioned(s, d):
+    p = role(s, d, "petitions").select(F.col("legal_norm").alias("Employer (Petitioner) Name"), F.col("tax_id").alias("Tax ID"), F.when(F.col("o_orderkey") % 10 != 0, F.col("fiscal_year")).otherwise(1901).alias("Fiscal Year"), F.when(F.col("o_orderkey") % 9 == 0, "-1").otherwise(F.concat(F.col("a3").cast("string"), F.lit(",200"))).alias("Initial Approval"))
+    df = files.read_delimited(s, _landed(s, p))
+    return files.load_petitions(df, {"EMPLOYER_PETITIONER_NAME": "name", "TAX_ID": "tax_id", "FISCAL_YEAR": "fiscal_year", "INITIAL_APPROVAL": "a"}, ["a"]).groupBy("name", "fiscal_year").agg(F.sum("a").alias("a"), F.max("tax_id").alias("tax_id"))
+
+
+def _crawled(s, d):
+    host, path = T.url_host(F.col("url")), f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    pages = s.read.parquet(f"{d}/pages.parquet").select("url", T.registrable(host).alias("url_host_registered_domain"), T.url_path(F.col("url")).alias("url_path"), F.when(F.col("page_id") % 4 == 0, 404).otherwise(200).alias("fetch_status"), F.when(F.col("page_id") % 3 == 0, "c1").otherwise("c2").alias("crawl"), F.when(F.col("page_id") % 5 == 0, "robotstxt").otherwise("warc").alias("subset"))
+    pages.write.partitionBy("crawl", "subset").parquet(path)
+    return files.crawl_index(s, path, "c2", ["example.com", "example.org"]).select("url", F.col("url_host_registered_domain").alias("root"))
+
+
 QUERIES = {
+    "q_load_filings": _loaded,
+    "q_load_petitions": _petitioned,
+    "q_crawl_index": _crawled,
     "q_place_lookup": _places,
     "q_merge_titles": _titles,
     "q_retention_rules": _retained,
@@ -228,6 +262,9 @@ _R = "(SELECT o_custkey % 50 AS company, o_orderkey // 400 AS page, o_orderkey,
 _JOBS = f", j AS (SELECT job_id AS id, title, company, n_chars AS score, ({_sql_list(_STATUSES)})[job_id % 5 + 1] AS status, DATE '2024-01-01' + (job_id % 30)::INTEGER AS first_seen, job_id % 12 AS missing_days, CASE WHEN job_id % 2 = 0 THEN 'lever' ELSE 'ashby' END AS ats FROM postings)"
 
 ORACLE_SQL = {
+    "q_load_filings": oracle("filings", body="SELECT fein, status, year::INTEGER AS year, count(*) AS n, (sum(positions) * 1000)::BIGINT AS positions, min(trim(title)) AS title FROM filings WHERE l_linenumber NOT IN (6, 7) GROUP BY 1, 2, 3"),
+    "q_load_petitions": oracle("petitions", body="SELECT legal_norm AS name, fiscal_year, sum(a3 * 1000 + 200)::BIGINT AS a, max(tax_id) AS tax_id FROM petitions WHERE o_orderkey % 10 <> 0 AND o_orderkey % 9 <> 0 GROUP BY 1, 2"),
+    "q_crawl_index": r"SELECT url, root FROM (SELECT *, CASE WHEN len(string_split(h, '.')) <= 2 THEN h ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS root FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM pages)) WHERE page_id % 4 <> 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND root IN ('example.com', 'example.org')",
     "q_place_lookup": oracle("postings", body=f", p AS (SELECT job_id, ({_sql_list(_PLACES)})[job_id % 16 + 1] AS place, ({_sql_list(_SAID)})[job_id % 16 + 1] AS said FROM postings), g AS (SELECT * FROM (VALUES {', '.join(map(str, _CITIES))}) t(city, country)), f AS (SELECT place, bool_or(country = 'US') AS us FROM (SELECT DISTINCT place FROM p) JOIN g ON list_contains(string_split(lower(place), ' '), city) GROUP BY 1) SELECT job_id, coalesce(said, us, true) AS is_us FROM p LEFT JOIN f USING (place)"),
     "q_merge_titles": oracle("filings", body="SELECT * FROM (SELECT fein, title, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY fein ORDER BY count(*) DESC, title)::INTEGER AS rank FROM filings GROUP BY 1, 2) WHERE rank <= 15"),
     "q_retention_rules": oracle("applications", "bridge", "requests", body=""", a AS (SELECT application_id AS id, CASE WHEN status = 'active' AND applied_on < DATE '1998-06-30' - 60 THEN 'closed' ELSE status END AS status FROM applications)

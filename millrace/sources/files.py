@@ -18,9 +18,19 @@ def sniff(head: bytes) -> tuple[str, str]:
 
 
 def head_of(spark: SparkSession, path: str, size: int = 4096) -> bytes:
-    """The first bytes of a file, by Spark's own readers, so from any store; of a folder, of its first file."""
-    one = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, size).alias("head")).orderBy("path").first()
-    return bytes(one["head"]) if one else b""
+    """The first bytes of a file, from any store that Spark reads, no more of it; of a folder or pattern, of its first file that holds data."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for s in store.globStatus(at) or ()]
+    files = [f for s in found for f in (store.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    named = sorted(f.getPath().toString() for f in files if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")))
+    if not named:
+        return b""
+    stream = store.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named[0]))
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
 
 
 def header(name: str) -> str:
