@@ -6,7 +6,8 @@ shuffle; windows are over one platform's days or one key's few rows.
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable, Mapping
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -299,6 +300,28 @@ def drain_target(pool: DataFrame) -> DataFrame:
     return pool.select("platform", F.greatest(F.lit(1), F.least(need, F.lit(50))).cast("bigint").alias("workers"))
 
 
+def bundle(parts: Mapping[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(reports, failures): the reports that can be planned, by name, and why the others can't; one that is broken takes no other with it."""
+    made: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for name, make in parts.items():
+        try:
+            made[name] = make()
+        except Exception as why:  # a report may fail in any way
+            failed[name] = f"{type(why).__name__}: {why}".split("\n")[0]
+    return made, failed
+
+
+def weekly(parts: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(part, has_data, why): which reports of a bundle there is anything in, and which could not be made."""
+    made, failed = bundle(parts)
+    rows = [df.limit(1).agg((F.count("*") > 0).alias("has_data")).select(F.lit(name).alias("part"), "has_data", F.lit(None).cast("string").alias("why")) for name, df in made.items()]
+    spark = next(iter(made.values())).sparkSession if made else None
+    if failed and spark:
+        rows.append(spark.createDataFrame([(n, False, w) for n, w in failed.items()], "part string, has_data boolean, why string"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _held(state: tuple, cycle: int, depth: int, delay: float, fire: int, calm: float, stable: int, longest: int) -> tuple[tuple, list]:
     """One cycle of a pool: depth before, whether it is held, calm cycles in a row, cycles held."""
     before, active, quiet, held = state

@@ -12,10 +12,11 @@ from ..functions import text as T
 from ..operators import dashboard as D
 from ..operators import dedup as U
 from ..operators import filings as L
+from ..operators import health as H
 from ..operators import places as G
 from ..operators import retention as K
 from ..session import shared_dir
-from ..sources import adapters, feeds, files, infer
+from ..sources import adapters, feeds, files, infer, sheets
 from .roles import AS_OF, as_text, oracle, role
 
 
@@ -226,7 +227,33 @@ def _crawled(s, d):
     return files.crawl_index(s, path, "c2", ["example.com", "example.org"]).select("url", F.col("url_host_registered_domain").alias("root"))
 
 
+def _applied(s, d):
+    """Orders as rows of a form, some without a user, company or good address, some twice."""
+    o = s.read.parquet(f"{d}/orders.parquet")
+    n = F.col("o_orderkey")
+    rows = o.select(n.alias("row"), F.when(n % 11 != 0, F.concat(F.lit(" Firm "), (n % 40).cast("string"))).alias("company"), F.when(n % 7 != 0, F.concat(F.lit("https://jobs.lever.co/f"), (n % 40).cast("string"), F.lit("/"), F.floor(n / 80).cast("string"))).otherwise("lever/1").alias("job_url"), F.lit(" ").alias("title"), F.when(n % 5 != 0, "1/5/2024").otherwise("soon").alias("applied_on"), F.when(n % 13 != 0, F.concat(F.lit("User"), (n % 2).cast("string"))).alias("user_name"))
+    users = s.createDataFrame([("user0", 0), (" USER1 ", 1)], "name string, user_id int")
+    known = rows.where("row % 9 = 0").select((F.col("row") % 2).cast("int").alias("user_id"), "job_url")
+    found = sheets.applications(rows, users, known, "2024-01-31")
+    return found.select("row", "outcome", "user_id", F.col("applied_on").cast("string").alias("applied_on"), "expected_domain", F.col("portal.slug").alias("slug"))
+
+
+def _prospected(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet")
+    n = F.col("c_custkey")
+    rows = c.select(n.alias("row"), F.when(n % 17 != 0, F.concat(F.when(n % 2 == 0, "FIRM ").otherwise("Firm "), F.floor(n / 2).cast("string"))).otherwise(" ").alias("company"), F.when(n % 3 == 0, F.concat(F.lit("https://boards.greenhouse.io/g"), n.cast("string"))).alias("job_url"), F.when(n % 4 == 0, "https://www.firm.com/careers").alias("career_page"), F.lit(None).cast("string").alias("domain"), F.when(n % 10 == 0, "https://x.org/feed.xml").alias("xml_url"), F.when(n % 25 == 0, "curl 'https://x'").alias("curl"))
+    return sheets.prospects(rows, rows.where("row % 6 = 0").select(F.upper("company").alias("company"))).select("row", "outcome", "ats", "slug", "domain")
+
+
+def _weekly(s, d):
+    req = role(s, d, "requests")
+    return H.weekly({"errors": lambda: H.rollup(req), "none": lambda: req.where("ms < 0"), "broken": lambda: req.select("no_such_column")}).select("part", "has_data", F.col("why").isNotNull().alias("failed"))
+
+
 QUERIES = {
+    "q_form_applications": _applied,
+    "q_form_prospects": _prospected,
+    "q_weekly_bundle": _weekly,
     "q_load_filings": _loaded,
     "q_load_petitions": _petitioned,
     "q_crawl_index": _crawled,
@@ -261,7 +288,17 @@ QUERIES = {
 _R = "(SELECT o_custkey % 50 AS company, o_orderkey // 400 AS page, o_orderkey, o_orderpriority, o_orderstatus FROM orders)"
 _JOBS = f", j AS (SELECT job_id AS id, title, company, n_chars AS score, ({_sql_list(_STATUSES)})[job_id % 5 + 1] AS status, DATE '2024-01-01' + (job_id % 30)::INTEGER AS first_seen, job_id % 12 AS missing_days, CASE WHEN job_id % 2 = 0 THEN 'lever' ELSE 'ashby' END AS ats FROM postings)"
 
+_FORM = """WITH r AS (SELECT o_orderkey AS n, o_orderkey % 11 = 0 AS anonymous, o_orderkey % 7 = 0 AS bad, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 2 END AS u, o_orderkey % 40 AS f, CASE WHEN o_orderkey % 7 = 0 THEN 'lever/1' ELSE 'f' || o_orderkey % 40 || '/' || o_orderkey // 80 END AS x FROM orders),
+ k AS (SELECT DISTINCT n % 2 AS u, x FROM r WHERE n % 9 = 0),
+ o AS (SELECT r.*, CASE WHEN u IS NULL THEN 'held' WHEN anonymous OR bad THEN 'invalid' WHEN (u, x) IN (SELECT (u, x) FROM k) THEN 'duplicate' ELSE 'new' END AS fits FROM r)
+ SELECT n AS row, CASE WHEN fits = 'new' AND row_number() OVER (PARTITION BY fits, u, x ORDER BY n) > 1 THEN 'duplicate' ELSE fits END AS outcome, u::INTEGER AS user_id, CASE WHEN n % 5 <> 0 THEN '2024-01-05' ELSE '2024-01-31' END AS applied_on, CASE WHEN bad THEN '' ELSE 'lever.co' END AS expected_domain, CASE WHEN NOT bad THEN 'f' || f END AS slug FROM o"""
+_PROSPECTS = """WITH r AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 17 <> 0 THEN 'firm ' || c_custkey // 2 ELSE '' END AS name, CASE WHEN c_custkey % 25 = 0 THEN 'custom' WHEN c_custkey % 10 = 0 THEN 'sitemap' WHEN c_custkey % 3 = 0 THEN 'greenhouse' WHEN c_custkey % 4 = 0 THEN 'unknown' END AS ats FROM customer)
+ SELECT n AS row, CASE WHEN name = '' THEN 'invalid' WHEN ats IS NULL THEN 'incomplete' WHEN row_number() OVER (PARTITION BY name ORDER BY n DESC) > 1 THEN 'replaced' WHEN name IN (SELECT name FROM r WHERE n % 6 = 0) THEN 'update' ELSE 'new' END AS outcome, ats, CASE ats WHEN 'custom' THEN 'curl ' || chr(39) || 'https://x' || chr(39) WHEN 'sitemap' THEN 'https://x.org/feed.xml' WHEN 'greenhouse' THEN 'g' || n END AS slug, CASE WHEN n % 4 = 0 THEN 'firm.com' END AS domain FROM r"""
+
 ORACLE_SQL = {
+    "q_form_applications": _FORM,
+    "q_form_prospects": _PROSPECTS,
+    "q_weekly_bundle": "SELECT * FROM (VALUES ('errors', true, false), ('none', false, false), ('broken', false, true)) t(part, has_data, failed)",
     "q_load_filings": oracle("filings", body="SELECT fein, status, year::INTEGER AS year, count(*) AS n, (sum(positions) * 1000)::BIGINT AS positions, min(trim(title)) AS title FROM filings WHERE l_linenumber NOT IN (6, 7) GROUP BY 1, 2, 3"),
     "q_load_petitions": oracle("petitions", body="SELECT legal_norm AS name, fiscal_year, sum(a3 * 1000 + 200)::BIGINT AS a, max(tax_id) AS tax_id FROM petitions WHERE o_orderkey % 10 <> 0 AND o_orderkey % 9 <> 0 GROUP BY 1, 2"),
     "q_crawl_index": r"SELECT url, root FROM (SELECT *, CASE WHEN len(string_split(h, '.')) <= 2 THEN h ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS root FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM pages)) WHERE page_id % 4 <> 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND root IN ('example.com', 'example.org')",
