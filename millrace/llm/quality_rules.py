@@ -7,8 +7,11 @@ ordered conditional expression. Labelled statistics are sums by Spark over candi
 the driver sees only those sums, some hundred rows.
 
 Defined results: a null or empty text has no words, zero in all statistics and base_failed true;
-labels that are null, unknown or of another table are left out; several labels of a row count
-each; without labels of both kinds the list is empty and keeps everything.
+a text of any length is counted whole; repeated rows and null keys are kept; labels that are null,
+unknown or of another table are left out; several labels of a row count each; of thresholds with one
+gain the last by name, way and value is taken; a text at a threshold meets it; without labels of both
+kinds the list is empty and keeps everything; an empty table gives no rows; columns beyond those named
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
