@@ -161,6 +161,7 @@ def test_links_beyond_the_most_agreeing_members(spark):
 def test_all_pairs_of_a_band_are_compared(spark, monkeypatch, block):
     """With two bands of one register, no pair agrees in as many bands as rounds ask for; the classes are those of all pairs that share one."""
     monkeypatch.setattr(prob_minhash, "BLOCK", block)
+    monkeypatch.setattr(prob_minhash, "PART", 4 * block)
     rows = borderline() + [(1000 + k, "a b c d e f g " * (20 + k)) for k in range(12)]
     sets = prob_minhash.weighted([t for _, t in rows])
     sig = prob_minhash.signatures(sets, 2)
