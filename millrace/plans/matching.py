@@ -58,7 +58,30 @@ _POSTS = f""", x AS (SELECT job_id, title || CASE job_id % 3 WHEN 0 THEN ' Senio
  y AS (SELECT *, regexp_matches(lower(title), 'engineer|analyst|developer|scientist') AS fits, (10 + CASE WHEN regexp_matches(lower(title), 'senior|staff|principal|lead') THEN 5 ELSE 0 END
  + 2 * len(list_filter(['python', 'spark', 'sql', 'java', 'aws'], lambda k: contains(translate(lower(title), 'àáâäèéêëìíîïòóôöùúûüñç', 'aaaaeeeeiiiioooouuuunc') || ' ' || about, k))) + CASE WHEN age = 0 THEN 5 WHEN age = 1 THEN 3 WHEN age <= 3 THEN 1 ELSE 0 END)::BIGINT AS score FROM x)"""
 
+#: Token-set similarity of whole texts in a block. With the common words in front, two sorted texts' longest common
+#: subsequence is that stretch and the rest's; the rest's is worked out a character of the shorter at a time, for all
+#: places in the longer at once: what it was there, or one more than it was before the last place with that character.
+_FUZZY = r"""
+WITH RECURSIVE
+t AS (SELECT item_id AS left_id, doc_id AS right_id, list_sort(list_distinct(list_filter(string_split_regex(lower(b.text), '\s+'), lambda w: w <> ''))) AS x, list_sort(list_distinct(list_filter(string_split_regex(lower(d.text), '\s+'), lambda w: w <> ''))) AS y
+ FROM benchmark b JOIN documents d ON lower(split_part(b.text, ' ', 1)) = lower(split_part(d.text, ' ', 1))),
+s AS (SELECT left_id, right_id, len(x) AS nx, len(y) AS ny, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS bw, array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ') AS ox, array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ') AS oy FROM t),
+c AS (SELECT left_id, right_id, j, substr(oy, j::INTEGER, 1) AS c, ox FROM s, unnest(range(1, length(oy) + 1)) u(j) WHERE ox <> '' AND oy <> ''),
+dp(left_id, right_id, j, i, v) USING KEY (left_id, right_id, j) AS (
+ SELECT left_id, right_id, j, 0, 0 FROM c
+ UNION
+ SELECT left_id, right_id, j, i + 1, greatest(v, coalesce(max(up) OVER (PARTITION BY left_id, right_id ORDER BY j), 0)) FROM
+ (SELECT dp.left_id, dp.right_id, dp.j, dp.i, dp.v, CASE WHEN c.c = substr(c.ox, dp.i + 1, 1) THEN coalesce(lag(dp.v) OVER (PARTITION BY dp.left_id, dp.right_id ORDER BY dp.j), 0) + 1 END AS up FROM dp JOIN c ON c.left_id = dp.left_id AND c.right_id = dp.right_id AND c.j = dp.j WHERE dp.i < length(c.ox))),
+k AS (SELECT left_id, right_id, max(v) AS common FROM dp GROUP BY 1, 2),
+r AS (SELECT left_id, right_id, CASE WHEN nx = 0 OR ny = 0 THEN 0 WHEN bw <> '' AND (ox = '' OR oy = '') THEN 100 ELSE greatest(200.0::DOUBLE * (p + coalesce(common, 0)) / (2 * p + length(ox) + length(oy)), CASE WHEN bw <> '' THEN 200.0::DOUBLE * length(bw) / (length(bw) + p + least(length(ox), length(oy))) ELSE 0 END) END AS score
+ FROM (SELECT *, CASE WHEN bw <> '' THEN length(bw) + 1 ELSE 0 END AS p FROM s) LEFT JOIN k USING (left_id, right_id)),
+q AS (SELECT left_id, right_id, round(score, 4) AS score, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 4) DESC, right_id)::INTEGER AS rank FROM r WHERE round(score, 4) >= 40)
+"""
+
 ORACLE_SQL = {
+    "q_fuzzy_candidates": _FUZZY + " SELECT left_id, right_id, score, rank FROM q WHERE rank <= 3",
+    "q_fuzzy_decision": _FUZZY + """ SELECT left_id, right_id, score, CASE WHEN score >= 95 THEN 'auto' WHEN score >= 80 AND score - coalesce(next, 0) >= 25 THEN 'dominant' ELSE 'ambiguous' END AS decision
+ FROM (SELECT *, lead(score) OVER (PARTITION BY left_id ORDER BY rank) AS next FROM q WHERE rank <= 3) WHERE rank = 1""",
     "q_location": oracle("postings", body=_POSTS + " SELECT job_id, is_us FROM y"),
     "q_score": oracle("postings", body=_POSTS + " SELECT job_id, score FROM y"),
     "q_relevance_filter": oracle("postings", body=_POSTS + " SELECT job_id, score FROM y WHERE fits AND is_us"),
