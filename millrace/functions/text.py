@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ ABBREVIATIONS = {
 LEGAL_SUFFIXES = "INCORPORATED|INC|LLC|LLP|LP|CORPORATION|CORP|COMPANY|CO|LIMITED|LTD|PLC|GMBH"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

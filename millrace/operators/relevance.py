@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, ngrams, normalize
+from ..functions.text import collapse, let, ngrams, normalize
 
 TITLES = ("engineer", "analyst", "developer", "scientist")
 SENIORITY = ("senior", "staff", "principal", "lead")
@@ -52,30 +52,31 @@ def normalize_location(location: Column) -> Column:
 def signal(location: Column, countries: Sequence[tuple[str, str, str]] = tuple(COUNTRIES)) -> Column:
     """Whether a place is in the US, by the first sign that speaks: nothing written, US words, upper-case country codes, states (a code not if a country follows it), names of countries (alpha-3, alpha-2, name), nations and renamed cities; else null."""
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
-    clean = normalize_location(F.coalesce(location, F.lit("")))
-    tokens = F.filter(F.split(clean, " "), lambda t: t != "")
-    phrases = ngrams(tokens)
-    has = lambda xs: F.arrays_overlap(phrases, lit(xs))
     codes = lambda n: F.transform(F.regexp_extract_all(F.coalesce(location, F.lit("")), F.lit(rf"(?<![A-Za-z])([A-Z]{{{n}}})(?![A-Za-z])"), 1), F.lower)
-    threes = F.array_intersect(tokens, codes(3))
     foreign3, foreign2 = [c[0] for c in countries], [c[1] for c in countries if c[1] not in STATES]
     abroad = [*(c[2] for c in countries), *ALIASES]
-    first3 = F.get(F.filter(threes, lambda t: (t == "usa") | F.array_contains(lit(foreign3), t)), 0)
-    # a state code counts unless some country is named after its first place
-    after = lambda t: ngrams(F.slice(tokens, F.array_position(tokens, t).cast("int") + 1, F.greatest(F.lit(0), F.size(tokens) - F.array_position(tokens, t).cast("int"))))
-    state = F.exists(tokens, lambda t: F.array_contains(lit(STATES), t) & ~F.arrays_overlap(F.concat(after(t), lit(["-"])), lit(abroad)))
-    return (
-        F.when(F.size(tokens) == 0, True)
-        .when(has(US_WORDS), True)
-        .when(first3.isNotNull(), first3 == "usa")
-        .when(F.arrays_overlap(codes(2), lit(foreign2)), False)
-        .when(has(tuple(STATES.values())), True)
-        .when(state, True)
-        .when(has(abroad), False)
-        .when(F.array_contains(phrases, "england") & ~F.array_contains(phrases, "new england"), False)
-        .when(has(NATIONS), False)
-        .when(has(RENAMED), False)
-    )
+
+    def told(tokens: Column, phrases: Column) -> Column:
+        has = lambda xs: F.arrays_overlap(phrases, lit(xs))
+        first3 = F.get(F.filter(F.array_intersect(tokens, codes(3)), lambda t: (t == "usa") | F.array_contains(lit(foreign3), t)), 0)
+        # a state code counts unless some country is named after its first place
+        after = lambda t: ngrams(F.slice(tokens, F.array_position(tokens, t).cast("int") + 1, F.greatest(F.lit(0), F.size(tokens) - F.array_position(tokens, t).cast("int"))))
+        state = F.exists(F.array_intersect(tokens, lit(STATES)), lambda t: ~F.arrays_overlap(F.concat(after(t), lit(["-"])), lit(abroad)))
+        return (
+            F.when(F.size(tokens) == 0, True)
+            .when(has(US_WORDS), True)
+            .when(first3.isNotNull(), first3 == "usa")
+            .when(F.arrays_overlap(codes(2), lit(foreign2)), False)
+            .when(has(tuple(STATES.values())), True)
+            .when(state, True)
+            .when(has(abroad), False)
+            .when(F.array_contains(phrases, "england") & ~F.array_contains(phrases, "new england"), False)
+            .when(has(NATIONS), False)
+            .when(has(RENAMED), False)
+        )
+
+    words = F.filter(F.split(normalize_location(F.coalesce(location, F.lit(""))), " "), lambda t: t != "")
+    return let(words, lambda tokens: let(ngrams(tokens), lambda phrases: told(tokens, phrases)))
 
 
 def is_us(location: Column) -> Column:
