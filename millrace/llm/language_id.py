@@ -70,11 +70,11 @@ def _tallied(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterato
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for part in slices(batch):
-            langs = np.array(part.column(0).to_pylist(), dtype=object)
+            names, code = np.unique(np.array(part.column(0).to_pylist(), dtype=str), return_inverse=True)
             bucket, text = _grams(part.column(1).to_pylist(), n, buckets)
-            for lang in set(langs):
-                here = bucket[langs[text] == lang]
-                counts[lang] = counts.get(lang, 0) + np.bincount(here, minlength=buckets)
+            code = code[text]
+            for k, lang in enumerate(names.tolist()):
+                counts[lang] = counts.get(lang, 0) + np.bincount(bucket[code == k], minlength=buckets)
     for lang, c in counts.items():
         at = np.flatnonzero(c)
         yield [[lang] * len(at), at, c[at]]
@@ -118,14 +118,14 @@ def fit(rows: DataFrame, sample_rows: int = 10_000, key: str = "doc_id", text: s
     return TextModel(languages, (logp + np.log(buckets)).astype(np.float32))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, n: int) -> Iterator[list]:
-    """Rows (key, declared, host, fold, text) to (key, declared, host, scores, n-grams)."""
+def _scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, buckets: int, n: int) -> Iterator[list]:
+    """Rows (key, declared, host, fold, text) to (key, declared, host, scores, n-grams). ratio: for each language a row, the folds' buckets one after the other."""
     for batch in batches:
         for part in slices(batch):
             rows = len(part)
-            bucket, text = _grams(part.column(4).to_pylist(), n, ratio.shape[1])
-            fold = part.column(3).to_numpy()[text]
-            score = np.stack([np.bincount(text, weights=ratio[fold, bucket, k], minlength=rows) for k in range(ratio.shape[2])], axis=1)
+            bucket, text = _grams(part.column(4).to_pylist(), n, buckets)
+            at = (part.column(3).to_numpy().astype(np.int64) * buckets)[text] + bucket
+            score = np.stack([np.bincount(text, weights=own[at], minlength=rows) for own in ratio], axis=1)
             count = np.bincount(text, minlength=rows)
             yield [*[part.column(k) for k in range(3)], pa.array(list(score), type=pa.list_(pa.float64())), count]
 
@@ -150,7 +150,7 @@ def identify(rows: DataFrame, model: TextModel, key: str = "doc_id", text: str =
     lit = lambda c: F.col(c) if c else F.lit(None).cast("string")
     given = rows.select(F.col(key).alias("key"), primary(lit(declared)).alias("declared"), lit(host).cast("string").alias("host"), fold_of(F.col(key)).alias("fold"), F.col(text).alias("text"))
     schema = StructType([StructField("key", rows.schema[key].dataType), StructField("declared", StringType()), StructField("host", StringType()), StructField("score", ArrayType(DoubleType())), StructField("grams", LongType())])
-    scored = map_batches(given, _scored, schema, model.ratio, NGRAM)
+    scored = map_batches(given, _scored, schema, np.ascontiguousarray(model.ratio.reshape(-1, n).T), model.ratio.shape[1], NGRAM)
     names = F.array(*[F.lit(x) for x in model.languages])
     best = F.array_position("score", F.array_max("score")).cast("int")
     scored = materialize(scored.select("*", suffix_of(F.col("host")).alias("suffix"), F.when(F.col("grams") > 0, best).alias("best")), "scored", wide=True)
