@@ -18,7 +18,9 @@ from ..session import ship
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+    """Length of the longest common subsequence, by bit-parallel rows, one for each character of the shorter."""
+    if len(b) > len(a):
+        a, b = b, a
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | (1 << i)
@@ -33,16 +35,21 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
-def token_set_ratio(a: str | None, b: str | None) -> float:
+def token_set_ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
+    """The largest ratio of the common tokens, and of these with each side's others, sorted; below `least` it may be given as less."""
     x, y = set((a or "").split()), set((b or "").split())
     if not x or not y:
         return 0.0
     both, only_x, only_y = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     if both and (not only_x or not only_y):
         return 100.0
-    with_x, with_y = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
-    pairs = [(with_x, with_y)] + ([(both, with_x), (both, with_y)] if both else [])
-    return max(ratio(p, q) for p, q in pairs)
+    # what two texts have in front in common is in their longest common subsequence
+    n, m, p = len(only_x), len(only_y), len(both) + 1 if both else 0
+    out = 200.0 * len(both) / (len(both) + p + min(n, m)) if both else 0.0
+    whole = 2 * p + n + m
+    if 200.0 * (p + min(n, m)) / whole >= least:
+        out = max(out, 200.0 * (p + common_length(only_x, only_y)) / whole)
+    return out
 
 
 def token_sort_ratio(a: str | None, b: str | None) -> float:
@@ -97,21 +104,21 @@ def match_two_fields(messages: DataFrame, applications: DataFrame) -> DataFrame:
     return pairs.where(good).select("message_id", "application_id")
 
 
-def _similarities(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in parts:
-        yield pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """token_set_ratio over Arrow batches."""
 
+    def similarities(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for u, v in parts:
+            yield pd.Series([token_set_ratio(x, y, least) for x, y in zip(u, v, strict=True)], dtype="float64")
 
-def similarity(a: Column, b: Column) -> Column:
-    """token_set_ratio over Arrow batches."""
-    return F.pandas_udf(_similarities, DoubleType())(a, b)
+    return F.pandas_udf(similarities, DoubleType())(a, b)
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float = 40.0, k: int = 3) -> DataFrame:
     """(left_id, right_id, score, rank): of the right rows in a left row's block, the k most alike by name; of each part of a large block k at most go on."""
     ship(left.sparkSession)
     pairs = in_blocks(left.select("left_id", F.col("name").alias("a"), "block"), right.select("right_id", F.col("name").alias("b"), "block"), "block", "right_id")
-    scored = pairs.select("left_id", "right_id", "part", F.round(similarity(F.col("a"), F.col("b")), 4).alias("score")).where(F.col("score") >= least)
+    scored = pairs.select("left_id", "right_id", "part", F.round(similarity(F.col("a"), F.col("b"), least - 1e-4), 4).alias("score")).where(F.col("score") >= least)
     order = (F.desc("score"), "right_id")
     scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("left_id", "part").orderBy(*order))).where(F.col("rank") <= k).drop("part", "rank")
     w = Window.partitionBy("left_id").orderBy(*order)

@@ -73,3 +73,24 @@ def test_two_field_match(spark):
     a = spark.createDataFrame([(10, "p", "ACME Software Inc", "Data Engineer Senior"), (11, "p", "Acme Software", "Janitor"), (12, "p", "zeta", "any"), (13, "r", "Acme Software", None)], "application_id int, platform string, company string, title string")
     assert {tuple(r) for r in E.match_two_fields(m, a).collect()} == {(1, 10), (2, 12)}
     assert E.partial_ratio("abcd", "xxabcdxx") == 100 and E.weighted_ratio("", "a") == 0
+
+
+def test_token_set_ratio_is_the_largest_of_three():
+    """Against the three ratios worked out on whole strings, and with a least value from which on it is exact."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = (" ".join(rng.choice("ab bc cd de ef fgh hij x yz".split()) for _ in range(rng.randint(0, 8))) for _ in range(2))
+        x, y = set(a.split()), set(b.split())
+        both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        if not x or not y:
+            want = 0.0
+        elif both and (not one or not two):
+            want = 100.0
+        else:
+            p, q = f"{both} {one}".strip(), f"{both} {two}".strip()
+            want = max([E.ratio(p, q)] + ([E.ratio(both, p), E.ratio(both, q)] if both else []))
+        assert abs(E.token_set_ratio(a, b) - want) < 1e-9
+        for least in (40.0, want):
+            assert E.token_set_ratio(a, b, least) <= want + 1e-9 and (want < least or abs(E.token_set_ratio(a, b, least) - want) < 1e-9)
