@@ -40,7 +40,7 @@ RULES = (
     Rule("job_postings", "status = 'dismissed'", "first_seen", 30),
     Rule("job_postings", "status = 'applied'"),
     Rule("job_postings", "status = 'filled'", "stale_since", 7),
-    Rule("careershift_quota", column="date", days=30),
+    Rule("search_quota", column="date", days=30),
     Rule("quota_alerts", column="created_at", days=30),
     Rule("monitor_stats", column="date", days=60),
     Rule("verify_filled_stats", column="date", days=60),

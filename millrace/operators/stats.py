@@ -117,7 +117,7 @@ def fetch_detail(platform: Column, has_detail: Column, job: Column) -> Column:
 
 
 #: Seconds without a heartbeat after which a worker of a kind is taken for dead, fixed values.
-SILENT = {"scheduler": 20, "scan_worker": 45, "detail_worker": 45, "fullscan_worker": 1900, "h1b_llm_worker": 60, "email_processor": 60}
+SILENT = {"scheduler": 20, "scan_worker": 45, "detail_worker": 45, "fullscan_worker": 1900, "match_worker": 60, "email_processor": 60}
 
 
 def dead_workers(beats: DataFrame, as_of: str, warn: int = 3, error: int = 5) -> DataFrame:
