@@ -59,6 +59,19 @@ def release(since: int, keep: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hadoop(spark: SparkSession, name: str) -> tuple:
+    """The file system of a path, and the path, as the JVM has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared one, which cleanup() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table that materialize() wrote and that nothing reads any more."""
     spark = df.sparkSession
