@@ -22,7 +22,6 @@ columns beyond key and text are ignored, whatever their names. The vocabulary's
 
 from __future__ import annotations
 
-import json
 import random
 from collections.abc import Iterator, Sequence
 
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches, slices
 from .common import materialize
+from .vocab import byte_encoder
 
 CAPACITY = 2048
 REGION_PIECES = 40_000
@@ -44,37 +44,8 @@ BROADCAST_ROWS = 500_000
 Bin = tuple[int, list[int]]
 
 
-def encoder(path: str):
-    """A function from a text to its ids, by the vocabulary of a byte-level BPE file of the tokenizers library.
-
-    Ranks of a byte-level vocabulary are its ids, so tiktoken gives the same ids several times as
-    fast; if on a probe it doesn't, the tokenizers library itself is used.
-    """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-    try:
-        import tiktoken
-
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        fast = tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        probe = " It's 12  über\n\n\tñandú—日本語 🙂 x_y %%% <|endoftext|> déjà vu \r\n'LL "
-        if list(fast.encode(probe, allowed_special="all")) == slow.encode(probe, add_special_tokens=False).ids:
-            return lambda text: fast.encode_to_numpy(text, allowed_special="all")
-    except (ImportError, KeyError):
-        pass
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[list]:
-    encode = encoder(path)
+    encode = byte_encoder(path)
     tail = np.array([end], dtype="<u4")
     for batch in batches:
         for part in slices(batch):

@@ -4,14 +4,14 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from millrace.llm import packing
+from millrace.llm import packing, vocab
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_ids_are_those_of_the_tokenizers_library(spark):
     tokenizer = Tokenizer.from_file(PATH)
-    encode = packing.encoder(PATH)
+    encode = vocab.byte_encoder(PATH)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts += ["<|endoftext|> x<|endoftext|>", "\x00\x01 \u2028\u3000", "🙂" * 50, "a" * 5000, "  \n \t x", "I'LL we'll ٣٤ ½ e\u0301", "١٢٣abc_-"]
     for t in texts:
