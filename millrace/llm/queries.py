@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, language_id, packing, prob_minhash, quality_rules, resample, secret_scan, substring_dedup, token_counts, url_filters
-from .common import sized, table
+from . import align, decontaminate, language_id, negatives, packing, prob_minhash, quality_rules, resample, secret_scan, substring_dedup, token_counts, url_filters, warc
+from .common import folder, sized, table
 
 #: Fixed values of the contract: verdict and rule.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -63,12 +63,29 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-_ALL = (op1_best_fit_packing, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_quality_rules, op6_minhash_dedup, op7_language_id, op8_secret_scan, op9_suffix_dedup, op10_url_filters)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    # as the contract sets labels: every seventh row has the next one
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), to)
+    return warc.read_warc(spark, to).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_ALL = (op1_best_fit_packing, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_quality_rules, op6_minhash_dedup, op7_language_id, op8_secret_scan, op9_suffix_dedup, op10_url_filters, op11_hard_negatives, op12_token_alignment, op13_warc)
 
 
 def _sized(query):
     """The query, its result in as many parts as the size of its table asks for."""
-    name = "pages" if query is op10_url_filters else "documents"
+    name = {op10_url_filters: "pages", op13_warc: "pages", op11_hard_negatives: "embeddings"}.get(query, "documents")
     return lambda spark, sf_dir: sized(query(spark, sf_dir), table(spark, sf_dir, name))
 
 
@@ -158,5 +175,22 @@ b AS (SELECT host FROM s WHERE distrust > trust AND distrust * (SELECT count(*)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM v
 """
 
+#: Every pair of an anchor and another row; the last select is by windows over them.
+_OP11 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b)::INTEGER AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s QUALIFY rank <= 3
+"""
+
+#: SHA-1 in base 32: five hexadecimal digits are four of its digits.
+_OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY t) AS keeper, list_transform(range(8), lambda g: ('0x' || substr(h, (5 * g + 1)::INTEGER, 5))::BIGINT) AS n FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(n, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x // b) % 32 + 1)::INTEGER, 1)), '')), '') AS payload_digest,
+ CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+"""
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op6_minhash_dedup": _OP6, "op8_secret_scan": _op8(), "op9_suffix_dedup": _OP9, "op10_url_filters": _OP10}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op6_minhash_dedup": _OP6, "op8_secret_scan": _op8(), "op9_suffix_dedup": _OP9, "op10_url_filters": _OP10, "op11_hard_negatives": _OP11, "op13_warc": _OP13}

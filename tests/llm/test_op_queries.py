@@ -23,7 +23,7 @@ def duck():
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in OPS) == list(range(1, 11)) and "pipeline" in entry_file.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in OPS) == list(range(1, 14)) and "pipeline" in entry_file.queries()
 
 
 @pytest.mark.parametrize("name", sorted(n for n in OPS if n in entry_file.oracle_sql()))
@@ -42,6 +42,7 @@ def test_op_equals_sql(spark, duck, name):
         ("op4_quality_classifier", "doc_id bigint, log_weight double, n_grams bigint, gumbel_key double, kept boolean"),
         ("op5_quality_rules", "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"),
         ("op7_language_id", "doc_id bigint, lang string, posterior double, evidence double, kept boolean"),
+        ("op12_token_alignment", "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"),
     ],
 )
 def test_op_has_its_columns_and_all_documents(spark, name, columns):
