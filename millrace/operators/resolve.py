@@ -2,17 +2,20 @@
 
 Token-set similarity is the largest of three normalised insertion-deletion similarities of sorted
 token strings (100 where one set holds the other); edit distance by substitutions is not the same,
-and no built-in has it, so it runs as an Arrow function on blocked pairs only.
+and no built-in has its longest common subsequence. Candidates are therefore joined by what a score needs, rare
+words in common or lengths and letters in proportion, bounded from both sides natively, and only pairs
+whose score the bounds leave open go to an Arrow function.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType, LongType
 
 from ..session import ship
 
@@ -104,24 +107,104 @@ def match_two_fields(messages: DataFrame, applications: DataFrame) -> DataFrame:
     return pairs.where(good).select("message_id", "application_id")
 
 
-def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
-    """token_set_ratio over Arrow batches."""
-
-    def similarities(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for u, v in parts:
-            yield pd.Series([token_set_ratio(x, y, least) for x, y in zip(u, v, strict=True)], dtype="float64")
-
-    return F.pandas_udf(similarities, DoubleType())(a, b)
+#: Letters that are counted apart, and together all others, for an upper bound of what two texts have in common.
+LETTERS = ("a", "e", "i", "o", "u", "s", "t", "n", "r", "lm", "cdk", "bfgp", "hvwy", " ")
+
+
+def _side(df: DataFrame, key: str) -> DataFrame:
+    """(key, block, words, size, letters): distinct words in order, the length of their line, how often each of LETTERS is in it, and the others."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce("name", F.lit("")), r"\s+"), lambda w: w != "")))
+    rows = df.select(key, "block", words.alias("words")).where("size(words) > 0 and block is not null").withColumn("line", F.array_join("words", " "))
+    size = F.char_length("line")
+    counts = [size - F.char_length(F.translate("line", own, "")) for own in LETTERS]
+    others = F.char_length(F.translate("line", "".join(LETTERS), ""))
+    return rows.select(key, "block", "words", size.alias("size"), F.array(*counts, others).alias("letters"))
+
+
+def _places(side: DataFrame, key: str, rarity: DataFrame) -> DataFrame:
+    """(key, block, size, word, rest): each word with the weight of itself and all commoner words of its row; a word weighs its length and a space."""
+    words = side.select(key, "block", "size", F.explode("words").alias("word")).join(rarity, ["block", "word"])
+    common_first = Window.partitionBy(key).orderBy(F.desc("rows"), F.desc("word"))
+    return words.select(key, "block", "size", "word", F.sum(F.char_length("word") + 1).over(common_first).alias("rest"))
+
+
+def _held(small: DataFrame, large: DataFrame, share: float, strict: bool) -> DataFrame:
+    """Pairs of a block in which words of at least so large a share of the smaller row may be common, by the smaller row's rarest words.
+
+    All words that two rows have in common are as common as their rarest one or commoner, so at that
+    one what is left of either row must weigh enough; a row's words that leave too little after
+    them are never looked up.
+    """
+    need = (F.col("small.size") + 1) * share
+    fits = (F.col("small.size") < F.col("large.size")) if strict else (F.col("small.size") <= F.col("large.size"))
+    rare = small.where(F.col("rest") >= (F.col("size") + 1) * share).alias("small")
+    return rare.join(large.alias("large"), [F.col("small.block") == F.col("large.block"), F.col("small.word") == F.col("large.word"), fits, F.col("large.rest") >= need])
+
+
+def _shared(x: str, y: str) -> Column:
+    """No more characters than the sum, over letters, of the lesser count can be in a common subsequence."""
+    n = len(LETTERS) + 1
+    return sum((F.least(F.get(x, k), F.get(y, k)) for k in range(1, n)), F.least(F.get(x, 0), F.get(y, 0)))
+
+
+def likely_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left_id, right_id, x, y): pairs of a block that may score `least`, their distinct words; no others that could are left out.
+
+    A score is that of the common words alone, which needs enough of the smaller row's weight in
+    common and is found by rare words; or that of whole lines, which needs lengths in
+    proportion, found by bands of lengths, and enough letters in common.
+    """
+    share = least / (200 - least)
+    a, b = _side(left, "left_id"), _side(right, "right_id")
+    rarity = b.select("block", F.explode("words").alias("word")).groupBy("block", "word").agg(F.count("*").alias("rows"))
+    x, y = _places(a, "left_id", rarity), _places(b, "right_id", rarity)
+    ids = ("left_id", "right_id")
+    by_words = _held(x, y, share, False).select(*ids).union(_held(y, x, share, True).select(*ids))
+    band = F.floor(F.ln("size") / math.log(1 / share)).cast("int")
+    near = a.select("left_id", "block", "size", F.col("letters").alias("l"), F.explode(F.array(band - 1, band, band + 1)).alias("band")).withColumn("block", F.struct("block", "band")).withColumnRenamed("size", "n").drop("band")
+    far = b.select("right_id", F.struct("block", band.alias("band")).alias("block"), F.col("size").alias("m"), F.col("letters").alias("r"))
+    alike = in_blocks(near, far, "block", "right_id").where((F.least("n", "m") >= share * F.greatest("n", "m")) & (200 * _shared("l", "r") >= (least - 1e-4) * (F.col("n") + F.col("m"))))
+    # words that no right row has are in no table of places, but in the lengths
+    pairs = by_words.union(alike.select(*ids)).distinct()
+    return pairs.join(a.select("left_id", F.col("words").alias("x"), F.col("letters").alias("l")), "left_id").join(b.select("right_id", F.col("words").alias("y"), F.col("letters").alias("r")), "right_id")
+
+
+def bounded_pairs(left: DataFrame, right: DataFrame, least: float, k: int) -> DataFrame:
+    """(left_id, right_id, only_x, only_y, p, low, high): likely pairs whose score, between low and high, may be `least` and among a left row's k best; p is the length of their common words and the space after them."""
+    both = F.array_join(F.array_intersect("x", "y"), " ")
+    rows = likely_pairs(left, right, least).select("left_id", "right_id", F.char_length(both).alias("b"), F.array_join(F.array_except("x", "y"), " ").alias("only_x"), F.array_join(F.array_except("y", "x"), " ").alias("only_y"), _shared("l", "r").alias("shared"))
+    rows = rows.withColumn("p", F.when(F.col("b") > 0, F.col("b") + 1).otherwise(0)).withColumn("n", F.char_length("only_x")).withColumn("m", F.char_length("only_y"))
+    whole = 2 * F.col("p") + F.col("n") + F.col("m")
+    words = F.when(F.col("b") > 0, 200.0 * F.col("b") / (F.col("b") + F.col("p") + F.least("n", "m"))).otherwise(0.0)
+    held = (F.col("b") > 0) & (F.least("n", "m") == 0)
+    low = F.when(held, 100.0).otherwise(F.greatest(words, 200.0 * F.col("p") / whole))
+    high = F.when(held, 100.0).otherwise(F.greatest(words, 200.0 * F.least(F.col("p") + F.least("n", "m"), "shared") / whole))
+    rows = rows.withColumn("low", low).withColumn("high", high).where(F.col("high") >= least - 1e-4)
+    # the k-th best of what pairs score at least, once k of them have been seen
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("low"), "right_id")))
+    best = ranked.withColumn("sure", F.max(F.when(F.col("rank") == k, F.col("low"))).over(Window.partitionBy("left_id")))
+    return best.where(F.col("high") >= F.coalesce("sure", F.lit(0.0)) - 1e-4).select("left_id", "right_id", "only_x", "only_y", "p", "low", "high")
+
+
+def _common(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for u, v in parts:
+        yield pd.Series([common_length(x, y) for x, y in zip(u, v, strict=True)], dtype="int64")
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float = 40.0, k: int = 3) -> DataFrame:
-    """(left_id, right_id, score, rank): of the right rows in a left row's block, the k most alike by name; of each part of a large block k at most go on."""
+    """(left_id, right_id, score, rank): of the right rows in a left row's block, the k most alike by name, at least `least` (1 or more). Ids are keys.
+
+    Only the longest common subsequence of the words that are not common runs in Python, for pairs whose bounds leave the score open.
+    """
     ship(left.sparkSession)
-    pairs = in_blocks(left.select("left_id", F.col("name").alias("a"), "block"), right.select("right_id", F.col("name").alias("b"), "block"), "block", "right_id")
-    scored = pairs.select("left_id", "right_id", "part", F.round(similarity(F.col("a"), F.col("b"), least - 1e-4), 4).alias("score")).where(F.col("score") >= least)
-    order = (F.desc("score"), "right_id")
-    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("left_id", "part").orderBy(*order))).where(F.col("rank") <= k).drop("part", "rank")
-    w = Window.partitionBy("left_id").orderBy(*order)
+    rows = bounded_pairs(left, right, least, k)
+    known = F.col("high") <= F.col("low")
+    sure = rows.where(known).select("left_id", "right_id", "low")
+    common = F.pandas_udf(_common, LongType())("only_x", "only_y")
+    whole = 200.0 * (F.col("p") + F.col("common")) / (2 * F.col("p") + F.char_length("only_x") + F.char_length("only_y"))
+    open_ = rows.where(~known).withColumn("common", common).select("left_id", "right_id", F.greatest("low", whole).alias("low"))
+    scored = sure.union(open_).select("left_id", "right_id", F.round("low", 4).alias("score")).where(F.col("score") >= least)
+    w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     return scored.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
@@ -132,14 +215,30 @@ def decide(ranked: DataFrame, sure: float = 95.0, good: float = 80.0, gap: float
     return rows.select("left_id", "right_id", "score", decision.alias("decision"))
 
 
-def keyword_subset(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id): every word of a left name is in the right one; one-word names need an equal name. Joined on the left word that the fewest right names have."""
-    a = left.select("left_id", F.array_distinct(F.filter(F.split("name", " "), lambda t: t != "")).alias("w"), F.size(F.filter(F.split("name", " "), lambda t: t != "")).alias("n")).where("n > 0")
-    b = right.select("right_id", F.filter(F.split("name", " "), lambda t: t != "").alias("v"))
-    words = b.select("right_id", "v", F.explode(F.array_distinct("v")).alias("key"))
+def _names(df: DataFrame, rows: str) -> DataFrame:
+    """Distinct names, their words and how many rows have each."""
+    return df.groupBy("name").agg(F.count("*").alias(rows)).withColumn("words", F.filter(F.split("name", " "), lambda t: t != ""))
+
+
+def keyword_classes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_name, right_name, left_rows, right_rows): distinct names, every word of the left one in the right one; one-word names need an equal name.
+
+    Joined on the left word that the fewest right names have, so a name that many rows share is one row; the
+    rows behind a class are found by its name.
+    """
+    a = _names(left, "left_rows")
+    a = a.select(F.col("name").alias("left_name"), "left_rows", F.array_distinct("words").alias("w"), F.size("words").alias("n")).where("n > 0")
+    words = _names(right, "right_rows").select(F.col("name").alias("right_name"), "right_rows", F.col("words").alias("v"), F.explode(F.array_distinct("words")).alias("key"))
     counts = words.groupBy("key").agg(F.count("*").alias("names"))
     # a word that no right name has rules its left name out; of the others the rarest makes the fewest pairs
-    rated = a.select("left_id", "w", "n", F.explode("w").alias("key")).join(counts, "key")
-    rarest = rated.groupBy("left_id", "w", "n").agg(F.count("*").alias("known"), F.min_by("key", F.struct("names", "key")).alias("key")).where(F.col("known") == F.size("w"))
+    rated = a.select("left_name", "left_rows", "w", "n", F.explode("w").alias("key")).join(counts, "key")
+    rarest = rated.groupBy("left_name", "left_rows", "w", "n").agg(F.count("*").alias("known"), F.min_by("key", F.struct("names", "key")).alias("key")).where(F.col("known") == F.size("w"))
     fits = (F.size(F.array_except("w", "v")) == 0) & ((F.col("n") > 1) | (F.size("v") == 1))
-    return rarest.join(words, "key").where(fits).select("left_id", "right_id")
+    return rarest.join(words, "key").where(fits).select("left_name", "right_name", "left_rows", "right_rows")
+
+
+def keyword_subset(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id): the rows behind keyword_classes."""
+    classes = keyword_classes(left, right).select("left_name", "right_name")
+    members = classes.join(left.select("left_id", F.col("name").alias("left_name")), "left_name")
+    return members.join(right.select("right_id", F.col("name").alias("right_name")), "right_name").select("left_id", "right_id")

@@ -48,7 +48,7 @@ QUERIES = {
     "q_fuzzy_candidates": lambda s, d: E.candidates(_left(s, d), _right(s, d)),
     "q_fuzzy_decision": lambda s, d: E.decide(E.candidates(_left(s, d), _right(s, d))),
     "q_keyword_subset": lambda s, d: E.keyword_subset(_parts(s, d, "left_id", F.substring_index("p_name", " ", 2)), _parts(s, d, "right_id", F.col("p_name"))),
-    "q_keyword_subset_whole": lambda s, d: E.keyword_subset(_parts(s, d, "left_id", F.substring_index("p_name", " ", 2)), _parts(s, d, "right_id", F.col("p_name"))),
+    "q_keyword_classes": lambda s, d: E.keyword_classes(_parts(s, d, "left_id", F.substring_index("p_name", " ", 2)), _parts(s, d, "right_id", F.col("p_name"))),
     "q_early_exit_page": lambda s, d: P.early_exit(_scan(s, d)),
     "q_dead_letter": lambda s, d: P.dead_letters(role(s, d, "requests").select(F.floor(F.col("event_id") / 4).alias("message"), (F.col("class") == "429").alias("ok")), 4),
 }
@@ -87,7 +87,7 @@ ORACLE_SQL = {
     "q_relevance_filter": oracle("postings", body=_POSTS + " SELECT job_id, score FROM y WHERE fits AND is_us"),
     "q_detail_outcome": oracle("postings", body=_POSTS + " SELECT job_id, CASE WHEN coalesce(country <> 'US', false) THEN 'filtered_country' WHEN NOT fits THEN 'filtered_title' WHEN NOT is_us THEN 'filtered_location' WHEN NOT dated AND NOT coalesce(age <= 3, true) THEN 'stale' WHEN known THEN 'duplicate' ELSE 'new' END AS outcome FROM y"),
     "q_keyword_subset": "SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM (SELECT p_partkey, list_filter(string_split(lower(p_name), ' ')[1:2], lambda x: x <> '') AS w FROM part) a JOIN (SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda x: x <> '') AS v FROM part) b ON list_has_all(v, w) AND (len(w) > 1 OR len(v) = 1) WHERE len(w) > 0",
-    "q_keyword_subset_whole": "SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM (SELECT p_partkey, list_filter(string_split(lower(p_name), ' ')[1:2], lambda x: x <> '') AS w FROM part) a JOIN (SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda x: x <> '') AS v FROM part) b ON list_has_all(v, w) AND (len(w) > 1 OR len(v) = 1) WHERE len(w) > 0",
+    "q_keyword_classes": "WITH l AS (SELECT left_name, count(*) AS left_rows, list_filter(string_split(left_name, ' '), lambda x: x <> '') AS w FROM (SELECT array_to_string(string_split(lower(p_name), ' ')[1:2], ' ') AS left_name FROM part) GROUP BY 1), r AS (SELECT lower(p_name) AS right_name, count(*) AS right_rows, list_filter(string_split(lower(p_name), ' '), lambda x: x <> '') AS v FROM part GROUP BY 1) SELECT left_name, right_name, left_rows, right_rows FROM l JOIN r ON list_has_all(v, w) AND (len(w) > 1 OR len(v) = 1) WHERE len(w) > 0",
     "q_early_exit_page": oracle("requests", body=", p AS (SELECT user_id AS scan, event_id // 500 AS page, count(*) AS n, count_if(class = 'ok') AS k FROM requests GROUP BY 1, 2), r AS (SELECT scan, page, k = n OR sum(CASE WHEN k >= 0.8 * n THEN 1 ELSE 0 END) OVER (PARTITION BY scan ORDER BY page ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) >= 2 AS stop FROM p) SELECT scan, min(CASE WHEN stop THEN page END) AS exit_page, count(*) AS n_pages FROM r GROUP BY 1"),
     "q_dead_letter": oracle("requests", body="SELECT event_id // 4 AS message, count(*) AS n, CASE WHEN bool_or(class = '429') THEN 'done' WHEN count(*) >= 4 THEN 'dead' ELSE 'retry' END AS state FROM requests GROUP BY 1"),
 }

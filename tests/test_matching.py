@@ -1,5 +1,10 @@
 """The matching queries that have no SQL."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from millrace.operators import resolve
 from millrace.plans import matching
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +33,48 @@ def test_keyword_subset_of_all_parts(spark):
         for b, u in parts:
             if w and set(w) <= set(u) and (len(w) > 1 or len(u) == 1):
                 want.add((a, b))
-    got = [(r.left_id, r.right_id) for r in matching.QUERIES["q_keyword_subset_whole"](spark, SF).collect()]
+    got = [(r.left_id, r.right_id) for r in matching.QUERIES["q_keyword_subset"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(a % 10 and b % 7 and a != b for a, b in got)
+
+
+def _companies(seed, n):
+    """Names with shared words, words of other names, typing errors, one word repeated, and none at all."""
+    rng = random.Random(seed)
+    words = ["acme", "global", "systems", "services", "tech", "solutions", "bank", "of", "north", "data", "inc", "llc", "consulting", "group"]
+    out = []
+    for _ in range(n):
+        name = [rng.choice(words) if rng.random() < 0.7 else "".join(rng.choice("abcdexyz") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 6))]
+        if rng.random() < 0.3:
+            k = rng.randrange(len(name))
+            name[k] = name[k][:-1] + rng.choice("aeq")
+        out.append("  ".join(name))
+    return [*out, "", " ", None, "acme acme", "acme"]
+
+
+def test_fuzzy_candidates_equal_all_pairs(spark):
+    """Every pair of a block compared, for several least scores and ranks; few of them reach Python."""
+    left, right = list(enumerate(_companies(1, 60))), list(enumerate(_companies(2, 150)))
+    make = lambda rows, key: spark.createDataFrame([(k, n, str(k % 2)) for k, n in rows], f"{key} long, name string, block string")
+    a, b = make(left, "left_id"), make(right, "right_id")
+    product = sum(i % 2 == j % 2 for i, _ in left for j, _ in right)
+    for least, k in ((40.0, 3), (80.0, 2), (95.0, 1), (1.0, 4)):
+        want = []
+        for i, x in left:
+            scored = sorted((-round(resolve.token_set_ratio(x, y), 4), j) for j, y in right if i % 2 == j % 2)
+            want += [(i, j, -s, n + 1) for n, (s, j) in enumerate([t for t in scored if -t[0] >= least][:k])]
+        got = sorted(map(tuple, resolve.candidates(a, b, least, k).collect()))
+        assert got == sorted(want)
+        if least >= 80:
+            open_ = resolve.bounded_pairs(a, b, least, k).where(F.col("high") > F.col("low"))
+            assert open_.where(F.col("high") < least - 1e-4).count() == 0 and open_.count() < product / 8
+
+
+def test_rare_words_find_a_short_name_in_a_long_one(spark):
+    """Lengths too far apart for whole lines to be alike: found by words alone, and only where enough of them weigh enough."""
+    short, long = "zebra quartz", " ".join(["common"] + [f"filler{i}" for i in range(200)])
+    a = spark.createDataFrame([(1, short, "b"), (2, "common q", "b")], "left_id long, name string, block string")
+    b = spark.createDataFrame([(1, f"{long} zebra quartz", "b"), (2, long, "b"), (3, f"{long} zebra", "b")], "right_id long, name string, block string")
+    pairs = {(r.left_id, r.right_id) for r in resolve.likely_pairs(a, b, 80.0).collect()}
+    assert pairs == {(1, 1), (2, 1), (2, 2), (2, 3)}
+    assert [(r.right_id, r.score) for r in resolve.candidates(a.where("left_id = 1"), b, 80.0).collect()] == [(1, 100.0)]
