@@ -16,7 +16,7 @@ from ..operators import health as H
 from ..operators import places as G
 from ..operators import retention as K
 from ..session import shared_dir
-from ..sources import adapters, feeds, files, infer, sheets
+from ..sources import adapters, feeds, files, infer, nested, sheets
 from .roles import AS_OF, as_text, oracle, role
 
 
@@ -194,8 +194,15 @@ def _pagination(s, d):
         F.concat(F.lit('{"meta": {"x": [1], "total_count": '), (F.col("n") + 1).cast("string"), F.lit("}"), F.when(F.col("user_id") % 4 == 2, ', "next": "abc"').otherwise(""), F.lit("}")).alias("response"), F.lit(25).alias("page_size"),
     )
     plan = infer.paginations(seen)
-    got = lambda p: F.get_json_object("plan", f"$.{p}")
-    return plan.select("company", got("type").alias("type"), F.coalesce(got("param"), got("cursor_field")).alias("param"), got("page_size").cast("bigint").alias("page_size"), got("location").alias("location"), got("total_field").alias("total_field"))
+    return plan.select("company", *(F.col(f"plan.{c}").alias(c) for c in ("type", "param", "page_size", "location", "total_field")))
+
+
+def _deep(s, d):
+    """Event properties, each under members and items of its own depth, found again wherever they are."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    wrapped = [F.col("props"), F.concat(F.lit('{"a": [1, '), F.col("props"), F.lit("]}")), F.concat(F.lit('[{"a": {"b": [[], '), F.col("props"), F.lit('], "k": null}}, {"a": {"k": -1}}]')), F.concat(F.lit('{"k": {"k": 1}, "a": '), F.col("props"), F.lit("}")), F.lit('{"no": ["k"]'), F.lit(None)]
+    body = F.element_at(F.array(*wrapped), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("event_id", nested.find(body, "k").alias("k"), nested.at(body, "a.k").alias("at"), nested.at(body, "a[1].k").alias("item"))
 
 
 def _landed(s, rows, **options):
@@ -279,6 +286,7 @@ QUERIES = {
     "q_ids_in_urls": lambda s, d: infer.ids_in_urls(_records(s, d), infer.field_roles(_records(s, d))).where("role = 'id'").select("company", "field", "votes"),
     "q_record_prints": lambda s, d: infer.record_prints(_records(s, d)).select("company", "page", F.size("prints").cast("bigint").alias("n"), F.array_min("prints").alias("first")),
     "q_pagination": _pagination,
+    "q_deep_find": _deep,
     "q_adapters": _listed,
     "q_feed": _feeds,
     "q_sitemap": _sitemaps,
@@ -324,9 +332,10 @@ ORACLE_SQL = {
     "q_records": f"SELECT company, page, 'data.edges[*].node' AS path, o_orderkey AS id, o_orderpriority AS title FROM {_R}",
     "q_field_roles": f"SELECT company, role, field, votes FROM (SELECT company, count(*) AS votes, count_if(o_orderkey >= 1000)::BIGINT AS ids FROM {_R} GROUP BY 1) CROSS JOIN (VALUES ('title', 'job_title'), ('url', 'link'), ('id', 'id'), ('location', 'city')) t(role, field) WHERE role <> 'id' UNION ALL SELECT company, 'id', CASE WHEN true THEN 'id' END, count(*) FROM {_R} GROUP BY 1",
     "q_ids_in_urls": f"SELECT company, 'key' AS field, count(*) AS votes FROM {_R} GROUP BY 1 HAVING count(*) >= 2 UNION ALL SELECT company, 'key', 1 FROM {_R} GROUP BY 1 HAVING count(*) = 1",
-    "q_record_prints": f"SELECT company, page, count(DISTINCT o_orderstatus) AS n, 'city:' || min(o_orderstatus) AS first FROM {_R} GROUP BY 1, 2",
+    "q_record_prints": f"SELECT company, page, count(DISTINCT o_orderstatus) AS n, min(sha256('city:' || o_orderstatus)) AS first FROM {_R} GROUP BY 1, 2",
     "q_pagination": oracle("polls", body="""SELECT user_id AS company, CASE WHEN user_id % 4 = 0 THEN 'offset' WHEN user_id % 4 = 1 THEN 'page' WHEN user_id % 4 = 2 THEN 'cursor' ELSE 'none' END AS type, CASE user_id % 4 WHEN 0 THEN 'offset' WHEN 1 THEN 'page' WHEN 2 THEN 'next' END AS param,
  CASE WHEN user_id % 4 = 0 THEN 100 WHEN user_id % 8 = 1 THEN 250 ELSE 25 END::BIGINT AS page_size, CASE WHEN user_id % 4 = 0 THEN 'url' WHEN user_id % 8 = 1 THEN 'body' WHEN user_id % 4 = 1 THEN 'url' END AS location, CASE WHEN user_id % 4 < 2 THEN 'meta.total_count' END AS total_field FROM (SELECT DISTINCT user_id FROM polls)"""),
+    "q_deep_find": "WITH e AS (SELECT event_id, event_id % 6 AS n, json_extract_string(props, '$.k') AS k FROM events) SELECT event_id, CASE n WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN '-1' WHEN 3 THEN '{\"k\":1}' END AS k, CASE WHEN n = 3 THEN k END AS at, CASE WHEN n = 1 THEN k END AS item FROM e",
     "q_adapters": oracle("postings", body=f"SELECT ats, company, job_id::VARCHAR AS job_id, 'Job ' || job_id AS title, CASE WHEN ats IN ({_has('url', 'job_url')}) THEN 'https://x.org/j/' || job_id END AS job_url, CASE WHEN ats IN ({_has('location', 'location')}) THEN 'City ' || job_id % 9 END AS location FROM postings CROSS JOIN (SELECT unnest({_sql_list(adapters.SOURCES)}) AS ats)"),
     "q_feed": oracle("postings", body="SELECT company, job_id::VARCHAR AS job_id, 'Dev & ' || job_id AS title, 'https://x.org/j/' || job_id AS job_url, 'Mountain View, CA, USA' AS location, '2024-01-05' AS day FROM postings"),
     "q_sitemap": r"""WITH p AS (SELECT DISTINCT url, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages WHERE url IS NOT NULL AND regexp_matches(url, '/(?:en|fr)/') AND (lower(regexp_extract(url, '(?i)^https?://[^/]+/([a-z]{2})(?:[-_][a-z]{2})?/', 1)) IN ('', 'en')))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import dedup, filings, fold, health, places, relevance, resolve, retention, state
-from millrace.sources import feeds, infer
+from millrace.sources import feeds, infer, nested
 from millrace.streaming import jobs as J
 
 
@@ -132,18 +132,70 @@ def test_absolute_urls_are_those_of_the_standard_library(spark):
         assert r.u == urljoin(r.b, r.x), (r.b, r.x)
 
 
-def test_totals_and_pagination():
-    assert infer.total_path({"a": {"b": {"totalResults": 5}}, "count": 3}) == "a.b.totalResults"
-    assert infer.total_path({"a": {"b": {"c": {"d": {"total": 5}}}}}) is None and infer.total_path([1]) is None
-    assert infer.total_path({"total": {"low": 4, "high": 0}}) == "total" and infer.total_path({"total": True}) is None
-    assert infer.pagination({}, json.dumps({"from": 0, "size": 10}), {"hits": 9}, 7) == {"type": "offset", "param": "from", "location": "body", "page_size": 100, "page_size_param": "size", "total_field": "hits"}
-    assert infer.pagination({"pg": 1}, "not json", None, 7)["type"] == "page" and infer.pagination({}, "", {"next": ""}, 7) == {"type": "none", "page_size": 7}
+def _one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in values.items())).select(column.alias("out")).first().out
+
+
+def test_totals(spark):
+    total = lambda data: _one(spark, infer.total_at(F.col("r")), r=data if isinstance(data, str) else json.dumps(data))
+    assert total({"a": {"b": {"totalResults": 5}}, "count": 3}) == "count"
+    assert total({"a": {"b": {"total-Results": 5}}}) == "a.b.total-Results"
+    assert total({"a": {"b": {"c": {"d": {"total": 5}}}}}) is None and total([1]) is None and total("{bad") is None
+    assert total({"total": {"low": 4, "high": 0}}) == "total" and total({"total": True}) is None and total({"total": "5"}) is None and total({"total": -1}) is None
+    assert total({"rows": [{"count": 5}]}) is None
+
+
+def test_pagination(spark):
+    def plan(params, body, response, size=7):
+        text = lambda x: x if isinstance(x, str) or x is None else json.dumps(x)
+        return _one(spark, infer.pagination(F.col("p"), F.col("b"), F.col("r"), F.col("n")), p=text(params) or "", b=text(body) or "", r=text(response) or "", n=size).asDict()
+
+    none = dict.fromkeys(("type", "param", "location", "page_size", "page_size_param", "total_field", "cursor_field"))
+    assert plan({}, {"from": 0, "size": 10}, {"hits": 9}) == none | {"type": "offset", "param": "from", "location": "body", "page_size": 100, "page_size_param": "size", "total_field": "hits"}
+    assert plan({"pg": 1}, "not json", None)["type"] == "page" and plan({}, "", {"next": ""}) == none | {"type": "none", "page_size": 7}
+    # an offset before a page number, whatever else there is; sizes that are no numbers
+    assert plan({"page": 1, "limit": "all"}, {"offset": 5}, {"next": "x"}) == none | {"type": "offset", "param": "offset", "location": "body", "page_size": 7, "page_size_param": "limit"}
+    assert plan({"page": 1, "limit": "250"}, "", [])["page_size"] == 250 and plan({"page": 1, "limit": None}, "", [])["page_size"] == 7
+    # a body with variables, and a cursor's parameter
+    assert plan({}, {"query": "q", "variables": {"offset": 0, "limit": 20}}, {}) == none | {"type": "offset", "param": "offset", "location": "variables", "page_size": 100, "page_size_param": "limit"}
+    assert plan({"after": ""}, "", {"nextCursor": "abc", "next": "u"}) == none | {"type": "cursor", "param": "after", "location": "url", "page_size": 7, "cursor_field": "nextCursor"}
+    assert plan("{bad", "[1]", {"cursor": "z"}) == none | {"type": "cursor", "param": "cursor", "page_size": 7, "cursor_field": "cursor"}
+
+
+def test_records_of_nested_responses(spark):
+    shapes = {
+        "root": [{"a": 1}, {"a": 2}, 3],
+        "larger": {"small": [{"a": 1}], "x": {"y": [{"b": k} for k in range(3)]}},
+        "inside": {"rows": [{"tags": [{"t": k} for k in range(5)]}, {"tags": []}]},
+        "shorter": {"bb": [{"a": 1}], "c": [{"a": 2}], "d": [{"a": 3}]},
+        "half": {"edges": [{"node": {"a": 1}}, {"other": 1}]},
+        "deep": {"1": {"2": {"3": {"4": {"5": {"6": [{"a": 1}]}}}}}},
+        "too deep": {"1": {"2": {"3": {"4": {"5": {"6": {"7": [{"a": 1}]}}}}}}},
+        "none": {"a": [1, [2]], "b": "x"},
+    }
+    rows = [(k, json.dumps(v)) for k, v in shapes.items()] + [("bad", "{"), ("null", None), ("too nested", "[" * 3000 + "]" * 3000)]
+    found: dict = {}
+    for r in infer.records(spark.createDataFrame(rows, "company string, body string")).orderBy("place").collect():
+        found.setdefault((r.company, r.path), []).append(json.loads(r.record))
+    assert found == {
+        ("root", ""): [{"a": 1}, {"a": 2}], ("larger", "x.y"): [{"b": 0}, {"b": 1}, {"b": 2}], ("inside", "rows[0].tags"): [{"t": k} for k in range(5)], ("shorter", "c"): [{"a": 2}],
+        ("half", "edges"): shapes["half"]["edges"], ("deep", "1.2.3.4.5.6"): [{"a": 1}],
+    }
+
+
+def test_find_and_at(spark):
+    one = lambda raw, c: _one(spark, c, b=raw)
+    assert one('{"a": {"x": null, "b": [{"x": 5}]}, "c": {"d": {"x": 6}}}', nested.find(F.col("b"), "x")) == "6"
+    assert one('{"a": [{"b": {"x": [1, 2]}}]}', nested.find(F.col("b"), "x")) == "[1,2]" and one('{"a": 1}', nested.find(F.col("b"), "x")) is None
+    assert one('[{"b": {"x": "y"}}]', nested.at(F.col("b"), "[0].b.x")) == '"y"' and one("{bad", nested.at(F.col("b"), "a")) is None and one('{"a": null}', nested.at(F.col("b"), "a")) is None
 
 
 def test_pages_that_come_again(spark):
-    found = spark.createDataFrame([("c", p, json.dumps({"none": "", "id": f"{i}", "x": {"a": 1}})) for p, i in ((1, 5), (1, 6), (2, 6), (2, 5), (3, 7))], "company string, page int, record string")
+    opening = "https://x.org/" + "a" * 80
+    rows = [("c", p, json.dumps({"none": "", "id": f"{i}", "x": {"a": 1}})) for p, i in ((1, 5), (1, 6), (2, 6), (2, 5), (3, 7), (4, f"{opening}1"), (5, f"{opening}2"))]
+    found = spark.createDataFrame(rows, "company string, page int, record string")
     got = {r.page: r.prints for r in infer.record_prints(found).collect()}
-    assert got[1] == got[2] == ["id:5", "id:6"] and got[3] == ["id:7"]
+    assert got[1] == got[2] and len(got[1]) == 2 and got[3] != got[4] != got[5]
 
 
 def test_canaries_end_an_outage(spark):
