@@ -79,7 +79,8 @@ def _polled(state: tuple, found: float | None, low: float, moderate: float, acti
     score = None
     if len(recent) >= LEAST_POLLS:
         weights = WEIGHTS[-len(recent) :]
-        score = sum(c * w for c, w in zip(recent, weights, strict=True)) / sum(weights)
+        # as it is reported, so that no band hangs on a rounding
+        score = round(sum(c * w for c, w in zip(recent, weights, strict=True)) / sum(weights), 6)
     if not score:
         to = DEFAULT
     else:

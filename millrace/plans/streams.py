@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..streaming import jobs as J
+from ..streaming import state as S
 from .adaptive import ORACLE_SQL as ADAPTIVE_SQL
 from .roles import as_text, oracle, role
 
@@ -41,19 +42,125 @@ def s_error_window(spark: SparkSession, d: str) -> DataFrame:
     return out.where("platform <> 'closing'").select("platform", F.col("until").cast("timestamp_ntz").alias("until"), "requests", "errors")
 
 
+def _closing(spark: SparkSession, columns: str) -> DataFrame:
+    """A row so late that the watermark passes all others."""
+    return spark.sql(f"SELECT TIMESTAMP '2030-01-01 00:00:00' AS ts, {columns}")
+
+
 def s_dedup_day(spark: SparkSession, d: str) -> DataFrame:
-    """Keys that a day's dedup lets through, counted at least once each."""
+    """How many rows of each key a day's dedup lets through.
+
+    The rows of ten days are put on one day, by their time, and such days far apart: of each, a key's first row
+    passes and its others don't. A batch forgets what was behind the watermark before it, so two ticks are
+    between the days.
+    """
     source, sink, state = _places(spark, "dedup")
-    rows = role(spark, d, "requests").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "class")
-    out = J.run_once(J.dedup_day(_stream(spark, rows, source), "user_id", "class"), sink, state)
-    return out.select("user_id", "class").distinct()
+    rows = role(spark, d, "requests").select("user_id", "class", F.floor((F.dayofmonth("ts") - 1) / 10).alias("n"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("second"))
+    given = rows.select(F.timestamp_seconds(F.col("n") * 100 * 86400 + F.col("second")).alias("ts"), "user_id", "class", (F.col("n") * 3).alias("batch"))
+    ticks = rows.select("n").distinct().select(F.timestamp_seconds((F.col("n") * 100 + 50) * 86400).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("tick").alias("class"), F.explode(F.array(F.col("n") * 3 + 1, F.col("n") * 3 + 2)).alias("batch"))
+    out = J.run_once(J.dedup_day(_in_order(spark, given.unionByName(ticks), "batch", source), "user_id", "class"), sink, state)
+    return out.where("user_id >= 0").groupBy("user_id", "class").agg(F.count("*").alias("kept"))
+
+
+def _polls(spark: SparkSession, d: str) -> DataFrame:
+    r = role(spark, d, "requests")
+    return r.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_id").alias("poll"), (F.col("class") == "ok").alias("ok"), F.when(F.col("event_id") % 7 != 0, (F.col("ms") % 4).cast("int")).alias("new_jobs"))
+
+
+def s_poll_state(spark: SparkSession, d: str) -> DataFrame:
+    """Every poll's state, and where polls were overdue, from the timed stateful stream in several batches of time."""
+    source, sink, state = _places(spark, "polls")
+    polls = _polls(spark, d)
+    closing = _closing(spark, "-1L AS user_id, -1L AS poll, true AS ok, 0 AS new_jobs").select(polls.columns)
+    # a file a stretch of time, so that batches come in order and timers run between them
+    rows = polls.withColumn("week", F.floor(F.dayofmonth("ts") / 10)).unionByName(closing.withColumn("week", F.lit(9).cast("bigint")))
+    stream = _in_order(spark, rows, "week", source)
+    out = J.run_once(S.poll_states(stream), sink, state).where("user_id >= 0")
+    return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("moment"), "kind", "n_polls", "score", "interval_s", "warming", "errors")
+
+
+def _in_order(spark: SparkSession, rows: DataFrame, by: str, folder: str) -> DataFrame:
+    """rows as a stream of one file for each value of `by`, a file a batch, in order of the values."""
+    for r in rows.select(by).distinct().orderBy(by).collect():
+        rows.where(F.col(by) == r[0]).drop(by).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop(by).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def s_alert_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts, resolutions and returns of each user's errors of a class."""
+    source, sink, state = _places(spark, "alerts")
+    found = role(spark, d, "requests").where("class <> 'ok'").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", "class", (F.col("user_id") % 20).cast("string")).alias("signature"))
+    rows = found.withColumn("week", F.floor(F.dayofmonth("ts") / 10)).unionByName(_closing(spark, "'closing' AS signature, 9L AS week"))
+    out = J.run_once(S.alert_sweep(_in_order(spark, rows, "week", source), quiet=6 * 3600), sink, state).where("signature <> 'closing'")
+    return out.select("signature", F.col("at").cast("timestamp_ntz").alias("moment"), "kind", "seen")
+
+
+def s_reclaim(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries and their acknowledgements as two streams; what is not acknowledged in time is reclaimed, or dead at its last attempt."""
+    source, sink, state = _places(spark, "deliveries")
+    r = role(spark, d, "requests").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "ms")
+    bound = S.idle_bound(r.select(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)")).first()[0] / 30)
+    made = r.select(F.floor(F.col("event_id") / 5).alias("message"), (F.col("event_id") % 5 + 1).cast("int").alias("attempt"), "ts", "event_id")
+    later = (F.col("event_id") * 37 % 900).cast("int")
+    acks = made.where("event_id % 4 <> 0").withColumn("ts", F.timestamp_add("SECOND", later, "ts")).drop("event_id")
+    given = made.drop("event_id")
+    closing = _closing(spark, "-1L AS message, 0 AS attempt").select(given.columns)
+    streams = [_stream(spark, x.unionByName(closing), f"{source}-{n}") for n, x in enumerate((given, acks))]
+    out = J.run_once(S.reclaimed(*streams, bound), sink, state).where("message >= 0")
+    return out.select("message", "attempt", F.col("at").cast("timestamp_ntz").alias("moment"), "outcome")
+
+
+def s_resumed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Error windows of a stream that was stopped in its second batch and went on from its checkpoint."""
+    source, sink, state = _places(spark, "resumed")
+    rows = role(spark, d, "requests").select(F.col("ts").cast("timestamp").alias("ts"), "platform", "class")
+    rows = rows.withColumn("week", F.floor(F.dayofmonth("ts") / 7)).unionByName(_closing(spark, "'closing' AS platform, 'ok' AS class, 9L AS week"))
+    stream = lambda: J.error_windows(spark.readStream.schema(rows.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(source))
+    _in_order(spark, rows, "week", source)
+    J.run_once(stream(), sink, state, batches=1)
+    out = J.run_once(stream(), sink, state)
+    return out.where("platform <> 'closing'").select("platform", F.col("until").cast("timestamp_ntz").alias("until"), "requests", "errors")
 
 
-QUERIES = {f.__name__: f for f in (s_adaptive_state, s_error_window, s_dedup_day)}
+def s_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of platforms and days, added up over the batches of a stream, snapshots among them."""
+    source, sink, state = _places(spark, "counters")
+    rows = role(spark, d, "requests").select("platform", F.col("date").cast("string").alias("date"), F.lit(1).cast("bigint").alias("requests"), (F.col("class") != "ok").cast("bigint").alias("errors"), "ms")
+    stream = _in_order(spark, rows.withColumn("part", F.substring("date", 9, 1)), "part", source)
+    keys, sums = ["platform", "date"], ["requests", "errors", "ms"]
+    query = stream.writeStream.foreachBatch(J.add_into(sink, keys, sums, every=2)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return J.total(spark, sink, rows.schema, keys, sums)
+
+
+QUERIES = {f.__name__: f for f in (s_adaptive_state, s_error_window, s_dedup_day, s_poll_state, s_alert_sweep, s_reclaim, s_resumed_windows, s_counters)}
+
+#: One poll after another of all keys at once: r are the counts of the last five successes, i the interval, w the polls of warming that are left.
+_POLL_STATE = """RECURSIVE_HERE p AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, class = 'ok' AS ok, CASE WHEN event_id % 7 <> 0 THEN ms % 4 ELSE 0 END::DOUBLE AS jobs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM requests),
+ f(user_id, k, ms, r, i, w, e, s, due) AS (SELECT user_id, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], 43200::BIGINT, 3, 0, NULL::DOUBLE, NULL::BIGINT FROM (SELECT DISTINCT user_id FROM p)
+ UNION ALL SELECT user_id, k, ms, r, CASE WHEN NOT ok THEN i WHEN w > 0 THEN 7200 ELSE least(CASE WHEN b < i THEN b ELSE floor(0.3::DOUBLE * b + (1 - 0.3::DOUBLE) * i)::BIGINT END, CASE WHEN s > 0 AND s >= 0.8 THEN 21600 ELSE 43200 END) END, CASE WHEN ok AND w > 0 THEN w - 1 ELSE w END, CASE WHEN ok THEN 0 ELSE e + 1 END, s, due_before FROM
+ (SELECT *, CASE WHEN s IS NULL OR s = 0 THEN 43200 WHEN s < 0.3 THEN 32400 WHEN s < 0.8 THEN 21600 WHEN s < 1.5 THEN 14400 ELSE 10800 END AS b FROM
+ (SELECT *, CASE WHEN NOT ok THEN 0 WHEN len(r) >= 3 THEN round(list_dot_product(r, [0.10, 0.15, 0.20, 0.25, 0.30][6 - len(r):]::DOUBLE[]) / list_sum([0.10, 0.15, 0.20, 0.25, 0.30][6 - len(r):])::DOUBLE, 6) END::DOUBLE AS s FROM
+ (SELECT f.user_id, p.k, p.ms, p.ok, CASE WHEN p.ok THEN list_append(f.r, least(p.jobs, 10))[-5:] ELSE f.r END AS r, f.i, f.w, f.e, f.ms + (f.i + 3600) * 1000 AS due_before FROM f JOIN p ON f.user_id = p.user_id AND p.k = f.k + 1)))),
+ g AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY k) AS next, ms + (i + 3600) * 1000 AS over FROM f WHERE k > 0)
+ SELECT user_id, make_timestamp(ms * 1000) AS moment, 'poll' AS kind, k AS n_polls, round(s, 6) AS score, i AS interval_s, w AS warming, e AS errors FROM g
+ UNION ALL SELECT user_id, make_timestamp(over * 1000), 'overdue', k, round(s, 6), i, w, e FROM g WHERE coalesce(next > over, true)"""
+
+_ALERTS = """, f AS (SELECT class || ':' || user_id % 20 AS signature, epoch_us(ts) // 1000 AS ms FROM requests WHERE class <> 'ok'),
+ o AS (SELECT *, lag(ms) OVER (PARTITION BY signature ORDER BY ms) AS before FROM f), s AS (SELECT *, before IS NULL AS first, coalesce(ms > before + 21600000, true) AS starts FROM o),
+ e AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY signature ORDER BY ms, starts DESC ROWS UNBOUNDED PRECEDING) AS episode FROM s),
+ a AS (SELECT signature, episode, min(ms) AS since, max(ms) AS last, count(*) AS n FROM e GROUP BY 1, 2)
+ SELECT signature, make_timestamp(since * 1000) AS moment, CASE WHEN episode = 1 THEN 'alert' ELSE 'realert' END AS kind, 1::BIGINT AS seen FROM a UNION ALL SELECT signature, make_timestamp((last + 21600000) * 1000), 'resolved', n FROM a"""
 
 ORACLE_SQL = {
     "s_adaptive_state": ADAPTIVE_SQL["q_interval_fold"],
     "s_error_window": oracle("requests", body="SELECT platform, to_timestamp(b * 600)::TIMESTAMP AS until, count(*) AS requests, count_if(class <> 'ok')::BIGINT AS errors FROM (SELECT platform, class, unnest([epoch_us(ts) // 600000000 + 1, epoch_us(ts) // 600000000 + 2]) AS b FROM requests) GROUP BY 1, 2"),
-    "s_dedup_day": oracle("requests", body="SELECT DISTINCT user_id, class FROM requests"),
+    "s_dedup_day": oracle("requests", body="SELECT user_id, class, count(DISTINCT (day(ts) - 1) // 10) AS kept FROM requests GROUP BY 1, 2"),
+    "s_poll_state": oracle("requests", body=", " + _POLL_STATE.replace("RECURSIVE_HERE ", "")).replace("WITH ", "WITH RECURSIVE ", 1),
+    "s_alert_sweep": oracle("requests", body=_ALERTS),
+    "s_reclaim": oracle("requests", body=""", b AS (SELECT least(greatest(3 * quantile_disc(ms, 0.95) / 30, 300), 600)::INTEGER AS bound FROM requests)
+ SELECT event_id // 5 AS message, (event_id % 5 + 1)::INTEGER AS attempt, ts AS moment, CASE WHEN event_id % 4 <> 0 AND event_id * 37 % 900 <= bound THEN 'done' WHEN event_id % 5 = 4 THEN 'dead' ELSE 'reclaimed' END AS outcome FROM requests, b"""),
+    "s_counters": oracle("requests", body="SELECT platform, date::VARCHAR AS date, count(*) AS requests, count_if(class <> 'ok')::BIGINT AS errors, sum(ms)::BIGINT AS ms FROM requests GROUP BY 1, 2"),
 }
-as_text(QUERIES, ORACLE_SQL, {"s_error_window": ["until"]})
+ORACLE_SQL["s_resumed_windows"] = ORACLE_SQL["s_error_window"]
+as_text(QUERIES, ORACLE_SQL, {"s_error_window": ["until"], "s_resumed_windows": ["until"], "s_poll_state": ["moment"], "s_alert_sweep": ["moment"], "s_reclaim": ["moment"]})

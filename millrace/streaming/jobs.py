@@ -6,15 +6,18 @@ Event times are cast to instants at the source, as watermarks need; sessions run
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import adaptive as A
 from ..session import ship
+from .state import ROCKS
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int = 1) -> DataFrame:
@@ -90,20 +93,73 @@ def merge_into(path: str, keys: list[str], order: str):
     return write
 
 
-def run_once(rows: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain a stream into Parquet and read that."""
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """The provider that transformWithState needs, for the queries that start in here."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def run_once(rows: DataFrame, sink: str, checkpoint: str, mode: str = "append", batches: int | None = None) -> DataFrame:
+    """Drain a stream into Parquet, a folder a batch, and read that; or stop it, as a lost driver would, before batch number `batches` has been committed.
+
+    A batch that is run again writes its folder again. Started anew with the same folders, a stream that was stopped goes on.
+    """
     spark = rows.sparkSession
-    if mode == "update":
-        def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-        query = rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    else:
-        query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if batches is not None and number >= batches:
+            raise InterruptedError(f"stopped in batch {number}")
+
+    with _rocks(spark):
+        query = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if batches is None:
+                raise
     return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(sink)
 
 
+def add_into(path: str, keys: list[str], sums: list[str], every: int = 10):
+    """A foreachBatch function that adds a batch's numbers to a table of sums.
+
+    A batch writes its own sums, whatever was there, so one that is run again counts once. Every so many
+    batches the sums so far become a snapshot, from the one before and the deltas after it, so a
+    reader reads one snapshot and few deltas. total() reads the table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        delta = batch.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+        delta.write.mode("overwrite").parquet(f"{path}/delta={number}")
+        if (number + 1) % every == 0:
+            total(batch.sparkSession, path, delta.schema, keys, sums, number).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+
+    return write
+
+
+def _numbers(spark: SparkSession, pattern: str) -> list[int]:
+    """The numbers of folders whose writing has ended."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{pattern}=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(s.getPath().getParent().getName().partition("=")[2]) for s in found or ())
+
+
+def total(spark: SparkSession, path: str, schema, keys: list[str], sums: list[str], upto: int | None = None) -> DataFrame:
+    """The sums that add_into() keeps: of the last snapshot and the batches after it."""
+    last = [n for n in _numbers(spark, f"{path}/snapshot") if upto is None or n < upto][-1:]
+    deltas = [n for n in _numbers(spark, f"{path}/delta") if n > (last[0] if last else -1) and (upto is None or n <= upto)]
+    folders = [f"{path}/snapshot={n}" for n in last] + [f"{path}/delta={n}" for n in deltas]
+    rows = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+
 def recalibrated(polls: DataFrame, thresholds: DataFrame, score: str = "score") -> DataFrame:
     """Polls of a stream with the interval that the thresholds of their day give their score.
 
