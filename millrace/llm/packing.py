@@ -5,8 +5,8 @@ first of them shorter. Full pieces are sequences as they are. The others are dea
 bounded number of pieces, and each region to several islands: tasks that hold the same pieces and
 other packings of them. An island starts from packings in random order, each piece put best-fit. A
 generation crosses two packings: well-filled bins of one are injected whole into the other, bins
-that hold any of the same pieces are removed, and the pieces displaced by that are put back
-best-fit. After some generations each island's best packing, its elite, migrates as rows to the next
+that hold any of the same pieces are removed, with some others at random, and the pieces displaced by
+that are put back best-fit. A child as good as a member, which is mostly one of its copies, doesn't join. After some generations each island's best packing, its elite, migrates as rows to the next
 island of the region, for the next epoch; from the second on a best-fit-decreasing packing is in each
 population too, so that no region ends worse than that. A region ends once an elite meets a lower
 bound of its sequences, and all do once an epoch saves none.
@@ -39,7 +39,9 @@ REGION_PIECES = 40_000
 #: Bins at least so full stay where they are when the others are dealt to fewer regions.
 WELL_FILLED = 0.998
 #: Islands of a region, packings of an island, and generations of an epoch.
-ISLANDS, POPULATION, GENERATIONS = 2, 4, 12
+ISLANDS, POPULATION, GENERATIONS = 2, 12, 60
+#: Share of the well-filled bins that a crossing dissolves beside those that hold injected pieces.
+DISSOLVED = 0.3
 BROADCAST_ROWS = 500_000
 Bin = tuple[int, list[int]]
 
@@ -115,7 +117,8 @@ def cross(one: list[Bin], other: list[Bin], length: Sequence[int], capacity: int
     """Inject bins of other whole into one: a random half of its well-filled ones, or of its fullest tenth.
 
     Bins of one that hold any of the same pieces are removed, and so are those that are not well
-    filled, so that the pieces displaced find partners when they are put back best-fit, largest first.
+    filled and a share of the others, so that the pieces displaced find partners when they are put back
+    best-fit, largest first.
     """
     most = (1 - WELL_FILLED) * capacity
     good = [b for b in other if b[0] <= most] or sorted(other, key=lambda b: b[0])[: max(1, len(other) // 10)]
@@ -123,7 +126,7 @@ def cross(one: list[Bin], other: list[Bin], length: Sequence[int], capacity: int
     taken = {i for _, members in injected for i in members}
     kept, displaced = [], []
     for room, members in one:
-        if room <= most and taken.isdisjoint(members):
+        if room <= most and taken.isdisjoint(members) and rng.random() >= DISSOLVED:
             kept.append((room, members))
         else:
             displaced += [i for i in members if i not in taken]
@@ -169,7 +172,7 @@ def evolve(length: Sequence[int], capacity: int = CAPACITY, seed: int = 0, elite
         child = cross(population[a], population[b], length, capacity, rng)
         crossings += 1
         worst = min(range(len(population)), key=worth.__getitem__)
-        if (found := fitness(child, capacity)) > worth[worst]:
+        if (found := fitness(child, capacity)) > worth[worst] and found not in worth:
             population[worst], worth[worst] = child, found
     return population[max(range(len(population)), key=worth.__getitem__)], crossings, bound
 
