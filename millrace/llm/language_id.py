@@ -14,10 +14,12 @@ Models are fitted on a bounded sample of declared rows of each language (about s
 with the least hashes of their keys); counts and scores cover all rows and whole texts. As a
 declaration is evidence of its own, no text is scored by a model that its own declaration has
 trained: keys are dealt to FOLDS folds, and each fold is scored by models of the others' rows
-(a language with rows in one fold only has one model).
+(a language with rows in one fold only has one model). Counts of n-grams are a table; what is in the
+driver or a task's closure at once is the models of LANGUAGES languages, and texts of a corpus with
+more pass through one Arrow function for each such part.
 
 Defined results: a null or blank text, or one of such words only, is "und" and rejected; a declaration, suffix or host that is
-null or unknown is no evidence; a declaration counts by its primary subtag, two or three letters,
+null or unknown is no evidence; a language with fewer than least_rows declared rows has no model; a declaration counts by its primary subtag, two or three letters,
 others are none; ties go to the language first in order; a text of any length is scored whole; null
 keys and repeated rows are kept; a table without declared rows gives "und" for all; an empty table
 gives no rows. identify() ignores columns beyond those named, whatever their names, and keep_known()
@@ -47,6 +49,8 @@ BUCKETS = 1 << 16
 TEMPER = 0.25
 RIGHT = 0.9
 SALTS = 16
+#: Languages whose models are in memory at once, of FOLDS * BUCKETS numbers each; rows that a language needs.
+LANGUAGES, LEAST_ROWS = 8, 2
 BROADCAST_ROWS = 500_000
 #: Country suffixes and the language that they speak for, fixed values.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
@@ -81,10 +85,25 @@ def _tallied(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterato
 
 
 class TextModel:
-    """log p(bucket | language) less the background's, in floats, by the fold that they score; languages in order."""
-
-    def __init__(self, languages: list[str], ratio: np.ndarray) -> None:
-        self.languages, self.ratio = languages, ratio
+    """log p(bucket | language) less the background's, by the fold that they score, worked out from counts (lang, fold, bucket, n) as it is asked for; languages in order."""
+
+    def __init__(self, languages: list[str], counts: DataFrame | None, buckets: int) -> None:
+        self.languages, self.counts, self.buckets = languages, counts, buckets
+
+    def parts(self) -> Iterator[np.ndarray]:
+        """(language, fold * buckets + bucket) in floats, of LANGUAGES languages at a time."""
+        smooth, buckets = 0.05, self.buckets
+        for start in range(0, len(self.languages), LANGUAGES):
+            names = self.languages[start : start + LANGUAGES]
+            found = self.counts.where(F.col("lang").isin(names)).toPandas()
+            seen = np.zeros((len(names), FOLDS, buckets))
+            place = {name: k for k, name in enumerate(names)}
+            np.add.at(seen, (found["lang"].map(place).to_numpy(dtype=np.int64), found["fold"].to_numpy(dtype=np.int64), found["bucket"].to_numpy(dtype=np.int64)), found["n"].to_numpy(dtype=np.float64))
+            # a fold is scored by what the others have seen
+            others = seen.sum(axis=1, keepdims=True) - seen
+            seen = np.where(others.sum(axis=2, keepdims=True) > 0, others, seen.sum(axis=1, keepdims=True))
+            logp = np.log((seen + smooth) / (seen.sum(axis=2, keepdims=True) + smooth * buckets))
+            yield (logp + np.log(buckets)).astype(np.float32).reshape(len(names), FOLDS * buckets)
 
 
 def primary(declared: Column) -> Column:
@@ -97,37 +116,31 @@ def fold_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-def fit(rows: DataFrame, sample_rows: int = 10_000, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = NGRAM, buckets: int = BUCKETS) -> TextModel:
-    """Fit text models on about sample_rows rows of each declared language. What comes to the driver is FOLDS numbers for each language and bucket."""
+def fit(rows: DataFrame, sample_rows: int = 10_000, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = NGRAM, buckets: int = BUCKETS, least_rows: int = LEAST_ROWS) -> TextModel:
+    """Fit text models on about sample_rows rows of each language that at least least_rows rows declare. Their counts are written as a table; the driver gets the languages' names."""
     named = rows.select(F.col(key).alias("key"), primary(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = named.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), (F.lit(float(sample_rows)) / F.col("n")).alias("share"))
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select(F.col("lang").alias("of"), (F.lit(float(sample_rows)) / F.col("n")).alias("share"))
     counts = materialize(counts, "declared")  # at most one row for each tag of two or three letters
     order = F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 11).cast("double") * F.lit(2.0**-53)
     sample = named.join(F.broadcast(counts), F.col("lang") == F.col("of")).where(order < F.col("share"))
     sample = sample.select(F.concat_ws(" ", "lang", fold_of(F.col("key"))).alias("lang"), "text")
-    found = map_batches(sample, _tallied, "lang string, bucket int, n bigint", n, buckets).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted({x.split(" ")[0] for x in found["lang"].unique()})
-    seen = np.zeros((FOLDS, buckets, len(languages)))
-    for (name, fold), own in ((x.split(" "), found[found["lang"] == x]) for x in found["lang"].unique()):
-        seen[int(fold), own["bucket"].to_numpy(), languages.index(name)] = own["n"].to_numpy()
-    # a fold is scored by what the others have seen
-    others = seen.sum(axis=0) - seen
-    seen = np.where(others.sum(axis=1, keepdims=True) > 0, others, seen.sum(axis=0))
-    smooth = 0.05
-    logp = np.log((seen + smooth) / (seen.sum(axis=1, keepdims=True) + smooth * buckets))
-    return TextModel(languages, (logp + np.log(buckets)).astype(np.float32))
-
-
-def _scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, buckets: int, n: int) -> Iterator[list]:
-    """Rows (key, declared, host, fold, text) to (key, declared, host, scores, n-grams). ratio: for each language a row, the folds' buckets one after the other."""
+    found = map_batches(sample, _tallied, "lang string, bucket int, n bigint", n, buckets).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = materialize(found.select(F.substring_index("lang", " ", 1).alias("lang"), F.substring_index("lang", " ", -1).cast("int").alias("fold"), "bucket", "n"), "grams")
+    return TextModel(sorted(r.lang for r in found.select("lang").distinct().collect()), found, buckets)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, buckets: int, n: int, last: bool) -> Iterator[list]:
+    """Rows (key, declared, host, fold, text, score) to (key, declared, host, fold, text, scores and these, n-grams); after the last part no text. ratio: for each language a row, the folds' buckets one after the other."""
     for batch in batches:
         for part in slices(batch):
             rows = len(part)
             bucket, text = _grams(part.column(4).to_pylist(), n, buckets)
             at = (part.column(3).to_numpy().astype(np.int64) * buckets)[text] + bucket
             score = np.stack([np.bincount(text, weights=own[at], minlength=rows) for own in ratio], axis=1)
+            before = part.column(5).flatten().to_numpy(zero_copy_only=False)
+            score = np.concatenate((before.reshape(rows, -1), score), axis=1)
             count = np.bincount(text, minlength=rows)
-            yield [*[part.column(k) for k in range(3)], pa.array(list(score), type=pa.list_(pa.float64())), count]
+            yield [*[part.column(k) for k in range(4)], pa.nulls(rows, pa.string()) if last else part.column(4), pa.array(list(score), type=pa.list_(pa.float64())), count]
 
 
 def suffix_of(host: Column) -> Column:
@@ -141,7 +154,7 @@ def identify(rows: DataFrame, model: TextModel, key: str = "doc_id", text: str =
     evidence: the text's log likelihood ratio against the background, nats an n-gram, under the
     language chosen. strength: how many rows of a host its parent's shares weigh as much as.
     """
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
     n = len(model.languages)
     if not n:
@@ -149,8 +162,12 @@ def identify(rows: DataFrame, model: TextModel, key: str = "doc_id", text: str =
         return rows.select(F.col(key), F.lit("und").alias("lang"), none.cast("double").alias("posterior"), none.cast("double").alias("evidence"), F.lit(False).alias("kept"))
     lit = lambda c: F.col(c) if c else F.lit(None).cast("string")
     given = rows.select(F.col(key).alias("key"), primary(lit(declared)).alias("declared"), lit(host).cast("string").alias("host"), fold_of(F.col(key)).alias("fold"), F.col(text).alias("text"))
-    schema = StructType([StructField("key", rows.schema[key].dataType), StructField("declared", StringType()), StructField("host", StringType()), StructField("score", ArrayType(DoubleType())), StructField("grams", LongType())])
-    scored = map_batches(given, _scored, schema, np.ascontiguousarray(model.ratio.reshape(-1, n).T), model.ratio.shape[1], NGRAM)
+    fields = [StructField("key", rows.schema[key].dataType), StructField("declared", StringType()), StructField("host", StringType()), StructField("fold", IntegerType()), StructField("text", StringType())]
+    schema = StructType([*fields, StructField("score", ArrayType(DoubleType())), StructField("grams", LongType())])
+    scored = given.withColumn("score", F.array().cast("array<double>"))
+    for k, ratio in enumerate(model.parts()):
+        scored = map_batches(scored.select("key", "declared", "host", "fold", "text", "score"), _scored, schema, ratio, model.buckets, NGRAM, (k + 1) * LANGUAGES >= n)
+    scored = scored.drop("fold", "text")
     names = F.array(*[F.lit(x) for x in model.languages])
     best = F.array_position("score", F.array_max("score")).cast("int")
     scored = materialize(scored.select("*", suffix_of(F.col("host")).alias("suffix"), F.when(F.col("grams") > 0, best).alias("best")), "scored", wide=True)

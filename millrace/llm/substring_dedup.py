@@ -89,7 +89,7 @@ def runs(data: np.ndarray, starts: np.ndarray, least: int, gram: int) -> tuple[n
         begin, spot, text = first[cut], spot[cut], text[cut]
         offset = spot + lo - begin
         content = textvec.spans_hash(sums, begin, begin + count - 1 + least)
-        content = textvec.mix(content ^ (offset.astype(np.uint64) << np.uint64(7)) ^ count.astype(np.uint64))
+        content = textvec.mix(content ^ (offset.astype(np.uint64) << np.uint64(FIELD)) ^ count.astype(np.uint64))
         out.append((text, begin - starts[text], count, offset, value[spot], content))
     if not out:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
@@ -97,7 +97,7 @@ def runs(data: np.ndarray, starts: np.ndarray, least: int, gram: int) -> tuple[n
 
 
 #: A run's place in one number: its start above its anchor's offset and its number of windows, of so many bits each.
-FIELD = 7
+FIELD = 16
 
 
 def _pack(start: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -320,7 +320,9 @@ def heavy_anchors(docs: DataFrame, least: int, gram: int, one_of: int, rows: int
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, wide: int = WIDE, block: int = BLOCK, one_of: int = 64, heavy_rows: int = 500) -> DataFrame:
-    """(k, tag, start, end): spans of repeated bytes of docs (k, tag, text); they may overlap."""
+    """(k, tag, start, end): spans of repeated bytes of docs (k, tag, text); they may overlap. least - gram is below 65,535, and a text below 2 GB."""
+    if not gram <= least < gram + (1 << FIELD) - 1:
+        raise ValueError(f"least must be from gram ({gram}) to {gram + (1 << FIELD) - 2}")
     heavy = heavy_anchors(docs, least, gram, one_of, heavy_rows)
     found = map_batches(docs.select("k", "tag", "text"), _found, _RUN, least, gram, heavy)
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "content", "k", "at")

@@ -9,6 +9,33 @@ from millrace.llm import language_id, resample, url_filters
 SF = "/root/testdata/sf0.01"
 
 
+def test_three_hundred_declared_languages(spark, monkeypatch):
+    """More than are in memory at once: the same scores as with all of them, and a bounded part of the models in each closure."""
+    monkeypatch.setattr(language_id, "BUCKETS", 4096)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tags = [a + b for a in letters[:20] for b in letters[:15]]
+    rows = [(3 * k + j, f"{tag}{tag}x {tag[::-1]}{tag}o " * 8, tag) for k, tag in enumerate(tags) for j in range(3)] + [(9000, "one row", "zzz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = []
+    real = language_id.map_batches
+
+    def spied(frame, made, schema, *args):
+        if made is language_id._scored:
+            sizes.append(args[0].shape)
+        return real(frame, made, schema, *args)
+
+    monkeypatch.setattr(language_id, "map_batches", spied)
+    monkeypatch.setattr(language_id, "LANGUAGES", 100)
+    model = language_id.fit(df, buckets=4096)
+    assert model.languages == sorted(tags)
+    some = df.where("doc_id % 40 = 0 or doc_id = 9000")
+    few = {r.doc_id: (r.lang, round(r.evidence, 4)) for r in language_id.identify(some, model, host=None).collect()}
+    assert sizes == [(100, language_id.FOLDS * 4096)] * 3
+    monkeypatch.setattr(language_id, "LANGUAGES", 1000)
+    whole = {r.doc_id: (r.lang, round(r.evidence, 4)) for r in language_id.identify(some, model, host=None).collect()}
+    assert few == whole and sum(lang != "und" for lang, _ in few.values()) > 10
+
+
 def test_language_accuracy_on_rows_that_did_not_train(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs.where("doc_id % 2 = 0"))

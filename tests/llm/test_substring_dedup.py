@@ -52,6 +52,16 @@ def test_dedup_equals_brute_force(spark, seed, settings):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+def test_long_windows(spark):
+    """Runs of more windows and anchors further in than seven bits hold."""
+    rows = [*corpus(5), (300, "q" * 1500), (301, "q" * 1200)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), least=300).collect()
+    mine = sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.kept), sum(s.end - s.start for s in r.spans)) for r in got)
+    assert mine == brute(rows, 300) and sum(n > 0 for _, _, n in mine) > 5
+    with pytest.raises(ValueError, match="least"):
+        substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), least=70_000)
+
+
 def test_segments(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SEGMENT", 257)
     rng = random.Random(4)
