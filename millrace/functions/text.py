@@ -205,32 +205,34 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("-", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"), 256)
 
 
-#: How addresses of known portals name their customers: platform and pattern, whose groups are joined by slashes; the first that fits counts.
+#: How addresses of known portals name their customers: platform, pattern, and whether names are the same in any case. A pattern's groups are joined by slashes; the first that fits counts, so an embedded board comes before its host's own pages.
 PORTAL_PATTERNS = (
-    ("greenhouse", r"(?:boards|job-boards)(?:\.eu)?\.greenhouse\.io/(?:embed/job_board\?for=)?([A-Za-z0-9_-]+)"),
-    ("lever", r"jobs(?:\.eu)?\.lever\.co/([A-Za-z0-9_-]+)"),
-    ("ashby", r"jobs\.ashbyhq\.com/([A-Za-z0-9_.%-]+)"),
-    ("smartrecruiters", r"(?:jobs|careers)\.smartrecruiters\.com/([A-Za-z0-9_-]+)"),
-    ("workday", r"([a-z0-9_-]+)\.(wd\d+)\.myworkdayjobs\.com/(?:[a-z]{2}-[A-Z]{2}/)?([A-Za-z0-9_-]+)"),
-    ("oracle_hcm", r"([a-z0-9-]+)\.fa\.[a-z0-9]+\.oraclecloud\.com/.*?/sites/([A-Za-z0-9_-]+)"),
-    ("icims", r"(?:careers-|jobs-)?([a-z0-9-]+)\.icims\.com"),
-    ("jobvite", r"jobs\.jobvite\.com/(?:careers/)?([A-Za-z0-9_-]+)"),
-    ("bamboohr", r"([a-z0-9-]+)\.bamboohr\.com"),
-    ("taleo", r"([a-z0-9-]+)\.taleo\.net/careersection/([A-Za-z0-9_-]+)"),
-    ("successfactors", r"career\d*\.(?:successfactors|sapsf)\.(?:com|eu)/.*?company=([A-Za-z0-9_-]+)"),
-    ("eightfold", r"([a-z0-9-]+)\.eightfold\.ai"),
-    ("avature", r"([a-z0-9-]+)\.avature\.net"),
-    ("paycom", r"paycomonline\.net/.*?clientkey=([A-Fa-f0-9]+)"),
+    ("greenhouse", r"(?:boards|job-boards)(?:\.eu)?\.greenhouse\.io/embed/[^?#\s]*\?(?:[^#\s]*&)?for=([A-Za-z0-9_-]+)", True),
+    ("greenhouse", r"(?:boards|job-boards)(?:\.eu)?\.greenhouse\.io/(?!embed\b)([A-Za-z0-9_-]+)", True),
+    ("lever", r"(?:jobs|hire)(?:\.eu)?\.lever\.co/([A-Za-z0-9_-]+)", True),
+    ("ashby", r"jobs\.ashbyhq\.com/([A-Za-z0-9_.%-]+)", True),
+    ("smartrecruiters", r"jobs\.smartrecruiters\.com/oneclick-ui/company/([A-Za-z0-9_-]+)", True),
+    ("smartrecruiters", r"(?:jobs|careers)\.smartrecruiters\.com/([A-Za-z0-9_-]+)", True),
+    ("workday", r"([A-Za-z0-9_-]+)\.(wd\d+)\.myworkdayjobs\.com/(?:[a-z]{2}-[A-Z]{2}/)?([A-Za-z0-9_-]+)", False),
+    ("oracle_hcm", r"([A-Za-z0-9-]+)\.fa\.[A-Za-z0-9]+\.oraclecloud\.com/.*?/sites/([A-Za-z0-9_-]+)", False),
+    ("icims", r"(?:careers-|jobs-)?([A-Za-z0-9-]+)\.icims\.com", True),
+    ("jobvite", r"jobs\.jobvite\.com/(?:careers/)?([A-Za-z0-9_-]+)", True),
+    ("bamboohr", r"([A-Za-z0-9-]+)\.bamboohr\.com", True),
+    ("taleo", r"([A-Za-z0-9-]+)\.taleo\.net/careersection/([A-Za-z0-9_-]+)", False),
+    ("successfactors", r"career\d*\.(?:successfactors|sapsf)\.(?:com|eu)/.*?company=([A-Za-z0-9_-]+)", False),
+    ("eightfold", r"([A-Za-z0-9-]+)\.eightfold\.ai", True),
+    ("avature", r"([A-Za-z0-9-]+)\.avature\.net", True),
+    ("paycom", r"paycomonline\.net/.*?clientkey=([A-Fa-f0-9]+)", False),
 )
 
 
-def portal_slug(url: Column, patterns: tuple[tuple[str, str], ...] = PORTAL_PATTERNS) -> Column:
-    """struct(platform, slug) of the first pattern that an address fits; a search engine's redirect counts as what it leads to; else null."""
+def portal_slug(url: Column, patterns: tuple[tuple[str, str, bool], ...] = PORTAL_PATTERNS) -> Column:
+    """struct(platform, slug) of the first pattern that an address fits, hosts in any case; a search engine's redirect counts as what it leads to; else null."""
     target = F.try_url_decode(F.nullif(F.regexp_extract(url, r"^https?://(?:www\.)?google\.[a-z.]+/url\?(?:.*&)?(?:q|url)=([^&]+)", 1), F.lit("")))
     at = F.coalesce(target, url)
     out = F.lit(None).cast("struct<platform:string,slug:string>")
-    for platform, pattern in reversed(patterns):
+    for platform, pattern, folded in reversed(patterns):
         groups = len(re.findall(r"(?<!\\)\((?!\?)", pattern))
-        slug = F.concat_ws("/", *[F.regexp_extract(at, pattern, g + 1) for g in range(groups)])
-        out = F.when(F.regexp_like(at, F.lit(pattern)), F.struct(F.lit(platform).alias("platform"), slug.alias("slug"))).otherwise(out)
+        slug = F.concat_ws("/", *[F.regexp_extract(at, f"(?i){pattern}", g + 1) for g in range(groups)])
+        out = F.when(F.regexp_like(at, F.lit(f"(?i){pattern}")), F.struct(F.lit(platform).alias("platform"), (F.lower(slug) if folded else slug).alias("slug"))).otherwise(out)
     return out

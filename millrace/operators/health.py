@@ -313,12 +313,12 @@ def bundle(parts: Mapping[str, Callable[[], DataFrame]]) -> tuple[dict[str, Data
 
 
 def weekly(parts: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """(part, has_data, why): which reports of a bundle there is anything in, and which could not be made."""
+    """(part, has_data, rows, why): how many rows the reports of a bundle have, and which could not be made."""
     made, failed = bundle(parts)
-    rows = [df.limit(1).agg((F.count("*") > 0).alias("has_data")).select(F.lit(name).alias("part"), "has_data", F.lit(None).cast("string").alias("why")) for name, df in made.items()]
+    rows = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), (F.col("rows") > 0).alias("has_data"), "rows", F.lit(None).cast("string").alias("why")) for name, df in made.items()]
     spark = next(iter(made.values())).sparkSession if made else None
     if failed and spark:
-        rows.append(spark.createDataFrame([(n, False, w) for n, w in failed.items()], "part string, has_data boolean, why string"))
+        rows.append(spark.createDataFrame([(n, False, 0, w) for n, w in failed.items()], "part string, has_data boolean, rows long, why string"))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -67,7 +67,6 @@ def _hashes(s, d):
 
 
 _STATUSES = ("new", "digested", "dismissed", "expired", "filled")
-_TITLES = ("Senior Recruiter", "Head of People", "VP HR", "People Scientist", "Data Engineer", "Chief HR Officer", "Founder", None, "Culture Lead", "Talent Partner")
 
 
 def _jobs(s, d):
@@ -85,25 +84,9 @@ _ADDRESS = r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+') AS
  SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'https://x.org/a b' WHEN 1 THEN origin || '/jobs/5' WHEN 2 THEN origin || dir || 'x/y?z=1' WHEN 3 THEN origin || CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]*/$', '') END || 'up' WHEN 4 THEN origin || path || '?q=1'
  WHEN 5 THEN origin || path || query || '#f' WHEN 6 THEN scheme || '://h.org/p' WHEN 7 THEN '' WHEN 8 THEN origin || dir ELSE 'mailto:a@b' END AS address FROM q"""
 
-_NAMES = ("Acme Technologies Inc.", "Blue  Sky Solutions, LLC", "Q", "Delta-Wave Group", "Holdings", "Echo & Foxtrot Co.", "9 Lives Ltd")
-_SLUGS = ("acme|acme", "bluesky|blue-sky|blue", "q", "deltawave|delta-wave|delta", "", "echofoxtrot|echo-foxtrot|echo", "9lives|9-lives|9")
-_WORDS = ("acme", "blue|sky", "", "delta|wave", "", "echo|foxtrot", "lives")
 _COMPOUND = ("capitalOne", "Capital_One", "jpmc", "a-b.c_D", "XMLFeed9", "")
 _PARTS = ("capital|capitalone|one", "capital|capital_one|one", "jpmc", "a|a-b|a-b.c|a-b.c_d|b|b.c_d|c|c_d|d", "feed9|xml|xmlfeed9", "")
-_BOARDS = (
-    "https://boards.greenhouse.io/acme/jobs/1", "https://jobs.lever.co/acme-co/77", "https://acme.wd5.myworkdayjobs.com/en-US/Careers/job/1", "https://jobs.ashbyhq.com/acme%20inc/9", "https://www.google.com/url?sa=t&url=https%3A%2F%2Fjobs.lever.co%2Ffound",
-    "https://careers-acme.icims.com/jobs/1", "https://acme.taleo.net/careersection/ex/jobdetail.ftl", "https://acme.com/careers", None, "https://career4.successfactors.com/career?career_ns=x&company=acmeP",
-)
-_BOARD_OF = ("greenhouse acme", "lever acme-co", "workday acme/wd5/Careers", "ashby acme%20inc", "lever found", "icims acme", "taleo acme/ex", None, None, "successfactors acmeP")
-
-#: Names and values of fields, and what each looks like.
-_FIELDS = (
-    ("link", "https://x/1", "url"), ("apply_url", "https://x/1", "url_apply"), ("path", "/en/jobs/12345/dev", "url"), ("when", "2024-01-05T00:00:00Z", "date"), ("posted", "1704412800", "date"), ("ref", "200033787", "id"),
-    ("x", "123e4567-e89b-12d3-a456-426614174000", "id"), ("body", "w" * 201, "long_text"), ("site", '{"city":"Rome"}', "location"), ("meta", '{"a":1}', None), ("job_title", "Dev", "title"), ("city", "Rome", "location"),
-    ("slug", "dev-rome", "id"), ("note", "hello", "text"), ("note", "", None), ("tags", '["Rome","Oslo"]', "location"), ("flag", "ok", None),
-)
-_PAGES = ('{"title":"Dev"}', "[1, 2]", '<html><script type="application/ld+json">{"@type":"JobPosting","description":"d"}</script></html>', '<!DOCTYPE html><script id="__NEXT_DATA__" type="application/json">{"props":{"description":"d"}}</script>', "<html><p>x</p></html>", "<?xml version='1.0'?><job/>", "plain", None)
-_FORMATS = ("json", None, "html_jsonld", "html_next", "html", "xml", None, None)
+
 
 
 def _shown(s, d):
@@ -143,6 +126,32 @@ def _nested(leaves: dict[str, Column]) -> Column:
 _SPECIAL = {"smartrecruiters": {"location": "location.fullLocation"}, "jibe": {"job_url": "data.apply_url", "location": "data.full_location"}, "eightfold": {"location": "standardizedLocations[0]"}, "adp": {"location": "requisitionLocations[0].address.cityName"}, "taleo": {"title": "column[0]", "location": "column[1]"}}
 
 
+def _portals(s, d):
+    """Addresses of known portals with each page's first label, upper case, as their customer."""
+    x = F.upper(F.regexp_extract("url", "^https?://([^./]+)", 1))
+    forms = ("https://boards.greenhouse.io/embed/job_app?token=1&for={}&b=2", "https://job-boards.eu.greenhouse.io/{}/jobs/1", "https://hire.lever.co/{}", "https://www.google.com/url?sa=t&url=https%3A%2F%2Fjobs.lever.co%2F{}%2F7", "https://jobs.smartrecruiters.com/oneclick-ui/company/{}/publication/9", "https://{}.wd5.myworkdayjobs.com/en-US/Careers/job/1", "https://careers-{}.ICIMS.com/jobs/1", "https://{}.taleo.net/careersection/ex/jobdetail.ftl", "https://jobs.ashbyhq.com/{}/9", "https://career4.successfactors.com/career?career_ns=x&company={}", "https://boards.greenhouse.io/embed/job_board/js?for={}", "https://{}.com/careers")
+    url = F.element_at(F.array(*(F.replace(F.lit(f), F.lit("{}"), x) for f in forms)), (F.col("page_id") % 12 + 1).cast("int"))
+    found = T.portal_slug(url)
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat_ws(" ", found["platform"], found["slug"]).alias("found"))
+
+
+def _values(s, d):
+    """What a page's own values look like under different names of fields."""
+    fields = F.array(*(F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in (("link", F.col("url")), ("apply-url", F.col("url")), ("note", F.col("html")), ("x", F.col("page_id") + 1_000_000), ("posted", F.lit("2024-01-05")), ("job_title", F.substring("html", 16, 40)), ("city", F.lit(" ")), ("site", F.to_json(F.struct(F.col("url").alias("city")))))))
+    rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(fields).alias("f"))
+    return rows.select("page_id", F.col("f.name").alias("name"), infer.value_role(F.col("f.name"), F.col("f.value")).alias("role"))
+
+
+def _formats(s, d):
+    """Pages as they are, and with data in them."""
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    title = F.to_json(F.struct(F.col("url").alias("title")))
+    script = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), title, F.lit("</script>"))
+    ld = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("url").alias("description"))), F.lit("</script>"))
+    body = F.when(F.col("page_id") % 5 == 0, title).when(F.col("page_id") % 5 == 1, F.concat("html", script)).when(F.col("page_id") % 5 == 2, F.concat("html", ld)).when(F.col("page_id") % 5 == 3, F.col("url")).otherwise(F.col("html"))
+    return pages.select("page_id", infer.detail_format(body).alias("format"))
+
+
 def _listed(s, d):
     """Each document as a posting of every source: written as that source answers, fifty to a response, and read back."""
     docs = role(s, d, "postings").select("company", F.col("job_id").cast("string").alias("id"), F.concat(F.lit("Job "), F.col("job_id").cast("string")).alias("title"), F.concat(F.lit("https://x.org/j/"), F.col("job_id").cast("string")).alias("url"), F.concat(F.lit("City "), (F.col("job_id") % 9).cast("string")).alias("place"), F.floor(F.col("job_id") / 50).alias("page"))
@@ -254,7 +263,7 @@ def _prospected(s, d):
 
 def _weekly(s, d):
     req = role(s, d, "requests")
-    return H.weekly({"errors": lambda: H.rollup(req), "none": lambda: req.where("ms < 0"), "broken": lambda: req.select("no_such_column")}).select("part", "has_data", F.col("why").isNotNull().alias("failed"))
+    return H.weekly({"errors": lambda: H.rollup(req), "none": lambda: req.where("ms < 0"), "classes": lambda: req.groupBy("platform", "class").count(), "broken": lambda: req.select("no_such_column")}).select("part", "has_data", "rows", F.col("why").isNotNull().alias("failed"))
 
 
 QUERIES = {
@@ -273,14 +282,14 @@ QUERIES = {
     "q_missing": lambda s, d: D.missing(_jobs(s, d), 8).select("id", "missing_days"),
     "q_top_occupations": lambda s, d: D.top_occupations(L.by_soc(role(s, d, "filings")), "12-0000001").select("soc", "certified"),
     "q_pending_prospects": lambda s, d: D.pending(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("company"), F.when(F.col("c_custkey") % 3 == 0, "pending").otherwise("done").alias("status"), (F.col("c_custkey") % 5).alias("priority"), F.col("c_acctbal").alias("created_at")), 100).select("company", "priority"),
-    "q_hiring_title": lambda s, d: role(s, d, "postings").select("job_id", D.hiring_title(_dealt(_TITLES, F.col("job_id"))).alias("kind"), D.excluded_title(_dealt(_TITLES, F.col("job_id"))).alias("excluded")),
+    "q_hiring_title": lambda s, d: role(s, d, "postings").select("job_id", D.hiring_title(F.col("text"), ("ation", "ungen"), ("str", "ll")).alias("kind"), D.excluded_title(F.col("text"), ("qu", "sch")).alias("excluded")),
     "q_absolute_url": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.absolute_url(_dealt(_LINKS, F.col("page_id")), F.col("url")).alias("address")),
-    "q_company_slugs": lambda s, d: role(s, d, "postings").select("job_id", F.array_join(T.company_slugs(_dealt(_NAMES, F.col("job_id"))), "|").alias("slugs"), F.array_join(T.company_keywords(_dealt(_NAMES, F.col("job_id"))), "|").alias("words")),
+    "q_company_slugs": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(T.company_slugs(F.concat("p_name", F.lit(" Holdings, Inc."))), "|").alias("slugs"), F.array_join(T.company_keywords(F.concat("p_name", F.lit(" Holdings, Inc."))), "|").alias("words")),
     "q_compound_parts": lambda s, d: role(s, d, "postings").select("job_id", F.array_join(T.compound_parts(_dealt(_COMPOUND, F.col("job_id"))), "|").alias("parts"), T.slug_text(F.when(F.col("job_id") % 2 == 0, F.to_json(F.struct(F.col("company").alias("slug"), F.lit("WD5").alias("wd"), F.lit(3).alias("n")))).otherwise(F.upper("company"))).alias("said")),
     "q_cache_key": lambda s, d: role(s, d, "postings").select("job_id", T.cache_key(F.col("company"), F.col("title"), F.col("text")).alias("key")),
-    "q_portal_slug": lambda s, d: role(s, d, "postings").select("job_id", F.concat_ws(" ", T.portal_slug(_dealt(_BOARDS, F.col("job_id")))["platform"], T.portal_slug(_dealt(_BOARDS, F.col("job_id")))["slug"]).alias("found")),
-    "q_value_role": lambda s, d: role(s, d, "postings").select("job_id", infer.value_role(_dealt([f[0] for f in _FIELDS], F.col("job_id")), _dealt([f[1] for f in _FIELDS], F.col("job_id"))).alias("role")),
-    "q_detail_format": lambda s, d: role(s, d, "postings").select("job_id", infer.detail_format(_dealt(_PAGES, F.col("job_id"))).alias("format")),
+    "q_portal_slug": _portals,
+    "q_value_role": _values,
+    "q_detail_format": _formats,
     "q_records": lambda s, d: _records(s, d).select("company", "page", "path", F.get_json_object("record", "$.id").cast("bigint").alias("id"), F.get_json_object("record", "$.job_title").alias("title")),
     "q_field_roles": lambda s, d: infer.field_roles(_records(s, d)).select("company", "role", "field", "votes"),
     "q_ids_in_urls": lambda s, d: infer.ids_in_urls(_records(s, d), infer.field_roles(_records(s, d))).where("role = 'id'").select("company", "field", "votes"),
@@ -306,7 +315,7 @@ _PROSPECTS = """WITH r AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 17 <> 0
 ORACLE_SQL = {
     "q_form_applications": _FORM,
     "q_form_prospects": _PROSPECTS,
-    "q_weekly_bundle": "SELECT * FROM (VALUES ('errors', true, false), ('none', false, false), ('broken', false, true)) t(part, has_data, failed)",
+    "q_weekly_bundle": oracle("requests", body=" SELECT part, n > 0 AS has_data, n AS rows, part = 'broken' AS failed FROM (SELECT 'errors' AS part, count(DISTINCT (date, platform, context)) AS n FROM requests UNION ALL SELECT 'none', count_if(ms < 0)::BIGINT FROM requests UNION ALL SELECT 'classes', count(DISTINCT (platform, class)) FROM requests UNION ALL SELECT 'broken', 0)"),
     "q_load_filings": oracle("filings", body="SELECT fein, status, year::INTEGER AS year, count(*) AS n, (sum(positions) * 1000)::BIGINT AS positions, min(trim(title)) AS title FROM filings WHERE l_linenumber NOT IN (6, 7) GROUP BY 1, 2, 3"),
     "q_load_petitions": oracle("petitions", body="SELECT legal_norm AS name, fiscal_year, sum(a3 * 1000 + 200)::BIGINT AS a, max(tax_id) AS tax_id FROM petitions WHERE o_orderkey % 10 <> 0 AND o_orderkey % 9 <> 0 GROUP BY 1, 2"),
     "q_crawl_index": r"SELECT url, root FROM (SELECT *, CASE WHEN len(string_split(h, '.')) <= 2 THEN h ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS root FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM pages)) WHERE page_id % 4 <> 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND root IN ('example.com', 'example.org')",
@@ -321,14 +330,14 @@ ORACLE_SQL = {
     "q_missing": oracle("postings", body=_JOBS + " SELECT id, missing_days FROM j WHERE status NOT IN ('filled', 'expired', 'dismissed', 'applied') AND missing_days >= 8"),
     "q_top_occupations": oracle("filings", body="SELECT soc, count_if(status = 'Certified')::BIGINT AS certified FROM filings WHERE fein = '12-0000001' AND trim(soc) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "q_pending_prospects": "SELECT c_custkey AS company, c_custkey % 5 AS priority FROM customer WHERE c_custkey % 3 = 0 ORDER BY 2 DESC, c_acctbal, 1 LIMIT 100",
-    "q_hiring_title": oracle("postings", body=f", t AS (SELECT job_id, coalesce(lower(({_sql_list(_TITLES)})[job_id % 10 + 1]), '') AS t FROM postings) SELECT job_id, CASE WHEN len(list_filter({_sql_list(D.HIRING)}, lambda w: contains(trim(t), w))) > 0 THEN 'auto' WHEN len(list_filter({_sql_list(D.PERHAPS)}, lambda w: contains(trim(t), w))) > 0 THEN 'manual_review' END AS kind, len(list_filter({_sql_list(D.EXCLUDED)}, lambda w: contains(t, w))) > 0 AS excluded FROM t"),
+    "q_hiring_title": oracle("postings", body="SELECT job_id, CASE WHEN regexp_matches(lower(text), 'ation|ungen') THEN 'auto' WHEN regexp_matches(lower(text), 'str|ll') THEN 'manual_review' END AS kind, regexp_matches(lower(text), 'qu|sch') AS excluded FROM postings"),
     "q_absolute_url": _ADDRESS,
-    "q_company_slugs": oracle("postings", body=f"SELECT job_id, ({_sql_list('|'.join(dict.fromkeys(x.split('|'))) for x in _SLUGS)})[job_id % 7 + 1] AS slugs, ({_sql_list(_WORDS)})[job_id % 7 + 1] AS words FROM postings"),
+    "q_company_slugs": "WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part) SELECT p_partkey, array_to_string(list_filter([a, CASE WHEN b <> a THEN b END, CASE WHEN c NOT IN (a, b) THEN c END, CASE WHEN e NOT IN (a, b, c) THEN e END], lambda x: x <> ''), '|') AS slugs, array_to_string(list_filter(w, lambda x: length(x) >= 3), '|') AS words FROM (SELECT p_partkey, w, array_to_string(w, '') AS a, array_to_string(w, '-') AS b, w[1] AS c, array_to_string(w[1:2], '') AS e FROM w)",
     "q_compound_parts": oracle("postings", body=f"SELECT job_id, ({_sql_list(_PARTS)})[job_id % 6 + 1] AS parts, CASE WHEN job_id % 2 = 0 THEN lower(company) || ' wd5' ELSE lower(company) END AS said FROM postings"),
     "q_cache_key": oracle("postings", body="SELECT job_id, sha256(coalesce(company, '') || '-' || coalesce(title, '') || '-' || coalesce(text, '')) AS key FROM postings"),
-    "q_portal_slug": oracle("postings", body=f"SELECT job_id, coalesce(({_sql_list(_BOARD_OF)})[job_id % 10 + 1], '') AS found FROM postings"),
-    "q_value_role": oracle("postings", body=f"SELECT job_id, ({_sql_list(f[2] for f in _FIELDS)})[job_id % {len(_FIELDS)} + 1] AS role FROM postings"),
-    "q_detail_format": oracle("postings", body=f"SELECT job_id, ({_sql_list(_FORMATS)})[job_id % {len(_FORMATS)} + 1] AS format FROM postings"),
+    "q_portal_slug": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^./]+)', 1) AS x FROM pages) SELECT page_id, coalesce(CASE page_id % 12 WHEN 0 THEN 'greenhouse ' || x WHEN 1 THEN 'greenhouse ' || x WHEN 2 THEN 'lever ' || x WHEN 3 THEN 'lever ' || x WHEN 4 THEN 'smartrecruiters ' || x WHEN 5 THEN 'workday ' || upper(x) || '/wd5/Careers' WHEN 6 THEN 'icims ' || x WHEN 7 THEN 'taleo ' || upper(x) || '/ex' WHEN 8 THEN 'ashby ' || x WHEN 9 THEN 'successfactors ' || upper(x) WHEN 10 THEN 'greenhouse ' || x END, '') AS found FROM p""",
+    "q_value_role": "SELECT page_id, name, role FROM (SELECT page_id, html FROM pages) CROSS JOIN (VALUES ('link', 'url'), ('apply-url', 'url_apply'), ('note', 'long_text'), ('x', 'id'), ('posted', 'date'), ('job_title', 'title'), ('city', NULL), ('site', 'location')) t(name, role)",
+    "q_detail_format": "SELECT page_id, (['json', 'html_next', 'html_jsonld', NULL, 'html'])[page_id % 5 + 1] AS format FROM pages",
     "q_records": f"SELECT company, page, 'data.edges[*].node' AS path, o_orderkey AS id, o_orderpriority AS title FROM {_R}",
     "q_field_roles": f"SELECT company, role, field, votes FROM (SELECT company, count(*) AS votes, count_if(o_orderkey >= 1000)::BIGINT AS ids FROM {_R} GROUP BY 1) CROSS JOIN (VALUES ('title', 'job_title'), ('url', 'link'), ('id', 'id'), ('location', 'city')) t(role, field) WHERE role <> 'id' UNION ALL SELECT company, 'id', CASE WHEN true THEN 'id' END, count(*) FROM {_R} GROUP BY 1",
     "q_ids_in_urls": f"SELECT company, 'key' AS field, count(*) AS votes FROM {_R} GROUP BY 1 HAVING count(*) >= 2 UNION ALL SELECT company, 'key', 1 FROM {_R} GROUP BY 1 HAVING count(*) = 1",
