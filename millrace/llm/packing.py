@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +97,8 @@ class _Rooms:
                 self.mask &= ~(1 << room)
         else:
             room, members = self.capacity, []
-        members.append(item)
-        self.add(room - length, members)
+        # a bin may be another packing's too, so it isn't changed in place
+        self.add(room - length, [*members, item])
 
     def bins(self) -> list[Bin]:
         return [b for row in self.by_room for b in row]
@@ -107,7 +108,7 @@ def best_fit(order: Sequence[int], length: Sequence[int], capacity: int, keep: S
     """Bins as (room, pieces) after putting pieces, in the order given, beside bins that are kept."""
     rooms = _Rooms(capacity)
     for room, members in keep:
-        rooms.add(room, list(members))
+        rooms.add(room, members)
     for item in order:
         rooms.put(item, length[item])
     return rooms.bins()
@@ -123,20 +124,22 @@ def cross(one: list[Bin], other: list[Bin], length: Sequence[int], capacity: int
     most = (1 - WELL_FILLED) * capacity
     good = [b for b in other if b[0] <= most] or sorted(other, key=lambda b: b[0])[: max(1, len(other) // 10)]
     injected = [b for b in good if rng.random() < 0.5] or good[:1]
-    taken = {i for _, members in injected for i in members}
+    taken = set(chain.from_iterable(members for _, members in injected))
     kept, displaced = [], []
-    for room, members in one:
-        if room <= most and taken.isdisjoint(members) and rng.random() >= DISSOLVED:
-            kept.append((room, members))
+    for bin_ in one:
+        if bin_[0] <= most and taken.isdisjoint(bin_[1]) and rng.random() >= DISSOLVED:
+            kept.append(bin_)
         else:
-            displaced += [i for i in members if i not in taken]
+            displaced += bin_[1]
+    displaced = [i for i in displaced if i not in taken]
     displaced.sort(key=lambda i: -length[i])
     return best_fit(displaced, length, capacity, [*injected, *kept])
 
 
 def fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    return -len(bins), sum(((capacity - room) / capacity) ** 2 for room, _ in bins) / max(1, len(bins))
+    room = np.fromiter((room for room, _ in bins), dtype=np.float64, count=len(bins))
+    return -len(bins), float(((1 - room / capacity) ** 2).sum()) / max(1, len(bins))
 
 
 def least_bins(length: Sequence[int], capacity: int) -> int:
