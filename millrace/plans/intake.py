@@ -16,7 +16,7 @@ from ..operators import health as H
 from ..operators import places as G
 from ..operators import retention as K
 from ..session import shared_dir
-from ..sources import adapters, feeds, files, infer, nested, sheets
+from ..sources import adapters, feeds, files, infer, nested, sheets, xlsx
 from .roles import AS_OF, as_text, oracle, role
 
 
@@ -221,15 +221,29 @@ def _landed(s, rows, **options):
     return path
 
 
-def _loaded(s, d):
-    f = role(s, d, "filings").select(
+def _filed(s, d):
+    """Filings under the headers that landed files have."""
+    return role(s, d, "filings").select(
         F.when(F.col("l_linenumber") != 7, "H-1B ").otherwise("E-3").alias("Visa Class"), F.when(F.col("l_linenumber") != 6, F.col("fein")).alias("Employer Fein"), F.col("status").alias("Case Status"), F.concat(F.col("positions").cast("string"), F.lit(",000")).alias("Total Worker Positions"),
         F.col("soc").alias("SOC Code"), F.col("title").alias("Job  Title"), F.date_format("decided", "M/d/yyyy").alias("Decision-Date"), F.col("employer_state").alias("Employer State"),
     )
-    found = files.load_filings(files.read_delimited(s, _landed(s, f, sep="\t"), ["VISA_CLASS", "EMPLOYER_FEIN"]))
+
+
+def _by_year(found):
     return found.groupBy("fein", "status", "year").agg(F.count("*").alias("n"), F.sum("positions").alias("positions"), F.min("title").alias("title"))
 
 
+def _loaded(s, d):
+    return _by_year(files.load_filings(files.read_delimited(s, _landed(s, _filed(s, d), sep="\t"), ["VISA_CLASS", "EMPLOYER_FEIN"])))
+
+
+def _from_workbooks(s, d):
+    """Filings written as workbooks and read back, several tasks a sheet."""
+    path = f"{shared_dir(s)}/books-{uuid.uuid4().hex}"
+    xlsx.write_workbooks(_filed(s, d), path)
+    return _by_year(files.load_filings(xlsx.read_workbooks(s, path, required=["VISA_CLASS", "EMPLOYER_FEIN"], taskBytes=str(8 << 20))))
+
+
 def _petitioned(s, d):
     p = role(s, d, "petitions").select(F.col("legal_norm").alias("Employer (Petitioner) Name"), F.col("tax_id").alias("Tax ID"), F.when(F.col("o_orderkey") % 10 != 0, F.col("fiscal_year")).otherwise(1901).alias("Fiscal Year"), F.when(F.col("o_orderkey") % 9 == 0, "-1").otherwise(F.concat(F.col("a3").cast("string"), F.lit(",200"))).alias("Initial Approval"))
     df = files.read_delimited(s, _landed(s, p))
@@ -271,6 +285,7 @@ QUERIES = {
     "q_form_prospects": _prospected,
     "q_weekly_bundle": _weekly,
     "q_load_filings": _loaded,
+    "q_load_workbooks": _from_workbooks,
     "q_load_petitions": _petitioned,
     "q_crawl_index": _crawled,
     "q_place_lookup": _places,
@@ -352,4 +367,5 @@ ORACLE_SQL = {
     "q_links": r"""SELECT page_id::VARCHAR AS company, (page_id + 10000)::VARCHAR AS job_id, 'Dev &Ops' AS title, CASE WHEN page_id % 5 = 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]*') ELSE 'https://x.org' END || '/jobs/' || (page_id + 10000) || '/dev' AS job_url, 'icims' AS ats FROM pages WHERE url IS NOT NULL""",
 }
 
+ORACLE_SQL["q_load_workbooks"] = ORACLE_SQL["q_load_filings"]
 as_text(QUERIES, ORACLE_SQL, {})
