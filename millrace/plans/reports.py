@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import filings as L
 from ..operators import reports as R
+from ..operators import suffixes as P
 from .roles import AS_OF, as_text, oracle, role
 
 
@@ -30,6 +31,16 @@ def _names(s, d):
     return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.lower("p_name").alias("a"), F.lower(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " inc").when(F.col("p_partkey") % 3 == 1, " bank").otherwise(""))).alias("b"))
 
 
+
+def _under_rules(s, d):
+    """Pages' hosts with their ends replaced by ones that rules of each kind decide."""
+    x = F.regexp_extract("url", "^https?://([^./]+)", 1)
+    forms = ("a.{}.co.uk", "{}.ck", "b.{}.ck", "www.ck", "x.{}.www.ck", "{}.city.kawasaki.jp", "c.b.{}.kawasaki.jp", "kawasaki.jp", "{}.COM.", "co.uk", "m.{}.zz", "10.0.0.1")
+    made = F.element_at(F.array(*(F.replace(F.lit(f), F.lit("{}"), x) for f in forms)), (F.col("page_id") % 12 + 1).cast("int"))
+    pages = s.read.parquet(f"{d}/pages.parquet").select("page_id", F.when(F.col("page_id") % 5 == 0, T.url_host(F.col("url"))).when(F.col("page_id") % 7 != 0, made).alias("host"))
+    return P.with_root(pages, F.col("host"), P.common_rules(s)).select("page_id", "root")
+
+
 QUERIES = {
     "q_status_summary": lambda s, d: R.status_summary(role(s, d, "applications")),
     "q_diagnostics": lambda s, d: R.diagnostics(_req(s, d).where("class <> 'ok'").select(F.col("user_id").alias("company"), "platform", "class"), ["company", "platform"], "class", ["5xx", "429", "timeout", "404"]),
@@ -44,6 +55,7 @@ QUERIES = {
     "q_fingerprints": lambda s, d: R.fingerprints(_line(s, d), "line", "429|TIMEOUT|5XX", "took 1\\d\\d ms"),
     "q_next_deadline": lambda s, d: _req(s, d).select("event_id", R.next_deadline(F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("deadline")),
     "q_error_class": lambda s, d: _req(s, d).groupBy(R.error_class(_code(F.col("class"))).alias("kind")).agg(F.count("*").alias("n")),
+    "q_public_suffix": _under_rules,
     "q_registrable": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.registrable(T.url_host(F.col("url"))).alias("root"), R.email_root(F.concat(F.lit("x@"), T.url_host(F.col("url")))).alias("mail_root")),
     "q_suffix_variation": lambda s, d: _names(s, d).select("p_partkey", R.suffix_variation(F.col("a"), F.col("b")).alias("varies")),
     "q_slug_fits": lambda s, d: _names(s, d).select("p_partkey", R.slug_fits(F.translate("b", " ", "-"), F.col("a")).alias("fits")),
@@ -60,7 +72,15 @@ _NM = "(SELECT p_partkey, lower(p_name) AS a, lower(p_name || CASE p_partkey % 3
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _ROOT = "CASE WHEN len(string_split({h}, '.')) <= 2 THEN {h} ELSE array_to_string(string_split({h}, '.')[-2:], '.') END".replace("{h}", _HOST)
 
+#: Rules as they are matched here: by a host's end in text, not by labels.
+_RULES = """WITH r AS (SELECT *, len(string_split(tail, '.')) AS k FROM (VALUES ('com', 'plain'), ('net', 'plain'), ('org', 'plain'), ('io', 'plain'), ('co', 'plain'), ('uk', 'plain'), ('co.uk', 'plain'), ('jp', 'plain'), ('co.jp', 'plain'), ('kawasaki.jp', 'wild'), ('city.kawasaki.jp', 'spared'), ('ck', 'wild'), ('www.ck', 'spared')) t(tail, kind)),
+ x AS (SELECT page_id, url, regexp_extract(url, '^https?://([^./]+)', 1) AS x FROM pages),
+ p AS (SELECT page_id, rtrim(lower(CASE WHEN page_id % 5 = 0 THEN {h} WHEN page_id % 7 = 0 THEN NULL ELSE (['a.' || x || '.co.uk', x || '.ck', 'b.' || x || '.ck', 'www.ck', 'x.' || x || '.www.ck', x || '.city.kawasaki.jp', 'c.b.' || x || '.kawasaki.jp', 'kawasaki.jp', x || '.com', 'co.uk', 'm.' || x || '.zz', '10.0.0.1'])[page_id % 12 + 1] END), '.') AS host FROM x),
+ m AS (SELECT page_id, any_value(host) AS host, coalesce(max(CASE WHEN kind = 'spared' THEN k - 1 END), max(CASE WHEN kind = 'plain' THEN k WHEN kind = 'wild' AND len(string_split(host, '.')) > k THEN k + 1 END), 1) + 1 AS kept FROM p LEFT JOIN r ON host = tail OR ends_with(host, '.' || tail) GROUP BY 1)
+ SELECT page_id, CASE WHEN host = '' THEN NULL WHEN host = '10.0.0.1' OR len(string_split(host, '.')) < kept THEN host ELSE array_to_string(string_split(host, '.')[-kept:], '.') END AS root FROM m""".replace("{h}", _HOST)
+
 ORACLE_SQL = {
+    "q_public_suffix": _RULES,
     "q_status_summary": oracle("applications", body="SELECT status, count(*) AS n FROM applications GROUP BY 1"),
     "q_diagnostics": oracle("requests", body="SELECT class, count(*) AS n, count(DISTINCT user_id) AS companies, list_position(['5xx', '429', 'timeout', '404'], class)::INTEGER AS place FROM (SELECT DISTINCT user_id, platform, class FROM requests WHERE class <> 'ok') GROUP BY 1"),
     "q_quota": oracle("requests", body="SELECT date, sum(ms % 7)::BIGINT AS used, greatest(1200 - sum(ms % 7), 0)::BIGINT AS remaining FROM requests GROUP BY 1"),
