@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources.xlsx import place
 from ..streaming import jobs as J
+from ..streaming import logs
 from ..streaming import state as S
 from .adaptive import ORACLE_SQL as ADAPTIVE_SQL
 from .roles import as_text, oracle, role
@@ -133,7 +136,32 @@ def s_counters(spark: SparkSession, d: str) -> DataFrame:
     return J.total(spark, sink, rows.schema, keys, sums)
 
 
-QUERIES = {f.__name__: f for f in (s_adaptive_state, s_error_window, s_dedup_day, s_poll_state, s_alert_sweep, s_reclaim, s_resumed_windows, s_counters)}
+def _write_log(rows: DataFrame, folder: str) -> None:
+    line = F.concat_ws(" ", F.col("ts").cast("string"), F.when(F.col("class") == "ok", "INFO").otherwise("ERROR"), "class", F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    by = ["platform", "date"]
+    rows.repartition(*by).sortWithinPartitions(*by, "event_id").select(*by, line.alias("line")).write.mode("append").partitionBy(*by).text(folder)
+
+
+def s_log_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, errors and lines of context of platforms' and days' logs: read, rotated while the stream is down, and read on from its checkpoint beside the new logs."""
+    source, sink, state = _places(spark, "logs")
+    store, folder = place(source)
+    rows = role(spark, d, "requests").select("event_id", "ts", "user_id", "class", "platform", F.col("date").cast("string").alias("date"))
+    _write_log(rows.where("event_id % 3 <> 0"), source)
+    stream = lambda: logs.tail(spark, f"{folder}/*/*/*.txt*", context=2)
+    J.run_once(stream(), sink, state)
+    for f in store.get_file_info(fs.FileSelector(folder, recursive=True)):
+        if f.path.endswith(".txt"):
+            store.move(f.path, f.path + ".1")
+    _write_log(rows.where("event_id % 3 = 0"), source)
+    lines = J.run_once(stream(), sink, state)
+    found = logs.findings(lines, [r"\bERROR\b"]).select("file", "log", "at", F.size("context").alias("near"), F.lit(1).alias("error"))
+    by = lambda name: F.regexp_extract("file", f"{name}=([^/]*)", 1).alias(name)
+    each = lines.select("file", "log", "at").withColumns({"near": F.lit(0), "error": F.lit(0), "line": F.lit(1)}).unionByName(found.withColumn("line", F.lit(0)))
+    return each.groupBy(by("platform"), by("date")).agg(F.sum("line").alias("lines"), F.sum("error").alias("errors"), F.sum("near").alias("near"))
+
+
+QUERIES = {f.__name__: f for f in (s_adaptive_state, s_error_window, s_dedup_day, s_poll_state, s_alert_sweep, s_reclaim, s_resumed_windows, s_counters, s_log_tail)}
 
 #: One poll after another of all keys at once: r are the counts of the last five successes, i the interval, w the polls of warming that are left.
 _POLL_STATE = """RECURSIVE_HERE p AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, class = 'ok' AS ok, CASE WHEN event_id % 7 <> 0 THEN ms % 4 ELSE 0 END::DOUBLE AS jobs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM requests),
@@ -160,6 +188,8 @@ ORACLE_SQL = {
     "s_alert_sweep": oracle("requests", body=_ALERTS),
     "s_reclaim": oracle("requests", body=""", b AS (SELECT least(greatest(3 * quantile_disc(ms, 0.95) / 30, 300), 600)::INTEGER AS bound FROM requests)
  SELECT event_id // 5 AS message, (event_id % 5 + 1)::INTEGER AS attempt, ts AS moment, CASE WHEN event_id % 4 <> 0 AND event_id * 37 % 900 <= bound THEN 'done' WHEN event_id % 5 = 4 THEN 'dead' ELSE 'reclaimed' END AS outcome FROM requests, b"""),
+    "s_log_tail": oracle("requests", body=""", l AS (SELECT platform, date::VARCHAR AS date, class <> 'ok' AS error, coalesce(lead(class) OVER w = 'ok', false) AS one, coalesce(lead(class, 2) OVER w = 'ok', false) AS two FROM requests WINDOW w AS (PARTITION BY platform, date, event_id % 3 = 0 ORDER BY event_id))
+ SELECT platform, date, count(*) AS lines, count_if(error)::BIGINT AS errors, sum(CASE WHEN error AND one THEN 1 + two::INTEGER ELSE 0 END)::BIGINT AS near FROM l GROUP BY 1, 2"""),
     "s_counters": oracle("requests", body="SELECT platform, date::VARCHAR AS date, count(*) AS requests, count_if(class <> 'ok')::BIGINT AS errors, sum(ms)::BIGINT AS ms FROM requests GROUP BY 1, 2"),
 }
 ORACLE_SQL["s_resumed_windows"] = ORACLE_SQL["s_error_window"]
