@@ -16,7 +16,7 @@ from ..operators import health as H
 from ..operators import places as G
 from ..operators import retention as K
 from ..session import shared_dir
-from ..sources import adapters, feeds, files, infer, nested, sheets, xlsx
+from ..sources import adapters, feeds, files, infer, nested, scrape, sheets, xlsx
 from .roles import AS_OF, as_text, oracle, role
 
 
@@ -244,6 +244,19 @@ def _from_workbooks(s, d):
     return _by_year(files.load_filings(xlsx.read_workbooks(s, path, required=["VISA_CLASS", "EMPLOYER_FEIN"], taskBytes=str(8 << 20))))
 
 
+def _scraped(s, d):
+    """Pages with structured data in a graph, a meta element, an unclosed element of a place, or none of these."""
+    n = F.col("page_id").cast("string")
+    graph = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": ["X", "JobPosting"], "title": "Job '), n, F.lit('", "description": "<p>one<br>&amp; two", "employmentType": ["FULL", "PART"], "hiringOrganization": {"name": "Firm"}, "jobLocation": [{"address": {"addressRegion": "R"}}]}]}</script>'))
+    added = F.array(graph, F.concat(F.lit('<meta property="og:title" content="Dev &amp; '), n, F.lit('">')), F.concat(F.lit('<ul><li class="office-location">City <b>'), n, F.lit("<li>other</ul>")), F.lit("<script type=application/ld+json>{no</script>"))
+    html = F.concat(F.element_at(added, (F.col("page_id") % 4 + 1).cast("int")), "html")
+    return scrape.scraped(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", html.alias("html"))).select("page_id", "posting.*")
+
+
+def _texts(s, d):
+    return scrape.page_text(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), F.col("html")).select("page_id", "text")
+
+
 def _petitioned(s, d):
     p = role(s, d, "petitions").select(F.col("legal_norm").alias("Employer (Petitioner) Name"), F.col("tax_id").alias("Tax ID"), F.when(F.col("o_orderkey") % 10 != 0, F.col("fiscal_year")).otherwise(1901).alias("Fiscal Year"), F.when(F.col("o_orderkey") % 9 == 0, "-1").otherwise(F.concat(F.col("a3").cast("string"), F.lit(",200"))).alias("Initial Approval"))
     df = files.read_delimited(s, _landed(s, p))
@@ -285,6 +298,8 @@ QUERIES = {
     "q_form_prospects": _prospected,
     "q_weekly_bundle": _weekly,
     "q_load_filings": _loaded,
+    "q_page_scrape": _scraped,
+    "q_page_text": _texts,
     "q_load_workbooks": _from_workbooks,
     "q_load_petitions": _petitioned,
     "q_crawl_index": _crawled,
@@ -327,7 +342,14 @@ _FORM = """WITH r AS (SELECT o_orderkey AS n, o_orderkey % 11 = 0 AS anonymous,
 _PROSPECTS = """WITH r AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 17 <> 0 THEN 'firm ' || c_custkey // 2 ELSE '' END AS name, CASE WHEN c_custkey % 25 = 0 THEN 'custom' WHEN c_custkey % 10 = 0 THEN 'sitemap' WHEN c_custkey % 3 = 0 THEN 'greenhouse' WHEN c_custkey % 4 = 0 THEN 'unknown' END AS ats FROM customer)
  SELECT n AS row, CASE WHEN name = '' THEN 'invalid' WHEN ats IS NULL THEN 'incomplete' WHEN row_number() OVER (PARTITION BY name ORDER BY n DESC) > 1 THEN 'replaced' WHEN name IN (SELECT name FROM r WHERE n % 6 = 0) THEN 'update' ELSE 'new' END AS outcome, ats, CASE ats WHEN 'custom' THEN 'curl ' || chr(39) || 'https://x' || chr(39) WHEN 'sitemap' THEN 'https://x.org/feed.xml' WHEN 'greenhouse' THEN 'g' || n END AS slug, CASE WHEN n % 4 = 0 THEN 'firm.com' END AS domain FROM r"""
 
+#: Pieces of text between tags, by expressions.
+_PIECES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({x}, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>|<!--.*?-->', chr(1), 'g'), '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda t: trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda t: t <> '')"
+
 ORACLE_SQL = {
+    "q_page_text": f"SELECT page_id, coalesce(array_to_string({_PIECES.format(x='html')}, ' '), '') AS text FROM pages",
+    "q_page_scrape": f"""WITH p AS (SELECT page_id, page_id % 4 AS n, array_to_string({_PIECES.format(x="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, ' ') AS h1, array_to_string({_PIECES.format(x="regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}, chr(10)) AS article, regexp_extract(url, '^https?://(?:www[.])?(?:jobs[.])?([^./]+)', 1) AS host FROM pages)
+ SELECT page_id, CASE n WHEN 0 THEN 'Job ' || page_id WHEN 1 THEN 'Dev & ' || page_id ELSE h1 END AS title, CASE n WHEN 0 THEN 'Firm' ELSE array_to_string(list_transform(string_split(host, '-'), lambda w: upper(w[1]) || w[2:]), '-') END AS company, CASE n WHEN 0 THEN 'R' WHEN 2 THEN 'City ' || page_id ELSE '' END AS location,
+ CASE n WHEN 0 THEN 'one' || chr(10) || '& two' ELSE article END AS description, CASE n WHEN 0 THEN 'FULL, PART' ELSE '' END AS job_type, CASE n WHEN 0 THEN 'data' WHEN 1 THEN 'meta' ELSE 'selector' END AS via FROM p""",
     "q_form_applications": _FORM,
     "q_form_prospects": _PROSPECTS,
     "q_weekly_bundle": oracle("requests", body=" SELECT part, n > 0 AS has_data, n AS rows, part = 'broken' AS failed FROM (SELECT 'errors' AS part, count(DISTINCT (date, platform, context)) AS n FROM requests UNION ALL SELECT 'none', count_if(ms < 0)::BIGINT FROM requests UNION ALL SELECT 'classes', count(DISTINCT (platform, class)) FROM requests UNION ALL SELECT 'broken', 0)"),
