@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import bloom as B
 from ..operators import dedup as D
 from ..operators import filings as L
 from ..operators import funnel as N
@@ -99,6 +100,7 @@ QUERIES = {
     "q_content_hash": lambda s, d: _postings(s, d).select("job_id", _hash().alias("content_hash"), D.content_hash(F.col("company"), F.col("title"), F.col("location")).alias("legacy_hash")),
     "q_dedup_first": lambda s, d: D.first_of(_postings(s, d).select("job_id", D.content_hash(F.col("company"), F.col("title"), F.col("location")).alias("h")), "h", ["job_id"]),
     "q_snapshot_diff": _diff,
+    "q_generations": lambda s, d: B.generations(role(s, d, "requests").where("event_id % 3 <> 0"), role(s, d, "requests").where("event_id % 3 <> 1"), "date", "user_id"),
     "q_generation_diff": lambda s, d: D.generation_diff(role(s, d, "requests").where("date = '2024-01-03'"), role(s, d, "requests").where("date = '2024-01-04'"), "platform", "user_id"),
     "q_retention": lambda s, d: D.retention(role(s, d, "applications"), AS_OF_ORDERS, "status", "applied_on", {"closed": 365, "exhausted": 1000}).select("application_id", "status"),
     "q_union_tiers": lambda s, d: D.union_tiers(_orders(s, d, "O"), _orders(s, d, "F"), "o_custkey"),
@@ -170,6 +172,7 @@ ORACLE_SQL = {
     "q_content_hash": oracle("postings", body=f"SELECT job_id, CASE WHEN company <> '' AND title <> '' THEN sha256({_N('company')} || '|' || {_N('title')} || '|' || {_N('location')} || '|' || job_id) END AS content_hash, CASE WHEN company <> '' AND title <> '' THEN sha256({_N('company')} || '|' || {_N('title')} || '|' || {_N('location')}) END AS legacy_hash FROM postings"),
     "q_dedup_first": oracle("postings", body=f"SELECT min(job_id) AS job_id, h FROM (SELECT job_id, CASE WHEN company <> '' AND title <> '' THEN sha256({_N('company')} || '|' || {_N('title')} || '|' || {_N('location')}) END AS h FROM postings) GROUP BY h, CASE WHEN h IS NULL THEN job_id END"),
     "q_snapshot_diff": "SELECT s_suppkey, coalesce(n.m, o.m)::INTEGER AS m, coalesce(queued, false) AS queued, CASE WHEN n.m IS NULL THEN 'delete' WHEN o.m IS NULL THEN 'insert' WHEN n.m = o.m THEN 'keep' ELSE 'update' END AS change FROM (SELECT s_suppkey, s_nationkey AS m, s_suppkey % 2 = 0 AS queued FROM supplier WHERE s_suppkey % 5 <> 0) o FULL JOIN (SELECT s_suppkey, s_nationkey + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS m FROM supplier WHERE s_suppkey % 7 <> 0) n USING (s_suppkey)",
+    "q_generations": oracle("requests", body=", a AS (SELECT DISTINCT date, user_id FROM requests WHERE event_id % 3 <> 0), b AS (SELECT DISTINCT date, user_id FROM requests WHERE event_id % 3 <> 1) SELECT *, 'appeared' AS change FROM (FROM b EXCEPT FROM a) UNION ALL SELECT *, 'vanished' FROM (FROM a EXCEPT FROM b)"),
     "q_generation_diff": oracle("requests", body=", a AS (SELECT DISTINCT platform, user_id FROM requests WHERE date = '2024-01-03'), b AS (SELECT DISTINCT platform, user_id FROM requests WHERE date = '2024-01-04') SELECT *, 'appeared' AS change FROM (FROM b EXCEPT FROM a) UNION ALL SELECT *, 'vanished' FROM (FROM a EXCEPT FROM b)"),
     "q_retention": oracle("applications", body="SELECT application_id, status FROM applications WHERE CASE status WHEN 'closed' THEN DATE '2001-12-01' - applied_on <= 365 WHEN 'exhausted' THEN DATE '2001-12-01' - applied_on <= 1000 ELSE true END"),
     "q_union_tiers": "SELECT o_custkey, min(t)::INTEGER AS tier FROM (SELECT o_custkey, 1 AS t FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
@@ -186,4 +189,4 @@ ORACLE_SQL = {
     "q_salary": oracle("applications", body="SELECT application_id, s[1] AS low, s[2] AS high FROM (SELECT application_id, list_sort(list_distinct(list_filter([round(expected)::BIGINT, 150000, 90000, application_id % 2000], lambda x: x >= 1000))) AS s FROM applications)"),
 }
 
-as_text(QUERIES, ORACLE_SQL, {"q_shortage_group": ["applied_on"], "q_sendable": ["applied_on"], "q_company_activity": ["latest"], "q_daily_trend": ["day"], "q_parse_dates": ["parsed_at"]})
+as_text(QUERIES, ORACLE_SQL, {"q_generations": ["date"], "q_shortage_group": ["applied_on"], "q_sendable": ["applied_on"], "q_company_activity": ["latest"], "q_daily_trend": ["day"], "q_parse_dates": ["parsed_at"]})
