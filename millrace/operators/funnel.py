@@ -104,6 +104,39 @@ def domain_consistency(rows: DataFrame, group: str, domain: str, expected: str)
     return got.select(group, "n_domains", "n", verdict.alias("verdict"))
 
 
+def _root(email: str) -> Column:
+    """The first label of an address's domain, lower case; null without a domain."""
+    return F.nullif(F.lower(F.regexp_extract(email, r"^[^@]*@([^@.]+)", 1)), F.lit(""))
+
+
+def stored_roots(contacts: DataFrame) -> DataFrame:
+    """(company, stored): the domain's first label of each company's first active contact by contact_id that has an address. contacts: (contact_id, company, email, status)."""
+    rows = contacts.where("status = 'active'").select("company", "contact_id", _root("email").alias("root")).where("root is not null and company is not null")
+    return rows.groupBy("company").agg(F.min_by("root", F.struct("contact_id", "root")).alias("stored"))
+
+
+def checked_buffer(buffer: DataFrame, contacts: DataFrame, expected: DataFrame) -> DataFrame:
+    """(company, email, reference, verdict, kept): found addresses (company, email) against what is known of their companies.
+
+    An address that the company has already is left out, and each counts once. The reference is the
+    domain of the company's stored contacts, else the one that is expected (company, root). Without one
+    all are kept (trusted). A company's addresses of one domain are all kept if it is the reference
+    (consistent), else all dropped (conflict); of several domains those of the reference are kept
+    (tiebreak), or none is where none has it (unmatched). An address without a domain has one of its own.
+    """
+    known = contacts.select("company", F.lower("email").alias("email"))
+    rows = buffer.where("company is not null and email is not null").select("company", F.lower("email").alias("email")).distinct().join(known, ["company", "email"], "left_anti")
+    told = stored_roots(contacts).join(expected.groupBy("company").agg(F.min(F.lower("root")).alias("root")), "company", "full_outer")
+    rows = rows.join(told.select("company", F.coalesce("stored", F.nullif("root", F.lit(""))).alias("reference")), "company", "left")
+    domain = F.coalesce(F.nullif(F.regexp_extract("email", r"@([^@]*)$", 1), F.lit("")), F.concat(F.lit("@"), "email"))
+    rows = rows.withColumn("domain", domain).withColumn("fits", F.coalesce(_root("email") == F.col("reference"), F.lit(False)))
+    # sums of a company come back by a join, so that one of very many addresses is no task of its own
+    sums = rows.groupBy("company").agg(F.min("domain").alias("first"), F.max("domain").alias("last"), F.bool_or("fits").alias("any"))
+    one = F.col("first") == F.col("last")
+    verdict = F.when(F.col("reference").isNull(), "trusted").when(one & F.col("any"), "consistent").when(one, "conflict").when(F.col("any"), "tiebreak").otherwise("unmatched")
+    return rows.join(sums, "company").select("company", "email", "reference", verdict.alias("verdict"), (F.col("reference").isNull() | F.col("fits")).alias("kept"))
+
+
 def top_members(rows: DataFrame, group: str, first: Column, order: list, k: int) -> DataFrame:
     """The k first members of each group, those with `first` ahead."""
     w = Window.partitionBy(group).orderBy(F.when(first, 0).otherwise(1), *order)

@@ -18,6 +18,12 @@ def found(recruiters: DataFrame, since: str) -> DataFrame:
     return rows.agg(F.count("*").alias("total_found"), F.count_distinct("company").alias("companies_found"))
 
 
+def verified(recruiters: DataFrame, since: str) -> DataFrame:
+    """How many recruiters were verified since a day, and how many of these turned out to be inactive."""
+    rows = recruiters.where(F.col("verified_at") >= F.lit(since).cast("date"))
+    return rows.agg(F.count("*").alias("verified"), F.count_if(F.col("status") == "inactive").alias("inactive"))
+
+
 def enrichment(catalogue: DataFrame) -> DataFrame:
     """How far the active part of a catalogue is enriched."""
     n, done = F.count("*"), F.count_if("enriched")

@@ -71,7 +71,18 @@ def _postings(s, d):
 def _hash():
     return D.content_hash(F.col("company"), F.col("title"), F.col("location"), F.col("job_id").cast("string"))
 
+def _buffer(s, d):
+    """Orders as found addresses, customers as companies and as their stored contacts."""
+    o, c = s.read.parquet(f"{d}/orders.parquet"), s.read.parquet(f"{d}/customer.parquet")
+    n = F.when(F.col("o_totalprice") < 400000, F.col("o_custkey") % 7).otherwise(F.col("o_orderkey") % 7)
+    found = o.select(F.col("o_custkey").alias("company"), F.concat(F.lit("A"), F.col("o_orderkey") % 5000, F.lit("@c"), n, F.lit(".com")).alias("email"))
+    stored = c.select(F.col("c_custkey").alias("contact_id"), F.col("c_custkey").alias("company"), F.concat(F.lit("a"), "c_custkey", F.lit("@c"), F.col("c_nationkey") % 7, F.lit(".org")).alias("email"), F.when((F.col("c_acctbal") > 0) & (F.col("c_mktsegment") == "BUILDING"), "active").otherwise("gone").alias("status"))
+    told = c.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("company"), F.concat(F.lit("c"), F.col("c_custkey") % 7).alias("root"))
+    return N.checked_buffer(found, stored, told)
+
+
 QUERIES = {
+    "q_buffer_check": _buffer,
     "q_pending_join": lambda s, d: N.pending(*_abr(s, d)),
     "q_shortage_rows": lambda s, d: N.shortage_rows(*_abr(s, d), 3),
     "q_shortage_group": lambda s, d: N.shortage_group(*_abr(s, d), 4),
@@ -144,6 +155,10 @@ def _entity(x: str, strip: bool) -> str:
 
 
 ORACLE_SQL = {
+    "q_buffer_check": """WITH b AS (SELECT DISTINCT o_custkey AS company, 'c' || CASE WHEN o_totalprice < 400000 THEN o_custkey % 7 ELSE o_orderkey % 7 END AS root, 'a' || o_orderkey % 5000 || '@' || root || '.com' AS email FROM orders),
+ k AS (SELECT b.*, CASE WHEN c_acctbal > 0 AND c_mktsegment = 'BUILDING' THEN 'c' || c_nationkey % 7 WHEN c_mktsegment <> 'MACHINERY' THEN 'c' || c_custkey % 7 END AS reference FROM b LEFT JOIN customer ON company = c_custkey)
+ SELECT company, email, reference, CASE WHEN reference IS NULL THEN 'trusted' WHEN n = 1 THEN CASE WHEN hits > 0 THEN 'consistent' ELSE 'conflict' END WHEN hits > 0 THEN 'tiebreak' ELSE 'unmatched' END AS verdict, coalesce(root = reference, true) AS kept
+ FROM k JOIN (SELECT company, count(DISTINCT root) AS n, count_if(root = reference) AS hits FROM k GROUP BY 1) USING (company)""",
     "q_pending_join": oracle(*_ABR, body="SELECT a.application_id, user_id, company, recruiter_id, name FROM applications a JOIN bridge b USING (application_id) JOIN recruiters r USING (recruiter_id) WHERE a.status = 'active' AND r.status = 'active'"),
     "q_shortage_rows": oracle(*_ABR, body=_ACTIVE + " SELECT company, min(application_id) AS first_application, count(*) AS n_applications FROM na WHERE n_active < 3 GROUP BY 1"),
     "q_shortage_group": oracle(*_ABR, body=_ACTIVE + " SELECT application_id, company, n_active, (4 - n_active)::BIGINT AS shortage, applied_on FROM na WHERE n_active < 4"),

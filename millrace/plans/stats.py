@@ -14,6 +14,11 @@ def _recruiters(s, d):
     return o.select(F.when(F.col("o_orderstatus") == "F", "active").otherwise("gone").alias("status"), F.col("o_orderdate").cast("date").alias("created_at"), (F.col("o_custkey") % 70).alias("company"))
 
 
+def _verified(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.when(F.col("o_orderstatus") == "P", "inactive").otherwise("active").alias("status"), F.col("o_orderdate").cast("date").alias("verified_at"))
+
+
 def _catalogue(s, d):
     p, n = s.read.parquet(f"{d}/part.parquet"), F.col("p_partkey")
     return p.select(n.alias("place"), F.col("p_name").alias("company"), F.concat(F.lit("p"), (n % 4).cast("string")).alias("platform"), F.concat(F.lit("s"), n.cast("string")).alias("slug"), (n % 5 != 0).alias("active"), (n % 3 == 0).alias("enriched"), F.when(n % 2 == 0, "detection").otherwise("crawl").alias("source"))
@@ -58,6 +63,7 @@ def _details(s, d):
 
 QUERIES = {
     "q_find_stats": lambda s, d: A.found(_recruiters(s, d), "1996-01-01"),
+    "q_verify_stats": lambda s, d: A.verified(_verified(s, d), "1996-01-01"),
     "q_enrichment": lambda s, d: A.enrichment(_catalogue(s, d)),
     "q_slug_stats": lambda s, d: A.slug_stats(_catalogue(s, d)),
     "q_cache_stats": lambda s, d: A.cache_stats(_catalogue(s, d)),
@@ -82,6 +88,7 @@ _LIMITS = "[" + ", ".join(str(v) for v in A.SILENT.values()) + "]"
 
 ORACLE_SQL = {
     "q_find_stats": "SELECT count(*) AS total_found, count(DISTINCT o_custkey % 70) AS companies_found FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '1996-01-01'",
+    "q_verify_stats": "SELECT count(*) AS verified, count_if(o_orderstatus = 'P')::BIGINT AS inactive FROM orders WHERE o_orderdate >= DATE '1996-01-01'",
     "q_enrichment": f"SELECT count(*) AS total, count_if(enriched)::BIGINT AS enriched, count_if(NOT enriched)::BIGINT AS pending, round(100.0::DOUBLE * count_if(enriched) / count(*), 1) AS pct FROM {_CAT} WHERE active",
     "q_slug_stats": f"SELECT platform, count(*) AS total, count_if(enriched)::BIGINT AS enriched, count_if(NOT active)::BIGINT AS inactive, count_if(source = 'detection')::BIGINT AS detected FROM {_CAT} GROUP BY 1",
     "q_cache_stats": f"SELECT source, count(*) AS n, round(100.0::DOUBLE * count_if(enriched) / count(*), 1) AS enriched_pct, round(100.0::DOUBLE * sum(count_if(enriched)) OVER () / sum(count(*)) OVER (), 1) AS all_enriched_pct FROM {_CAT} WHERE active GROUP BY 1",

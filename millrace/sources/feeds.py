@@ -16,7 +16,7 @@ from .adapters import COLUMNS, adapt
 from .infer import format_of
 
 #: Words before the values of labelled fields, fixed values, the longer first.
-LABELS = ("Internal Posting Location", "Employment Type", "Expected Travel", "Country/Area", "country/area", "state/province", "State/Province", "Career Status", "Work Area", "Country", "Region")
+LABELS = ("Internal Posting Location", "Additional Locations", "Employment Type", "Expected Travel", "Country/Area", "country/area", "state/province", "State/Province", "Career Status", "Job Category", "Work Area", "Country", "Region", "City", "city")
 
 
 def _tag(item: Column, *names: str) -> Column:
