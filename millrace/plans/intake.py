@@ -84,8 +84,11 @@ _ADDRESS = r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+') AS
  SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'https://x.org/a b' WHEN 1 THEN origin || '/jobs/5' WHEN 2 THEN origin || dir || 'x/y?z=1' WHEN 3 THEN origin || CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]*/$', '') END || 'up' WHEN 4 THEN origin || path || '?q=1'
  WHEN 5 THEN origin || path || query || '#f' WHEN 6 THEN scheme || '://h.org/p' WHEN 7 THEN '' WHEN 8 THEN origin || dir ELSE 'mailto:a@b' END AS address FROM q"""
 
-_COMPOUND = ("capitalOne", "Capital_One", "jpmc", "a-b.c_D", "XMLFeed9", "")
-_PARTS = ("capital|capitalone|one", "capital|capital_one|one", "jpmc", "a|a-b|a-b.c|a-b.c_d|b|b.c_d|c|c_d|d", "feed9|xml|xmlfeed9", "")
+def _compound(s, d):
+    """Parts by compound names of their type, the words of their name as humps, and the number of their brand."""
+    name = F.concat(F.lower("p_type"), F.lit("_"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("-"), F.substring_index("p_brand", "#", -1))
+    said = F.when(F.length("p_name") % 2 == 0, F.to_json(F.struct(F.col("p_name").alias("slug"), F.lit("WD5").alias("wd"), F.lit(3).alias("n")))).otherwise(F.upper("p_name"))
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(T.compound_parts(name), "|").alias("parts"), T.slug_text(said).alias("said"))
 
 
 
@@ -152,6 +155,21 @@ def _formats(s, d):
     return pages.select("page_id", infer.detail_format(body).alias("format"))
 
 
+def _structures(s, d):
+    """Pages as postings of their own: a member of data, of a script's state, linked data, nothing, or as they are."""
+    n = F.col("page_id") % 5
+    told = [F.col("url").alias("summary"), F.substring("html", 16, 60 + F.col("page_id") % 40).alias("blob"), F.regexp_extract("url", "://([^/]+)", 1).alias("name"), F.array("page_id").alias("office"), F.struct("page_id").alias("pay")]
+    script = lambda head, value: F.concat("html", F.lit(f"<script {head}>"), F.to_json(value), F.lit("</script>"))
+    body = (
+        F.when(n == 0, F.to_json(F.struct(F.struct(F.struct(*told).alias("job"), F.lit(1).alias("status")).alias("data"))))
+        .when(n == 1, script('id="__NEXT_DATA__" type="application/json"', F.struct(F.struct(F.struct(*told).alias("job"), F.array(F.struct(*told), F.struct(*told)).alias("more")).alias("props"))))
+        .when(n == 2, script('type="application/ld+json"', F.struct(F.lit("JobPosting").alias("@type"), *told)))
+        .when(n == 3, F.col("url")).otherwise(F.col("html"))
+    )
+    rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", infer.detail_structure(body).alias("s"))
+    return rows.select("page_id", "s.format", "s.path", F.array_join(F.array_sort(F.transform(F.map_entries("s.fields"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|").alias("fields"))
+
+
 def _listed(s, d):
     """Each document as a posting of every source: written as that source answers, fifty to a response, and read back."""
     docs = role(s, d, "postings").select("company", F.col("job_id").cast("string").alias("id"), F.concat(F.lit("Job "), F.col("job_id").cast("string")).alias("title"), F.concat(F.lit("https://x.org/j/"), F.col("job_id").cast("string")).alias("url"), F.concat(F.lit("City "), (F.col("job_id") % 9).cast("string")).alias("place"), F.floor(F.col("job_id") / 50).alias("page"))
@@ -315,7 +333,8 @@ QUERIES = {
     "q_hiring_title": lambda s, d: role(s, d, "postings").select("job_id", D.hiring_title(F.col("text"), ("ation", "ungen"), ("str", "ll")).alias("kind"), D.excluded_title(F.col("text"), ("qu", "sch")).alias("excluded")),
     "q_absolute_url": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.absolute_url(_dealt(_LINKS, F.col("page_id")), F.col("url")).alias("address")),
     "q_company_slugs": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(T.company_slugs(F.concat("p_name", F.lit(" Holdings, Inc."))), "|").alias("slugs"), F.array_join(T.company_keywords(F.concat("p_name", F.lit(" Holdings, Inc."))), "|").alias("words")),
-    "q_compound_parts": lambda s, d: role(s, d, "postings").select("job_id", F.array_join(T.compound_parts(_dealt(_COMPOUND, F.col("job_id"))), "|").alias("parts"), T.slug_text(F.when(F.col("job_id") % 2 == 0, F.to_json(F.struct(F.col("company").alias("slug"), F.lit("WD5").alias("wd"), F.lit(3).alias("n")))).otherwise(F.upper("company"))).alias("said")),
+    "q_compound_parts": _compound,
+    "q_detail_structure": _structures,
     "q_cache_key": lambda s, d: role(s, d, "postings").select("job_id", T.cache_key(F.col("company"), F.col("title"), F.col("text")).alias("key")),
     "q_portal_slug": _portals,
     "q_value_role": _values,
@@ -370,7 +389,10 @@ ORACLE_SQL = {
     "q_hiring_title": oracle("postings", body="SELECT job_id, CASE WHEN regexp_matches(lower(text), 'ation|ungen') THEN 'auto' WHEN regexp_matches(lower(text), 'str|ll') THEN 'manual_review' END AS kind, regexp_matches(lower(text), 'qu|sch') AS excluded FROM postings"),
     "q_absolute_url": _ADDRESS,
     "q_company_slugs": "WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part) SELECT p_partkey, array_to_string(list_filter([a, CASE WHEN b <> a THEN b END, CASE WHEN c NOT IN (a, b) THEN c END, CASE WHEN e NOT IN (a, b, c) THEN e END], lambda x: x <> ''), '|') AS slugs, array_to_string(list_filter(w, lambda x: length(x) >= 3), '|') AS words FROM (SELECT p_partkey, w, array_to_string(w, '') AS a, array_to_string(w, '-') AS b, w[1] AS c, array_to_string(w[1:2], '') AS e FROM w)",
-    "q_compound_parts": oracle("postings", body=f"SELECT job_id, ({_sql_list(_PARTS)})[job_id % 6 + 1] AS parts, CASE WHEN job_id % 2 = 0 THEN lower(company) || ' wd5' ELSE lower(company) END AS said FROM postings"),
+    "q_compound_parts": """WITH n AS (SELECT p_partkey, p_name, lower(p_type) AS t, string_split(p_name, ' ') AS w, regexp_extract(p_brand, '[0-9]+$') AS b FROM part), c AS (SELECT *, array_to_string(w, '') AS j FROM n)
+ SELECT p_partkey, array_to_string(list_sort(list_distinct([t || '_' || j || '-' || b, t, j || '-' || b, t || '_' || j, b] || w)), '|') AS parts, p_name || CASE WHEN length(p_name) % 2 = 0 THEN ' wd5' ELSE '' END AS said FROM c""",
+    "q_detail_structure": """SELECT page_id, (['json', 'html_next', 'html_jsonld', NULL, 'html'])[page_id % 5 + 1] AS format, (['data.job', 'props.job'])[page_id % 5 + 1] AS path,
+ CASE WHEN page_id % 5 < 3 THEN 'description=' || CASE WHEN length(url) > 50 THEN 'summary' ELSE 'blob' END || '|location=office|salary_object=pay|title=name' WHEN page_id % 5 = 4 THEN '' END AS fields FROM pages""",
     "q_cache_key": oracle("postings", body="SELECT job_id, sha256(coalesce(company, '') || '-' || coalesce(title, '') || '-' || coalesce(text, '')) AS key FROM postings"),
     "q_portal_slug": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^./]+)', 1) AS x FROM pages) SELECT page_id, coalesce(CASE page_id % 12 WHEN 0 THEN 'greenhouse ' || x WHEN 1 THEN 'greenhouse ' || x WHEN 2 THEN 'lever ' || x WHEN 3 THEN 'lever ' || x WHEN 4 THEN 'smartrecruiters ' || x WHEN 5 THEN 'workday ' || upper(x) || '/wd5/Careers' WHEN 6 THEN 'icims ' || x WHEN 7 THEN 'taleo ' || upper(x) || '/ex' WHEN 8 THEN 'ashby ' || x WHEN 9 THEN 'successfactors ' || upper(x) WHEN 10 THEN 'greenhouse ' || x END, '') AS found FROM p""",
     "q_value_role": "SELECT page_id, name, role FROM (SELECT page_id, html FROM pages) CROSS JOIN (VALUES ('link', 'url'), ('apply-url', 'url_apply'), ('note', 'long_text'), ('x', 'id'), ('posted', 'date'), ('job_title', 'title'), ('city', NULL), ('site', 'location')) t(name, role)",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import places as G
 from ..operators import stats as A
 from .roles import AS_OF, as_text, oracle, role
 
@@ -41,24 +40,42 @@ def _snapshots(s, d, date):
     return rows.agg(F.count_if(F.col("class") != "ok").alias("depth"), F.max("ms").alias("oldest_s"))
 
 
-_SLUGS = ('{"slug":"a","wd":"wd1"}', "plain", '{"slug":"b","path":"jobs"}', None)
-_KINDS = ("workday", "oracle_hcm", "lever", "custom", "greenhouse")
+def _addressed(s, d):
+    """Pages with their address's host, its first folder (a language), and whether it is https."""
+    return s.read.parquet(f"{d}/pages.parquet").withColumns({"host": F.regexp_extract("url", "://([^/]+)", 1), "lang": F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1), "secure": F.startswith("url", F.lit("https"))})
 
 
 def _slug(s, d):
-    n = F.col("job_id")
-    return role(s, d, "postings").select("job_id", F.element_at(F.array(*map(F.lit, _KINDS)), (n % 5 + 1).cast("int")).alias("platform"), F.element_at(F.array(*map(F.lit, _SLUGS)), (n % 4 + 1).cast("int")).alias("slug"))
+    """Hosts as slugs: JSON with a path or a shard for https, plain or none for others; languages as platforms."""
+    queried = F.contains("url", F.lit("?"))
+    slug = F.when(F.col("secure"), F.when(queried, F.to_json(F.struct(F.col("host").alias("slug"), F.col("lang").alias("path")))).otherwise(F.to_json(F.struct(F.col("host").alias("slug"), F.concat(F.lit("wd"), F.length("host")).alias("wd"))))).when(~F.contains("url", F.lit("#")), F.col("host"))
+    platform = F.when(F.col("lang") == "en", "workday").when(F.col("lang") == "de", "oracle_hcm").when(F.col("lang") == "es", "lever").otherwise("custom")
+    return _addressed(s, d).select("page_id", platform.alias("platform"), slug.alias("slug"))
 
 
 _PLATFORMS = ("icims", "taleo", "workday", "sitemap", "custom", "lever")
 
 
 def _details(s, d):
-    n = F.col("job_id")
-    at = lambda k, m: F.when(n % m != 0, F.lit(k)).otherwise("")
-    job = F.create_map(F.lit("base_url"), at("b", 2), F.lit("contest_no"), at("c", 3), F.lit("external_path"), F.lit("e"), F.lit("slug"), F.lit("s"), F.lit("wd"), at("w", 5), F.lit("path"), F.lit("p"), F.lit("job_url"), at("u", 7), F.lit("feed_type"), F.when(n % 4 == 0, "xml").otherwise(""), F.lit("detail"), F.lit("d"), F.lit("description"), at("t", 2))
-    platform = F.element_at(F.array(*map(F.lit, _PLATFORMS)), (n % 6 + 1).cast("int"))
-    return role(s, d, "postings").select("job_id", A.fetch_detail(platform, n % 11 != 0, job).alias("fetch"))
+    """What each page's address tells of a posting."""
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    known = {
+        "base_url": F.when(F.col("secure"), F.col("host")).otherwise(""), "contest_no": part(r"[?&]page=(\d+)"), "external_path": part("://[^/]+(/[^?#]*)"), "slug": part(r"://([^./]+)"), "wd": part("#(.*)$"), "path": F.col("lang"),
+        "job_url": F.when(~F.endswith("url", F.lit(".html")), F.col("url")).otherwise(""), "feed_type": F.when(F.contains("url", F.lit("utm_source")), "xml").otherwise(""), "detail": F.col("host"), "description": F.when(F.length("html") > 3000, "d").otherwise(""),
+    }
+    job = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v)])
+    platform = F.element_at(F.array(*map(F.lit, _PLATFORMS)), (F.length("host") % 6 + 1).cast("int"))
+    return _addressed(s, d).select("page_id", A.fetch_detail(platform, F.length("html") % 11 != 0, job).alias("fetch"))
+
+
+#: Some countries by their three letters and their two.
+_CODES = (("and", "ad"), ("are", "ae"), ("che", "ch"), ("can", "ca"), ("per", "pe"), ("est", "ee"), ("tha", "th"), ("ind", "in"), ("ira", "ir"), ("les", ""), ("mar", "ma"), ("sen", "sn"), ("ven", "ve"))
+
+
+def _codes(s, d):
+    """How often each country's three letters are a word of a text."""
+    words = role(s, d, "postings").select(F.explode(F.split("text", " ")).alias("word"))
+    return words.select(A.alpha2(F.col("word"), [(a, b, "") for a, b in _CODES]).alias("code")).groupBy("code").agg(F.count("*").alias("words"))
 
 
 QUERIES = {
@@ -72,8 +89,8 @@ QUERIES = {
     "q_application_recruiters": lambda s, d: A.recruiters_of(role(s, d, "applications").where("company = 'BUILDING'"), role(s, d, "bridge"), role(s, d, "recruiters")).select("application_id", "recruiter_id", "name"),
     "q_first_match": lambda s, d: A.first_match(s.read.parquet(f"{d}/part.parquet").select(F.substring_index("p_name", " ", -2).alias("name")), _catalogue(s, d)),
     "q_plain_company": lambda s, d: role(s, d, "recruiters").select("recruiter_id", A.plain_company(F.concat(F.upper("name"), F.lit(",  Inc. - X"))).alias("plain"), A.email_fits(F.concat(F.lit("a@"), F.lower(F.replace("name", F.lit("#"), F.lit("."))), F.lit(".com")), F.when(F.col("recruiter_id") % 2 == 0, "supplier").otherwise("other")).alias("fits")),
-    "q_alpha2": lambda s, d: role(s, d, "postings").select("job_id", A.alpha2(F.element_at(F.array(*map(F.lit, ("USA", "can", "CZE", "XXX", "", None))), (F.col("job_id") % 6 + 1).cast("int")), G.countries(s)).alias("code")),
-    "q_slug_config": lambda s, d: _slug(s, d).select("job_id", *[F.element_at(A.slug_config(F.col("platform"), F.col("slug")), F.lit(k)).alias(k) for k in ("slug", "wd", "path", "site")]),
+    "q_alpha2": _codes,
+    "q_slug_config": lambda s, d: _slug(s, d).select("page_id", *[F.element_at(A.slug_config(F.col("platform"), F.col("slug")), F.lit(k)).alias(k) for k in ("slug", "wd", "path", "site")]),
     "q_fetch_detail": _details,
     "q_dead_workers": lambda s, d: A.dead_workers(_beats(s, d), "2024-01-30 20:00:00"),
     "q_dead_letter_depth": lambda s, d: A.dead_letter_depth(role(s, d, "requests").where("class <> 'ok'").select(F.col("platform").alias("queue"), F.col("ts").alias("died_at")), AS_OF),
@@ -97,10 +114,13 @@ ORACLE_SQL = {
     "q_application_recruiters": oracle("applications", "bridge", "recruiters", body="SELECT application_id, recruiter_id, name FROM applications JOIN bridge USING (application_id) JOIN recruiters r USING (recruiter_id) WHERE company = 'BUILDING' AND r.status = 'active'"),
     "q_first_match": f"SELECT name, arg_min(platform, place) AS platform, arg_min(slug, place) AS slug FROM (SELECT DISTINCT array_to_string(string_split(p_name, ' ')[-2:], ' ') AS name FROM part) n JOIN {_CAT} c ON active AND list_has_all(string_split(lower(company), ' '), string_split(lower(name), ' ')) GROUP BY 1",
     "q_plain_company": oracle("recruiters", body="SELECT recruiter_id, lower(name) || ' inc x' AS plain, recruiter_id % 2 = 0 AS fits FROM recruiters"),
-    "q_alpha2": oracle("postings", body="SELECT job_id, (['US', 'CA', 'CZ', '', '', ''])[job_id % 6 + 1] AS code FROM postings"),
-    "q_slug_config": oracle("postings", body=""", x AS (SELECT job_id, job_id % 5 AS p, job_id % 4 AS k FROM postings) SELECT job_id, CASE WHEN p IN (2, 4) THEN (['{"slug":"a","wd":"wd1"}', 'plain', '{"slug":"b","path":"jobs"}', ''])[k + 1] WHEN k = 0 THEN 'a' WHEN k = 2 THEN 'b' WHEN p = 3 THEN NULL WHEN k = 1 THEN 'plain' ELSE '' END AS slug,
- CASE WHEN p IN (2, 4) THEN NULL WHEN k = 0 THEN 'wd1' WHEN k IN (1, 3) AND p = 0 THEN 'wd5' END AS wd, CASE WHEN p IN (2, 4) THEN NULL WHEN k = 2 THEN 'jobs' WHEN p = 0 THEN 'careers' END AS path, CASE WHEN p = 1 AND k IN (1, 3) THEN '' END AS site FROM x"""),
-    "q_fetch_detail": oracle("postings", body="SELECT job_id, CASE WHEN job_id % 11 = 0 THEN false ELSE CASE job_id % 6 WHEN 0 THEN job_id % 2 <> 0 WHEN 1 THEN job_id % 3 <> 0 AND job_id % 2 <> 0 WHEN 2 THEN job_id % 5 <> 0 WHEN 3 THEN job_id % 7 <> 0 AND job_id % 4 <> 0 WHEN 4 THEN job_id % 2 = 0 ELSE job_id % 7 <> 0 END END AS fetch FROM postings"),
+    "q_alpha2": "WITH c(a, b) AS (VALUES ('and', 'AD'), ('are', 'AE'), ('che', 'CH'), ('can', 'CA'), ('per', 'PE'), ('est', 'EE'), ('tha', 'TH'), ('ind', 'IN'), ('ira', 'IR'), ('mar', 'MA'), ('sen', 'SN'), ('ven', 'VE'), ('usa', 'US')) SELECT coalesce(b, '') AS code, count(*) AS words FROM (SELECT lower(unnest(string_split(text, ' '))) AS w FROM documents) LEFT JOIN c ON a = w GROUP BY 1",
+    "q_slug_config": """WITH x AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS lang, url LIKE 'https%' AS secure, contains(url, '?') AS queried, contains(url, '#') AS marked FROM pages),
+ y AS (SELECT *, CASE WHEN secure AND queried THEN '{"slug":"' || host || '","path":"' || lang || '"}' WHEN secure THEN '{"slug":"' || host || '","wd":"wd' || length(host) || '"}' WHEN NOT marked THEN host ELSE '' END AS whole FROM x)
+ SELECT page_id, CASE WHEN lang = 'es' THEN whole WHEN secure THEN host WHEN lang IN ('en', 'de') THEN whole END AS slug, CASE WHEN lang = 'es' THEN NULL WHEN secure AND NOT queried THEN 'wd' || length(host) WHEN NOT secure AND lang = 'en' THEN 'wd5' END AS wd,
+ CASE WHEN lang = 'es' THEN NULL WHEN secure AND queried THEN lang WHEN lang = 'en' THEN 'careers' END AS path, CASE WHEN NOT secure AND lang = 'de' THEN '' END AS site FROM y""",
+    "q_fetch_detail": """SELECT page_id, CASE WHEN length(html) % 11 = 0 THEN false ELSE CASE length(regexp_extract(url, '://([^/]+)', 1)) % 6 WHEN 0 THEN url LIKE 'https%' WHEN 1 THEN url LIKE 'https%' AND regexp_matches(url, '[?&]page=[0-9]') WHEN 2 THEN regexp_matches(url, '#.') AND regexp_matches(url, '://[^/]+/[a-z]+/')
+ WHEN 3 THEN url NOT LIKE '%.html' AND NOT contains(url, 'utm_source') WHEN 4 THEN length(html) <= 3000 ELSE url NOT LIKE '%.html' END END AS fetch FROM pages""",
     "q_dead_workers": oracle("requests", body=f", l AS (SELECT user_id % {len(A.SILENT)} AS k, user_id, max(ts) AS last FROM requests GROUP BY 1, 2), c AS (SELECT k, count_if(floor(epoch(TIMESTAMP '2024-01-30 20:00:00')) - floor(epoch(last)) > ({_LIMITS})[k + 1])::BIGINT AS dead FROM l GROUP BY 1) SELECT ({_SILENT})[k + 1] AS kind, dead, CASE WHEN dead >= 5 THEN 'error' WHEN dead >= 3 THEN 'warning' ELSE 'ok' END AS level FROM c"),
     "q_dead_letter_depth": oracle("requests", body=", c AS (SELECT platform AS queue, count_if(ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)::BIGINT AS depth FROM requests WHERE class <> 'ok' GROUP BY 1) SELECT queue, depth, CASE WHEN depth > 50 THEN 'warning' ELSE 'ok' END AS level FROM c"),
     "q_heals": oracle("requests", body=""", a AS (SELECT platform AS kind, (epoch_us(ts) // 1000000)::BIGINT AS sec, row_number() OVER (PARTITION BY platform ORDER BY epoch_us(ts) // 1000000) AS rn FROM requests WHERE class = '5xx' GROUP BY platform, epoch_us(ts) // 1000000),

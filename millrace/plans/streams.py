@@ -161,7 +161,18 @@ def s_log_tail(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy(by("platform"), by("date")).agg(F.sum("line").alias("lines"), F.sum("error").alias("errors"), F.sum("near").alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (s_adaptive_state, s_error_window, s_dedup_day, s_poll_state, s_alert_sweep, s_reclaim, s_resumed_windows, s_counters, s_log_tail)}
+def s_recalibrated(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of scores with the interval by the thresholds of their day, which come from how many polls the day before had; the first day has the rules'."""
+    source, sink, state = _places(spark, "days")
+    polls = role(spark, d, "requests").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("ms") % 200 / 100).alias("score"))
+    low = (F.count("*") % 30 + 10) / 100
+    days = role(spark, d, "requests").groupBy(F.date_add("date", 1).alias("day")).agg(low.alias("low"), (low + 0.4).alias("moderate"), (low + 0.9).alias("active"))
+    days.write.parquet(f"{source}-days")
+    stream = _in_order(spark, polls.withColumn("third", F.floor(F.dayofmonth("ts") / 10)), "third", source)
+    return J.run_once(J.recalibrated(stream, spark.read.parquet(f"{source}-days")), sink, state).select("event_id", "score", "interval_s")
+
+
+QUERIES = {f.__name__: f for f in (s_recalibrated, s_adaptive_state, s_error_window, s_dedup_day, s_poll_state, s_alert_sweep, s_reclaim, s_resumed_windows, s_counters, s_log_tail)}
 
 #: One poll after another of all keys at once: r are the counts of the last five successes, i the interval, w the polls of warming that are left.
 _POLL_STATE = """RECURSIVE_HERE p AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, class = 'ok' AS ok, CASE WHEN event_id % 7 <> 0 THEN ms % 4 ELSE 0 END::DOUBLE AS jobs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM requests),
@@ -181,6 +192,8 @@ _ALERTS = """, f AS (SELECT class || ':' || user_id % 20 AS signature, epoch_us(
  SELECT signature, make_timestamp(since * 1000) AS moment, CASE WHEN episode = 1 THEN 'alert' ELSE 'realert' END AS kind, 1::BIGINT AS seen FROM a UNION ALL SELECT signature, make_timestamp((last + 21600000) * 1000), 'resolved', n FROM a"""
 
 ORACLE_SQL = {
+    "s_recalibrated": oracle("requests", body=""", c AS (SELECT date + 1 AS day, (count(*) % 30 + 10) / 100.0::DOUBLE AS low FROM requests GROUP BY 1), s AS (SELECT event_id, ms % 200 / 100.0::DOUBLE AS score, coalesce(low, 0.3) AS low, coalesce(low + 0.4::DOUBLE, 0.8) AS moderate, coalesce(low + 0.9::DOUBLE, 1.5) AS active FROM requests LEFT JOIN c ON date = day)
+ SELECT event_id, score, CASE WHEN score = 0 THEN 43200 WHEN score < low THEN 32400 WHEN score < moderate THEN 21600 WHEN score < active THEN 14400 ELSE 10800 END AS interval_s FROM s"""),
     "s_adaptive_state": ADAPTIVE_SQL["q_interval_fold"],
     "s_error_window": oracle("requests", body="SELECT platform, to_timestamp(b * 600)::TIMESTAMP AS until, count(*) AS requests, count_if(class <> 'ok')::BIGINT AS errors FROM (SELECT platform, class, unnest([epoch_us(ts) // 600000000 + 1, epoch_us(ts) // 600000000 + 2]) AS b FROM requests) GROUP BY 1, 2"),
     "s_dedup_day": oracle("requests", body="SELECT user_id, class, count(DISTINCT (day(ts) - 1) // 10) AS kept FROM requests GROUP BY 1, 2"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import dashboard as D
+from millrace.operators import places, stats
 from millrace.sources import infer
 
 NAMES = ("Acme Technologies Inc.", "Blue  Sky Solutions, LLC", "Q", "Delta-Wave Group", "Holdings", "Echo & Foxtrot Co.", "9 Lives Ltd")
@@ -50,3 +51,22 @@ def test_value_roles_and_formats(spark):
 def test_titles(spark, title, kind, excluded):
     assert each(spark, [title], "x string", D.hiring_title(F.col("x"))) == [kind] and each(spark, [title], "x string", D.excluded_title(F.col("x"))) == [excluded]
     assert each(spark, [title], "x string", D.hiring_title(F.col("x"), ("eng",), ())) == ["auto" if title == "Engineer" else None]
+
+
+def test_compound_names(spark):
+    names = ("capitalOne", "Capital_One", "jpmc", "a-b.c_D", "XMLFeed9", "")
+    parts = ("capital|capitalone|one", "capital|capital_one|one", "jpmc", "a|a-b|a-b.c|a-b.c_d|b|b.c_d|c|c_d|d", "feed9|xml|xmlfeed9", "")
+    assert ["|".join(x) for x in each(spark, names, "x string", T.compound_parts(F.col("x")))] == list(parts)
+
+
+def test_codes_of_all_countries(spark):
+    codes = {"USA": "US", "can": "CA", "CZE": "CZ", "XXX": "", "": "", None: ""}
+    assert each(spark, list(codes), "x string", stats.alpha2(F.col("x"), places.countries(spark))) == list(codes.values())
+
+
+@pytest.mark.parametrize(("platform", "slug", "want"), [
+    ("workday", '{"slug":"a","wd":"wd1"}', {"slug": "a", "wd": "wd1", "path": "careers"}), ("workday", "plain", {"slug": "plain", "wd": "wd5", "path": "careers"}), ("workday", '{"slug":"b","path":"jobs"}', {"slug": "b", "path": "jobs"}),
+    ("oracle_hcm", None, {"slug": "", "site": ""}), ("oracle_hcm", '{"slug":"a"}', {"slug": "a"}), ("lever", '{"slug":"a"}', {"slug": '{"slug":"a"}'}), ("lever", None, {"slug": ""}), ("custom", "plain", {}),
+])
+def test_slug_configs(spark, platform, slug, want):
+    assert each(spark, [(platform, slug)], "p string, x string", stats.slug_config(F.col("p"), F.col("x"))) == [want]
