@@ -33,9 +33,28 @@ def test_keyword_subset_of_all_parts(spark):
         for b, u in parts:
             if w and set(w) <= set(u) and (len(w) > 1 or len(u) == 1):
                 want.add((a, b))
-    got = [(r.left_id, r.right_id) for r in matching.QUERIES["q_keyword_subset"](spark, SF).collect()]
+    # pairs of names and the rows behind them are the pairs of rows, and each row's links are counted
+    lefts, rights = {}, {}
+    for a, v in parts:
+        lefts.setdefault(" ".join(v[:2]), []).append(a)
+        rights.setdefault(" ".join(v), []).append(a)
+    pairs = [(r.left_name, r.right_name) for r in matching.QUERIES["q_keyword_classes"](spark, SF).collect()]
+    got = [(a, b) for x, y in pairs for a in lefts[x] for b in rights[y]]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(a % 10 and b % 7 and a != b for a, b in got)
+    rows = {(r.side, r.id): (r.class_id, r.links) for r in matching.QUERIES["q_keyword_subset"](spark, SF).collect()}
+    assert rows == {(side, a): (min(ids), sum(p[k] == a for p in want)) for k, side, names in ((0, "left", lefts), (1, "right", rights)) for ids in names.values() for a in ids}
+
+
+def test_keyword_subset_of_copies_is_a_row_each(spark):
+    """Names that many rows share, no name, and words that no other name has: as many rows out as in, whatever they link."""
+    names = ["red bolt"] * 3000 + ["bolt", "Red bolt nut", "zinc", " ", None, None]
+    side = lambda key: spark.createDataFrame(list(enumerate(names)), f"{key} long, name string")
+    got = {(r.side, r.id): (r.class_id, r.links) for r in resolve.keyword_subset(side("left_id"), side("right_id")).collect()}
+    assert len(got) == 2 * len(names)
+    assert {got["left", k] for k in range(3000)} == {(0, 3000)} == {got["right", k] for k in range(3000)}
+    assert [got["left", k] for k in range(3000, 3006)] == [(3000, 1), (3001, 1), (3002, 1), (3003, 0), (3004, 0), (3004, 0)]
+    assert [got["right", k] for k in range(3000, 3006)] == [(3000, 1), (3001, 1), (3002, 1), (3003, 0), (3004, 0), (3004, 0)]
 
 
 def _companies(seed, n):
