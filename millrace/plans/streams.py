@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,9 @@ def _places(spark: SparkSession, name: str) -> tuple[str, str, str]:
 
 
 def _stream(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
-    """rows, written once, as a stream of their files."""
+    """rows, written once, as a stream of one batch, as files have no order that a watermark could follow."""
     rows.write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
 
 
 def s_adaptive_state(spark: SparkSession, d: str) -> DataFrame:

@@ -44,18 +44,9 @@ def liveness(beats: DataFrame, gap: str = "24 hours") -> DataFrame:
 
 
 def _step(recent: list[float], interval: int, jobs: float, low: float, moderate: float, active: float) -> tuple[list[float], int, float | None]:
-    """One poll: the same rule as operators.adaptive folds, in plain numbers."""
-    recent = [*recent, float(min(jobs, A.MOST_JOBS))][-len(A.WEIGHTS) :]
-    score = None
-    if len(recent) >= A.LEAST_POLLS:
-        weights = A.WEIGHTS[-len(recent) :]
-        score = sum(c * w for c, w in zip(recent, weights, strict=True)) / sum(weights)
-    if not score:
-        band = A.DEFAULT
-    else:
-        band = A.LOW if score < low else A.MODERATE if score < moderate else A.ACTIVE if score < active else A.SHORTEST
-    new = band if band < interval else int(A.SMOOTHING * band + (1 - A.SMOOTHING) * interval)
-    return recent, min(new, A.MODERATE if score and score >= moderate else A.DEFAULT), score
+    """One poll: the rule of operators.adaptive folds itself, scores rounded before they are compared with bands."""
+    (kept, interval, _, score), _ = A._polled((tuple(recent), interval, 0, None), jobs, low, moderate, active)
+    return list(kept), interval, score
 
 
 def adaptive_state(polls: DataFrame, low: float = 0.3, moderate: float = 0.8, active: float = 1.5) -> DataFrame:
@@ -71,7 +62,7 @@ def adaptive_state(polls: DataFrame, low: float = 0.3, moderate: float = 0.8, ac
             recent, interval, score = _step(recent, interval, jobs, low, moderate, active)
             n += 1
         state.update((recent, interval, n))
-        yield pd.DataFrame({"user_id": [key[0]], "n_polls": [n], "score": [None if score is None else round(score, 6)], "interval_s": [interval]})
+        yield pd.DataFrame({"user_id": [key[0]], "n_polls": [n], "score": [score], "interval_s": [interval]})
 
     return polls.groupBy("user_id").applyInPandasWithState(update, "user_id long, n_polls long, score double, interval_s long", "recent array<double>, interval long, n long", "update", GroupStateTimeout.NoTimeout)
 
