@@ -108,6 +108,14 @@ def _records(s, d):
     return infer.records(_bodies(s, d), keep=("company", "page"))
 
 
+def _url_ids(s, d):
+    """Ids in addresses: the records are found once and kept in the shared store, as three steps read them."""
+    path = f"{shared_dir(s)}/records-{uuid.uuid4().hex}"
+    _records(s, d).write.parquet(path)
+    found = s.read.parquet(path)
+    return infer.ids_in_urls(found, infer.field_roles(found)).where("role = 'id'").select("company", "field", "votes")
+
+
 def _nested(leaves: dict[str, Column]) -> Column:
     """A struct with leaves at paths such as a.b or a[0].b, arrays with as many items as their numbers ask for."""
     groups: dict[str, dict[str, Column]] = {}
@@ -341,7 +349,7 @@ QUERIES = {
     "q_detail_format": _formats,
     "q_records": lambda s, d: _records(s, d).select("company", "page", "path", F.get_json_object("record", "$.id").cast("bigint").alias("id"), F.get_json_object("record", "$.job_title").alias("title")),
     "q_field_roles": lambda s, d: infer.field_roles(_records(s, d)).select("company", "role", "field", "votes"),
-    "q_ids_in_urls": lambda s, d: infer.ids_in_urls(_records(s, d), infer.field_roles(_records(s, d))).where("role = 'id'").select("company", "field", "votes"),
+    "q_ids_in_urls": _url_ids,
     "q_record_prints": lambda s, d: infer.record_prints(_records(s, d)).select("company", "page", F.size("prints").cast("bigint").alias("n"), F.array_min("prints").alias("first")),
     "q_pagination": _pagination,
     "q_deep_find": _deep,
