@@ -58,11 +58,10 @@ def s_dedup_day(spark: SparkSession, d: str) -> DataFrame:
     passes and its others don't. A batch forgets what was behind the watermark before it, so two ticks are
     between the days.
     """
-    source, sink, state = _places(spark, "dedup")
     rows = role(spark, d, "requests").select("user_id", "class", F.floor((F.dayofmonth("ts") - 1) / 10).alias("n"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("second"))
     given = rows.select(F.timestamp_seconds(F.col("n") * 100 * 86400 + F.col("second")).alias("ts"), "user_id", "class", (F.col("n") * 3).alias("batch"))
     ticks = rows.select("n").distinct().select(F.timestamp_seconds((F.col("n") * 100 + 50) * 86400).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("tick").alias("class"), F.explode(F.array(F.col("n") * 3 + 1, F.col("n") * 3 + 2)).alias("batch"))
-    out = J.run_once(J.dedup_day(_in_order(spark, given.unionByName(ticks), "batch", source), "user_id", "class"), sink, state)
+    out = _in_turns(spark, given.unionByName(ticks), "batch", _places(spark, "dedup"), lambda turn: J.dedup_day(turn, "user_id", "class"))
     return out.where("user_id >= 0").groupBy("user_id", "class").agg(F.count("*").alias("kept"))
 
 
@@ -73,18 +72,34 @@ def _polls(spark: SparkSession, d: str) -> DataFrame:
 
 def s_poll_state(spark: SparkSession, d: str) -> DataFrame:
     """Every poll's state, and where polls were overdue, from the timed stateful stream in several batches of time."""
-    source, sink, state = _places(spark, "polls")
     polls = _polls(spark, d)
     closing = _closing(spark, "-1L AS user_id, -1L AS poll, true AS ok, 0 AS new_jobs").select(polls.columns)
-    # a file a stretch of time, so that batches come in order and timers run between them
+    # a turn a stretch of time, so that timers run between them
     rows = polls.withColumn("week", F.floor(F.dayofmonth("ts") / 10)).unionByName(closing.withColumn("week", F.lit(9).cast("bigint")))
-    stream = _in_order(spark, rows, "week", source)
-    out = J.run_once(S.poll_states(stream), sink, state).where("user_id >= 0")
+    out = _in_turns(spark, rows, "week", _places(spark, "polls"), S.poll_states).where("user_id >= 0")
     return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("moment"), "kind", "n_polls", "score", "interval_s", "warming", "errors")
 
 
-def _in_order(spark: SparkSession, rows: DataFrame, by: str, folder: str) -> DataFrame:
-    """rows as a stream of one file for each value of `by`, a file a batch, in order of the values."""
+def _in_turns(spark: SparkSession, rows: DataFrame, by: str, places: tuple[str, str, str], made: Callable[[DataFrame], DataFrame], stop: bool = False) -> DataFrame:
+    """What the stream that `made` makes of rows gives, fed those of one value of `by` after another; stop: but for its first batch it is stopped once in each turn.
+
+    Each turn is drained before the next one's files are there and goes on from the state that it left, so the order
+    doesn't depend on the files' times, which stores cut to seconds and machines set by clocks of their own; and a turn may be many files.
+    """
+    source, sink, state = places
+    out, columns = None, rows.drop(by)
+    for r in rows.select(by).distinct().orderBy(by).collect():
+        rows.where(F.col(by) == r[0]).drop(by).write.mode("append").parquet(source)
+        stream = lambda: made(spark.readStream.schema(columns.schema).parquet(source))
+        if stop:
+            J.run_once(stream(), sink, state, batches=1)
+        out = J.run_once(stream(), sink, state)
+    # without rows there is no turn, and nothing to give but the columns
+    return made(columns).limit(0) if out is None else out
+
+
+def _in_files(spark: SparkSession, rows: DataFrame, by: str, folder: str) -> DataFrame:
+    """rows as a stream of one file for each value of `by`, a file a batch, for results that don't depend on the batches' order."""
     for r in rows.select(by).distinct().orderBy(by).collect():
         rows.where(F.col(by) == r[0]).drop(by).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.drop(by).schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -92,10 +107,9 @@ def _in_order(spark: SparkSession, rows: DataFrame, by: str, folder: str) -> Dat
 
 def s_alert_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Alerts, resolutions and returns of each user's errors of a class."""
-    source, sink, state = _places(spark, "alerts")
     found = role(spark, d, "requests").where("class <> 'ok'").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", "class", (F.col("user_id") % 20).cast("string")).alias("signature"))
     rows = found.withColumn("week", F.floor(F.dayofmonth("ts") / 10)).unionByName(_closing(spark, "'closing' AS signature, 9L AS week"))
-    out = J.run_once(S.alert_sweep(_in_order(spark, rows, "week", source), quiet=6 * 3600), sink, state).where("signature <> 'closing'")
+    out = _in_turns(spark, rows, "week", _places(spark, "alerts"), lambda turn: S.alert_sweep(turn, quiet=6 * 3600)).where("signature <> 'closing'")
     return out.select("signature", F.col("at").cast("timestamp_ntz").alias("moment"), "kind", "seen")
 
 
@@ -115,14 +129,10 @@ def s_reclaim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s_resumed_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Error windows of a stream that was stopped in its second batch and went on from its checkpoint."""
-    source, sink, state = _places(spark, "resumed")
+    """Error windows of a stream that is stopped before its batches have been committed and goes on from its checkpoint."""
     rows = role(spark, d, "requests").select(F.col("ts").cast("timestamp").alias("ts"), "platform", "class")
     rows = rows.withColumn("week", F.floor(F.dayofmonth("ts") / 7)).unionByName(_closing(spark, "'closing' AS platform, 'ok' AS class, 9L AS week"))
-    stream = lambda: J.error_windows(spark.readStream.schema(rows.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(source))
-    _in_order(spark, rows, "week", source)
-    J.run_once(stream(), sink, state, batches=1)
-    out = J.run_once(stream(), sink, state)
+    out = _in_turns(spark, rows, "week", _places(spark, "resumed"), J.error_windows, stop=True)
     return out.where("platform <> 'closing'").select("platform", F.col("until").cast("timestamp_ntz").alias("until"), "requests", "errors")
 
 
@@ -130,7 +140,7 @@ def s_counters(spark: SparkSession, d: str) -> DataFrame:
     """Counters of platforms and days, added up over the batches of a stream, snapshots among them."""
     source, sink, state = _places(spark, "counters")
     rows = role(spark, d, "requests").select("platform", F.col("date").cast("string").alias("date"), F.lit(1).cast("bigint").alias("requests"), (F.col("class") != "ok").cast("bigint").alias("errors"), "ms")
-    stream = _in_order(spark, rows.withColumn("part", F.substring("date", 9, 1)), "part", source)
+    stream = _in_files(spark, rows.withColumn("part", F.substring("date", 9, 1)), "part", source)
     keys, sums = ["platform", "date"], ["requests", "errors", "ms"]
     query = stream.writeStream.foreachBatch(J.add_into(sink, keys, sums, every=2)).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -169,7 +179,7 @@ def s_recalibrated(spark: SparkSession, d: str) -> DataFrame:
     low = (F.count("*") % 30 + 10) / 100
     days = role(spark, d, "requests").groupBy(F.date_add("date", 1).alias("day")).agg(low.alias("low"), (low + 0.4).alias("moderate"), (low + 0.9).alias("active"))
     days.write.parquet(f"{source}-days")
-    stream = _in_order(spark, polls.withColumn("third", F.floor(F.dayofmonth("ts") / 10)), "third", source)
+    stream = _in_files(spark, polls.withColumn("third", F.floor(F.dayofmonth("ts") / 10)), "third", source)
     return J.run_once(J.recalibrated(stream, spark.read.parquet(f"{source}-days")), sink, state).select("event_id", "score", "interval_s")
 
 

@@ -1,11 +1,13 @@
 """Stateful streams in many batches, stopped and run again, against folds in plain Python."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans import streams
 from millrace.streaming import jobs as J
 from millrace.streaming import state as S
 
@@ -141,3 +143,21 @@ def test_sums_count_a_batch_once(spark, tmp_path):
     (tmp_path / "sums" / "snapshot=5" / "_SUCCESS").unlink()
     assert {r.k: (r.n, r.m) for r in J.total(spark, path, schema, keys, sums).collect()} == want
     assert J._numbers(spark, f"{path}/snapshot") == [1, 3]
+
+
+def test_the_order_of_turns_is_not_that_of_file_times(spark, tmp_path, monkeypatch):
+    """Files whose times run backwards, as clocks of several machines may: each stretch of days lets each key through once."""
+    rows = [(n, datetime(2024, 1, day, 5, n % 60), n % 3, "view", 1.0, "{}") for n, day in enumerate((1, 1, 5, 12, 12, 13, 25, 26, 27, 31, 31, 31))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    drain, seen = J.run_once, {}
+
+    def backwards(stream, *args, **more):
+        for f in sorted((tmp_path / "in").glob("*.parquet"), key=os.path.getmtime):
+            seen.setdefault(f.name, 1_700_000_000 - len(seen))
+            os.utime(f, (seen[f.name], seen[f.name]))
+        return drain(stream, *args, **more)
+
+    monkeypatch.setattr(streams, "_places", lambda s, name: tuple(str(tmp_path / x) for x in ("in", "out", "state")))
+    monkeypatch.setattr(J, "run_once", backwards)
+    got = streams.QUERIES["s_dedup_day"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(k, "ok", 4) for k in range(3)]
