@@ -97,3 +97,13 @@ def test_rare_words_find_a_short_name_in_a_long_one(spark):
     pairs = {(r.left_id, r.right_id) for r in resolve.likely_pairs(a, b, 80.0).collect()}
     assert pairs == {(1, 1), (2, 1), (2, 2), (2, 3)}
     assert [(r.right_id, r.score) for r in resolve.candidates(a.where("left_id = 1"), b, 80.0).collect()] == [(1, 100.0)]
+
+
+def test_rows_of_other_blocks_are_left_alone(spark):
+    """Of the right rows only those in a block of the left ones have their words looked at, once, and kept."""
+    left = spark.createDataFrame([(1, "red bolt", "red"), (2, "no block", None)], "left_id long, name string, block string")
+    right = spark.createDataFrame([(1, "red bolt", "red"), (2, "blue bolt", "blue"), (3, "red nut", "red"), (4, "no block", None)], "right_id long, name string, block string")
+    a, b = resolve._sides(left, right)
+    assert {r.left_id for r in a.collect()} == {1} and {r.right_id for r in b.collect()} == {1, 3}
+    assert b.inputFiles()
+    assert [(r.left_id, r.right_id, r.score) for r in resolve.candidates(left, right, 95.0, 1).collect()] == [(1, 1, 100.0)]
