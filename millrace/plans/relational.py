@@ -12,12 +12,9 @@ from ..operators import funnel as N
 from .roles import AS_OF, AS_OF_ORDERS, as_text, oracle, role
 
 
-def _r(s, d, *names):
-    return [role(s, d, n) for n in names]
-
-
 def _abr(s, d):
-    return _r(s, d, "applications", "bridge", "recruiters")
+    """The bridge, by far the largest of the three, is dealt to tasks by its applications."""
+    return [role(s, d, "applications"), role(s, d, "bridge", lineitem="l_orderkey"), role(s, d, "recruiters")]
 
 
 def _companies(s, d):

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_ORDERS = "2001-12-01"
+#: Rows of a table that one task holds, where the table is dealt to tasks by a column.
+TASK_ROWS = 500_000
 
 #: Each is one SELECT that Spark and DuckDB both run.
 SQL = {
@@ -44,10 +46,16 @@ SQL = {
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The role over the tables of sf_dir; only columns that are used are read."""
+def role(spark: SparkSession, sf_dir: str, name: str, **dealt: str) -> DataFrame:
+    """The role over the tables of sf_dir; only columns that are used are read.
+
+    dealt: of a table a column by which its rows go to tasks before all other steps, as many tasks as it has TASK_ROWS, so that what
+    one holds doesn't grow with the table; steps by that column need no other exchange.
+    """
     text = SQL[name]
     args = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in text.replace("\n", " ")}
+    for t, key in dealt.items():
+        args[t] = args[t].repartition(max(-(-args[t].count() // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
     for t in sorted(args, key=len, reverse=True):
         for word in ("FROM", "JOIN"):
             text = text.replace(f"{word} {t}", f"{word} {{{t}}}")

@@ -57,3 +57,14 @@ def test_imports_without_training_data_operators():
         "assert len(names) > 80 and not any(n.startswith(('op', 'pipeline')) for n in names), names\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_a_large_table_is_dealt_to_more_tasks(spark, monkeypatch):
+    """The bridge's steps hold no more rows a task however large it is, and no exchange comes after the first."""
+    from millrace.plans import relational, roles
+
+    monkeypatch.setattr(roles, "TASK_ROWS", 500)
+    bridge = relational._abr(spark, SF)[1]
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert bridge.rdd.getNumPartitions() == -(-rows // 500) > 8
+    assert len(relational.QUERIES["q_sendable"](spark, SF).collect()) > 0
