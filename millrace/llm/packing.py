@@ -76,42 +76,39 @@ def tokenise(texts: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY
     return materialize(made.select(F.monotonically_increasing_id().alias("uid"), "*"), "pieces", wide=True)
 
 
-class _Rooms:
-    """Bins by the room left in them; the least sufficient room is the lowest set bit."""
-
-    def __init__(self, capacity: int) -> None:
-        self.by_room: list[list[Bin]] = [[] for _ in range(capacity + 1)]
-        self.mask, self.capacity = 0, capacity
-
-    def add(self, room: int, members: list[int]) -> None:
-        self.by_room[room].append((room, members))
-        self.mask |= 1 << room
+def best_fit(order: Sequence[int], length: Sequence[int], capacity: int, keep: Sequence[Bin] = ()) -> list[Bin]:
+    """Bins as (room, pieces) after putting pieces, in the order given, beside bins that are kept: each into the fullest bin that has room, or a new one.
 
-    def put(self, item: int, length: int) -> None:
-        """Best fit: into the fullest bin that has room, or a new one."""
-        fit = self.mask >> length
+    Bins lie by the room left in them, and the least sufficient room is the lowest set bit of a mask. One that is kept may be
+    another packing's too, so it isn't changed in place; those that are made here are bare lists until the end.
+    """
+    by_room: list[list] = [[] for _ in range(capacity + 1)]
+    bit = [1 << k for k in range(capacity + 1)]
+    mask = 0
+    for kept in keep:
+        by_room[kept[0]].append(kept)
+        mask |= bit[kept[0]]
+    for item in order:
+        n = length[item]
+        fit = mask >> n
         if fit:
-            room = length + (fit & -fit).bit_length() - 1
-            _, members = self.by_room[room].pop()
-            if not self.by_room[room]:
-                self.mask &= ~(1 << room)
+            room = n + (fit & -fit).bit_length() - 1
+            row = by_room[room]
+            found = row.pop()
+            if not row:
+                mask ^= bit[room]
+            if type(found) is list:
+                found.append(item)
+            else:
+                found = [*found[1], item]
+            room -= n
         else:
-            room, members = self.capacity, []
-        # a bin may be another packing's too, so it isn't changed in place
-        self.add(room - length, [*members, item])
-
-    def bins(self) -> list[Bin]:
-        return [b for row in self.by_room for b in row]
-
-
-def best_fit(order: Sequence[int], length: Sequence[int], capacity: int, keep: Sequence[Bin] = ()) -> list[Bin]:
-    """Bins as (room, pieces) after putting pieces, in the order given, beside bins that are kept."""
-    rooms = _Rooms(capacity)
-    for room, members in keep:
-        rooms.add(room, members)
-    for item in order:
-        rooms.put(item, length[item])
-    return rooms.bins()
+            found, room = [item], capacity - n
+        row = by_room[room]
+        if not row:
+            mask |= bit[room]
+        row.append(found)
+    return [(room, b) if type(b) is list else b for room, row in enumerate(by_room) for b in row]
 
 
 def cross(one: list[Bin], other: list[Bin], length: Sequence[int], capacity: int, rng: random.Random) -> list[Bin]:
@@ -132,13 +129,13 @@ def cross(one: list[Bin], other: list[Bin], length: Sequence[int], capacity: int
         else:
             displaced += bin_[1]
     displaced = [i for i in displaced if i not in taken]
-    displaced.sort(key=lambda i: -length[i])
+    displaced.sort(key=length.__getitem__, reverse=True)
     return best_fit(displaced, length, capacity, [*injected, *kept])
 
 
 def fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    room = np.fromiter((room for room, _ in bins), dtype=np.float64, count=len(bins))
+    room = np.array([b[0] for b in bins], dtype=np.float64)
     return -len(bins), float(((1 - room / capacity) ** 2).sum()) / max(1, len(bins))
 
 

@@ -149,3 +149,21 @@ def test_long_runs_of_white_space(spark):
     for k, text in rows:
         own = sorted((r for r in got if r.doc_id == k), key=lambda r: r.piece)
         assert np.concatenate([np.frombuffer(r.ids, dtype="<u4") for r in own]).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_best_fit_leaves_kept_bins_as_they_are():
+    """Beside kept bins, each piece in the fullest bin with room, against a plain search; the kept ones, which other packings hold too, don't change."""
+    rng = random.Random(11)
+    length = [rng.randint(1, 60) for _ in range(300)]
+    kept = packing.best_fit(range(100), length, 100)
+    before = [(room, list(members)) for room, members in kept]
+    got = packing.best_fit(range(100, 300), length, 100, kept)
+    assert kept == before
+    rooms = sorted(room for room, _ in kept)
+    for n in length[100:]:
+        fit = [r for r in rooms if r >= n]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else 100) - n)
+    assert sorted(r for r, _ in got) == sorted(rooms)
+    assert sorted(i for _, m in got for i in m) == list(range(300)) and all(r == 100 - sum(length[i] for i in m) for r, m in got)
