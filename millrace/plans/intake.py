@@ -266,7 +266,8 @@ def _loaded(s, d):
 def _from_workbooks(s, d):
     """Filings written as workbooks and read back, several tasks a sheet."""
     path = f"{shared_dir(s)}/books-{uuid.uuid4().hex}"
-    xlsx.write_workbooks(_filed(s, d), path)
+    # a file of few row groups would be few tasks' work
+    xlsx.write_workbooks(_filed(s, d).repartition(s.sparkContext.defaultParallelism), path)
     return _by_year(files.load_filings(xlsx.read_workbooks(s, path, required=["VISA_CLASS", "EMPLOYER_FEIN"], taskBytes=str(8 << 20))))
 
 

@@ -1,7 +1,7 @@
 """Workbooks (XLSX) as a batch data source and a sink.
 
 A sheet's XML is streamed out of the archive, never unpacked whole. A large sheet is read by several tasks: each
-streams it, but parses only its own blocks of rows; a sheet has at most 1,048,576 rows by its format, so what is
+streams it, but looks only at its own stretches; a sheet has at most 1,048,576 rows by its format, so what is
 streamed twice has a bound. Each task holds the workbook's shared strings. Files are opened through Arrow's file
 systems. All columns are strings: numbers as they are shortest written, days as yyyy-MM-dd, with a time where they have
 one, booleans as true and false; errors and empty cells are null. Columns are matched by the names in each file's first row
@@ -27,13 +27,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..session import ship
 from .files import header
 
-#: Rows of a block, bytes of a sheet's XML for a task, tasks for a sheet, bytes read at once, rows of a file.
+#: Rows of a batch, bytes of a sheet's XML for a task, tasks for a sheet, bytes read at once, rows of a file.
 BLOCK, TASK_BYTES, MOST_TASKS, CHUNK, MOST_ROWS = 4096, 64 << 20, 16, 1 << 20, 1_048_576
 #: Fixed values of the format: numbers of built-in formats that show days or times.
 DAY_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
 _ROW = re.compile(rb"<(?:\w+:)?row(?=[\s/>])[^>]*>")
 _END = re.compile(rb"</(?:\w+:)?row\s*>")
 _AT = re.compile(rb"\sr\s*=\s*[\"'](\d+)[\"']")
+#: Rows of nothing but empty cells and bare inline texts, which need no parser.
+_PLAIN = re.compile(rb'<row(?: r="\d+")?>(?:<c/>|<c t="inlineStr"><is><t(?: xml:space="preserve")?>[^<&\r]*</t></is></c>)*</row>')
+_TEXT = re.compile(rb'<c(?:/>| t="inlineStr"><is><t(?: xml:space="preserve")?>([^<]*)<)')
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -161,30 +164,50 @@ class Workbook:
             self._parse("xl/styles.xml", start)
         return styles
 
-    def _rows(self) -> Iterator[tuple[int, bytes]]:
-        """Each row's number and its XML, in order; only what is between two reads is held."""
-        held, at, number = b"", 0, 0
+    def _rows(self, part: int, parts: int) -> Iterator[tuple[int, bytes]]:
+        """Where each row of a part begins and its XML, in order; a part has the rows that begin in its own stretches of CHUNK bytes, and others are passed over unread."""
+        held, limit, read = b"", 0, 0
         with self.zip.open(self.part) as f:
-            while True:
-                m = _ROW.search(held, at)
-                e = m and (m if held[m.end() - 2 : m.end()] == b"/>" else _END.search(held, m.end()))
-                if e:
-                    r = _AT.search(m.group())
-                    number = int(r.group(1)) if r else number + 1
-                    yield number, held[m.start() : e.end()]
-                    at = e.end()
+            while more := f.read(CHUNK):
+                own = read // CHUNK % parts == part
+                read += len(more)
+                if not own and not held:
                     continue
-                more = f.read(CHUNK)
-                if not more:
-                    return
-                # a row's start may lie across two reads
-                held, at = (held[m.start() :] if m else held[max(at, len(held) - 4096) :]) + more, 0
-
-    def rows(self, wanted=lambda number: True) -> Iterator[tuple[int, dict[int, str | None]]]:
-        """Numbers and cells by column of the rows that are wanted."""
+                held += more
+                if own:
+                    limit = len(held)
+                base, at, keep = read - len(held), 0, -1
+                while m := _ROW.search(held, at):
+                    if m.start() >= limit:
+                        break
+                    e = m if held[m.end() - 2 : m.end()] == b"/>" else _END.search(held, m.end())
+                    if not e:
+                        keep = m.start()
+                        break
+                    yield base + m.start(), held[m.start() : e.end()]
+                    at = e.end()
+                else:
+                    # a row's start may lie across two reads
+                    keep = held.rfind(b"<", at, limit)
+                    if keep >= 0 and held.find(b">", keep) >= 0:
+                        keep = -1
+                held, limit = (held[keep:], limit - keep) if keep >= 0 else (b"", 0)
+
+    def rows(self) -> Iterator[tuple[int, dict[int, str | None]]]:
+        """Numbers and cells by column of all rows."""
+        number = 0
+        for _, given, cells in self.cells(0, 1):
+            number = given or number + 1
+            yield number, cells
+
+    def cells(self, part: int, parts: int) -> Iterator[tuple[int, int, dict[int, str | None]]]:
+        """Where the rows of a part begin, their numbers (0: not given), and their cells by column."""
         strings, days = self.shared, self.days
-        for number, xml in self._rows():
-            if not wanted(number):
+        for start, xml in self._rows(part, parts):
+            r = _AT.search(xml, 0, xml.find(b">"))
+            number = int(r.group(1)) if r else 0
+            if _PLAIN.fullmatch(xml):
+                yield start, number, {k: x.decode() or None for k, x in enumerate(_TEXT.findall(xml))}
                 continue
             cells: dict[int, str | None] = {}
 
@@ -193,7 +216,7 @@ class Workbook:
                 cells[k] = self._value(a.get("t", "n"), int(a.get("s", 0)), x, strings, days)
 
             _Texts({"c": 0}, got).parser().Parse(xml, True)
-            yield number, cells
+            yield start, number, cells
 
     def _value(self, kind: str, style: int, x: str, strings: list[str], days: list[bool]) -> str | None:
         if x == "" or kind == "e":
@@ -218,8 +241,8 @@ class Workbook:
         return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
 
     def names(self) -> tuple[int, dict[int, str]]:
-        """The number of the first row with a cell and its columns' names."""
-        for number, cells in self.rows():
+        """Where the first row with a cell begins, and its columns' names."""
+        for start, _, cells in self.cells(0, 1):
             if any(cells.values()):
                 seen: dict[str, int] = {}
                 out = {}
@@ -227,7 +250,7 @@ class Workbook:
                     name = header(cells[k] or "") or f"C{k + 1}"
                     seen[name] = seen.get(name, 0) + 1
                     out[k] = name if seen[name] == 1 else f"{name}_{seen[name]}"
-                return number, out
+                return start, out
         return 0, {}
 
 
@@ -260,8 +283,8 @@ class _Reader(DataSourceReader):
             of = {n: k for k, n in names.items()}
             at = [of.get(n) for n in self.columns]
             batch: list[list[str | None]] = []
-            for _, cells in book.rows(lambda n: n > first and n // BLOCK % parts == part):
-                if any(v is not None for v in cells.values()):
+            for start, _, cells in book.cells(part, parts):
+                if start > first and any(v is not None for v in cells.values()):
                     batch.append([cells.get(k) if k is not None else None for k in at])
                 if len(batch) == BLOCK:
                     yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*batch)], schema=schema)
@@ -311,8 +334,14 @@ _SHEET = ('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/200
 #: What XML cannot hold.
 _BARRED = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
 
+#: What is not written as it is.
+_ODD = re.compile("[\x00-\x08\x0b-\x1f&<>\ud800-\udfff\ufffe\uffff]")
+_CELL = ('<c t="inlineStr"><is><t xml:space="preserve">', "</t></is></c>")
+
 
 def _row_xml(number: int, values) -> str:
+    if not _ODD.search("".join(v for v in values if v)):
+        return f'<row r="{number}">{"".join(f"{_CELL[0]}{v}{_CELL[1]}" if v else "<c/>" for v in values)}</row>'
     cells = (f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_BARRED.sub("", v), {chr(13): "&#13;"})}</t></is></c>' if v else "<c/>" for v in values)
     return f'<row r="{number}">{"".join(cells)}</row>'
 
@@ -330,7 +359,7 @@ def write_workbooks(df: DataFrame, path: str, most_rows: int = MOST_ROWS) -> lis
         while row is not None:
             final = f"part-{context.partitionId():05d}-{n:03d}.xlsx"
             held = f"{folder}/_{final}-{context.taskAttemptId()}"
-            with store.open_output_stream(held) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            with store.open_output_stream(held) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
                 for part, xml in _BOOK.items():
                     z.writestr(part, xml)
                 with z.open("xl/worksheets/sheet1.xml", "w") as sheet:

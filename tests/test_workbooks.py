@@ -80,3 +80,18 @@ def test_rows_across_reads(spark, tmp_path, monkeypatch):
 def test_a_folder_without_workbooks(spark, tmp_path):
     with pytest.raises(Exception, match="no workbook"):
         xlsx.read_workbooks(spark, str(tmp_path))
+
+
+def test_a_part_looks_at_its_own_stretches_only(spark, tmp_path, monkeypatch):
+    """Rows and tags across the ends of stretches are one part's each; of other parts' rows none is cut out."""
+    values = [f"{k} <&> {'v' * (k % 90)}" if k % 3 else f"{k}" for k in range(300)]
+    xlsx.write_workbooks(spark.createDataFrame([(v,) for v in values], "v string").coalesce(1), str(tmp_path))
+    for chunk in (64, 257, 5000):
+        monkeypatch.setattr(xlsx, "CHUNK", chunk)
+        got = []
+        for part in range(3):
+            with open(next(tmp_path.glob("*.xlsx")), "rb") as f:
+                own = list(xlsx.Workbook(f).cells(part, 3))
+            assert all(start // chunk % 3 == part for start, _, _ in own)
+            got += own
+        assert [(n, c[0]) for _, n, c in sorted(got, key=lambda x: x[0])] == list(enumerate(["v", *values], 1))
