@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 WARMING_POLLS, WARMING_S, GRACE_S = 3, 2 * 3600, 3600
 #: Seconds of event time after which an idle key is forgotten.
 KEEP_S = 90 * 86400
+#: Parts that keys of polls are dealt to.
+PARTS = 512
 
 
 def _ms(at: pd.Timestamp) -> int:
@@ -33,10 +36,14 @@ def _at(ms: int) -> pd.Timestamp:
 
 
 class Polls(StatefulProcessor):
-    """One key's polls: recent counts in list state, the rest in value state; a timer for the next poll's due time, then one for being forgotten."""
+    """The polls of a part's keys: what is held of each in one value, and a timer for the first time at which any of them is due or to be forgotten.
+
+    A key's own state and timer would cost calls between Python and Spark, and data frames, for every key that a batch touches.
+    """
 
     OUT = "user_id long, at timestamp, kind string, n_polls long, score double, interval_s long, warming int, errors int"
-    HELD = "interval long, n long, warming int, errors int, score double, last long, late boolean"
+    #: Arrays with an element for each key.
+    HELD = "user_id array<bigint>, interval array<bigint>, n array<bigint>, warming array<int>, errors array<int>, score array<double>, last array<bigint>, late array<boolean>, recent array<array<double>>"
 
     def __init__(self, low: float = 0.3, moderate: float = 0.8, active: float = 1.5, warming: int = WARMING_POLLS, grace: int = GRACE_S, keep: int = KEEP_S) -> None:
         self.bands, self.warming, self.grace, self.keep = (low, moderate, active), warming, grace, keep
@@ -44,73 +51,91 @@ class Polls(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", self.HELD)
-        self.recent = handle.getListState("recent", "jobs double")
 
-    def _poll(self, held: tuple, recent: list[float], ok: bool, jobs: float | None, at: int) -> tuple[tuple, list[float]]:
-        interval, n, warming, errors, score, _, _ = held
+    def _poll(self, held: tuple, ok: bool, jobs: float | None, at: int) -> tuple:
+        interval, n, warming, errors, score, _, _, recent = held
         if not ok:
             # an error keeps the interval and the counts, and its score is 0
-            return (interval, n + 1, warming, errors + 1, 0.0, at, False), recent
-        (recent_, interval, n, score), _ = A._polled((tuple(recent), interval, n, score), jobs, *self.bands)
+            return interval, n + 1, warming, errors + 1, 0.0, at, False, recent
+        (recent, interval, n, score), _ = A._polled((recent, interval, n, score), jobs, *self.bands)
         if warming:
             interval, warming = WARMING_S, warming - 1
-        return (interval, n, warming, 0, score, at, False), list(recent_)
+        return interval, n, warming, 0, score, at, False, recent
 
-    def _said(self, key: int, at: int, kind: str, held: tuple) -> tuple:
-        return key, _at(at), kind, held[1], None if held[4] is None else round(held[4], 6), held[0], held[2], held[3]
+    def _said(self, key: int | None, at: int, kind: str, held: tuple) -> tuple:
+        return key, at, kind, held[1], None if held[4] is None else round(held[4], 6), held[0], held[2], held[3]
 
     def _due(self, held: tuple) -> int:
         return held[5] + (held[0] + self.grace) * 1000
 
+    def _forgotten(self, held: tuple) -> int:
+        return max(self._due(held), held[5] + self.keep * 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = tuple(self.held.get()) if self.held.exists() else (A.DEFAULT, 0, self.warming, 0, None, None, False)
-        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        out = []
-        polls = pd.concat(list(rows)).sort_values(["ts", "poll"])
-        for at, ok, jobs in zip(polls["ts"], polls["ok"], polls["new_jobs"], strict=True):
-            ms = _ms(at)
-            if held[5] is not None and not held[6] and ms > self._due(held):
-                out.append(self._said(key[0], self._due(held), "overdue", held))
-            held, recent = self._poll(held, recent, bool(ok), None if pd.isna(jobs) else float(jobs), ms)
-            out.append(self._said(key[0], ms, "poll", held))
-        self._keep(held, recent)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(self._due(held))
+        part, new, out = self._load(), (A.DEFAULT, 0, self.warming, 0, None, None, False, ()), []
+        polls = pd.concat(list(rows)).sort_values(["nobody", "user_id", "ts", "poll"])
+        if polls["ts"].isna().any():
+            raise ValueError("a poll without a time")
+        times = polls["ts"].to_numpy("datetime64[ms]").astype("int64").tolist()
+        found = polls["new_jobs"].to_numpy("float64", na_value=np.nan).tolist()
+        for user, nobody, ms, ok, jobs in zip(polls["user_id"].tolist(), polls["nobody"].tolist(), times, polls["ok"].tolist(), found, strict=True):
+            user = None if nobody else user
+            held = part.get(user, new)
+            if held[5] is not None:
+                if not held[6] and ms > self._due(held):
+                    out.append(self._said(user, self._due(held), "overdue", held))
+                if ms > self._forgotten(held):
+                    held = new
+            part[user] = held = self._poll(held, bool(ok), None if jobs != jobs else jobs, ms)
+            out.append(self._said(user, ms, "poll", held))
+        self._store(part)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = tuple(self.held.get())
-        if held[6]:
+        now, left, out = timerValues.getCurrentWatermarkInMs(), {}, []
+        for user, held in self._load().items():
+            if not held[6] and self._due(held) <= now:
+                out.append(self._said(user, self._due(held), "overdue", held))
+                held = (*held[:6], True, held[7])
+            if not held[6] or self._forgotten(held) > now:
+                left[user] = held
+        self._store(left)
+        if out:
+            yield self._frame(out)
+
+    def _load(self) -> dict[int | None, tuple]:
+        held = self.held.get() if self.held.exists() else None
+        return {row[0]: (*row[1:8], tuple(row[8])) for row in zip(*held, strict=True)} if held else {}
+
+    def _store(self, part: dict[int | None, tuple]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not part:
             self.held.clear()
-            self.recent.clear()
             return
-        said = self._said(key[0], self._due(held), "overdue", held)
-        self.held.update((*held[:6], True))
-        self.handle.registerTimer(held[5] + self.keep * 1000)
-        yield self._frame([said])
-
-    def _keep(self, held: tuple, recent: list[float]) -> None:
-        self.held.update(held)
-        self.recent.clear()
-        if recent:
-            self.recent.put([(x,) for x in recent])
+        self.held.update((list(part), *([list(x) for x in c] if k == 7 else list(c) for k, c in enumerate(zip(*part.values(), strict=True)))))
+        self.handle.registerTimer(min(self._forgotten(held) if held[6] else self._due(held) for held in part.values()))
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in self.OUT.split(", ")])
+        made = pd.DataFrame(rows, columns=[c.split()[0] for c in self.OUT.split(", ")])
+        made["user_id"] = made["user_id"].astype("Int64")
+        made["at"] = pd.to_datetime(made["at"], unit="ms")
+        return made
 
     def close(self) -> None:
         pass
 
 
-def poll_states(polls: DataFrame, late: str = "1 hour", **rules) -> DataFrame:
+def poll_states(polls: DataFrame, late: str = "1 hour", parts: int = PARTS, **rules) -> DataFrame:
     """(user_id, at, kind, n_polls, score, interval_s, warming, errors): a row for each poll (user_id, ts, poll, ok, new_jobs) of a stream, and one, overdue, wherever none came in its time.
 
     The first polls of a key warm it: their interval is two hours, whatever they find. A key that has been silent
-    for KEEP_S starts anew.
+    for KEEP_S starts anew. Keys are dealt to so many parts, fixed for the life of a checkpoint; a task holds a part's keys and its rows of a batch.
     """
     ship(polls.sparkSession)
-    return polls.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(Polls(**rules), Polls.OUT, "append", "eventTime")
+    # a null among numbers would make pandas hold them as floats
+    dealt = polls.withWatermark("ts", late).select(F.pmod(F.xxhash64("user_id"), F.lit(parts)).alias("part"), F.coalesce("user_id", F.lit(0)).alias("user_id"), F.col("user_id").isNull().alias("nobody"), "ts", "poll", "ok", "new_jobs")
+    return dealt.groupBy("part").transformWithStateInPandas(Polls(**rules), Polls.OUT, "append", "eventTime")
 
 
 class Alerts(StatefulProcessor):

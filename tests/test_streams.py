@@ -71,6 +71,30 @@ def test_an_idle_key_is_forgotten(spark, tmp_path):
     assert polls == [(1, 2), (2, 1), (1, 2), (2, 1)]
 
 
+def test_keys_that_share_a_part_stay_apart(spark, tmp_path):
+    """Many keys, a null one among them, in three parts: a fold each, one state and one timer a part however many keys there are."""
+    rng = random.Random(8)
+    keys = [*range(120), None, 2**60 + 1]
+    rows = sorted(((START + timedelta(minutes=rng.randint(0, 9000)), k, n, rng.random() < 0.8, rng.choice([0, 1, None])) for n, k in enumerate(keys * 5)), key=lambda r: (r[0], r[2]))
+    schema = "ts timestamp, user_id long, poll long, ok boolean, new_jobs int"
+    stream = batches(spark, str(tmp_path / "in"), [*rows, (START + timedelta(days=400), -1, 9999, True, 0)], schema, 250)
+    out = J.run_once(S.poll_states(stream, parts=3, keep=10**8), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = [(r.user_id, r.at, r.kind, r.n_polls, r.score, r.interval_s, r.warming, r.errors) for r in out.where("user_id is null or user_id >= 0").collect()]
+    want = [(k, *said) for k in keys for said in folded([(at, ok, jobs) for at, u, _, ok, jobs in rows if u == k])]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "state"))
+    found = held.selectExpr("size(value.user_id) AS n").collect()
+    assert len(found) <= 3 and sum(r.n for r in found) == len(keys) + 1
+
+
+def test_an_idle_key_is_forgotten_within_a_batch_too(spark, tmp_path):
+    rows = [(START + timedelta(days=d), 1, n, True, 5) for n, d in enumerate([0, 1, 200, 201])]
+    schema = "ts timestamp, user_id long, poll long, ok boolean, new_jobs int"
+    out = J.run_once(S.poll_states(batches(spark, str(tmp_path / "in"), rows, schema, 9)), str(tmp_path / "out"), str(tmp_path / "state"))
+    polls = [(r.n_polls, r.warming) for r in out.where("kind = 'poll'").orderBy("at").collect()]
+    assert polls == [(1, 2), (2, 1), (1, 2), (2, 1)]
+
+
 def test_alerts_resolve_and_return(spark, tmp_path):
     rng = random.Random(6)
     rows = sorted((START + timedelta(minutes=rng.randint(0, 3000)), f"s{rng.randint(0, 3)}") for _ in range(80))
