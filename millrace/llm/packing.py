@@ -22,7 +22,6 @@ columns beyond key and text are ignored, whatever their names. The vocabulary's
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -45,6 +44,8 @@ ISLANDS, POPULATION, GENERATIONS = 2, 12, 60
 DISSOLVED = 0.3
 BROADCAST_ROWS = 500_000
 Bin = tuple[int, list[int]]
+#: The bin of each piece and the room of each bin.
+Packing = tuple[np.ndarray, np.ndarray]
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[list]:
@@ -76,67 +77,122 @@ def tokenise(texts: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY
     return materialize(made.select(F.monotonically_increasing_id().alias("uid"), "*"), "pieces", wide=True)
 
 
-def best_fit(order: Sequence[int], length: Sequence[int], capacity: int, keep: Sequence[Bin] = ()) -> list[Bin]:
-    """Bins as (room, pieces) after putting pieces, in the order given, beside bins that are kept: each into the fullest bin that has room, or a new one.
+def _open(room: np.ndarray, capacity: int, least: int) -> tuple[list[list[int]], int]:
+    """(bins by the room in them, mask of the rooms that there are), of bins with at least so much room: the least sufficient room for a piece is then the lowest set bit."""
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for k in np.flatnonzero(room >= least).tolist():
+        by_room[room[k]].append(k)
+    return by_room, sum(1 << k for k, row in enumerate(by_room) if row)
 
-    Bins lie by the room left in them, and the least sufficient room is the lowest set bit of a mask. One that is kept may be
-    another packing's too, so it isn't changed in place; those that are made here are bare lists until the end.
-    """
-    by_room: list[list] = [[] for _ in range(capacity + 1)]
+
+def _closed(by_room: list[list[int]], room: np.ndarray, bins: int) -> np.ndarray:
+    """Room of each of so many bins, those that were not opened as before."""
+    room = np.concatenate((room, np.zeros(bins - len(room), dtype=np.int64)))
+    room[list(chain.from_iterable(by_room))] = np.repeat(np.arange(len(by_room)), [len(row) for row in by_room])
+    return room
+
+
+def _fill(length: list[int], capacity: int, room: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """(bin of each piece, room of each bin) after putting pieces, given by their lengths, in this order beside bins that have so much room: each into the fullest bin that has room, or a new one."""
+    by_room, mask = _open(room, capacity, 0)
     bit = [1 << k for k in range(capacity + 1)]
-    mask = 0
-    for kept in keep:
-        by_room[kept[0]].append(kept)
-        mask |= bit[kept[0]]
-    for item in order:
-        n = length[item]
+    bins, placed = len(room), []
+    put = placed.append
+    for n in length:
         fit = mask >> n
         if fit:
-            room = n + (fit & -fit).bit_length() - 1
-            row = by_room[room]
+            at = n + (fit & -fit).bit_length() - 1
+            row = by_room[at]
             found = row.pop()
             if not row:
-                mask ^= bit[room]
-            if type(found) is list:
-                found.append(item)
-            else:
-                found = [*found[1], item]
-            room -= n
+                mask ^= bit[at]
+            at -= n
         else:
-            found, room = [item], capacity - n
-        row = by_room[room]
+            found, at = bins, capacity - n
+            bins += 1
+        put(found)
+        row = by_room[at]
         if not row:
-            mask |= bit[room]
+            mask |= bit[at]
         row.append(found)
-    return [(room, b) if type(b) is list else b for room, row in enumerate(by_room) for b in row]
+    return placed, _closed(by_room, room, bins)
 
 
-def cross(one: list[Bin], other: list[Bin], length: Sequence[int], capacity: int, rng: random.Random) -> list[Bin]:
+def best_fit(order: Sequence[int], length: Sequence[int], capacity: int, keep: Sequence[Bin] = ()) -> list[Bin]:
+    """Bins as (room, pieces) after putting pieces, in the order given, beside bins that are kept: each into the fullest bin that has room, or a new one."""
+    placed, room = _fill([length[i] for i in order], capacity, np.array([r for r, _ in keep], dtype=np.int64))
+    bins = [*(list(members) for _, members in keep), *([] for _ in range(len(room) - len(keep)))]
+    for i, k in zip(order, placed, strict=True):
+        bins[k].append(i)
+    return list(zip(room.tolist(), bins, strict=True))
+
+
+def _refill(length: np.ndarray, capacity: int, room: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """As _fill() for lengths that fall: pieces of one length go together, and the bins of the least sufficient room each take as many of them as they hold."""
+    starts = np.flatnonzero(np.diff(length, prepend=0))
+    by_room, mask = _open(room, capacity, length[-1] if len(length) else capacity)
+    bit = [1 << k for k in range(capacity + 1)]
+    bins, placed = len(room), []
+    for n, left in zip(length[starts].tolist(), np.diff(starts, append=len(length)).tolist(), strict=True):
+        while left:
+            fit = mask >> n
+            if fit:
+                at = n + (fit & -fit).bit_length() - 1
+                row, each = by_room[at], at // n
+                found = row[-(-(-left // each)) :]
+                del row[-len(found) :]
+                if not row:
+                    mask ^= bit[at]
+            else:
+                at, each = capacity, capacity // n
+                found = list(range(bins, bins - (-left // each)))
+                bins += len(found)
+            most = min(len(found), left // each)
+            for taking, those in ((each, found[:most]), (left - most * each, found[most:])):
+                if those:
+                    placed += those if taking == 1 else [i for i in those for _ in range(taking)]
+                    left -= taking * len(those)
+                    to = at - taking * n
+                    if not by_room[to]:
+                        mask |= bit[to]
+                    by_room[to] += those
+    return placed, _closed(by_room, room, bins)
+
+
+def cross(one: Packing, other: Packing, length: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
     """Inject bins of other whole into one: a random half of its well-filled ones, or of its fullest tenth.
 
     Bins of one that hold any of the same pieces are removed, and so are those that are not well
     filled and a share of the others, so that the pieces displaced find partners when they are put back
-    best-fit, largest first.
+    best-fit, largest first, as pieces are numbered.
     """
     most = (1 - WELL_FILLED) * capacity
-    good = [b for b in other if b[0] <= most] or sorted(other, key=lambda b: b[0])[: max(1, len(other) // 10)]
-    injected = [b for b in good if rng.random() < 0.5] or good[:1]
-    taken = set(chain.from_iterable(members for _, members in injected))
-    kept, displaced = [], []
-    for bin_ in one:
-        if bin_[0] <= most and taken.isdisjoint(bin_[1]) and rng.random() >= DISSOLVED:
-            kept.append(bin_)
-        else:
-            displaced += bin_[1]
-    displaced = [i for i in displaced if i not in taken]
-    displaced.sort(key=length.__getitem__, reverse=True)
-    return best_fit(displaced, length, capacity, [*injected, *kept])
+    good = np.flatnonzero(other[1] <= most)
+    if not len(good):
+        good = np.argsort(other[1], kind="stable")[: max(1, len(other[1]) // 10)]
+    injected = good[rng.random(len(good)) < 0.5]
+    if not len(injected):
+        injected = good[:1]
+    number = np.full(len(other[1]), -1)
+    number[injected] = np.arange(len(injected))
+    to = number[other[0]]
+    kept = (one[1] <= most) & (rng.random(len(one[1])) >= DISSOLVED)
+    kept[one[0][to >= 0]] = False
+    number = np.full(len(one[1]), -1)
+    number[kept] = np.arange(len(injected), len(injected) + np.count_nonzero(kept))
+    to = np.where(to >= 0, to, number[one[0]])
+    displaced = np.flatnonzero(to < 0)
+    to[displaced], room = _refill(length[displaced], capacity, np.concatenate((other[1][injected], one[1][kept])))
+    return to, room
+
+
+def _worth(room: np.ndarray, capacity: int) -> tuple[int, float]:
+    return -len(room), float(((1 - room / capacity) ** 2).sum()) / max(1, len(room))
 
 
 def fitness(bins: list[Bin], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    room = np.array([b[0] for b in bins], dtype=np.float64)
-    return -len(bins), float(((1 - room / capacity) ** 2).sum()) / max(1, len(bins))
+    return _worth(np.array([b[0] for b in bins], dtype=np.float64), capacity)
 
 
 def least_bins(length: Sequence[int], capacity: int) -> int:
@@ -155,26 +211,38 @@ def least_bins(length: Sequence[int], capacity: int) -> int:
 def evolve(length: Sequence[int], capacity: int = CAPACITY, seed: int = 0, elites: Sequence[list[Bin]] = (), falling: bool = False, size: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[Bin], int, int]:
     """(packing, crossings, bound): an island's best packing of pieces given by their lengths, how often it crossed two, and the least bins there can be.
 
-    It starts from the elites, if falling from the best-fit-decreasing packing, and from random ones.
+    It starts from the elites, if falling from the best-fit-decreasing packing, and from random ones. In here pieces are numbered by length, largest first.
     """
-    rng = random.Random(seed)
-    order = list(range(len(length)))
+    rng = np.random.default_rng(seed % (1 << 63))
     bound, crossings = least_bins(length, capacity), 0
-    population = list(elites)
+    order = np.argsort(-np.asarray(length, dtype=np.int64), kind="stable")
+    sizes = np.asarray(length, dtype=np.int64)[order]
+    number = np.argsort(order)
+    none = np.empty(0, dtype=np.int64)
+    population = []
+    for bins in elites:
+        to = np.empty(len(order), dtype=np.int64)
+        to[number[list(chain.from_iterable(members for _, members in bins))]] = np.repeat(np.arange(len(bins)), [len(members) for _, members in bins])
+        population.append((to, np.array([room for room, _ in bins], dtype=np.int64)))
     if falling:
-        population.append(best_fit(sorted(order, key=lambda i: -length[i]), length, capacity))
-    while len(population) < size:
-        rng.shuffle(order)
-        population.append(best_fit(order, length, capacity))
-    worth = [fitness(p, capacity) for p in population]
+        placed, room = _refill(sizes, capacity, none)
+        population.append((np.array(placed, dtype=np.int64), room))
+    worth = [_worth(room, capacity) for _, room in population]
+    while len(population) < size and (not worth or -max(worth)[0] > bound):
+        shuffled, to = rng.permutation(len(order)), np.empty(len(order), dtype=np.int64)
+        to[shuffled], room = _fill(sizes[shuffled].tolist(), capacity, none)
+        population.append((to, room))
+        worth.append(_worth(room, capacity))
     while crossings < generations and -max(worth)[0] > bound:
-        a, b = rng.sample(range(len(population)), 2)
-        child = cross(population[a], population[b], length, capacity, rng)
+        a, b = rng.choice(len(population), 2, replace=False)
+        child = cross(population[a], population[b], sizes, capacity, rng)
         crossings += 1
         worst = min(range(len(population)), key=worth.__getitem__)
-        if (found := fitness(child, capacity)) > worth[worst] and found not in worth:
+        if (found := _worth(child[1], capacity)) > worth[worst] and found not in worth:
             population[worst], worth[worst] = child, found
-    return population[max(range(len(population)), key=worth.__getitem__)], crossings, bound
+    to, room = population[max(range(len(population)), key=worth.__getitem__)]
+    members, ends = order[np.argsort(to, kind="stable")].tolist(), np.cumsum(np.bincount(to, minlength=len(room))).tolist()
+    return [(r, members[start:end]) for r, start, end in zip(room.tolist(), [0, *ends], ends)], crossings, bound
 
 
 def _island(batches: Iterator[pa.RecordBatch], capacity: int, epoch: int, generations: int) -> Iterator[list]:

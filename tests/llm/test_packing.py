@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -167,3 +168,49 @@ def test_best_fit_leaves_kept_bins_as_they_are():
         rooms.append((min(fit) if fit else 100) - n)
     assert sorted(r for r, _ in got) == sorted(rooms)
     assert sorted(i for _, m in got for i in m) == list(range(300)) and all(r == 100 - sum(length[i] for i in m) for r, m in got)
+
+
+def test_falling_lengths_are_put_by_runs_as_one_at_a_time():
+    """The same bins, beside others too, and a crossing keeps every piece once; steps are by lengths, not by pieces."""
+    rng = random.Random(12)
+    for _ in range(40):
+        length = np.array(sorted((rng.randint(1, rng.choice([9, 100])) for _ in range(rng.randint(0, 200))), reverse=True), dtype=np.int64)
+        room = np.array([rng.randint(0, 100) for _ in range(rng.randint(0, 30))], dtype=np.int64)
+        placed, left = packing._refill(length, 100, room)
+        one_by_one, want = packing._fill(length.tolist(), 100, room)
+        assert sorted(left.tolist()) == sorted(want.tolist()) and len(placed) == len(one_by_one) == len(length)
+        filled = np.bincount(np.array(placed, dtype=np.int64), weights=length, minlength=len(left))
+        assert (filled + left == np.concatenate((room, np.full(len(left) - len(room), 100)))).all()
+    steps = [0]
+
+    def counted(frame, event, _):
+        steps[0] += event == "line"
+        return counted
+
+    before = sys.gettrace()
+    sys.settrace(counted)
+    try:
+        _, left = packing._refill(np.repeat([1500, 1200, 500], 20_000), 2048, np.empty(0, dtype=np.int64))
+    finally:
+        sys.settrace(before)
+    assert len(left) == 40_000 and steps[0] < 20_000
+
+
+def test_crossed_packings_hold_every_piece_once():
+    rng = np.random.default_rng(13)
+    length = np.sort(rng.integers(1, 900, 500))[::-1]
+    made = []
+    for _ in range(2):
+        order, to = rng.permutation(500), np.empty(500, dtype=np.int64)
+        to[order], room = packing._fill(length[order].tolist(), 1000, np.empty(0, dtype=np.int64))
+        made.append((to, room))
+    for _ in range(20):
+        to, room = packing.cross(*made, length, 1000, rng)
+        assert (np.bincount(to, weights=length, minlength=len(room)) + room == 1000).all() and (room >= 0).all() and np.bincount(to).min() > 0
+        made = [made[1], (to, room)]
+
+
+def test_no_random_packings_once_one_meets_the_bound(monkeypatch):
+    monkeypatch.setattr(packing, "_fill", None)
+    best, crossings, bound = packing.evolve([1024] * 10, falling=True)
+    assert (len(best), crossings, bound) == (5, 0, 5)
