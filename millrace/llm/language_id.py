@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .arrow import map_batches, slices
+from .arrow import give_back, map_batches, slices
 from .common import materialize
 
 NGRAM = 4
@@ -90,20 +90,29 @@ class TextModel:
     def __init__(self, languages: list[str], counts: DataFrame | None, buckets: int) -> None:
         self.languages, self.counts, self.buckets = languages, counts, buckets
 
+    def seen(self, names: list[str]) -> np.ndarray:
+        """Counts (language, fold, bucket) of some languages. They come as numbers in Arrow, so that the driver holds no row as an object."""
+        place = (F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1).cast("int") * F.lit(FOLDS) + F.col("fold")
+        out = np.zeros((len(names), FOLDS, self.buckets))
+        for batch in self.counts.where(F.col("lang").isin(names)).select(place.alias("part"), "bucket", "n").toArrow().to_batches():
+            part, bucket, n = (c.to_numpy() for c in batch.columns)
+            np.add.at(out.reshape(-1), part.astype(np.int64) * self.buckets + bucket, n)
+        return out
+
     def parts(self) -> Iterator[np.ndarray]:
         """(language, fold * buckets + bucket) in floats, of LANGUAGES languages at a time."""
         smooth, buckets = 0.05, self.buckets
         for start in range(0, len(self.languages), LANGUAGES):
             names = self.languages[start : start + LANGUAGES]
-            found = self.counts.where(F.col("lang").isin(names)).toPandas()
-            seen = np.zeros((len(names), FOLDS, buckets))
-            place = {name: k for k, name in enumerate(names)}
-            np.add.at(seen, (found["lang"].map(place).to_numpy(dtype=np.int64), found["fold"].to_numpy(dtype=np.int64), found["bucket"].to_numpy(dtype=np.int64)), found["n"].to_numpy(dtype=np.float64))
-            # a fold is scored by what the others have seen
-            others = seen.sum(axis=1, keepdims=True) - seen
-            seen = np.where(others.sum(axis=2, keepdims=True) > 0, others, seen.sum(axis=1, keepdims=True))
-            logp = np.log((seen + smooth) / (seen.sum(axis=2, keepdims=True) + smooth * buckets))
-            yield (logp + np.log(buckets)).astype(np.float32).reshape(len(names), FOLDS * buckets)
+            out = np.empty((len(names), FOLDS * buckets), dtype=np.float32)
+            for own, to in zip(self.seen(names), out, strict=True):
+                # a fold is scored by what the others have seen
+                others = own.sum(axis=0, keepdims=True) - own
+                own = np.where(others.sum(axis=1, keepdims=True) > 0, others, own.sum(axis=0, keepdims=True))
+                logp = np.log((own + smooth) / (own.sum(axis=1, keepdims=True) + smooth * buckets))
+                to[:] = (logp + np.log(buckets)).reshape(-1)
+            give_back()
+            yield out
 
 
 def primary(declared: Column) -> Column:

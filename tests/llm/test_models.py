@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -36,6 +37,26 @@ def test_three_hundred_declared_languages(spark, monkeypatch):
     assert few == whole and sum(lang != "und" for lang, _ in few.values()) > 10
 
 
+def test_models_take_little_of_the_drivers_memory(spark):
+    """Counts of every bucket in every fold: as Python objects they would take a few hundred bytes each."""
+    names, buckets, folds = list("abcdefgh"), 1 << 14, language_id.FOLDS
+    rows = spark.range(len(names) * folds * buckets)
+    count = F.pmod(F.xxhash64("id"), F.lit(1000)) + 1
+    at = lambda size, most: F.pmod(F.floor(F.col("id") / size), F.lit(most)).cast("int")
+    counts = rows.select(F.get(F.array(*[F.lit(x) for x in names]), at(folds * buckets, len(names))).alias("lang"), at(buckets, folds).alias("fold"), at(1, buckets).alias("bucket"), count.alias("n"))
+    tracemalloc.start()
+    try:
+        (ratio,) = language_id.TextModel(names, counts, buckets).parts()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    seen = np.array([r.n for r in counts.where("lang = 'c'").orderBy("fold", "bucket").collect()], dtype=float).reshape(folds, buckets)
+    others = np.array([np.delete(seen, k, axis=0).sum(axis=0) for k in range(folds)])
+    want = np.log((others + 0.05) / (others.sum(axis=1, keepdims=True) + 0.05 * buckets) * buckets)
+    assert ratio.shape == (8, folds * buckets) and np.allclose(ratio[2], want.reshape(-1), atol=1e-5)
+
+
 def test_language_accuracy_on_rows_that_did_not_train(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs.where("doc_id % 2 = 0"))
