@@ -52,17 +52,19 @@ def _closing(spark: SparkSession, columns: str) -> DataFrame:
 
 
 def s_dedup_day(spark: SparkSession, d: str) -> DataFrame:
-    """How many rows of each key a day's dedup lets through.
+    """How many rows of each key a day's dedup lets through; a row without a time comes at no day, so none.
 
     The rows of ten days are put on one day, by their time, and such days far apart: of each, a key's first row
     passes and its others don't. A batch forgets what was behind the watermark before it, so two ticks are
-    between the days.
+    between the days. The first day is well after the epoch: a watermark begins there, and what is not later counts as late.
     """
     rows = role(spark, d, "requests").select("user_id", "class", F.floor((F.dayofmonth("ts") - 1) / 10).alias("n"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("second"))
-    given = rows.select(F.timestamp_seconds(F.col("n") * 100 * 86400 + F.col("second")).alias("ts"), "user_id", "class", (F.col("n") * 3).alias("batch"))
-    ticks = rows.select("n").distinct().select(F.timestamp_seconds((F.col("n") * 100 + 50) * 86400).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("tick").alias("class"), F.explode(F.array(F.col("n") * 3 + 1, F.col("n") * 3 + 2)).alias("batch"))
+    timed, start = rows.where("n IS NOT NULL"), (F.col("n") + 1) * 100 * 86400
+    given = timed.select(F.timestamp_seconds(start + F.col("second")).alias("ts"), "user_id", "class", (F.col("n") * 3).alias("batch"))
+    ticks = timed.select("n").distinct().select(F.timestamp_seconds(start + 50 * 86400).alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("tick").alias("class"), F.explode(F.array(F.col("n") * 3 + 1, F.col("n") * 3 + 2)).alias("batch"))
     out = _in_turns(spark, given.unionByName(ticks), "batch", _places(spark, "dedup"), lambda turn: J.dedup_day(turn, "user_id", "class"))
-    return out.where("user_id >= 0").groupBy("user_id", "class").agg(F.count("*").alias("kept"))
+    passed = out.where("class <> 'tick'").select("user_id", "class", F.lit(1).alias("kept"))
+    return passed.unionByName(rows.where("n IS NULL").select("user_id", "class", F.lit(0).alias("kept"))).groupBy("user_id", "class").agg(F.sum("kept").alias("kept"))
 
 
 def _polls(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +96,8 @@ def _in_turns(spark: SparkSession, rows: DataFrame, by: str, places: tuple[str,
         if stop:
             J.run_once(stream(), sink, state, batches=1)
         out = J.run_once(stream(), sink, state)
-    # without rows there is no turn, and nothing to give but the columns
-    return made(columns).limit(0) if out is None else out
+    # without rows there is no turn, and nothing to give but the columns; not all that streams do runs on a batch
+    return spark.createDataFrame([], made(columns).schema) if out is None else out
 
 
 def _in_files(spark: SparkSession, rows: DataFrame, by: str, folder: str) -> DataFrame:

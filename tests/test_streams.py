@@ -185,3 +185,26 @@ def test_the_order_of_turns_is_not_that_of_file_times(spark, tmp_path, monkeypat
     monkeypatch.setattr(J, "run_once", backwards)
     got = streams.QUERIES["s_dedup_day"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(k, "ok", 4) for k in range(3)]
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _kept(spark, folder, rows):
+    spark.createDataFrame(rows, EVENTS).write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    return sorted((tuple(r) for r in streams.QUERIES["s_dedup_day"](spark, str(folder)).collect()), key=str)
+
+
+def test_rows_at_midnight_of_the_first_day_are_not_late(spark, tmp_path):
+    """A key's only row of ten days may be within the first second of its day."""
+    rows = [(n, at, n, "view", 1.0, "{}") for n, at in enumerate((datetime(2024, 1, 1), datetime(2024, 1, 9, 0, 0, 0, 999_999), datetime(2024, 1, 2, 0, 0, 1), datetime(2024, 1, 11), datetime(2024, 1, 31)))]
+    assert _kept(spark, tmp_path, rows) == [(n, "ok", 1) for n in range(5)]
+
+
+def test_dedup_of_keys_below_zero_and_of_nulls(spark, tmp_path):
+    """Users that are null or have any number are keys; rows without a time are of no day, but their key is given; without rows there is no key."""
+    at = datetime(2024, 1, 2, 3)
+    rows = [(0, at, None, "view", 1.0, "{}"), (4, at, None, "view", 1.0, "{}"), (1, at, -1, "view", 1.0, "{}"), (2, at, -2, "error", 1.0, "{}"), (3, None, 7, "view", 1.0, "{}"), (5, None, -1, "view", 1.0, "{}")]
+    assert _kept(spark, tmp_path, rows) == [(-1, "ok", 1), (-2, "timeout", 1), (7, "ok", 0), (None, "ok", 1)]
+    assert _kept(spark, tmp_path, [(3, None, 7, "view", 1.0, "{}")]) == [(7, "ok", 0)]
+    assert _kept(spark, tmp_path, []) == []
