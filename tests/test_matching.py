@@ -57,6 +57,25 @@ def test_keyword_subset_of_copies_is_a_row_each(spark):
     assert [got["right", k] for k in range(3000, 3006)] == [(3000, 1), (3001, 1), (3002, 1), (3003, 0), (3004, 0), (3004, 0)]
 
 
+def test_keyword_subset_has_each_pair_of_rows(spark, tmp_path, monkeypatch):
+    """Names dealt to several parts and tasks, as large ones are: a left row once for each right row it is linked to, as in all pairs; other rows once."""
+    monkeypatch.setattr(resolve, "LINKED_ROWS", 3)
+    monkeypatch.setattr(resolve, "TASK_LINKS", 5)
+    names = ["red bolt"] * 10 + ["Red  bolt nut", "bolt red", "red bolt nut", "bolt", "bolt bolt", "zinc", "", " ", None, "nut red bolt"]
+    parts = list(enumerate(names, 1))
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    words = {k: [w for w in (name or "").lower().split(" ") if w] for k, name in parts}
+    # a left name is what comes before the second space, which may be less than two words
+    first = {k: [w for w in (name or "").lower().split(" ")[:2] if w] for k, name in parts}
+    want = sorted((a, b) for a, w in first.items() for b, v in words.items() if w and set(w) <= set(v) and (len(w) > 1 or len(v) == 1))
+    rows = matching.QUERIES["q_keyword_subset"](spark, str(tmp_path)).collect()
+    linked = [r for r in rows if r.linked_id is not None]
+    assert sorted((r.id, r.linked_id) for r in linked) == want and len(want) > 100
+    assert {r.side for r in linked} == {"left"} and all(r.links == sum(a == r.id for a, _ in want) for r in linked)
+    alone = sorted((r.side, r.id, r.links) for r in rows if r.linked_id is None)
+    assert alone == sorted([("left", a, 0) for a in words if all(a != x for x, _ in want)] + [("right", b, sum(b == y for _, y in want)) for b in words])
+
+
 def _companies(seed, n):
     """Names with shared words, words of other names, typing errors, one word repeated, and none at all."""
     rng = random.Random(seed)
